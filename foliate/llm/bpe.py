@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import blocks, documents, shared_dir
 
 #: Words in the automaton: the most frequent ones of the corpus.  Bounds the file (a few MB) and what the driver takes.
 LEXICON_WORDS = 60_000
@@ -376,22 +376,6 @@ def worker_encoder(lexicon: str, vocabulary: str, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-#: Characters of text that a worker encodes at once.
-BLOCK_CHARS = 2_000_000
-
-
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``most`` characters, or of a single longer one."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, k
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode(docs: DataFrame, lexicon: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and ``ids``: the little-endian 32-bit ids of the whole text."""
     vocabulary, pattern = vocabulary or vocabulary_path(), pattern or split_pattern()

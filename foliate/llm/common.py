@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 #: The white space of every word definition here: space and the code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a per-chunk table may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows of a few numbers up to which a counted table is broadcast (some tens of MB); beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,3 +76,19 @@ def running_offset(
         .withColumn(out, (F.col("__base") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).cast("long"))
         .drop("__chunk", "__value", "__base", "__c", *[f"__k_{k}" for k in keys])
     )
+
+
+#: Characters of text that a worker handles at once.
+BLOCK_CHARS = 2_000_000
+
+
+def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` characters, or of a single longer one."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield at, k
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)

@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .chat import op5_chat_formatting
+from .media import op8_media_columns
+from .minhash import op1_minhash_near_dedup
+from .packing import op2_packing
 from .quality import op3_quality_rules
+from .secret_scan import op6_secret_scans
+from .sharding import op7_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_quality_rules, op10_bpe)
+    found = (
+        op1_minhash_near_dedup,
+        op2_packing,
+        op3_quality_rules,
+        op5_chat_formatting,
+        op6_secret_scans,
+        op7_sharding,
+        op8_media_columns,
+        op10_bpe,
+    )
     return {f.__name__: f for f in found}
 
 
