@@ -16,12 +16,14 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import struct
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, shared_dir
+from .common import blocks, documents, materialise, shared_dir
 
 #: Words in the automaton: the most frequent ones of the corpus.  Bounds the file (a few MB) and what the driver takes.
-LEXICON_WORDS = 60_000
+LEXICON_WORDS = 100_000
 #: Distinct words that a worker remembers or counts before it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 #: The vocabulary of the queries, by the name that public_tokenizers.path() takes.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -79,6 +81,31 @@ def split_pattern() -> str:
     return "(?V1)" + SPLIT.replace("{L}", sets["L"]).replace("{N}", sets["N"])
 
 
+#: Below this code point a text is split by the standard library, with the classes spelled out.
+LOW = 0x370
+
+
+@lru_cache(maxsize=1)
+def low_pattern() -> str:
+    """The split pattern over the code points below LOW, where all Unicode versions agree."""
+
+    def spelled(wanted: Callable[[str], bool]) -> str:
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _runs([c for c in range(LOW) if wanted(chr(c))]))
+
+    space = spelled(lambda c: regex.match(r"\s", c) is not None)
+    kinds = {k: spelled(lambda c, k=k: regex.match(rf"\p{{{k}}}", c) is not None) for k in "LN"}
+    p = SPLIT.replace(r"[^\s{L}{N}]", f"[^{space}{kinds['L']}{kinds['N']}]")
+    p = p.replace("{L}", f"[{kinds['L']}]").replace("{N}", f"[{kinds['N']}]")
+    return p.replace(r"\s+(?!\S)", f"[{space}]+(?![^{space}])").replace(r"\s+", f"[{space}]+")
+
+
+def splitter(pattern: str, low: str) -> Callable[[str], list[str]]:
+    """Pieces of a text: by ``low`` where it holds low code points only, else by ``pattern``."""
+    some_high = re.compile(f"[\\u{LOW:04x}-\\U0010ffff]").search
+    fast, full = re.compile(low).findall, regex.compile(pattern).findall
+    return lambda text: full(text) if some_high(text) else fast(text)
+
+
 def _runs(points: list[int]) -> list[tuple[int, int]]:
     """First and last of each run of consecutive numbers."""
     out: list[tuple[int, int]] = []
@@ -101,6 +128,7 @@ class Vocabulary:
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"]]
         self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (k, self.ids[raw(a) + raw(b)]) for k, (a, b) in enumerate(pairs)}
+        self.results = [new for _, new in sorted(self.ranks.values())]
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_id = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
@@ -111,16 +139,19 @@ class Vocabulary:
         ranks, n = self.ranks, len(ids)
         if n < 2:
             return ids
-        if n < 48:
-            while True:
-                best, at = None, -1
-                for k in range(len(ids) - 1):
-                    found = ranks.get((ids[k], ids[k + 1]))
-                    if found is not None and (best is None or found[0] < best[0]):
-                        best, at = found, k
-                if best is None:
-                    return ids
-                ids[at : at + 2] = [best[1]]
+        if n < 64:
+            far = len(ranks)
+            left = [ranks.get(p, (far,))[0] for p in zip(ids, ids[1:], strict=False)]
+            while left and (least := min(left)) < far:
+                k = left.index(least)
+                new = self.results[least]
+                ids[k : k + 2] = [new]
+                del left[k]
+                if k < len(left):
+                    left[k] = ranks.get((new, ids[k + 1]), (far,))[0]
+                if k:
+                    left[k - 1] = ranks.get((ids[k - 1], new), (far,))[0]
+            return ids
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], k, ids[k], ids[k + 1], r[1]) for k in range(n - 1) if (r := ranks.get((ids[k], ids[k + 1])))]
         heapq.heapify(heap)
@@ -261,18 +292,19 @@ class Lexicon:
 class Encoder:
     """Encodes texts: pattern, automaton for known words, exact merges for the others."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, pattern: str, low: str):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.find = regex.compile(pattern).findall
+        self.find = splitter(pattern, low)
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.forget()
 
     def forget(self) -> None:
+        """The memory of words: word to its number, and the numbers' ids in one array."""
         self.memo: dict[str, int] = {s: k for k, s in enumerate(self.vocabulary.special)}
-        first = [np.array([i], np.uint32) for i in self.vocabulary.special.values()]
-        self.known: list[np.ndarray] = first
-        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.lengths = np.ones(len(self.memo), np.int64)
+        self.ids = np.array(list(self.vocabulary.special.values()), np.uint32)
+        self.starts = np.arange(len(self.memo))
 
     def pieces(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.vocabulary.special):
@@ -284,32 +316,42 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8") for w in words]
-        for w, b, number in zip(words, raw, self.lexicon.numbers(raw).tolist(), strict=True):
-            self.memo[w] = len(self.known)
-            self.known.append(
-                self.lexicon.word_ids(number) if number >= 0 else np.array(self.vocabulary.merge(b), np.uint32)
-            )
-        self.table = None
+        numbers = self.lexicon.numbers(raw)
+        known = numbers >= 0
+        lengths = np.empty(len(words), np.int64)
+        lengths[known] = np.diff(self.lexicon.starts)[numbers[known]] if known.any() else 0
+        merged: list[int] = []
+        for k in np.flatnonzero(~known).tolist():
+            ids = self.vocabulary.merge(raw[k])
+            lengths[k] = len(ids)
+            merged += ids
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        found = np.repeat(known, lengths)
+        ids[~found] = merged
+        ids[found] = _gather(self.lexicon.starts[numbers[known]], lengths[known], self.lexicon.ids)
+        self.memo.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
+        self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has."""
         if len(self.memo) > MEMO_WORDS:
             self.forget()
         split = [self.pieces(t) for t in texts]
-        new = {w for p in split for w in p if w not in self.memo}
-        if new:
+        words = list(chain.from_iterable(split))
+        if new := set(words).difference(self.memo):
             self.learn(sorted(new))
-        if self.table is None:
-            n = np.array([len(x) for x in self.known], np.int64)
-            self.table = (np.cumsum(n) - n, n, np.concatenate(self.known) if self.known else np.empty(0, np.uint32))
-        starts, lengths, flat = self.table
-        get = self.memo.__getitem__
-        words = np.fromiter((x for p in split for x in map(get, p)), np.int64, sum(map(len, split)))
-        n = lengths[words]
-        total = np.cumsum(n)
-        at = np.arange(int(n.sum())) - np.repeat(total - n, n) + np.repeat(starts[words], n)
-        per_text = np.concatenate([[0], total])[np.cumsum([0, *map(len, split)])]
-        return flat[at], np.diff(per_text)
+        number = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        n = self.lengths[number]
+        total = np.concatenate([[0], np.cumsum(n)])
+        per_text = np.diff(total[np.cumsum([0, *map(len, split)])])
+        return _gather(self.starts[number], n, self.ids), per_text
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The ranges of ``values`` one after another."""
+    ends = np.cumsum(lengths)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
 
 
 # --- on Spark ----------------------------------------------------------------------------------------------------
@@ -317,9 +359,10 @@ class Encoder:
 
 def word_counts(docs: DataFrame, pattern: str, memo: int = MEMO_WORDS) -> DataFrame:
     """(word, n) over all whole texts; each task adds up what it has read before the shuffle."""
+    low = low_pattern()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
+        find, seen = splitter(pattern, low), Counter()
 
         def flush():
             return pa.RecordBatch.from_pydict(
@@ -339,6 +382,21 @@ def word_counts(docs: DataFrame, pattern: str, memo: int = MEMO_WORDS) -> DataFr
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[str]:
+    """At most ``most`` words, all of a count or none of it, from the highest count down.
+
+    Where to stop is read from a histogram of the counts (a few hundred rows), so no task sends more than it must.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    rows = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for r in rows:
+        if held + r["words"] > most:
+            break
+        least, held = r["step"], held + r["words"]
+    return [] if least is None else [r[0] for r in counts.filter(step >= least).select("word").collect()]
+
+
 def store_file(spark: SparkSession, data: bytes, name: str) -> str:
     """Write a small file to the shared folder and have Spark hand it to every executor; its name there."""
     name = f"{name}-{uuid.uuid4().hex}.bin"
@@ -359,45 +417,54 @@ def build_lexicon(
     """Count words, compile the most frequent ones, and hand the automaton out; the name for :func:`encode`."""
     pattern = pattern or split_pattern()
     vocab = Vocabulary(vocabulary or vocabulary_path())
-    top = word_counts(docs, pattern).orderBy(F.desc("n"), "word").limit(words).select("word")
-    frequent = [r[0].encode("utf-8") for r in top.collect()]
+    # rarer words than these are never among the frequent ones of a corpus that has more words than the lexicon
+    counts = materialise(word_counts(docs, pattern).filter(F.col("n") > 1), "words")
+    frequent = [w.encode("utf-8") for w in frequent_words(counts, words)]
     return store_file(docs.sparkSession, compile_lexicon(frequent, vocab.merge), "lexicon")
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(lexicon: str, vocabulary: str, pattern: str) -> Encoder:
+def worker_encoder(lexicon: str, vocabulary: str, pattern: str, low: str) -> Encoder:
     """One encoder per worker process and lexicon."""
     key = (lexicon, vocabulary)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(vocabulary), Lexicon.from_file(SparkFiles.get(lexicon)), pattern)
+        _ENCODERS[key] = Encoder(Vocabulary(vocabulary), Lexicon.from_file(SparkFiles.get(lexicon)), pattern, low)
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, lexicon: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and ``ids``: the little-endian 32-bit ids of the whole text."""
-    vocabulary, pattern = vocabulary or vocabulary_path(), pattern or split_pattern()
+def encode(
+    docs: DataFrame, lexicon: str, vocabulary: str | None = None, pattern: str | None = None, decoded: bool = False
+) -> DataFrame:
+    """doc_id and ``ids``: the little-endian 32-bit ids of the whole text; with ``decoded`` also the ``text`` that
+    these ids decode to, made in the same worker."""
+    vocabulary, pattern, low = vocabulary or vocabulary_path(), pattern or split_pattern(), low_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(lexicon, vocabulary, pattern)
+        encoder = worker_encoder(lexicon, vocabulary, pattern, low)
+        table = decode_table(encoder.vocabulary) if decoded else None
         for batch in batches:
             doc, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
                 ids, n = encoder.encode(texts[a:b])
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(n) * 4
                 cut = [bytes(raw[e - 4 * k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.array(cut, pa.binary())], ["doc_id", "ids"])
+                columns, names = [doc.slice(a, b - a), pa.array(cut, pa.binary())], ["doc_id", "ids"]
+                if table is not None:
+                    columns.append(pa.array([decode_bytes(c, table) for c in cut], pa.string()))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids binary")
+    return documents(docs).mapInArrow(run, "doc_id long, ids binary" + ", text string" * decoded)
 
 
-def decode_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+def decode_bytes(ids: bytes | None, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> str:
+    """The text of little-endian 32-bit ids.  Bytes that are no UTF-8 become U+FFFD."""
     starts, lengths, flat = table
-    n = lengths[ids]
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[ids], n)
-    return flat[at].tobytes()
+    numbers = np.frombuffer(ids or b"", "<u4")
+    return _gather(starts[numbers], lengths[numbers], flat).tobytes().decode("utf-8", "replace")
 
 
 def decode_table(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -423,10 +490,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             at = batch.schema.get_field_index("ids")
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = [
-                    decode_bytes(np.frombuffer(x or b"", "<u4"), table).decode("utf-8", "replace")
-                    for x in part.column(at).to_pylist()
-                ]
+                texts = [decode_bytes(x, table) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     return encoded.mapInArrow(run, schema)
@@ -435,7 +499,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     lexicon = build_lexicon(docs)
-    both = decode(encode(docs, lexicon))
+    both = encode(docs, lexicon, decoded=True)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
