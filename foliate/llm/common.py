@@ -43,9 +43,18 @@ def with_missing(df: DataFrame, **types: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in have})
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """The two columns that most operators read, so that other columns never reach a scan."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def documents(df: DataFrame, carry: bool = False) -> DataFrame:
+    """The two columns that most operators read, so that other columns never reach a scan; with ``carry`` also the
+    whole row as ``__row``, whatever its columns are called."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return df.select(*columns, *[F.struct("*").alias("__row")] * carry)
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id is not in ``gone`` (a counted set is broadcast, a larger one shuffled)."""
+    gone = materialise(gone.select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return df.join(gone, df["doc_id"].cast("long") == F.col("__id"), "left_anti")
 
 
 def n_chunks(rows: int, per_chunk: int = 4096, least: int = 1024) -> int:

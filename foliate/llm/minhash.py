@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, documents, materialise
+from .common import BROADCAST_ROWS, blocks, documents, materialise, without
 
 
 class Params(NamedTuple):
@@ -390,8 +390,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents, without the near copies of smaller doc_ids; all columns stay."""
-    gone = near_duplicates(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    return without(docs, near_duplicates(docs, p).filter(~F.col("kept")))
 
 
 #: The parameters of the query: three words, 85 %.

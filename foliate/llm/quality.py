@@ -133,13 +133,15 @@ def _cover(pairs: Column, window: int) -> Column:
     )
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id and every measure that the rules name, from one projection of the whole text."""
-    d = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    row = ["__row"] * carry
+    d = documents(docs, carry).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row)
     d = d.withColumn("words", _words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
         "doc_id",
+        *row,
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
@@ -156,6 +158,7 @@ def measures(docs: DataFrame) -> DataFrame:
     n = F.col("n_words")
     return d.select(
         "doc_id",
+        *row,
         n.cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
@@ -189,12 +192,17 @@ def verdict(rules: Sequence[Rule] = RULES) -> Column:
     return ok
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, carry: bool = False) -> DataFrame:
     """Per document: the measures, ``base_failed`` and ``kept``."""
-    m = measures(docs).withColumn("base_failed", base_failed())
+    m = measures(docs, carry).withColumn("base_failed", base_failed())
     return m.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The documents that the rules keep; all columns stay."""
+    return judge(docs, rules, carry=True).filter("kept").select("__row.*")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs).select(

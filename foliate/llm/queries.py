@@ -14,6 +14,8 @@ from .packing import op2_packing
 from .quality import op3_quality_rules
 from .secret_scan import op6_secret_scans
 from .sharding import op7_sharding
+from .toxicity import op4_toxicity
+from .url_filter import op9_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_minhash_near_dedup,
         op2_packing,
         op3_quality_rules,
+        op4_toxicity,
         op5_chat_formatting,
         op6_secret_scans,
         op7_sharding,
         op8_media_columns,
+        op9_url_filters,
         op10_bpe,
     )
     return {f.__name__: f for f in found}

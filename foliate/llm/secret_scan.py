@@ -159,6 +159,9 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = R
     found = found.select(
         F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("blob").alias("__blob")
     ).dropDuplicates(["__id", "__blob"])
+    found = materialise(found, "found")
+    if found.count() <= BROADCAST_ROWS // 10:  # a few spans each
+        found = F.broadcast(found)
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
     text = F.col("text")
     clean = F.aggregate(
