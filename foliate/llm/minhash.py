@@ -48,7 +48,7 @@ class Params(NamedTuple):
     rate: float = 20.0
     top: int = 254
     margin: float = 5.0
-    block: int = 256
+    block: int = 512
 
     @property
     def registers(self) -> int:
@@ -194,36 +194,39 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _bands(reps: DataFrame, p: Params) -> DataFrame:
-    """A row per class and band: the band's key and the class."""
+    """A row per class and band: the band's key, the class and its set's size."""
     key = F.xxhash64("i", F.substring("regs", F.col("i") * p.rows + 1, F.lit(p.rows)))
     every = F.explode(F.sequence(F.lit(0), F.lit(p.bands - 1)))
-    return reps.select("doc_id", "regs", every.alias("i")).select(key.alias("key"), "doc_id")
+    return reps.select("doc_id", "n", "regs", every.alias("i")).select(key.alias("key"), "doc_id", "n")
 
 
 def meetings(reps: DataFrame, p: Params) -> DataFrame:
-    """(hub, doc_id): every class that shares a band with others, and the smallest class of that band."""
+    """(hub, hub_n, doc_id, n): every class that shares a band with others, the smallest class there, and both sizes."""
     bands = _bands(reps, p)
-    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("__max"))
-    hubs = hubs.filter(F.col("hub") < F.col("__max")).drop("__max")
-    return bands.join(hubs, "key").filter(F.col("hub") < F.col("doc_id")).select("hub", "doc_id").distinct()
+    hubs = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.max("doc_id").alias("__max"))
+    hubs = hubs.filter(F.col("hub.doc_id") < F.col("__max")).select(
+        "key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")
+    )
+    met = bands.join(hubs, "key").filter(F.col("hub") < F.col("doc_id"))
+    return met.select("hub", "hub_n", "doc_id", "n").distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
-    """Meetings of three or more stay whole; a lone pair stays if its likelihood estimate allows the link."""
+    """The lone pairs whose sizes and likelihood estimate allow the link."""
     floor = candidate_floor(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 regs = [np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("ra", "rb")]
-                est = similarity(*regs, b["na"].to_numpy(float), b["nb"].to_numpy(float), p)
-                yield b.loc[est >= floor, ["hub", "doc_id"]]
+                est = similarity(*regs, b["hub_n"].to_numpy(float), b["n"].to_numpy(float), p)
+                yield b.loc[est >= floor, ["hub", "hub_n", "doc_id", "n"]]
 
-    a = reps.select(F.col("doc_id").alias("hub"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    b = reps.select("doc_id", F.col("n").alias("nb"), F.col("regs").alias("rb"))
     # a link needs 100 * min >= percent * max
-    sized = (100 * F.least("na", "nb")) >= (p.percent * F.greatest("na", "nb"))
-    return pairs.join(b, "doc_id").join(a, "hub").filter(sized).mapInPandas(run, "hub long, doc_id long")
+    pairs = pairs.filter(100 * F.least("hub_n", "n") >= p.percent * F.greatest("hub_n", "n"))
+    a = reps.select(F.col("doc_id").alias("hub"), F.col("regs").alias("ra"))
+    b = reps.select("doc_id", F.col("regs").alias("rb"))
+    return pairs.join(b, "doc_id").join(a, "hub").mapInPandas(run, "hub long, hub_n long, doc_id long, n long")
 
 
 def _forest(ids: np.ndarray, side: np.ndarray, texts: list[str | None], p: Params) -> list[tuple[int, int]]:
@@ -275,15 +278,14 @@ def _intersections(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return inter.astype(np.int64)
 
 
-def _tests(groups: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+def _tests(groups: DataFrame, p: Params) -> DataFrame:
     """(hub, x, y, side, doc_id): the members of each group, dealt to blocks, for every pair of its blocks.
 
     A block holds about ``p.block`` documents, or fewer where they are long.
     """
-    members = groups.select("hub", "doc_id").unionByName(
-        groups.select("hub").distinct().select("hub", F.col("hub").alias("doc_id"))
+    members = groups.select("hub", "doc_id", "n").unionByName(
+        groups.select("hub", "hub_n").distinct().select("hub", F.col("hub").alias("doc_id"), F.col("hub_n").alias("n"))
     )
-    members = members.join(reps.select("doc_id", "n"), "doc_id")
     size = members.groupBy("hub").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / p.block), F.ceil(F.sum("n") / 1_000_000)).cast("int").alias("blocks")
     )
@@ -373,7 +375,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     lone = met.join(size.filter("size = 1"), "hub", "left_semi")
     more = met.join(size.filter("size > 1"), "hub", "left_semi")
     groups = _estimated(lone, reps, p).unionByName(more)
-    edges = confirmed(docs, _tests(groups, reps, p), p)
+    edges = confirmed(docs, _tests(groups, p), p)
     comp = components(edges)
     classes = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
         F.col("fp").alias("__fp"), F.coalesce("component_id", "rep").alias("__c")

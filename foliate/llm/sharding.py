@@ -4,7 +4,7 @@ A node of the tree is split at the weighted median of its widest metadata dimens
 leaf is one shard of about the target bytes.  A document's key in a dimension is the value and, for ties, a hash of
 its text and id, so a node can be split within equal values and a hot group of copies spreads like all else.  The
 median is found on the cluster: per round every node's key range is cut into bins, bins are summed where the rows are,
-and the bin that holds the median is the next range, until it holds few keys; the driver sees bins only.
+and the bin that holds the median is the next range, until it holds one key; the driver sees bins only.
 
 Law: ``bytes`` (leaves differ by about the size of a document).
 
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, n_chunks, running_offset, with_missing
 
-#: Bins per node and round, and the keys that a bin may hold when the driver looks at them one by one.
+#: Bins per node and round.
 BINS = 1024
-FEW_KEYS = 1024
 #: Bits of a key: its value, then the tie-break.
 VALUE_BITS, TIE_BITS = 20, 42
 VALUES = 1 << VALUE_BITS
@@ -68,27 +67,32 @@ def metadata(docs: DataFrame) -> DataFrame:
     return base.withColumns({d: (F.shiftleft(v.cast("long"), TIE_BITS) + tie) for d, v in value.items()})
 
 
-def _node(splits: list[Split]) -> Column:
-    """The node of a row: one comparison per level, from the root down."""
-    node = F.lit(1)
+def _small(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A broadcast table of constants: one row per node, so at most as many as there are shards."""
+    values = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}L" for x in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})"))
+
+
+def _in_dimension(name: Column) -> Column:
+    out = F.lit(None).cast("long")
+    for d in DIMENSIONS:
+        out = F.when(name == d, F.col(d)).otherwise(out)
+    return out
+
+
+def _with_node(meta: DataFrame, splits: list[Split]) -> DataFrame:
+    """``node`` of each row: one comparison per level, from the root down."""
+    rows = meta.withColumn("node", F.lit(1).cast("long"))
     levels: dict[int, list[Split]] = {}
     for s in splits:
         levels.setdefault(s.node.bit_length(), []).append(s)
     for level in sorted(levels):
-        step = None
-        for s in levels[level]:
-            go = F.when(F.col(s.dimension) <= s.key, s.first).otherwise(s.second)
-            step = F.when(node == s.node, go) if step is None else step.when(node == s.node, go)
-        node = step.otherwise(node)
-    return node
-
-
-def _picked(dimension: dict[int, str]) -> Column:
-    """The key of a row in its node's dimension."""
-    out = None
-    for node, d in dimension.items():
-        out = F.when(F.col("node") == node, F.col(d)) if out is None else out.when(F.col("node") == node, F.col(d))
-    return out
+        here = _small(meta.sparkSession, "node, by, up_to", [(s.node, s.dimension, s.key) for s in levels[level]])
+        second = (_in_dimension(F.col("by")) > F.col("up_to")).cast("long")
+        rows = rows.join(here, "node", "left").select(
+            *meta.columns, F.when(F.col("by").isNull(), F.col("node")).otherwise(2 * F.col("node") + second).alias("node")
+        )
+    return rows
 
 
 def _medians(rows: DataFrame, dimension: dict[int, str], ranges: dict[int, tuple[int, int]], want: dict[int, float]) -> dict[int, int]:
@@ -97,16 +101,14 @@ def _medians(rows: DataFrame, dimension: dict[int, str], ranges: dict[int, tuple
     high = {n: b for n, (_, b) in ranges.items()}
     before = dict.fromkeys(ranges, 0)
     out: dict[int, int] = {}
-    keyed = rows.filter(F.col("node").isin(list(ranges))).select("node", _picked(dimension).alias("key"), "size")
+    spark = rows.sparkSession
+    keyed = rows.join(_small(spark, "node, by", list(dimension.items())), "node")
+    keyed = keyed.select("node", _in_dimension(F.col("by")).alias("key"), "size")
     while low:
         width = {n: max(1, -(-(high[n] - low[n] + 1) // BINS)) for n in low}
-        bin_of = None
-        for n in low:
-            here = (F.col("node") == n) & F.col("key").between(low[n], high[n])
-            value = F.expr(f"cast((key - {low[n]}L) div {width[n]}L as int)")
-            bin_of = F.when(here, value) if bin_of is None else bin_of.when(here, value)
-        sums = keyed.withColumn("bin", bin_of).filter(F.col("bin").isNotNull())
-        sums = sums.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("b"))
+        here = keyed.join(_small(spark, "node, low, high, width", [(n, low[n], high[n], width[n]) for n in low]), "node")
+        here = here.filter("key between low and high").withColumn("bin", F.expr("cast((key - low) div width as int)"))
+        sums = here.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("b"))
         bins: dict[int, list] = {n: [] for n in low}
         for r in sums.collect():  # at most nodes * BINS rows
             bins[r["node"]].append(r)
@@ -126,14 +128,14 @@ def _medians(rows: DataFrame, dimension: dict[int, str], ranges: dict[int, tuple
     return out
 
 
-def kd_shards(meta: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> tuple[Column, list[Split]]:
-    """The shard of each row of :func:`metadata` as an expression, and the splits that it is made of."""
+def kd_shards(meta: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, list[Split]]:
+    """The rows of :func:`metadata` with their shard, and the splits that it is made of."""
     total = meta.agg(F.sum("size").alias("w")).first()["w"] or 0
     leaves = shards or max(1, math.ceil(total / target_bytes))
     splits: list[Split] = []
     count = {1: leaves}
     while open_nodes := {n: k for n, k in count.items() if k > 1 and n not in {s.node for s in splits}}:
-        rows = meta.withColumn("node", _node(splits))
+        rows = _with_node(meta, splits)
         found = rows.filter(F.col("node").isin(list(open_nodes))).groupBy("node").agg(
             F.sum("size").alias("w"),
             *[f(d).alias(f"{d}_{a}") for d in DIMENSIONS for f, a in ((F.min, "min"), (F.max, "max"))],
@@ -142,7 +144,7 @@ def kd_shards(meta: DataFrame, shards: int | None = None, target_bytes: int | No
         dimension, ranges, want = {}, {}, {}
         for n, k in open_nodes.items():
             if (r := stats.get(n)) is None:  # no rows left: its leaves stay empty
-                dimension[n], out_key = DIMENSIONS[0], 0
+                dimension[n] = DIMENSIONS[0]
                 continue
             spread = lambda d, r=r: (r[f"{d}_max"] >> TIE_BITS) - (r[f"{d}_min"] >> TIE_BITS)
             d = max(DIMENSIONS, key=spread)
@@ -154,15 +156,14 @@ def kd_shards(meta: DataFrame, shards: int | None = None, target_bytes: int | No
             count[2 * n], count[2 * n + 1] = k // 2, k - k // 2
     inner = {s.node for s in splits}
     order = sorted((n for n in count if n not in inner), key=lambda n: bin(n)[3:])
-    number = F.create_map(*[x for k, n in enumerate(order) for x in (F.lit(n), F.lit(k))])
-    return F.element_at(number, _node(splits)).cast("int"), splits
+    number = _small(meta.sparkSession, "node, shard", [(n, k) for k, n in enumerate(order)])
+    return _with_node(meta, splits).join(number, "node").withColumn("shard", F.col("shard").cast("int")).drop("node"), splits
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """Per document: size, text_crc32, shard and its slot there."""
     meta = materialise(metadata(docs), "metadata")
-    of, _ = kd_shards(meta, shards, target_bytes)
-    placed = meta.withColumn("shard", of)
+    placed, _ = kd_shards(meta, shards, target_bytes)
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     return running_offset(
         placed, ["shard"], order, F.struct("doc_id"), F.lit(1), "slot", n_chunks(meta.count())
