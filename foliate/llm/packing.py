@@ -15,9 +15,11 @@ packed each by itself; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_WORDS, VOCABULARY, split_pattern, vocabulary_path
+from .bpe import LOW, MEMO_WORDS, SPLIT, VOCABULARY, Vocabulary, split_pattern, vocabulary_path
 from .common import BROADCAST_ROWS, blocks, materialise
 
 #: Sources beyond this many share queues by their hash; bounds the table of quanta that every task holds.
@@ -101,20 +103,51 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class PieceIds:
-    """Ids as the tokenizers library gives them, asked once for each distinct word of its pattern."""
+#: A word or a gap of so many characters, or a character whose class Unicode versions may see differently.
+_SLOW = re.compile(rf"\S{{1000}}|\s{{1000}}|[\u{LOW:04x}-\U0010ffff]")
+_LONG = re.compile(r"\S{1000}|\s{1000}")
+
+
+class TextIds:
+    """Ids as the tokenizers library gives them.
+
+    Texts of low code points are encoded by tiktoken over the same file's ranks, which is exact there and many times
+    faster.  Texts with other characters go through the library word by word, each distinct word once; texts with its
+    special strings, or with words so long that tiktoken's merging turns slow, through the library whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.library, self.find = _tokenizer(path), regex.compile(pattern).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.fast = self._ranked(Vocabulary(path))
+
+    def _ranked(self, vocabulary: Vocabulary):
+        """tiktoken's encoding, where the ids are in the order of the merges, as it takes them to be."""
+        import tiktoken
+
+        if any(a >= b for a, b in pairwise(vocabulary.results)):
+            return None
+        ranks = {b: i for b, i in vocabulary.ids.items() if i not in vocabulary.special.values()}
+        pattern = SPLIT.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}")
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16- or 32-bit numbers (:attr:`kind`)."""
         if any(s in text for s in self.special):  # the library splits at these first
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        words = self.find(text)
-        memo = self.memo
+            return self._whole(text)
+        odd = _SLOW.search(text) if self.fast else True
+        if not odd:
+            return np.array(self.fast(text), self.kind).tobytes()
+        if _LONG.search(text):
+            return self._whole(text)
+        return self._by_word(text)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _by_word(self, text: str) -> bytes:
+        words, memo = self.find(text), self.memo
         try:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
@@ -130,13 +163,13 @@ class PieceIds:
         return "<u2" if self.library.get_vocab_size() <= 65536 else "<u4"
 
 
-_PIECE_IDS: dict[str, PieceIds] = {}
+_TEXT_IDS: dict[str, TextIds] = {}
 
 
-def worker_ids(path: str, pattern: str) -> PieceIds:
-    if path not in _PIECE_IDS:
-        _PIECE_IDS[path] = PieceIds(path, pattern)
-    return _PIECE_IDS[path]
+def worker_ids(path: str, pattern: str) -> TextIds:
+    if path not in _TEXT_IDS:
+        _TEXT_IDS[path] = TextIds(path, pattern)
+    return _TEXT_IDS[path]
 
 
 def _tokens(docs: DataFrame, path: str, closing_id: int) -> DataFrame:
