@@ -32,8 +32,8 @@ MATCHES = f"""WITH {FACTS}, rules AS (SELECT * FROM {RULES}), c AS (
     WHEN '<' THEN try_cast(value AS DOUBLE) < try_cast(rest AS DOUBLE) WHEN '~' THEN contains(lower(value), lower(rest))
     ELSE CASE WHEN regexp_matches(rest, '^-?[0-9]+$') THEN try_cast(value AS DOUBLE) = try_cast(rest AS DOUBLE) ELSE value = rest END END, false) AS ok FROM c
 ), m AS (
-  SELECT file_id, rule_id FROM ok GROUP BY ALL
-  HAVING count(*) FILTER (ok) = (SELECT count(*) FROM rules r WHERE r.rule_id = ok.rule_id)
+  SELECT file_id, rule_id FROM ok JOIN (SELECT rule_id, count(*) AS clauses FROM rules GROUP BY rule_id) USING (rule_id)
+  GROUP BY file_id, rule_id, clauses HAVING count(*) FILTER (ok) = clauses
 )"""
 
 
