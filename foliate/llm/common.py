@@ -50,6 +50,15 @@ def documents(df: DataFrame, carry: bool = False) -> DataFrame:
     return df.select(*columns, *[F.struct("*").alias("__row")] * carry)
 
 
+def kept_rows(judged: DataFrame, verdict: Column) -> DataFrame:
+    """The whole rows (``__row``) of ``judged`` that meet ``verdict``.
+
+    The verdict goes through a generator, as a filter on it would be pushed down into the scan's projection and compute
+    what it is made of again for each place that names it.
+    """
+    return judged.select("__row", F.explode(F.array(verdict)).alias("__verdict")).filter("__verdict").select("__row.*")
+
+
 def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``df`` whose doc_id is not in ``gone`` (a counted set is broadcast, a larger one shuffled)."""
     gone = materialise(gone.select(F.col("doc_id").alias("__id")).distinct(), "gone")

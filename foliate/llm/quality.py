@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents
+from .common import SPACE, documents, kept_rows
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -200,7 +200,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, carry: bool = False) -
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that the rules keep; all columns stay."""
-    return judge(docs, rules, carry=True).filter("kept").select("__row.*")
+    return kept_rows(judge(docs, rules, carry=True), F.col("kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, kept_rows, materialise
 
 #: Labelled training rows that the classifier is fitted on.
 SAMPLE_ROWS = 40_000
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic; all columns stay."""
-    return score(docs, train(docs, labels), carry=True).filter("predicted = 0").select("__row.*")
+    return kept_rows(score(docs, train(docs, labels), carry=True), F.col("predicted") == 0)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
