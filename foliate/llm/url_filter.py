@@ -18,6 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Cells that n-grams are hashed to, and the lengths of n-grams.
@@ -111,7 +113,9 @@ def train(table: DataFrame) -> Model:
         F.sequence(F.lit(0), F.lit(CELLS - 1)),
         lambda k: F.size(F.filter("cells", lambda c: c == k)).cast("double"),
     )
-    rows = table.select("label", cells.alias("cells")).select("label", array_to_vector(dense).alias("features"))
+    # written once, so that the rounds of the fit don't count the cells anew
+    rows = materialise(table.select("label", cells.alias("cells")).select("label", dense.alias("dense")), "labelled")
+    rows = rows.select("label", array_to_vector("dense").alias("features"))
     fit = LogisticRegression(maxIter=100, regParam=REGULARISATION, standardization=False).fit(rows)
     return Model(float(fit.intercept), [float(w) for w in fit.coefficients])
 
