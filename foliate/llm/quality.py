@@ -208,3 +208,42 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _sql_verdict(rules: Sequence[Rule]) -> str:
+    def bound(r: Rule) -> str:
+        least = [f"{r.measure} >= {r.least}"] if r.least is not None else []
+        return " AND ".join([*least, *([f"{r.measure} <= {r.most}"] if r.most is not None else [])]) or "true"
+
+    return " AND ".join(f"(n_words < {r.min_words} OR ({bound(r)}))" for r in rules)
+
+
+#: The query in DuckDB SQL.  Windows are compared as text; words are tested one by one where Spark's pattern looks
+#: around itself.
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS g
+  FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW} + 2)) AS i FROM w)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+covered AS (SELECT rid, sum(least({WINDOW}, i - prev)) AS n FROM
+  (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -{WINDOW}) AS prev FROM again) GROUP BY rid),
+m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  len(list_filter(words, lambda x: x IN ('|', '||'))) AS bars, len(list_filter(words, lambda x: ends_with(x, '!!'))) AS shouts,
+  len(list_distinct(words)) AS distinct_words,
+  len(list_filter(words, lambda x: regexp_full_match(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '(?:{"|".join(dict.fromkeys(STOP_WORDS))})[.,;:!?]*'))) AS stops
+  FROM w LEFT JOIN covered c USING (rid)),
+r AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_length,
+  CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio,
+  CASE WHEN n_words > 0 THEN bars / n_words ELSE 0 END AS bar_word_ratio,
+  CASE WHEN n_words > 0 THEN shouts / n_words ELSE 0 END AS shout_ratio,
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+  CASE WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_word_ratio,
+  CASE WHEN n_words > 0 THEN distinct_words / n_words ELSE 0 END AS distinct_word_ratio,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND {_sql_verdict(RULES)} AS kept FROM r"""

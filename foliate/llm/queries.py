@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, quality, secret_scan
 from .bpe import op10_bpe
 from .chat import op5_chat_formatting
 from .media import op8_media_columns
@@ -35,4 +36,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        op3_quality_rules.__name__: quality.SQL,
+        op5_chat_formatting.__name__: chat.SQL,
+        op6_secret_scans.__name__: secret_scan.SQL,
+    }

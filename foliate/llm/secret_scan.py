@@ -204,3 +204,23 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against a new ledger, so every blob is scanned once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digests(scan(docs, ledger_path(spark)))
+
+
+def _sql_kind(rule: Rule, rank: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, unnest(range(len(h))) AS i, unnest(h) AS hit, unnest(g) AS grp,
+    unnest(b[1:len(h)]) AS gap FROM (SELECT rid, regexp_extract_all(text, '{pattern}', 0) AS h,
+    regexp_extract_all(text, '{pattern}', {rule.group}) AS g, string_split_regex(text, '{pattern}') AS b FROM d)"""
+
+
+#: The query in DuckDB SQL, by the same gaps between matches.
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({" UNION ALL ".join(_sql_kind(r, k) for k, r in enumerate(RULES))}),
+least AS (SELECT * FROM (VALUES {", ".join(f"({k}, {r.least})" for k, r in enumerate(RULES))}) AS l(rank, least)),
+placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, rank ORDER BY i) AS stop FROM hits),
+s AS (SELECT rid, rank, kind, (stop - length(hit))::BIGINT AS a, stop::BIGINT AS b, kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS said
+  FROM placed JOIN least USING (rank) WHERE length(grp) >= least.least),
+agg AS (SELECT rid, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+  string_agg(said, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(said, ',' ORDER BY a, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (rid)"""
