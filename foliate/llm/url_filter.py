@@ -115,7 +115,7 @@ def train(table: DataFrame) -> Model:
     )
     # written once, so that the rounds of the fit don't count the cells anew
     rows = materialise(table.select("label", cells.alias("cells")).select("label", dense.alias("dense")), "labelled")
-    rows = rows.select("label", array_to_vector("dense").alias("features"))
+    rows = rows.coalesce(1).select("label", array_to_vector("dense").alias("features"))  # a few hundred rows
     fit = LogisticRegression(maxIter=100, regParam=REGULARISATION, standardization=False).fit(rows)
     return Model(float(fit.intercept), [float(w) for w in fit.coefficients])
 
