@@ -7,7 +7,8 @@ proportions within a grain per queue, documents are cut only at grains, and only
 
 How much a queue has sent after r rounds is a closed form of r, so a token's place in the output follows from its
 place in its own queue.  Deficits therefore carry over windows and partitions without any task seeing more than its
-own documents: each partition needs only how many tokens of each queue lie before it.
+own documents: each partition needs only how many tokens of each queue lie before it.  With many queues the closed form's
+sum over all of them becomes a table: grains are sorted by round and queue, and running sums give their places.
 
 Defined results: a null or empty text is the closing id alone; a null source is a queue of its own; repeated rows are
 packed each by itself; an empty table gives an empty result; further columns are ignored.
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from .bpe import LOW, MEMO_WORDS, SPLIT, VOCABULARY, Vocabulary, split_pattern, vocabulary_path
 from .common import BROADCAST_ROWS, blocks, materialise
 
-#: Sources beyond this many share queues by their hash; bounds the table of quanta that every task holds.
+#: With more queues than this, places come from a sorted table; bounds the table of quanta that every task holds.
 MAX_QUEUES = 64
-#: Fractions of a token in which quanta are counted.
+#: Fractions of a token in which quanta are counted; finer with more than 64 queues (:func:`units`).
 UNITS = 1024
 
 
@@ -46,25 +47,31 @@ class Mixture(NamedTuple):
     closing_id: int = 1
 
 
+def units(queues: int) -> int:
+    """So fine that the mean quantum does not shrink with the number of queues, and that 64 bits hold 2^40 tokens."""
+    return UNITS << min(10, max(0, (queues - 1) // 64).bit_length())
+
+
 class Queues:
     """The closed form: totals and quanta of all queues in ring order."""
 
     def __init__(self, totals: np.ndarray, shares: np.ndarray, mixture: Mixture):
         self.total, self.grain, self.length = totals.astype(np.int64), mixture.grain, mixture.length
-        self.quantum = np.maximum(1, np.round(shares / shares.sum() * mixture.length * UNITS)).astype(np.int64)
+        self.units = units(len(totals))
+        self.quantum = np.maximum(1, np.round(shares / shares.sum() * mixture.length * self.units)).astype(np.int64)
         #: The round after which a queue is empty, its last, shorter grain included.
-        self.last = -(-self.total * UNITS // self.quantum)
+        self.last = -(-self.total * self.units // self.quantum)
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue (column) has sent after each of ``rounds`` (row)."""
         r = rounds[:, None]
-        whole = np.minimum(r * self.quantum // UNITS // self.grain * self.grain, self.total)
+        whole = np.minimum(np.minimum(r, self.last) * self.quantum // self.units // self.grain * self.grain, self.total)
         return np.where(r >= self.last, self.total, whole)
 
     def place(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Place in the output of each token (its number in its queue)."""
         due = (token // self.grain + 1) * self.grain
-        r = np.minimum(-(-due * UNITS // self.quantum[queue]), self.last[queue])  # the round that sends it
+        r = np.minimum(-(-due * self.units // self.quantum[queue]), self.last[queue])  # the round that sends it
         after, before = self.sent(r), self.sent(r - 1)
         ring = np.arange(len(self.total))[None, :] < queue[:, None]
         mine = before[np.arange(len(queue)), queue]
@@ -205,11 +212,12 @@ def _tokens(docs: DataFrame, path: str, closing_id: int) -> DataFrame:
 
 
 def with_queue(docs: DataFrame) -> DataFrame:
-    """The source as queue; with more sources than MAX_QUEUES, the hash of the source."""
+    """The source as queue."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    docs = docs.withColumn("queue", source)
-    many = docs.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    return docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")) if many else docs
+    return docs.withColumn("queue", source)
+
+
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(docs: DataFrame, mixture: Mixture = Mixture(), vocabulary: str | None = None) -> DataFrame:
@@ -217,21 +225,33 @@ def pack(docs: DataFrame, mixture: Mixture = Mixture(), vocabulary: str | None =
     path = vocabulary or vocabulary_path(VOCABULARY)
     tokens = materialise(_tokens(with_queue(docs), path, mixture.closing_id), "tokens")
     sums = materialise(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
-    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # MAX_QUEUES rows and null at most
-    totals = sorted(totals, key=lambda r: (r["queue"] is not None, r["queue"]))
-    names, n = [r["queue"] for r in totals], np.array([r["n"] for r in totals], np.int64)
-    given = mixture.weights or {}
-    mean = sum(given.values()) / len(given) if given else 1.0
-    shares = np.array([given.get(q, mean) for q in names], float) if given else n.astype(float)
-    queues = Queues(n, shares, mixture)
-    number = {q: k for k, q in enumerate(names)}
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    few = totals.limit(MAX_QUEUES + 1).collect()
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(
         F.col("queue").alias("__q"), F.col("part").alias("__p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
+    many = len(few) > MAX_QUEUES
+    if many:
+        base = base.join(_quanta(totals, mixture), F.col("__q").eqNullSafe(F.col("__of")))
     if sums.count() <= BROADCAST_ROWS:  # a row per queue and input partition; else both sides shuffle
         base = F.broadcast(base)
     wide = tokens.join(base, F.col("queue").eqNullSafe(F.col("__q")) & (F.col("part") == F.col("__p")))
+    start = (F.col("base") + F.col("before")).alias("start")
+    if many:
+        grains = _grains(wide.select("doc_id", "queue", start, "n", "ids", "quantum", "last", "units"), mixture)
+        return _by_table(materialise(grains, "grains"), mixture)
+    return _by_closed_form(wide.select("doc_id", "queue", start, "n", "ids"), few, mixture)
+
+
+def _by_closed_form(wide: DataFrame, totals: list, mixture: Mixture) -> DataFrame:
+    totals = sorted(totals, key=lambda r: (r["queue"] is not None, r["queue"]))
+    names, n = [r["queue"] for r in totals], np.array([r["n"] for r in totals], np.int64)
+    given = mixture.weights or {}
+    mean = sum(given.values()) / len(given) if given else 1.0
+    shares = np.array([given.get(q, mean) for q in names], float) if given else n.astype(float)
+    queues = Queues(n, shares, mixture)
+    number = {q: k for k, q in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,11 +269,125 @@ def pack(docs: DataFrame, mixture: Mixture = Mixture(), vocabulary: str | None =
                     ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return wide.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("start"), "n", "ids").mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return wide.mapInArrow(run, PIECES)
+
+
+def _quanta(totals: DataFrame, mixture: Mixture) -> DataFrame:
+    """A row per queue: its quantum and last round, as :class:`Queues` has them."""
+    spark, share = totals.sparkSession, F.col("n").cast("double")
+    if mixture.weights:
+        given = [(q, float(w)) for q, w in mixture.weights.items()]
+        weights = F.broadcast(spark.createDataFrame(given, "__w string, weight double"))
+        totals = totals.join(weights, F.col("queue").eqNullSafe(F.col("__w")), "left")
+        share = F.coalesce("weight", F.lit(sum(w for _, w in given) / len(given)))
+    totals = materialise(totals.select("queue", "n", share.alias("share")), "totals")
+    queues, whole = totals.agg(F.count(F.lit(1)), F.sum("share")).first()
+    u = units(queues)
+    quantum = F.greatest(F.lit(1), F.rint(F.col("share") / whole * mixture.length * u).cast("long"))
+    totals = totals.select(F.col("queue").alias("__of"), "n", quantum.alias("quantum"), F.lit(u).cast("long").alias("units"))
+    return totals.withColumn("last", F.expr("(n * units + quantum - 1) div quantum")).drop("n")
+
+
+def _grains(wide: DataFrame, mixture: Mixture) -> DataFrame:
+    """A row for each part of a document that lies in one grain, with the round that sends it."""
+    grain = mixture.grain
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                some = batch.slice(a, 512)
+                doc_id, queue, raw = some.column(0), some.column(1), some.column(4).to_pylist()
+                start, n, quantum, last, unit = (some.column(k).to_numpy() for k in (2, 3, 5, 6, 7))
+                doc, first, size = _cuts(start, n, grain)
+                due = (first // grain + 1) * grain
+                turn = np.minimum(-(-due * unit[doc] // quantum[doc]), last[doc])
+                inside, each = first - start[doc], pa.array(doc)
+                width = [len(x) // k for x, k in zip(raw, n.tolist(), strict=True)]
+                cut = [raw[d][i * width[d] : (i + k) * width[d]] for d, i, k in zip(doc.tolist(), inside.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(turn), queue.take(each), pa.array(first), doc_id.take(each), pa.array(inside), pa.array(size), pa.array(cut, pa.binary()), pa.array(n[doc])],
+                    ["turn", "queue", "first", "doc_id", "start", "length", "ids", "doc_tokens"],
+                )
+
+    return wide.mapInArrow(
+        run, "turn long, queue string, first long, doc_id long, start long, length long, ids binary, doc_tokens long"
     )
 
 
+def _by_table(grains: DataFrame, mixture: Mixture) -> DataFrame:
+    """Places by running sums over the grains in the order they are sent, then each window put together."""
+    spark, length = grains.sparkSession, mixture.length
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grains.rdd.getNumPartitions())
+    order = [F.col("turn"), F.col("queue").asc_nulls_first(), F.col("first")]
+    slim = grains.select("turn", "queue", "first", "length").repartitionByRange(dealt, *order).sortWithinPartitions(*order)
+
+    def run_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = 0
+        for batch in batches:
+            size = batch.column(2).to_numpy()
+            at = sent + np.cumsum(size) - size
+            sent += int(size.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(at), batch.column(2)],
+                ["__q", "__first", "part", "at", "size"],
+            )
+
+    slim = slim.select("queue", "first", "length", F.spark_partition_id().alias("part"))
+    placed = materialise(slim.mapInArrow(run_sums, "__q string, __first long, part int, at long, size long"), "placed")
+    ends = placed.groupBy("part").agg(F.max(F.col("at") + F.col("size")).alias("end")).collect()  # a row per partition
+    base, sent = [], 0
+    for r in sorted(ends, key=lambda r: r["part"]):
+        base.append((r["part"], sent))
+        sent += r["end"]
+    base = F.broadcast(spark.createDataFrame(base, "__part int, base long"))
+    placed = placed.join(base, F.col("part") == F.col("__part"))
+    placed = placed.select("__q", "__first", (F.col("base") + F.col("at")).alias("place"))
+    same = F.col("queue").eqNullSafe(F.col("__q")) & (F.col("first") == F.col("__first"))
+    rows = grains.join(placed, same).select("queue", "first", "doc_id", "start", "length", "ids", "doc_tokens", "place")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Grains that end behind a window's end are cut there."""
+        for batch in batches:
+            start, n, place, doc_tokens = (batch.column(k).to_numpy() for k in (3, 4, 7, 6))
+            first, raw = batch.column(1).to_numpy(), batch.column(5).to_pylist()
+            part, at, size = _cuts(place, n, length)
+            skip, each = at - place[part], pa.array(part)
+            wide = [np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4").astype("<u4") for x, k in zip(raw, n.tolist(), strict=True)]
+            ids = [wide[p][i : i + k].tobytes() for p, i, k in zip(part.tolist(), skip.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(each), pa.array((first - start)[part]), batch.column(2).take(each), pa.array(start[part] + skip), pa.array(size), pa.array(ids, pa.binary()), pa.array(doc_tokens[part]), pa.array(at // length), pa.array(at % length)],
+                ["queue", "head", "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of one document that follow each other in a window are one piece."""
+        held, key, done = None, None, []
+        for batch in batches:
+            for queue, head, doc_id, start, n, ids, doc_tokens, sequence, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key == (queue, head, sequence, offset, start):
+                    held[2] += n
+                    held[3].append(ids)
+                else:
+                    if held:
+                        done.append(held)
+                    held = [doc_id, start, n, [ids], doc_tokens, sequence, offset]
+                key = (queue, head, sequence, offset + n, start + n)
+            if len(done) >= 2000:
+                yield _pieces(done)
+                done = []
+        if held:
+            yield _pieces([*done, held])
+
+    rows = rows.mapInArrow(cut, f"queue string, head long, {PIECES}")
+    return rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(join, PIECES)
+
+
+def _pieces(rows: list[list]) -> pa.RecordBatch:
+    cols = [[b"".join(r[3]) for r in rows] if k == 3 else [r[k] for r in rows] for k in range(7)]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names)
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
     return packed.select(

@@ -79,6 +79,18 @@ def test_mixture_fills_every_window(spark):
     assert all(abs(s["a"] - s["b"]) <= 2 * 128 for s in early)
 
 
+def test_more_sources_than_one_table_of_quanta_keep_their_weights(spark, monkeypatch):
+    rows = [(k, "word " * (100 + k % 300), "en", None if k % 70 == 69 else f"s{k % 70:02d}") for k in range(1400)]
+    mixture = packing.Mixture(weights={"s00": 30.0, None: 10.0, **{f"s{k:02d}": 1.0 for k in range(1, 69)}}, grain=2)
+    packed = packing.pack(make(spark, rows), mixture).collect()
+    early = [r for r in packed if r["sequence_id"] < 4]
+    share = [sum(r["length"] for r in early if r["doc_id"] % 70 == k) / (4 * 2048) for k in (0, 69)]
+    assert abs(share[0] - 30 / 108) < 0.02 and abs(share[1] - 10 / 108) < 0.02
+    monkeypatch.setattr(packing, "MAX_QUEUES", 100)
+    assert sorted(map(tuple, packing.pack(make(spark, rows), mixture).collect())) == sorted(map(tuple, packed))
+    assert {len(r["ids"]) - 4 * r["length"] for r in packed} == {0}
+
+
 def test_text_ids_equal_the_library():
     path = vocabulary_path()
     ids, library = packing.TextIds(path, bpe.split_pattern()), packing._tokenizer(path)
