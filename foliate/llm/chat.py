@@ -3,8 +3,8 @@
 A template is any function from turns to text.  Successive prefixes of a conversation are rendered and each output is
 compared with the one before: if it only grew, what was added is the new turn's span; if it did not, the template
 rewrites history, and the conversation is marked so.  A turn's own text is found in its span by rendering the turn
-once more with a probe in its place.  Long conversations are rendered in blocks: each block starts from its last
-turn before, so a task never holds more than a block of turns, and the digests run on from block to block.
+once more with a probe in its place.  Every prefix starts at the first turn, so a task holds the turns of one
+conversation and its last output; spans and digests are given out block by block.
 
 Defined results: a null text or role is an empty one; a null conv_id is a conversation of its own; turns are in the
 order of turn (nulls first), ties in the order of role and text, repeated rows one after another; an empty table
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
-#: Turns that are rendered together.
+#: Turns whose spans are held together.
 BLOCK = 64
 
 # The template's control strings (fixed values of the widespread ChatML layout).
@@ -81,15 +81,22 @@ class Rewritten(Exception):
 PROBE = "\ue000probe\ue000"
 
 
-def spans(template: Template, turns: Sequence[Turn], before: Sequence[Turn] = ()) -> list[Span]:
-    """The span of each turn, from outputs alone; ``before`` is context that has been rendered already."""
-    out, shown = [], template(before) if before else ""
-    for k, (role, text) in enumerate(turns):
-        now = template([*before, *turns[: k + 1]])
+class Prefixes:
+    """The successive prefixes of one conversation, each rendered from its first turn; the last output is kept."""
+
+    def __init__(self, template: Template):
+        self.template, self.turns, self.shown = template, [], ""
+
+    def add(self, turn: Turn) -> Span:
+        """The span of the next turn, from outputs alone; after a :class:`Rewritten` the next turn can be added."""
+        k, (role, _) = len(self.turns), turn
+        before, shown = list(self.turns), self.shown
+        self.turns.append(turn)
+        self.shown = now = self.template([*before, turn])
         if not now.startswith(shown):
             raise Rewritten(k)
         part = now[len(shown) :]
-        probe = template([*before, *turns[:k], (role, PROBE)])
+        probe = self.template([*before, (role, PROBE)])
         at = probe.find(PROBE, len(shown))
         if not probe.startswith(shown) or at < 0:
             raise Rewritten(k)
@@ -97,9 +104,23 @@ def spans(template: Template, turns: Sequence[Turn], before: Sequence[Turn] = ()
         head = at - len(shown)
         if probe[len(shown) : at] != part[:head] or (tail and probe[-tail:] != part[-tail:]):
             raise Rewritten(k)
-        out.append(Span(part, head, len(part) - tail))
-        shown = now
-    return out
+        return Span(part, head, len(part) - tail)
+
+    def each(self, turns: Sequence[Turn]) -> list[Span | None]:
+        """The spans of further turns; None for a turn at which the template rewrites history."""
+        out: list[Span | None] = []
+        for turn in turns:
+            try:
+                out.append(self.add(turn))
+            except Rewritten:
+                out.append(None)
+        return out
+
+
+def spans(template: Template, turns: Sequence[Turn]) -> list[Span]:
+    """The span of each turn of a whole conversation."""
+    prefixes = Prefixes(template)
+    return [prefixes.add(turn) for turn in turns]
 
 
 def rewrites_history(template: Template, turns: Sequence[Turn]) -> bool:
@@ -114,17 +135,15 @@ def rewrites_history(template: Template, turns: Sequence[Turn]) -> bool:
 class Digest:
     """What is returned of one conversation, grown block by block."""
 
-    def __init__(self, conv_id: int | None):
+    def __init__(self, conv_id: int | None, template: Template):
         self.conv_id, self.n, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.turns, self.loss, self.rewritten = hashlib.sha256(), hashlib.sha256(), False
-        self.last: list[Turn] = []
-
-    def add(self, template: Template, turns: list[Turn], unmask: Callable[[str], str] = unescape) -> list[Span]:
-        try:
-            found = spans(template, turns, self.last)
-        except Rewritten:
-            self.rewritten = True
-            found = []
+        self.prefixes = Prefixes(template)
+
+    def add(self, turns: list[Turn], unmask: Callable[[str], str] = unescape) -> list[Span]:
+        every = self.prefixes.each(turns)
+        found = [s for s in every if s]
+        self.rewritten |= len(found) < len(every)
         formatted = "".join(s.part for s in found)
         read_back = parse(formatted)
         for (role, text), span in zip(read_back, found, strict=True):
@@ -135,7 +154,6 @@ class Digest:
                 self.loss_chars += len(said)
         self.n += len(read_back)
         self.chars += len(formatted)
-        self.last = turns[-1:]
         return found
 
 
@@ -175,11 +193,11 @@ def _by_block(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[i
 def formatted(conversations: DataFrame, template: Template = chatml, block: int = BLOCK) -> DataFrame:
     """A row per turn: its part of the formatted text and which characters of it are under the loss mask.
 
-    A block whose template rewrites history has one row without a part, marked ``rewritten``.
+    A turn at which the template rewrites history has a row without a part, marked ``rewritten``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n, last = [], 0, []
+        rows, n, prefixes = [], 0, Prefixes(template)
         names = ["conv_id", "turn_number", "part", "loss_from", "loss_to", "rewritten"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
 
@@ -187,15 +205,11 @@ def formatted(conversations: DataFrame, template: Template = chatml, block: int
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
         for conv, turns, first in _by_block(batches, block):
-            n, last = (0, []) if first else (n, last)
-            try:
-                found = spans(template, turns, last)
-                for k, ((role, _), s) in enumerate(zip(turns, found, strict=True)):
-                    mask = (s.text_from, s.text_to) if role == "assistant" else (None, None)
-                    rows.append((conv, n + k, s.part, *mask, False))
-            except Rewritten:
-                rows.append((conv, n, None, None, None, True))
-            n, last = n + len(turns), turns[-1:]
+            n, prefixes = (0, Prefixes(template)) if first else (n, prefixes)
+            for k, ((role, _), s) in enumerate(zip(turns, prefixes.each(turns), strict=True)):
+                mask = (s.text_from, s.text_to) if s and role == "assistant" else (None, None)
+                rows.append((conv, n + k, s and s.part, *mask, s is None))
+            n += len(turns)
             if len(rows) >= 2000:
                 yield flush()
                 rows = []
@@ -227,11 +241,13 @@ def digests(conversations: DataFrame, template: Template = chatml, block: int =
 
         for conv, turns, first in _by_block(batches, block):
             if first:
+                if done:
+                    done[-1].prefixes = None  # the turns of a conversation that is done
                 if len(done) >= 2000:
                     yield flush()
                     done = []
-                done.append(Digest(conv))
-            done[-1].add(template, turns)
+                done.append(Digest(conv, template))
+            done[-1].add(turns)
         if done:
             yield flush()
 

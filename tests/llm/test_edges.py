@@ -134,6 +134,30 @@ def test_templates_that_rewrite_history_are_found():
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
 
 
+def test_long_conversations_are_rendered_from_their_first_turn(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}<|") for k in range(150)] + [(2, 0, "user", "x")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [(role, text) for conv, _, role, text in rows if conv == 1]
+
+    def numbered(ts):
+        return "".join(chat.chatml([(r, f"{k} of {ts[0][1]}: {t}" if k else t)]) for k, (r, t) in enumerate(ts))
+
+    def forgetful(ts):  # what it shows of the first turn changes at the hundredth
+        return ("late" if len(ts) > 100 else "") + chat.chatml(ts)
+
+    def by_turn(template):
+        got = chat.formatted(c, template).filter("conv_id = 1").orderBy("turn_number").collect()
+        assert [r["turn_number"] for r in got] == list(range(150))
+        return got
+
+    assert "".join(r["part"] for r in by_turn(numbered)) == numbered(turns)
+    assert [r["turn_number"] for r in by_turn(forgetful) if r["rewritten"]] == [100]
+    got = {r["conv_id"]: (r["n_turns"], r["rewritten"]) for r in chat.digests(c, forgetful).collect()}
+    assert got == {1: (149, True), 2: (1, False)}
+    assert chat.digests(c, numbered).filter("rewritten").count() == 0
+    assert all(r["rewritten"] for r in by_turn(lambda ts: chat.chatml(ts[-70:]))[70:])
+
+
 def test_secrets(spark, docs, nothing):
     ledger = secret_scan.ledger_path(spark)
     secret = make(spark, [(1, "é password: abcdef AKIA" + "A" * 16, "en", "a"), (2, None, None, None), (3, "token=" + "0" * 30, "en", "a")])
