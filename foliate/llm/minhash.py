@@ -12,7 +12,8 @@ task tests two blocks against each other and returns only a spanning forest of t
 all pairs is ever made and no group lies in one task.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words
-than a shingle has are one shingle; repeated rows of one doc_id are one document; an empty table gives an empty
+than a shingle has are one shingle; repeated rows of one doc_id are one document, rows without a doc_id one each, kept
+after those that have one, and a component_id is null where no member has a doc_id; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, blocks, documents, materialise, without
@@ -364,8 +365,49 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+class Numbered(NamedTuple):
+    """Documents of which each has a doc_id: those without one got numbers beyond ``low`` to ``high``."""
+
+    docs: DataFrame
+    low: int
+    high: int
+
+    def given(self, number: str) -> Column:
+        """The doc_id as the table has it."""
+        return F.when(F.col(number).between(self.low, self.high), F.col(number))
+
+
+def _numbered(docs: DataFrame) -> Numbered | None:
+    """doc_id, text and the whole row (``__row``); None where every document has a doc_id."""
+    number = F.col("doc_id").cast("long")
+    low, high, missing = docs.agg(F.min(number), F.max(number), F.count_if(number.isNull())).first()
+    if not missing:
+        return None
+    low, high = (0, -1) if low is None else (low, high)
+    rows = documents(docs, carry=True)
+    lost = rows.filter("doc_id IS NULL").withColumn("__m", F.monotonically_increasing_id())
+    lost = materialise(lost.select("text", "__row", (F.col("__m") % 2**33).alias("k"), F.shiftright("__m", 33).alias("part")), "lost")
+    counts = lost.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row per partition
+    starts, at = [], high + 1 if high + missing < 2**63 else low - missing
+    for r in counts:
+        starts.append((r["part"], at))
+        at += r["n"]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "__part long, start long"))
+    lost = lost.join(starts, F.col("part") == F.col("__part"))
+    lost = lost.select((F.col("start") + F.col("k")).alias("doc_id"), "text", "__row")
+    return Numbered(rows.filter("doc_id IS NOT NULL").unionByName(lost), low, high)
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per document: n_shingles, component_id, kept."""
+    numbered = _numbered(docs)
+    if numbered is None:
+        return _near_duplicates(docs, p)
+    found = _near_duplicates(numbered.docs, p)
+    return found.withColumns({c: numbered.given(c) for c in ("doc_id", "component_id")})
+
+
+def _near_duplicates(docs: DataFrame, p: Params) -> DataFrame:
     found = materialise(sketches(docs, p), "sketches")
     classes = found.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = found.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -392,7 +434,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents, without the near copies of smaller doc_ids; all columns stay."""
-    return without(docs, near_duplicates(docs, p).filter(~F.col("kept")))
+    numbered = _numbered(docs)
+    rows = docs if numbered is None else numbered.docs
+    kept = without(rows, _near_duplicates(rows, p).filter(~F.col("kept")))
+    return kept if numbered is None else kept.select("__row.*")
 
 
 #: The parameters of the query: three words, 85 %.

@@ -6,7 +6,7 @@ to all paths and versions that hold the blob.  Spans come from built-in expressi
 text between them give every match its place.
 
 Defined results: a null text is an empty blob, in which nothing is found; repeated rows are versions of their own;
-equal texts are one blob; an empty table gives an empty result; further columns are ignored by :func:`scan` and kept by
+equal texts are one blob; a null doc_id is one like others; an empty table gives an empty result; further columns are ignored by :func:`scan` and kept by
 :func:`redact`.
 """
 
@@ -178,7 +178,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = R
         ),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    same = (docs["doc_id"].cast("long") == F.col("__id")) & (
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (
         F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256) == F.col("__blob")
     )
     wide = docs.join(found, same, "left")

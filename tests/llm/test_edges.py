@@ -171,6 +171,23 @@ def test_secrets(spark, docs, nothing):
     assert secret_scan.scan(docs, secret_scan.ledger_path(spark)).count() == len(ROWS)
 
 
+def test_documents_without_an_id_lose_secrets_and_copies(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [f"{words} password: abcdef", "token=" + "0" * 30, f"{words} password: abcdef", "other words stand here and there", "other words stand here and there"]
+    docs = make(spark, [(None if k < 4 else 7, t, "en", "a") for k, t in enumerate(texts)])
+    clean = sorted(r["text"] for r in secret_scan.redact(docs).collect())
+    assert clean == sorted([f"{words} [assign]", "[assign]", f"{words} [assign]", *texts[3:]])
+    rows = minhash.near_duplicates(docs, minhash.QUERY).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == [
+        (0, 0, False), (0, 0, True), (0, 0, True), (0, 7, False), (7, 7, True),
+    ]
+    kept = minhash.keep_one(docs, minhash.QUERY)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[4])])
+    everything = make(spark, [(None, t, "en", "a") for t in texts])
+    assert minhash.keep_one(everything, minhash.QUERY).count() == 3
+
+
 def test_shards(docs, nothing):
     got = sharding.shard(docs, shards=4).collect()
     assert len(got) == len(ROWS) and {r["shard"] for r in got} <= {0, 1, 2, 3}
