@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def islands(rows: DataFrame, by: str, order: str, same: str) -> DataFrame:
@@ -73,25 +77,26 @@ def split_long(paragraphs: DataFrame, most: int = 460, fill: float = 0.5) -> Dat
 
 def pack_batches(entries: DataFrame, by: str, order: str, size: str, most_bytes: int, most: int) -> DataFrame:
     """Greedy batches in order: a batch ends before the entry that would take it over its bytes or its count; an entry
-    larger than a batch is one by itself.  The order is a queue per ``by``, folded without Python."""
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
-    queues = entries.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    out = F.array().cast("array<struct<o:bigint,batch:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["bytes"] + x["s"] > most_bytes) | (acc["n"] >= most))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(
-            batch.alias("batch"),
-            (F.when(full, F.lit(0)).otherwise(acc["n"]) + 1).cast("int").alias("n"),
-            (F.when(full, F.lit(0).cast("long")).otherwise(acc["bytes"]) + x["s"]).cast("long").alias("bytes"),
-            F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch")))).alias("out"),
-        )
-
-    zero = F.lit(0)
-    start = F.struct(zero.alias("batch"), zero.alias("n"), zero.cast("long").alias("bytes"), out.alias("out"))
-    folded = F.aggregate("items", start, step, lambda acc: acc["out"])
-    return queues.select(by, F.inline(folded)).select(by, F.col("o").alias(order), "batch")
+    larger than a batch is one by itself.  Each queue (``by``) is read as a sorted stream, so none is held whole; one
+    queue is still one task's, as each batch starts where the last one ends."""
+    rows = entries.select(by, F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
+    names = [by, order, "batch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, batch, n, held, begun = None, 0, 0, 0, False
+        for part in batches:
+            out = []
+            for q, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if not begun or q != queue:
+                    queue, batch, n, held, begun = q, 0, 0, 0, True
+                if n and (held + s > most_bytes or n >= most):
+                    batch, n, held = batch + 1, 0, 0
+                n, held = n + 1, held + s
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names)
+
+    schema = StructType([*rows.select(by, order).schema.fields, StructField("batch", IntegerType())])
+    return rows.repartition(by).sortWithinPartitions(by, order, "__size").mapInArrow(run, schema)
 
 
 #: First bytes of known kinds, from the formats' own specifications (hexadecimal, fixed values).

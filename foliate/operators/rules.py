@@ -7,11 +7,13 @@ number asks for numeric equality and anything else for equality.  A fact that is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTS_SCHEMA = "file_id string, fact string, value string"
 RULES_SCHEMA = "rule_id string, fact string, condition string"
+#: Parts in which a rule's files are ordered.
+SALTS = 64
 
 
 def meets(value: Column, condition: Column) -> Column:
@@ -52,10 +54,13 @@ def match(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def report(matches: DataFrame, rules: DataFrame, samples: int = 8) -> DataFrame:
     """Per rule: how many files it matches and the first of them; rules without a match too."""
-    found = matches.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.substring("file_id", 1, 12))), 1, samples), ",").alias("samples"),
-    )
+    counts = matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_files"))
+    short = matches.select("rule_id", F.substring("file_id", 1, 12).alias("id")).filter("id IS NOT NULL").distinct()
+    first = short.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for by in (["rule_id", "salt"], ["rule_id"]):  # so that no task orders all files of a rule
+        first = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("place") <= samples)
+    listed = F.array_join(F.array_sort(F.collect_list("id")), ",")
+    found = counts.join(first.groupBy("rule_id").agg(listed.alias("samples")), "rule_id", "left")
     every = rules.select("rule_id").distinct()
     return every.join(found, "rule_id", "left").select(
         "rule_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("samples", F.lit("")).alias("samples")

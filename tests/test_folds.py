@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from foliate.functions import text as T
+from foliate.operators import blocks as B
+from foliate.operators import rules as R
 from pyspark.sql import functions as F
 
 
@@ -110,3 +112,21 @@ def test_text_functions_by_cases(spark):
     ]
     for expr, given, want in cases:
         assert spark.createDataFrame([(given,)], "t string").select(expr.alias("x")).first()["x"] == want, given
+
+
+def test_no_rule_or_queue_is_one_array(spark):
+    matches = spark.range(3000).selectExpr("cast(id AS string) AS file_id", "'all' AS rule_id")
+    rules = spark.createDataFrame([("all", "f", "1"), ("none", "f", "2")], R.RULES_SCHEMA)
+    report, e = R.report(matches, rules), spark.range(3000).selectExpr("'q' AS queue", "id", "id % 9 AS size")
+    want = ",".join(sorted(map(str, range(3000)))[:8])
+    assert {tuple(r) for r in report.collect()} == {("all", 3000, want), ("none", 0, "")}
+    packed = B.pack_batches(e, "queue", "id", "size", 20, 5)
+    batch = held = n = 0
+    for r in packed.orderBy("id").collect():
+        s = r["id"] % 9
+        if n and (held + s > 20 or n >= 5):
+            batch, held, n = batch + 1, 0, 0
+        held, n = held + s, n + 1
+        assert r["batch"] == batch
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (report, packed)]
+    assert "collect_set" not in plans[0] and "collect_list" not in plans[1]
