@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, materialise, shared_dir
+from .common import blocks, documents, materialise, shared_dir, table
 
 #: Words in the automaton: the most frequent ones of the corpus.  Bounds the file (a few MB) and what the driver takes.
 LEXICON_WORDS = 100_000
@@ -497,7 +497,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = documents(table(spark, sf_dir, "documents"))
     lexicon = build_lexicon(docs)
     both = encode(docs, lexicon, decoded=True)
     return both.select(

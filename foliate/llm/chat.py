@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
@@ -263,7 +265,7 @@ def planted(spark: SparkSession) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(given.unionByName(planted(spark)))
 
 

@@ -18,6 +18,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table.  One of fewer files than there are cores is dealt to all of them, as a file of one row group is
+    one task however many cores are free; larger tables are read as they lie."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if len(found.inputFiles()) < cores else found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.  Set here only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,6 +73,37 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     return df.join(gone, df["doc_id"].cast("long") == F.col("__id"), "left_anti")
 
 
+#: Keys that may be hot at once: what is broadcast for them is bounded by it at any size of the input.
+HOT_KEYS = 100_000
+#: Salted keys that a hot key's rows are dealt to.
+SALTS = 1 << 20
+
+
+def hot_from(rows: int) -> int:
+    """The rows from which a key is hot: a share of all rows such that at most ``HOT_KEYS`` keys have as many."""
+    return max(256, -(-rows // HOT_KEYS))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+    """Left join of ``rows`` to ``table``, which has one row per ``key``; ``size`` says how many of the ``total`` rows have it.
+
+    Rows of hot keys meet a broadcast table of at most ``HOT_KEYS`` rows and go on under salted keys, by ``spread``, so
+    that no task gets them all; the others are shuffled.
+    """
+    least, values = hot_from(total), [c for c in table.columns if c not in (key, size)]
+    if total < least:  # no key can be hot
+        return rows.join(table.drop(size), key, "left").select(*rows.columns, *values)
+    table = table.withColumn("__hot", F.col(size) >= least)
+    hot = table.filter("__hot").select(F.col(key).alias("__k"), *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__found"))
+    wide = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left").drop("__k")
+    salted = F.when(F.col("__found"), 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
+    cold = table.select(
+        F.col(key).alias("__k"), *[F.col(v).alias(f"__c_{v}") for v in values], F.when(F.col("__hot"), -1).otherwise(0).cast("long").alias("__t")
+    )
+    both = wide.withColumn("__s", salted.cast("long")).join(cold, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__t")), "left")
+    return both.select(*rows.columns, *[F.coalesce(f"__h_{v}", f"__c_{v}").alias(v) for v in values])
+
+
 def n_chunks(rows: int, per_chunk: int = 4096, least: int = 1024) -> int:
     """Chunks for :func:`running_offset`: small ones for small tables, so no chunk holds a hot key's rows alone."""
     return max(least, math.ceil(rows / per_chunk))

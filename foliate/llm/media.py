@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents
+from .common import blocks, documents, table
 
 # Fixed values of the public format (ISO/IEC 13818-1).
 PACKET = 188
@@ -284,7 +284,7 @@ def digests(read_back: DataFrame) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a stream, read back from its bytes."""
-    return digests(read_media(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return digests(read_media(store_texts(table(spark, sf_dir, "documents"))))
 
 
 def tail_crc(payload: bytes) -> int:

@@ -7,14 +7,16 @@ meet at the band's smallest one, pairs that the joint likelihood of both sketche
 is confirmed on the full sets.
 
 How hot groups are met: equal sets are one class from the start (their fingerprint is grouped with partial sums) and
-only the class's smallest document goes on.  Classes around one meeting point are dealt to blocks of bounded size; a
-task tests two blocks against each other and returns only a spanning forest of the links it confirmed, so no list of
-all pairs is ever made and no group lies in one task.
+only the class's smallest document goes on.  Every class is tested against the smallest one that it meets (its hub), one
+hub's set in a task at a time; what that links is one component and is not tested within itself again.  Only members that
+stand outside a group's largest component are tested further, in pairs of blocks of bounded size, by registers first;
+a task returns a spanning forest of what it confirmed, so no list of all pairs is ever made.  Keys with very many
+rows (a band, a hub, a fingerprint, a node) are looked up by a broadcast of bounded size and their rows spread.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words
-than a shingle has are one shingle; repeated rows of one doc_id are one document, rows without a doc_id one each, kept
-after those that have one, and a component_id is null where no member has a doc_id; an empty table gives an empty
-result; further columns are ignored.
+than a shingle has are one shingle; rows of one doc_id are one document, with different texts that of the largest set
+(the greatest fingerprint on ties); rows without a doc_id are one document each, kept after those that have one, and a
+component_id is null where no member has a doc_id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, documents, materialise, without
+from .common import BROADCAST_ROWS, blocks, documents, hot_from, lookup, materialise, table, without
 
 
 class Params(NamedTuple):
@@ -92,6 +94,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+def fingerprint(shingle_set: np.ndarray) -> bytes:
+    """128 bits of a whole set."""
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
+
+
 def sketch(sets: list[np.ndarray], p: Params) -> np.ndarray:
     """One row of registers per set.
 
@@ -172,7 +179,7 @@ def linked(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, p: Params) -> np.n
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, ``fp`` (128 bits of the whole set) and the registers of every document."""
+    """doc_id, n, ``fp`` (128 bits of the whole set) and the registers: one row per document, that of its largest set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +192,14 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([fingerprint(s) for s in sets], pa.binary()),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
                     ["doc_id", "n", "fp", "regs"],
                 )
 
-    return documents(docs).mapInArrow(run, "doc_id long, n long, fp binary, regs binary")
+    rows = documents(docs).mapInArrow(run, "doc_id long, n long, fp binary, regs binary")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("n", "fp", "regs")).alias("s")).select("doc_id", "s.*")
 
 
 def _bands(reps: DataFrame, p: Params) -> DataFrame:
@@ -204,16 +212,26 @@ def _bands(reps: DataFrame, p: Params) -> DataFrame:
 def meetings(reps: DataFrame, p: Params) -> DataFrame:
     """(hub, hub_n, doc_id, n): every class that shares a band with others, the smallest class there, and both sizes."""
     bands = _bands(reps, p)
-    hubs = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.max("doc_id").alias("__max"))
-    hubs = hubs.filter(F.col("hub.doc_id") < F.col("__max")).select(
-        "key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")
-    )
-    met = bands.join(hubs, "key").filter(F.col("hub") < F.col("doc_id"))
-    return met.select("hub", "hub_n", "doc_id", "n").distinct()
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
-    """The lone pairs whose sizes and likelihood estimate allow the link."""
+    hubs = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("size"))
+    hubs = hubs.filter("size > 1").select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), "size")
+    met = lookup(bands, materialise(hubs, "hubs"), "key", "size", reps.count() * p.bands, F.col("doc_id"))
+    return met.filter(F.col("hub") < F.col("doc_id")).select("hub", "hub_n", "doc_id", "n").distinct()
+
+
+def _with_block(met: DataFrame, pairs: int) -> tuple[DataFrame, DataFrame]:
+    """``met`` with ``part``, and (hub, part): a hot hub's group is dealt to parts, any other is one."""
+    sizes = materialise(met.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    least = hot_from(pairs)
+    parts = F.greatest(F.lit(1), F.floor(F.col("size") / least)).cast("int")
+    hot = sizes.filter(F.col("size") >= least).select(F.col("hub").alias("__hub"), parts.alias("__parts"))  # HOT_KEYS rows at most
+    wide = met.join(F.broadcast(hot), F.col("hub") == F.col("__hub"), "left")
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("__parts", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("size") >= least, parts).otherwise(1) - 1))
+    return wide.select(*met.columns, part.alias("part")), sizes.select("hub", every.alias("part"))
+
+
+def estimated(met: DataFrame, parts: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """(hub, part, doc_id): the meetings whose sizes and likelihood estimate allow the link."""
     floor = candidate_floor(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,148 +239,237 @@ def _estimated(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
             if len(b):
                 regs = [np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("ra", "rb")]
                 est = similarity(*regs, b["hub_n"].to_numpy(float), b["n"].to_numpy(float), p)
-                yield b.loc[est >= floor, ["hub", "hub_n", "doc_id", "n"]]
+                yield b.loc[est >= floor, ["hub", "part", "doc_id"]]
 
     # a link needs 100 * min >= percent * max
-    pairs = pairs.filter(100 * F.least("hub_n", "n") >= p.percent * F.greatest("hub_n", "n"))
-    a = reps.select(F.col("doc_id").alias("hub"), F.col("regs").alias("ra"))
+    pairs = met.filter(100 * F.least("hub_n", "n") >= p.percent * F.greatest("hub_n", "n"))
+    a = parts.join(reps.select(F.col("doc_id").alias("hub"), F.col("regs").alias("ra")), "hub")
     b = reps.select("doc_id", F.col("regs").alias("rb"))
-    return pairs.join(b, "doc_id").join(a, "hub").mapInPandas(run, "hub long, hub_n long, doc_id long, n long")
+    return pairs.join(b, "doc_id").join(a, ["hub", "part"]).mapInPandas(run, "hub long, part int, doc_id long")
 
 
-def _forest(ids: np.ndarray, side: np.ndarray, texts: list[str | None], p: Params) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links within a block, or between two blocks (``side`` tells which)."""
-    sets = [shingles(t, p.words) for t in texts]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    inter = _intersections(sets, sizes)
-    x, y = np.nonzero(np.triu(linked(inter, sizes[:, None], sizes[None, :], p) & (inter > 0), 1))
-    if (side != side[0]).any():  # two blocks: each was tested within itself elsewhere
-        between = side[x] != side[y]
-        x, y = x[between], y[between]
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            root[a] = b
-            out.append((int(ids[i]), int(ids[j])))
-    return out
-
-
-def _intersections(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Sizes of all pairwise intersections: shingles held by one set only go, the others are columns of a product."""
-    if len(sets) == 2:
-        n = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        return np.array([[sizes[0], n], [n, sizes[1]]])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    count = np.diff(np.concatenate([first, [len(flat)]]))
-    owner, count = owner[np.repeat(count > 1, count)], count[count > 1]
-    ends = np.cumsum(count)
-    inter, step = np.zeros((len(sets), len(sets)), np.float32), 4096  # columns at once: a matrix of a few MB
-    for a in range(0, len(count), step):
-        some = count[a : a + step]
-        start = ends[a] - count[a]
-        hold = np.zeros((len(sets), len(some)), np.float32)
-        hold[owner[start : start + some.sum()], np.repeat(np.arange(len(some)), some)] = 1
-        inter += hold @ hold.T
-    return inter.astype(np.int64)
-
-
-def _tests(groups: DataFrame, p: Params) -> DataFrame:
-    """(hub, x, y, side, doc_id): the members of each group, dealt to blocks, for every pair of its blocks.
-
-    A block holds about ``p.block`` documents, or fewer where they are long.
-    """
-    members = groups.select("hub", "doc_id", "n").unionByName(
-        groups.select("hub", "hub_n").distinct().select("hub", F.col("hub").alias("doc_id"), F.col("hub_n").alias("n"))
-    )
-    size = members.groupBy("hub").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / p.block), F.ceil(F.sum("n") / 1_000_000)).cast("int").alias("blocks")
-    )
-    members = members.join(size, "hub")
-    members = members.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return members.select("hub", "doc_id", "mine", other.alias("other")).select(
-        "hub",
-        F.least("mine", "other").alias("x"),
-        F.greatest("mine", "other").alias("y"),
-        F.col("mine").alias("side"),
-        "doc_id",
-    )
-
+def _with_text(docs: DataFrame, tests: DataFrame, reps: DataFrame) -> DataFrame:
+    """``tests`` with the text and the fingerprint of their doc_id."""
+    wanted = tests.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
+    texts = documents(docs).join(wanted, "doc_id", "left_semi")
+    return tests.join(reps.select("doc_id", "fp"), "doc_id").join(texts, "doc_id")
 
-def confirmed(docs: DataFrame, tests: DataFrame, p: Params) -> DataFrame:
-    """(a, b): confirmed links on the full sets, enough to connect all that are linked within each group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array([f[i] for f in found], pa.int64()) for i, k in enumerate("ab")})
 
-        def test(rows: list[tuple]) -> list[tuple[int, int]]:
-            ids, side = (np.array([r[k] for r in rows]) for k in (3, 4))
-            return _forest(ids, side, [r[5] for r in rows], p)
 
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({k: pa.array([f[i] for f in found], pa.int64()) for i, k in enumerate("ab")})
+def stars(docs: DataFrame, pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """(a, b): the pairs of a hub and a document that the full sets confirm.  A task holds one hub's set at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if rest and rest[-1][:3] != row[:3]:
-                    found += test(rest)
-                    rest = []
-                rest.append(row)
-            yield out(found)
-        if rest:
-            yield out(test(rest))
-
-    tests = materialise(tests, "tests")
-    wanted = tests.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled
-        wanted = F.broadcast(wanted)
-    texts = documents(docs).join(wanted, "doc_id", "left_semi")
-    block = ["hub", "x", "y"]
-    rows = tests.join(texts, "doc_id").select(*block, "doc_id", "side", "text")
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long")
+            for hub_id, part, role, doc_id, fp, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != (hub_id, part):
+                    at, hub = (hub_id, part), None
+                own = shingles(text, p.words)
+                if fingerprint(own) != fp:  # another text under the same doc_id
+                    continue
+                if role == 0:
+                    hub = own
+                elif hub is not None and linked(np.intersect1d(hub, own, assume_unique=True).size, len(hub), len(own), p):
+                    found.append((hub_id, doc_id))
+            yield _edges(found)
+
+    hubs = pairs.select("hub", "part").distinct().select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("doc_id"))
+    tests = materialise(hubs.unionByName(pairs.select("hub", "part", F.lit(1).alias("role"), "doc_id")), "tests")
+    rows = _with_text(docs, tests, reps).select("hub", "part", "role", "doc_id", "fp", "text")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long")
+
+
+def _rest(met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFrame | None:
+    """(hub, x, y, side, doc_id, c): what the hubs leave open, dealt to pairs of blocks; None where nothing is.
+
+    A group whose members are one component is done, and so is one of which only the hub stands apart.  In all others the
+    members outside the largest component are tested against each other and against that component's: ``x`` and ``y``
+    number two blocks, ``side`` is a document's own one and ``c`` its component.  A block holds about ``p.block`` documents, or
+    fewer where they are long.
+    """
+    own = met.select("hub").distinct().select("hub", F.col("hub").alias("doc_id"))
+    members = met.select("hub", "doc_id").unionByName(own).join(comp, "doc_id", "left").join(reps.select("doc_id", "n"), "doc_id")
+    members = materialise(members.select("hub", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c")), "members")
+    each = members.groupBy("hub", "c").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.col("doc_id") == F.col("hub")).alias("own")
+    )
+    groups = each.groupBy("hub").agg(
+        F.max(F.struct("k", "c", "n", "own")).alias("main"), F.sum("k").alias("size"), F.sum("n").alias("all")
+    )
+    outside, in_main = F.col("size") - F.col("main.k"), F.col("main.k")
+    groups = groups.filter((outside > 0) & (F.col("size") > 2) & ~((outside == 1) & ~F.col("main.own")))
+    block = lambda k, n: F.greatest(F.ceil(k / p.block), F.ceil(n / 1_000_000)).cast("int")
+    groups = groups.select(
+        "hub", "size", F.col("main.c").alias("main"), block(outside, F.col("all") - F.col("main.n")).alias("ub"), block(in_main, F.col("main.n")).alias("mb")
+    )
+    groups = materialise(groups, "groups")
+    if groups.isEmpty():
+        return None
+    rows = lookup(members, groups, "hub", "size", members.count(), F.col("doc_id")).filter("main IS NOT NULL")
+    of = lambda k: F.pmod(F.xxhash64("doc_id"), k).cast("int")
+    apart = F.col("c") != F.col("main")
+    side = F.when(apart, of(F.col("ub"))).otherwise(F.col("ub") + of(F.col("mb")))
+    other = F.explode(F.sequence(F.lit(0), F.col("ub") - 1 + F.when(apart, F.col("mb")).otherwise(0)))
+    rows = rows.select("hub", "doc_id", "c", side.alias("side"), other.alias("other"))
+    return rows.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "c")
+
+
+class _Group(NamedTuple):
+    """The documents of one pair of blocks."""
+
+    hub: int
+    x: int
+    y: int
+    side: np.ndarray
+    ids: np.ndarray
+    c: np.ndarray
+    n: np.ndarray
+    regs: np.ndarray
+
+    def candidates(self, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index pairs of different components that sizes and likelihood allow to be linked, and their estimates."""
+        k, floor = len(self.ids), candidate_floor(p)
+        out = [(np.empty(0, int),) * 2 + (np.empty(0),)]
+        for a in range(k):
+            b = np.arange(a + 1, k)
+            ok = (self.c[b] != self.c[a]) & (100 * np.minimum(self.n[a], self.n[b]) >= p.percent * np.maximum(self.n[a], self.n[b]))
+            ok &= (self.ids[b] != self.hub) & (self.ids[a] != self.hub)  # tested before
+            if self.x != self.y:  # each block was tested within itself elsewhere
+                ok &= self.side[b] != self.side[a]
+            b = b[ok]
+            # equal registers are at least as frequent as the sets are alike
+            b = b[(self.regs[b] == self.regs[a]).sum(1) >= floor * p.registers]
+            if len(b):
+                est = similarity(np.broadcast_to(self.regs[a], (len(b), p.registers)), self.regs[b], np.full(len(b), float(self.n[a])), self.n[b].astype(float), p)
+                b, est = b[est >= floor], est[est >= floor]
+                out.append((np.full(len(b), a), b, est))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+    def forest(self, sets: list[np.ndarray], p: Params) -> list[tuple[int, int]]:
+        """Links on the full sets that connect all that is linked here and was in different components."""
+        a, b, est = self.candidates(p)
+        root = {c: c for c in self.c.tolist()}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        for k in np.argsort(-est, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            ci, cj = find(int(self.c[i])), find(int(self.c[j]))
+            if ci != cj and linked(np.intersect1d(sets[i], sets[j], assume_unique=True).size, len(sets[i]), len(sets[j]), p):
+                root[ci] = cj
+                out.append((int(self.ids[i]), int(self.ids[j])))
+        return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], prepare) -> Iterator[list[tuple] | None]:
+    """The rows of each group of equal first three columns; None after each batch."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[-1][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(prepare(row))
+        yield None
+    if held:
+        yield held
+
+
+def _group(rows: list[tuple]) -> _Group:
+    column = lambda k: np.array([r[k] for r in rows], np.int64)
+    return _Group(*rows[0][:3], column(3), column(4), column(5), column(6), np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1))
+
+
+def remaining(docs: DataFrame, met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """(a, b): links that connect what :func:`stars` left apart and the full sets link.
+
+    Pairs of blocks are compared by their registers first; texts go only to documents that then have a candidate.
+    """
+    by = ["hub", "x", "y"]
+    schema = "hub long, x long, y long, side long, doc_id long, c long, n long, regs binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for rows in _grouped(batches, lambda r: r):
+            if rows is not None:
+                a, b, _ = _group(rows).candidates(p)
+                out += [rows[i] for i in np.union1d(a, b).tolist()]
+            elif out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for rows in _grouped(batches, lambda r: (*r[:-1], shingles(r[-1], p.words))):
+            if rows is not None:
+                rows = [r for r in rows if fingerprint(r[-1]) == r[-2]]  # not another text under the same doc_id
+                rows = list({r[4]: r for r in rows}.values())
+                found += _group(rows).forest([r[-1] for r in rows], p) if rows else []
+            else:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
+
+    open_ = _rest(met, comp, reps, p)
+    if open_ is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    tests = open_.join(reps.select("doc_id", "n", "regs"), "doc_id").select(*names)
+    typed = tests.withColumns({k: F.col(k).cast(t) for k, t in (x.split() for x in schema.split(", "))})
+    some = materialise(typed.repartition(*by).sortWithinPartitions(*by).mapInArrow(screen, schema), "screened")
+    rows = _with_text(docs, some, reps).select(*names, "fp", "text")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(confirm, "a long, b long")
+
+
+def _settled(edges: DataFrame) -> tuple:
+    """Count and two sums of hashes of a set of edges, which two sets share only if they are equal."""
+    h = [F.sum(F.xxhash64(F.lit(k), "lo", "hi").cast("decimal(20,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *h).first())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(doc_id, component_id) of every document with a link: the smallest document that can be reached.
 
     Alternates large stars (neighbours above a node go to its smallest neighbour) and small stars (those below do),
-    until nothing changes; every round is written to the shared folder, and only counts reach the driver.
+    until nothing changes; every round is written to the shared folder, and only counts reach the driver.  Nodes with very
+    many neighbours take their smallest one by broadcast (:func:`lookup`).
     """
     edges = materialise(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct(), "edges")
+    state = _settled(edges)
     for _ in range(rounds):
+        if not state[0]:
+            break
         both = edges.select(F.col("lo").alias("n"), F.col("hi").alias("o")).unionByName(
             edges.select(F.col("hi").alias("n"), F.col("lo").alias("o"))
         )
-        least = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
-        large = both.filter("o > n").join(least, "n").select(F.col("m").alias("lo"), F.col("o").alias("hi")).distinct()
-        small_min = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"))
-        small = (
-            large.join(small_min, large["hi"] == small_min["n"])
-            .select("lo", "hi", "m")
-            .select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi"))
-            .filter("lo < hi")
-            .distinct()
-        )
-        new = materialise(small, "edges")
-        same = new.join(edges, ["lo", "hi"], "left_anti").isEmpty() and edges.join(new, ["lo", "hi"], "left_anti").isEmpty()
-        edges = new
-        if same:
-            return edges.select(F.col("hi").alias("doc_id"), F.col("lo").alias("component_id"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        least = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"), F.count_if(F.col("o") > F.col("n")).alias("size"))
+        up = edges.select(F.col("lo").alias("n"), F.col("hi").alias("o"))
+        large = lookup(up, least, "n", "size", state[0], F.col("o"))
+        large = materialise(large.select(F.col("m").alias("lo"), F.col("o").alias("hi")).distinct(), "large")  # no more rows than edges
+        lower = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("size"))
+        small = lookup(large, lower, "hi", "size", state[0], F.col("lo"))
+        small = small.select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).filter("lo < hi").distinct()
+        edges, before = materialise(small, "edges"), state
+        state = _settled(edges)
+        if state == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return edges.select(F.col("hi").alias("doc_id"), F.col("lo").alias("component_id"))
 
 
 class Numbered(NamedTuple):
@@ -409,22 +516,20 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame, p: Params) -> DataFrame:
     found = materialise(sketches(docs, p), "sketches")
-    classes = found.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = found.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select("doc_id", "n", "regs"), "reps")
+    classes = found.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = materialise(classes, "classes")
+    reps = materialise(found.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
     met = materialise(meetings(reps, p), "meetings")
-    size = met.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    lone = met.join(size.filter("size = 1"), "hub", "left_semi")
-    more = met.join(size.filter("size > 1"), "hub", "left_semi")
-    groups = _estimated(lone, reps, p).unionByName(more)
-    edges = confirmed(docs, _tests(groups, p), p)
-    comp = components(edges)
-    classes = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("component_id", "rep").alias("__c")
-    )
-    component = F.when(F.col("n") > 0, F.col("__c")).otherwise(F.col("doc_id"))
-    rows = found.select("doc_id", "n", "fp").dropDuplicates(["doc_id"])
-    return rows.join(classes, F.col("fp") == F.col("__fp"), "left").select(
+    met, parts = _with_block(met, met.count())
+    pairs = materialise(estimated(met, parts, reps, p), "pairs")
+    comp = components(stars(docs, pairs, reps, p))
+    more = materialise(remaining(docs, met, comp, reps, p), "more")
+    comp = _joined(comp, more)
+    classes = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    classes = materialise(classes.select("fp", "size", F.coalesce("component_id", "rep").alias("c")), "components")
+    rows = lookup(found.select("doc_id", "n", "fp"), classes, "fp", "size", found.count(), F.col("doc_id"))
+    component = F.coalesce("c", "doc_id")
+    return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -432,6 +537,19 @@ def _near_duplicates(docs: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links between their members."""
+    if links.isEmpty():
+        return comp
+    of = comp.withColumnsRenamed({"doc_id": "__d", "component_id": "__c"})
+    for end in ("a", "b"):
+        links = links.join(of, F.col(end) == F.col("__d"), "left").withColumn(end, F.coalesce("__c", end)).select("a", "b")
+    above = materialise(components(links), "above")
+    up = above.withColumnsRenamed({"doc_id": "__d", "component_id": "__c"})
+    moved = comp.join(up, F.col("component_id") == F.col("__d"), "left").select("doc_id", F.coalesce("__c", "component_id").alias("component_id"))
+    return moved.unionByName(above.join(comp.select("doc_id"), "doc_id", "left_anti"))
+
+
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents, without the near copies of smaller doc_ids; all columns stay."""
     numbered = _numbered(docs)
@@ -445,4 +563,4 @@ QUERY = Params(words=3, percent=85)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY)
+    return near_duplicates(table(spark, sf_dir, "documents"), QUERY)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import LOW, MEMO_WORDS, SPLIT, VOCABULARY, Vocabulary, split_pattern, vocabulary_path
-from .common import BROADCAST_ROWS, blocks, materialise
+from .common import BROADCAST_ROWS, blocks, materialise, table
 
 #: With more queues than this, places come from a sorted table; bounds the table of quanta that every task holds.
 MAX_QUEUES = 64
@@ -396,7 +396,7 @@ def digests(packed: DataFrame) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return digests(pack(table(spark, sf_dir, "documents")))
 
 
 def crc(ids: list[int]) -> int:

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, materialise, shared_dir
+from .common import BROADCAST_ROWS, documents, materialise, shared_dir, table
 
 
 class Rule(NamedTuple):
@@ -202,7 +202,7 @@ def _of(rank: int):
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against a new ledger, so every blob is scanned once."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return digests(scan(docs, ledger_path(spark)))
 
 

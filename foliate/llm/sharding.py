@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, n_chunks, running_offset, with_missing
+from .common import materialise, n_chunks, running_offset, table, with_missing
 
 #: Bins per node and round.
 BINS = 1024
@@ -171,7 +171,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=16)
+    placed = shard(table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
         "doc_id",
         "size",

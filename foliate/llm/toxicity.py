@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, kept_rows, materialise
+from .common import documents, kept_rows, materialise, table
 
 #: Labelled training rows that the classifier is fitted on.
 SAMPLE_ROWS = 40_000
@@ -318,7 +318,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return score(docs, train(docs, labels)).select(
         "doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted"
     )

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -144,6 +144,6 @@ def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = RULES) -> Data
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(labelled(spark))
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).select(
+    return judge(table(spark, sf_dir, "pages"), model).select(
         "page_id", "host", "path", "rule", "verdict", "score"
     )

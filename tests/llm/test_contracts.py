@@ -277,3 +277,42 @@ def test_bpe(docs, result, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_dedup_finds_every_component(spark, small, words, percent):
+    from foliate.llm import minhash
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    found = minhash.near_duplicates(spark.read.parquet(f"{small}/documents.parquet"), minhash.Params(words=words, percent=percent))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == components(docs, words, percent)
+
+
+def test_near_dedup_of_hot_groups(spark, monkeypatch):
+    """A chain of texts each near the next only, copies of one text, a family around a text, and its outsiders."""
+    import random
+
+    from foliate.llm import common, minhash
+
+    monkeypatch.setattr(common, "hot_from", lambda rows: 20)
+    monkeypatch.setattr(minhash, "hot_from", lambda rows: 20)
+    pick = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = pick.choices(vocabulary, k=120)
+    docs, i = {}, 0
+    for k in range(150):  # near the base, one to nine words changed
+        words = list(base)
+        for at in pick.sample(range(120), 1 + k % 9):
+            words[at] = pick.choice(vocabulary)
+        docs[i], i = " ".join(words), i + 1
+    long = pick.choices(vocabulary, k=400)
+    for k in range(60):  # a chain
+        docs[i], i = " ".join(long[3 * k : 3 * k + 100]), i + 1
+    for _ in range(70):
+        docs[i], i = "one and the same text " + " ".join(base[:40]), i + 1
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    for p in (minhash.QUERY, minhash.Params(words=3, percent=85, block=16)):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows, p).collect()}
+        assert got == components(docs, 3, 85)
+    assert 3 < len(set(got.values())) < 150

@@ -222,3 +222,11 @@ def test_bpe(spark, docs, nothing):
     assert {r["doc_id"]: r["text"] for r in rows} == {d: t or "" for d, t, _, _ in ROWS}
     empty = bpe.build_lexicon(nothing)
     assert bpe.encode(nothing, empty).count() == 0 and bpe.encode(docs, empty).count() == len(ROWS)
+
+
+def test_texts_under_one_doc_id_are_one_document(spark):
+    words = "one two three four five six seven eight nine ten"
+    docs = make(spark, [(1, words, "en", "a"), (2, words, "en", "a"), (2, "short text", "en", "a"), (3, "short text", "en", "a"), (2, None, "en", "b")])
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, minhash.QUERY).collect()}
+    assert got == {(1, 8, 1, True), (2, 8, 1, False), (3, 1, 3, True)}
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs, minhash.QUERY).collect()) == [1, 3]
