@@ -51,7 +51,7 @@ class Params(NamedTuple):
     rate: float = 20.0
     top: int = 254
     margin: float = 5.0
-    block: int = 512
+    block: int = 384
 
     @property
     def registers(self) -> int:
@@ -286,38 +286,53 @@ def stars(docs: DataFrame, pairs: DataFrame, reps: DataFrame, p: Params) -> Data
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long")
 
 
+def _members(met: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+    """(hub, doc_id, n, c, new): every group's members with their component, the hub itself too.
+
+    A hub that meets smaller ones belongs to the group of the smallest (its parent), and two members that both belong there
+    too are compared there.  ``new`` are those that don't.
+    """
+    own = met.select("hub").distinct()
+    parents = met.groupBy(F.col("doc_id").alias("hub")).agg(F.min("hub").alias("parent")).join(own, "hub", "left_semi")
+    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    rows = lookup(met.select("hub", "doc_id"), parents.join(sizes, "hub"), "hub", "size", met.count(), F.col("doc_id"))
+    rows = rows.unionByName(own.join(parents, "hub", "left").select("hub", F.col("hub").alias("doc_id"), "parent"))
+    there = met.select(F.col("hub").alias("parent"), "doc_id", F.lit(True).alias("there"))
+    rows = rows.join(there, ["parent", "doc_id"], "left").join(comp, "doc_id", "left").join(reps.select("doc_id", "n"), "doc_id")
+    c = F.coalesce("component_id", "doc_id")
+    return rows.select("hub", "doc_id", "n", c.alias("c"), F.col("there").isNull().alias("new"))
+
+
 def _rest(met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFrame | None:
     """(hub, x, y, side, doc_id, c): what the hubs leave open, dealt to pairs of blocks; None where nothing is.
 
-    A group whose members are one component is done, and so is one of which only the hub stands apart.  In all others the
-    members outside the largest component are tested against each other and against that component's: ``x`` and ``y``
-    number two blocks, ``side`` is a document's own one and ``c`` its component.  A block holds about ``p.block`` documents, or
-    fewer where they are long.
+    A group whose members are one component is done.  In all others a member outside the largest component is tested
+    against all others, but for two that meet at the hub's parent (:func:`_members`): ``x`` and ``y`` number two blocks, ``side``
+    is a document's own one and ``c`` its component.  A block holds about ``p.block`` documents, or fewer where they are long.
     """
-    own = met.select("hub").distinct().select("hub", F.col("hub").alias("doc_id"))
-    members = met.select("hub", "doc_id").unionByName(own).join(comp, "doc_id", "left").join(reps.select("doc_id", "n"), "doc_id")
-    members = materialise(members.select("hub", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c")), "members")
-    each = members.groupBy("hub", "c").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.col("doc_id") == F.col("hub")).alias("own")
-    )
-    groups = each.groupBy("hub").agg(
-        F.max(F.struct("k", "c", "n", "own")).alias("main"), F.sum("k").alias("size"), F.sum("n").alias("all")
-    )
-    outside, in_main = F.col("size") - F.col("main.k"), F.col("main.k")
-    groups = groups.filter((outside > 0) & (F.col("size") > 2) & ~((outside == 1) & ~F.col("main.own")))
-    block = lambda k, n: F.greatest(F.ceil(k / p.block), F.ceil(n / 1_000_000)).cast("int")
-    groups = groups.select(
-        "hub", "size", F.col("main.c").alias("main"), block(outside, F.col("all") - F.col("main.n")).alias("ub"), block(in_main, F.col("main.n")).alias("mb")
-    )
+    members = materialise(_members(met, comp, reps), "members")
+    each = members.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if("new").alias("k_new"))
+    groups = each.groupBy("hub").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("size"), F.sum("k_new").alias("new"))
+    groups = groups.filter((F.col("size") > 2) & (F.col("size") > F.col("main.k")) & (F.col("new") > 0)).select("hub", "size", F.col("main.c").alias("main"))
     groups = materialise(groups, "groups")
     if groups.isEmpty():
         return None
     rows = lookup(members, groups, "hub", "size", members.count(), F.col("doc_id")).filter("main IS NOT NULL")
-    of = lambda k: F.pmod(F.xxhash64("doc_id"), k).cast("int")
+    # four kinds: outside and new, in the main component and new, outside and old, in the main one and old
     apart = F.col("c") != F.col("main")
-    side = F.when(apart, of(F.col("ub"))).otherwise(F.col("ub") + of(F.col("mb")))
-    other = F.explode(F.sequence(F.lit(0), F.col("ub") - 1 + F.when(apart, F.col("mb")).otherwise(0)))
-    rows = rows.select("hub", "doc_id", "c", side.alias("side"), other.alias("other"))
+    kind = F.when(apart & F.col("new"), 0).when(F.col("new"), 1).when(apart, 2).otherwise(3)
+    rows = materialise(rows.select("hub", "doc_id", "n", "c", kind.alias("kind")), "kinds")
+    block = lambda k: F.greatest(F.ceil(F.count_if(F.col("kind") == k) / p.block), F.ceil(F.sum(F.when(F.col("kind") == k, F.col("n"))) / 1_000_000), F.lit(0)).cast("int")
+    blocks_of = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.array(*[block(k) for k in range(4)]).alias("blocks"))
+    blocks_of = materialise(blocks_of, "blocks")
+    rows = lookup(rows, blocks_of, "hub", "size", rows.count(), F.col("doc_id"))
+    n = [F.get("blocks", F.lit(k)) for k in range(4)]
+    at = [F.lit(0), n[0], n[0] + n[1], n[0] + n[1] + n[2]]
+    span = lambda k: F.when(n[k] > 0, F.sequence(at[k], at[k] + n[k] - 1)).otherwise(F.array().cast("array<int>"))
+    meets = F.concat(span(0), F.when(F.col("kind") == 0, F.concat(span(1), span(2), span(3))).when(F.col("kind") == 1, span(2)).when(F.col("kind") == 2, span(1)).otherwise(F.array().cast("array<int>")))
+    mine = F.pmod(F.xxhash64("doc_id"), F.get("blocks", F.col("kind"))).cast("int")
+    side = F.get(F.array(*at), F.col("kind")) + mine
+    rows = rows.select("hub", "doc_id", "c", side.alias("side"), F.explode(meets).alias("other"))
     return rows.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "c")
 
 
@@ -335,15 +350,15 @@ class _Group(NamedTuple):
 
     def candidates(self, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index pairs of different components that sizes and likelihood allow to be linked, and their estimates."""
-        k, floor = len(self.ids), candidate_floor(p)
-        out = [(np.empty(0, int),) * 2 + (np.empty(0),)]
-        for a in range(k):
-            b = np.arange(a + 1, k)
+        floor, out = candidate_floor(p), [(np.empty(0, int),) * 2 + (np.empty(0),)]
+        every = np.arange(len(self.ids))
+        left, right = every[self.side == self.x], every[self.side == self.y]
+        if len(left) > len(right):
+            left, right = right, left
+        for a in left.tolist():
+            b = right[right > a] if self.x == self.y else right  # each block is tested within itself elsewhere
             ok = (self.c[b] != self.c[a]) & (100 * np.minimum(self.n[a], self.n[b]) >= p.percent * np.maximum(self.n[a], self.n[b]))
-            ok &= (self.ids[b] != self.hub) & (self.ids[a] != self.hub)  # tested before
-            if self.x != self.y:  # each block was tested within itself elsewhere
-                ok &= self.side[b] != self.side[a]
-            b = b[ok]
+            b = b[ok & (self.ids[b] != self.hub)] if self.ids[a] != self.hub else b[:0]  # those with the hub were tested before
             # equal registers are at least as frequent as the sets are alike
             b = b[(self.regs[b] == self.regs[a]).sum(1) >= floor * p.registers]
             if len(b):
@@ -428,11 +443,14 @@ def remaining(docs: DataFrame, met: DataFrame, comp: DataFrame, reps: DataFrame,
     open_ = _rest(met, comp, reps, p)
     if open_ is None:
         return docs.sparkSession.createDataFrame([], "a long, b long")
+    open_ = materialise(open_, "open")
     tests = open_.join(reps.select("doc_id", "n", "regs"), "doc_id").select(*names)
     typed = tests.withColumns({k: F.col(k).cast(t) for k, t in (x.split() for x in schema.split(", "))})
-    some = materialise(typed.repartition(*by).sortWithinPartitions(*by).mapInArrow(screen, schema), "screened")
+    # dealt by number, as the work for a row is large for its bytes
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // 4096)
+    some = materialise(typed.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(screen, schema), "screened")
     rows = _with_text(docs, some, reps).select(*names, "fp", "text")
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(confirm, "a long, b long")
+    return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(confirm, "a long, b long")
 
 
 def _settled(edges: DataFrame) -> tuple:
