@@ -1,14 +1,15 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Every source is a queue of token streams.  Round after round each queue earns its quantum, the share of a window that
-the mixture gives it, and sends as many whole grains of ``grain`` tokens as it has earned; what is left stays as its
-deficit.  The queues' output, one after another, is cut every ``length`` tokens, so windows hold the target
-proportions within a grain per queue, documents are cut only at grains, and only the very last window is short.
+the mixture gives it, and sends the tokens that it has earned; the fraction that is left stays as its deficit.  A round
+is as long as a window, so every window holds each queue's share within two tokens.  Only a queue that earns less than ``grain`` tokens a
+round saves them up and sends ``grain`` at a time, so that the documents of rare sources are not cut to single tokens.  The queues' output,
+one after another, is cut every ``length`` tokens, and only the very last window is short.
 
 How much a queue has sent after r rounds is a closed form of r, so a token's place in the output follows from its
 place in its own queue.  Deficits therefore carry over windows and partitions without any task seeing more than its
 own documents: each partition needs only how many tokens of each queue lie before it.  With many queues the closed form's
-sum over all of them becomes a table: grains are sorted by round and queue, and running sums give their places.
+sum over all of them becomes a table: what each queue sends is sorted by round and queue, and running sums give its place.
 
 Defined results: a null or empty text is the closing id alone; a null source is a queue of its own; repeated rows are
 packed each by itself; an empty table gives an empty result; further columns are ignored.
@@ -39,11 +40,12 @@ UNITS = 1024
 
 
 class Mixture(NamedTuple):
-    """``weights`` by source; None: each source's share of all tokens.  Sources it lacks get the mean of the others."""
+    """``weights`` by source; None: each source's share of all tokens.  Sources it lacks get the mean of the others.
+    Windows of ``length`` tokens; queues that earn less than ``grain`` tokens a window send ``grain`` at a time."""
 
     weights: Mapping[str, float] | None = None
     length: int = 2048
-    grain: int = 128
+    grain: int = 16
     closing_id: int = 1
 
 
@@ -52,30 +54,69 @@ def units(queues: int) -> int:
     return UNITS << min(10, max(0, (queues - 1) // 64).bit_length())
 
 
+class Rounds(NamedTuple):
+    """What decides when a queue's tokens are sent: for single queues, or for one of each document."""
+
+    quantum: np.ndarray  # in units
+    last: np.ndarray  # the round after which the queue is empty
+    grain: np.ndarray  # 1, or the grain where the quantum is smaller
+    units: np.ndarray | int
+
+    @classmethod
+    def of(cls, quantum: np.ndarray, last: np.ndarray, units: np.ndarray | int, grain: int) -> Rounds:
+        return cls(quantum, last, np.where(quantum < grain * units, grain, 1), units)
+
+    def at(self, k: np.ndarray) -> Rounds:
+        return Rounds(self.quantum[k], self.last[k], self.grain[k], self.units[k] if isinstance(self.units, np.ndarray) else self.units)
+
+    def earned(self, r: np.ndarray) -> np.ndarray:
+        """Whole grains earned after ``r`` rounds, in tokens."""
+        return r * self.quantum // self.units // self.grain * self.grain
+
+    def turn(self, token: np.ndarray) -> np.ndarray:
+        """The round that sends the queue's token of that number."""
+        due = (token // self.grain + 1) * self.grain
+        return np.minimum(-(-due * self.units // self.quantum), self.last)
+
+
+def _parts(start: np.ndarray, n: np.ndarray, rounds: Rounds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents [start, start + n) of their queues cut where a round's tokens end: which document, first token and length
+    of each part, and the round that sends it."""
+    fine, end = rounds.grain == 1, start + n
+    head = np.where(fine, rounds.turn(start), start // rounds.grain)
+    tail = np.where(fine, rounds.turn(end - 1), (end - 1) // rounds.grain)
+    parts = tail - head + 1
+    which = np.repeat(np.arange(len(n)), parts)
+    k = head[which] + np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = rounds.at(which)
+    low = np.where(fine[which], own.earned(k - 1), k * own.grain)
+    high = np.where(fine[which], np.where(k >= own.last, end[which], own.earned(k)), (k + 1) * own.grain)
+    first = np.maximum(low, start[which])
+    turn = np.where(fine[which], k, own.turn(first))
+    return which, first, np.minimum(high, end[which]) - first, turn
+
+
 class Queues:
     """The closed form: totals and quanta of all queues in ring order."""
 
     def __init__(self, totals: np.ndarray, shares: np.ndarray, mixture: Mixture):
-        self.total, self.grain, self.length = totals.astype(np.int64), mixture.grain, mixture.length
-        self.units = units(len(totals))
-        self.quantum = np.maximum(1, np.round(shares / shares.sum() * mixture.length * self.units)).astype(np.int64)
-        #: The round after which a queue is empty, its last, shorter grain included.
-        self.last = -(-self.total * self.units // self.quantum)
+        self.total, self.length = totals.astype(np.int64), mixture.length
+        u = units(len(totals))
+        quantum = np.maximum(1, np.round(shares / shares.sum() * mixture.length * u)).astype(np.int64)
+        self.rounds = Rounds.of(quantum, -(-self.total * u // quantum), u, mixture.grain)
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue (column) has sent after each of ``rounds`` (row)."""
         r = rounds[:, None]
-        whole = np.minimum(np.minimum(r, self.last) * self.quantum // self.units // self.grain * self.grain, self.total)
-        return np.where(r >= self.last, self.total, whole)
+        whole = np.minimum(self.rounds.earned(np.minimum(r, self.rounds.last)), self.total)
+        return np.where(r >= self.rounds.last, self.total, whole)
 
-    def place(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Place in the output of each token (its number in its queue)."""
-        due = (token // self.grain + 1) * self.grain
-        r = np.minimum(-(-due * self.units // self.quantum[queue]), self.last[queue])  # the round that sends it
-        after, before = self.sent(r), self.sent(r - 1)
+    def place(self, queue: np.ndarray, first: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Place in the output of each part of a queue, from its first token and the round that sends it."""
+        after, before = self.sent(turn), self.sent(turn - 1)
         ring = np.arange(len(self.total))[None, :] < queue[:, None]
         mine = before[np.arange(len(queue)), queue]
-        return np.where(ring, after, before).sum(1) + token - mine
+        return np.where(ring, after, before).sum(1) + first - mine
 
 
 def _cuts(start: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,9 +131,9 @@ def _cuts(start: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.n
 
 def pieces(queue: np.ndarray, start: np.ndarray, n: np.ndarray, queues: Queues) -> tuple[np.ndarray, ...]:
     """Document, start within it, length, sequence and offset of every piece of documents at ``start`` of a queue."""
-    doc, first, size = _cuts(start, n, queues.grain)
-    at = queues.place(queue[doc], first)
-    # grains of a document that follow each other in the output are one piece
+    doc, first, size, turn = _parts(start, n, queues.rounds.at(queue))
+    at = queues.place(queue[doc], first, turn)
+    # parts of a document that follow each other in the output are one piece
     joined = np.zeros(len(doc), bool)
     joined[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + size[:-1])
     head = np.flatnonzero(~joined)
@@ -289,7 +330,7 @@ def _quanta(totals: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def _grains(wide: DataFrame, mixture: Mixture) -> DataFrame:
-    """A row for each part of a document that lies in one grain, with the round that sends it."""
+    """A row for each part of a document that one round sends."""
     grain = mixture.grain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,9 +339,7 @@ def _grains(wide: DataFrame, mixture: Mixture) -> DataFrame:
                 some = batch.slice(a, 512)
                 doc_id, queue, raw = some.column(0), some.column(1), some.column(4).to_pylist()
                 start, n, quantum, last, unit = (some.column(k).to_numpy() for k in (2, 3, 5, 6, 7))
-                doc, first, size = _cuts(start, n, grain)
-                due = (first // grain + 1) * grain
-                turn = np.minimum(-(-due * unit[doc] // quantum[doc]), last[doc])
+                doc, first, size, turn = _parts(start, n, Rounds.of(quantum, last, unit, grain))
                 inside, each = first - start[doc], pa.array(doc)
                 width = [len(x) // k for x, k in zip(raw, n.tolist(), strict=True)]
                 cut = [raw[d][i * width[d] : (i + k) * width[d]] for d, i, k in zip(doc.tolist(), inside.tolist(), size.tolist(), strict=True)]
@@ -315,7 +354,7 @@ def _grains(wide: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def _by_table(grains: DataFrame, mixture: Mixture) -> DataFrame:
-    """Places by running sums over the grains in the order they are sent, then each window put together."""
+    """Places by running sums over the parts in the order they are sent, then each window put together."""
     spark, length = grains.sparkSession, mixture.length
     dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grains.rdd.getNumPartitions())
     order = [F.col("turn"), F.col("queue").asc_nulls_first(), F.col("first")]
@@ -346,7 +385,7 @@ def _by_table(grains: DataFrame, mixture: Mixture) -> DataFrame:
     rows = grains.join(placed, same).select("queue", "first", "doc_id", "start", "length", "ids", "doc_tokens", "place")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Grains that end behind a window's end are cut there."""
+        """Parts that end behind a window's end are cut there."""
         for batch in batches:
             start, n, place, doc_tokens = (batch.column(k).to_numpy() for k in (3, 4, 7, 6))
             first, raw = batch.column(1).to_numpy(), batch.column(5).to_pylist()

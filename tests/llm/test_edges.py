@@ -69,14 +69,58 @@ def test_packing(docs, nothing):
     assert [(r["length"], r["ids"][:4]) for r in rows if r["doc_id"] in (1, 2)] == [(1, bytes([1, 0, 0, 0]))] * 2
 
 
-def test_mixture_fills_every_window(spark):
-    rows = [(k, "word " * 400, "en", "ab"[k % 4 == 0]) for k in range(200)]
-    packed = packing.pack(make(spark, rows), packing.Mixture(weights={"a": 1.0, "b": 1.0})).collect()
-    share = {}
+def round_robin(tokens: dict, weights: dict, length: int, grain: int, unit: int) -> list:
+    """The output of a plain deficit round-robin over queues of tokens; all arithmetic in whole units."""
+    names = sorted(tokens, key=lambda q: (q is not None, q))
+    whole = sum(weights[q] for q in names)
+    quantum = {q: max(1, round(weights[q] / whole * length * unit)) for q in names}
+    deficit, at, out = dict.fromkeys(names, 0), dict.fromkeys(names, 0), []
+    while any(at[q] < len(tokens[q]) for q in names):
+        for q in names:
+            left = len(tokens[q]) - at[q]
+            if not left:
+                continue
+            deficit[q] += quantum[q]
+            earned = deficit[q] // unit
+            step = grain if quantum[q] < grain * unit else 1
+            send = left if earned >= left else earned // step * step
+            out += tokens[q][at[q] : at[q] + send]
+            at[q] += send
+            deficit[q] -= send * unit
+    return out
+
+
+@pytest.mark.parametrize(("sources", "weighted"), [(3, False), (3, True), (20, False), (20, True), (70, False), (70, True)])
+def test_packing_is_a_round_robin(spark, sources, weighted):
+    rows = [(k, "word " * (40 + k * 37 % 300), "en", None if k % sources == 1 else f"s{k % sources:02d}") for k in range(6 * sources)]
+    weights = {q: float(1 + 30 * (k == 0) + k % 3) for k, q in enumerate(sorted({r[3] for r in rows}, key=lambda q: (q is not None, q)))}
+    docs = make(spark, rows).repartition(3)
+    packed = packing.pack(docs, packing.Mixture(weights=weights if weighted else None, length=512)).collect()
+    own, source = {}, {r[0]: r[3] for r in rows}
     for r in packed:
-        share.setdefault(r["sequence_id"], {"a": 0, "b": 0})["ab"[r["doc_id"] % 4 == 0]] += r["length"]
-    early = [s for k, s in share.items() if k < 15]
-    assert all(abs(s["a"] - s["b"]) <= 2 * 128 for s in early)
+        ids = np.frombuffer(r["ids"], "<u4")
+        own.setdefault(r["doc_id"], {}).update({r["start"] + i: (r["sequence_id"] * 512 + r["offset"] + i, int(x)) for i, x in enumerate(ids)})
+    # the order of a queue's documents is the packing's own; all else must be the loop's
+    first = sorted(own, key=lambda d: own[d][0])
+    tokens: dict = {}
+    for d in first:
+        tokens.setdefault(source[d], []).extend((d, i) for i in range(len(own[d])))
+    target = weights if weighted else {q: float(len(t)) for q, t in tokens.items()}
+    want = round_robin(tokens, target, 512, packing.Mixture().grain, packing.units(sources))
+    got = {own[d][i][0]: (d, i) for d in own for i in own[d]}
+    assert [got[k] for k in range(len(got))] == want
+
+
+def test_every_window_holds_the_mixture(spark):
+    rows = [(k, "word " * (100 + k % 200), "en", f"s{k % 20:02d}") for k in range(400)]
+    packed = packing.pack(make(spark, rows), packing.Mixture(weights={f"s{k:02d}": 1.0 for k in range(20)})).collect()
+    share: dict = {}
+    for r in packed:
+        held = share.setdefault(r["sequence_id"], [0] * 20)
+        held[r["doc_id"] % 20] += r["length"]
+    least = min(sum(r["length"] for r in packed if r["doc_id"] % 20 == k) for k in range(20))
+    full = [s for k, s in share.items() if (k + 2) * 2048 / 20 < least]
+    assert len(full) > 10 and all(sum(abs(x / 2048 - 0.05) for x in s) < 0.02 for s in full)
 
 
 def test_more_sources_than_one_table_of_quanta_keep_their_weights(spark, monkeypatch):
