@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.  Set here only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foliate-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -57,6 +59,11 @@ def documents(df: DataFrame, carry: bool = False) -> DataFrame:
     return df.select(*columns, *[F.struct("*").alias("__row")] * carry)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name an array for use in several places of one expression, computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kept_rows(judged: DataFrame, verdict: Column) -> DataFrame:
     """The whole rows (``__row``) of ``judged`` that meet ``verdict``.
 
@@ -70,7 +77,7 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``df`` whose doc_id is not in ``gone`` (a counted set is broadcast, a larger one shuffled)."""
     gone = materialise(gone.select(F.col("doc_id").alias("__id")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return df.join(gone, df["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    return documents(df, carry=True).join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select("__row.*")
 
 
 #: Keys that may be hot at once: what is broadcast for them is bounded by it at any size of the input.

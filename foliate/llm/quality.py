@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, kept_rows, table
+from .common import SPACE, documents, kept_rows, let, table
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -68,14 +68,9 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _let(value: Column, body) -> Column:
-    """Name an array for use in several places of one expression, computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _joined(hashes: Column, by: int) -> Column:
     """Each hash with the one ``by`` places on."""
-    return _let(
+    return let(
         hashes,
         lambda h: F.zip_with(
             h, F.slice(h, by + 1, F.greatest(F.size(h) - by, F.lit(0))), lambda a, b: F.xxhash64(a, b)
@@ -100,10 +95,10 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
     def covered(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return _let(pairs, lambda p: _cover(p, window))
+        return let(pairs, lambda p: _cover(p, window))
 
     return F.when(F.size(words) <= window, F.lit(0)).otherwise(
-        _let(
+        let(
             _window_hashes(words, window),
             lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)),
         )
@@ -120,7 +115,7 @@ def _cover(pairs: Column, window: int) -> Column:
         ),
         lambda i: i.isNotNull(),
     )
-    return _let(
+    return let(
         F.array_sort(same),
         lambda at: F.aggregate(
             at,
@@ -145,7 +140,7 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        _let(
+        let(
             lines,
             lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")),
         ).alias("lines"),

@@ -1,26 +1,28 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of every path is addressed by the hash of its content.  A ledger keeps, for each pair of blob and rule
-version, what was found; only pairs that it lacks are scanned, one text for each blob, and findings are joined back
-to all paths and versions that hold the blob.  Spans come from built-in expressions: the matches of a pattern and the
-text between them give every match its place.
+Every version of every path is addressed by the hash of its content.  A ledger keeps, for each pair of a blob and a
+rule, what was found, below a folder named after the rules that were scanned together; a rule's name there is a hash of all it says, so a changed
+rule is another one.  Only pairs that the ledger lacks are scanned, one text for each blob and only for the rules that
+it lacks, and findings are joined back to all paths and versions that hold the blob.  Spans come from built-in
+expressions: the matches of a pattern and the text between them give every match its place.
 
 Defined results: a null text is an empty blob, in which nothing is found; repeated rows are versions of their own;
-equal texts are one blob; a null doc_id is one like others; an empty table gives an empty result; further columns are ignored by :func:`scan` and kept by
-:func:`redact`.
+equal texts are one blob; a null doc_id is one like others; an empty table gives an empty result; further columns are
+ignored by :func:`scan` and kept by :func:`redact`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, materialise, shared_dir, table
+from .common import BROADCAST_ROWS, documents, let, lookup, materialise, shared_dir, table
 
 
 class Rule(NamedTuple):
@@ -34,6 +36,11 @@ class Rule(NamedTuple):
     least: int
     hint: str
 
+    @property
+    def version(self) -> str:
+        """A hash of all that decides what the rule finds."""
+        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:12]
+
 
 #: The base rules (fixed values), then what this scan adds: provider tokens, signed web tokens, private key blocks.
 BASE = (
@@ -54,8 +61,24 @@ ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
-#: Raise it whenever a rule changes; what older versions found stays in the ledger beside it.
-RULES_VERSION = 1
+#: Steps of a running fold that are held in one small array.
+CHUNK = 256
+SPANS = "array<struct<start:int,rank:int,end:int>>"
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` (a sum or a maximum, from 0) over each beginning of an array of ints: chunk by chunk, as an array that grows by one
+    element is copied each time."""
+
+    def fold(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
+
+    def spread(each: Column) -> Column:
+        ends = fold(F.transform(each, lambda e: F.element_at(e, -1)))
+        return let(ends, lambda o: F.flatten(F.transform(each, lambda e, i: F.transform(F.slice(e, F.lit(2), F.size(e)), lambda v: op(v, F.get(o, i))))))
+
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / CHUNK).cast("int"))
+    return let(F.transform(numbers, lambda k: fold(F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))), spread)
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -68,31 +91,14 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         F.slice(F.transform(between, lambda x: F.length(x)), F.lit(1), F.size(hits)),
         lambda h, b: F.struct(b.alias("skip"), h["n"].alias("n"), h["g"].alias("g")),
     )
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    placed = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["n"]).alias("at"),
-            F.when(
-                x["g"] >= rule.least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["skip"]).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + x["skip"] + x["n"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(rule.hint), placed).otherwise(empty)
+
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x, lambda e: e["skip"] + e["n"]), lambda a, b: a + b)
+        every = F.zip_with(x, ends, lambda e, end: F.struct((end - e["n"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), e["g"].alias("g")))
+        fit = F.filter(every, lambda e: e["g"] >= rule.least)
+        return F.transform(fit, lambda e: F.struct(e["start"].alias("start"), e["rank"].alias("rank"), e["end"].alias("end")))
+
+    return F.when(text.rlike(rule.hint), let(each, placed)).otherwise(F.array().cast(SPANS))
 
 
 def all_spans(text: Column, rules: Sequence[Rule] = RULES) -> Column:
@@ -111,34 +117,60 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def scan(
-    versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, rules_version: int = RULES_VERSION
-) -> DataFrame:
+def _blob(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _texts(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """blob, text and ``lacks`` of one row for each blob in ``todo``."""
+    # a few bytes a blob: the document that stands for it, and a hash, as rows of one doc_id may hold other texts
+    keys = todo.select(F.col("doc_id").alias("__id"), F.xxhash64("blob").alias("__h"), "lacks", "again")
+    keys = F.broadcast(keys) if todo.count() <= BROADCAST_ROWS else keys
+    docs = docs.withColumn("blob", _blob(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("blob") == F.col("__h"))
+    found = docs.join(keys, same).select("blob", "text", "lacks", "again")
+    if todo.filter("again").isEmpty():
+        return found
+    # a doc_id that has the same text more than once: these texts are shuffled
+    return found.filter("NOT again").unionByName(found.filter("again").dropDuplicates(["blob"]))
+
+
+def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``found`` (spans) for every row of ``versions`` (doc_id, text), scanning only what ``ledger`` lacks.
 
     The pairs scanned now are appended to the ledger, blobs without a finding too.
     """
-    spark = versions.sparkSession
+    spark, wanted = versions.sparkSession, F.array(*[F.lit(r.version) for r in rules]).cast("array<string>")
     docs = documents(versions).withColumn("text", F.coalesce("text", F.lit("")))
-    blobs = materialise(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "blobs")
+    blobs = materialise(docs.select("doc_id", _blob(F.col("text")).alias("blob")), "blobs")
     known = _ledger(spark, ledger)
-    unseen = blobs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    each = blobs.groupBy("blob", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("blob").agg(F.sum("n").alias("size"), F.min(F.struct("doc_id", "n")).alias("one"))
+    each = each.select("blob", "size", F.col("one.doc_id").alias("doc_id"), (F.col("one.n") > 1).alias("again"))
+    lacks = wanted
     if known is not None:
-        unseen = unseen.join(known.filter(F.col("rules") == rules_version).select("blob"), "blob", "left_anti")
-    # 16 bytes a blob: the document that stands for it, and a hash, as rows of one doc_id may hold other texts
-    unseen = materialise(unseen.select(F.col("doc_id").alias("__id"), F.xxhash64("blob").alias("__h")), "unseen")
-    small = unseen.count() <= BROADCAST_ROWS
-    docs = docs.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("blob") == F.col("__h"))
-    texts = docs.join(F.broadcast(unseen) if small else unseen, same, "left_semi")
-    found = texts.select("blob", F.lit(rules_version).alias("rules"), all_spans(F.col("text"), rules).alias("found"))
-    found.write.mode("append").option("compression", "zstd").parquet(ledger)
-    hits = spark.read.parquet(ledger).filter((F.col("rules") == rules_version) & (F.size("found") > 0))
-    hits = hits.select(F.col("blob").alias("__blob"), "found").dropDuplicates(["__blob"])
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return blobs.join(hits, F.col("blob") == F.col("__blob"), "left").select(
-        "doc_id", "blob", F.coalesce("found", none).alias("found")
-    )
+        of = F.split("rules", "-")
+        seen = known.select("blob", of.alias("of")).filter(F.arrays_overlap("of", wanted))  # folders of other rules are not read
+        seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("seen"))
+        each = each.join(seen, "blob", "left")
+        lacks = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+    each = materialise(each.select("blob", "size", "doc_id", "again", lacks.alias("lacks")), "each")
+    todo = each.filter(F.size("lacks") > 0)
+    if not todo.isEmpty():
+        texts = _texts(docs, todo)
+        none = F.array().cast(SPANS)
+        found = [F.when(F.array_contains("lacks", r.version), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
+        versioned = F.transform(F.concat(*found), lambda s: F.struct(F.get(wanted, s["rank"]).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+        texts = texts.select("blob", F.concat_ws("-", "lacks").alias("rules"), versioned.alias("found"))
+        texts.write.mode("append").partitionBy("rules").option("compression", "zstd").parquet(ledger)
+    if _ledger(spark, ledger) is None:  # no text so far
+        return blobs.select("doc_id", "blob", F.array().cast(SPANS).alias("found"))
+    hits = spark.read.parquet(ledger).filter(F.arrays_overlap(F.split("rules", "-"), wanted) & (F.size("found") > 0))
+    ranked = F.transform("found", lambda s: F.struct(s["start"].alias("start"), (F.array_position(wanted, s["rule"]) - 1).cast("int").alias("rank"), s["end"].alias("end")))
+    hits = hits.select("blob", F.filter(ranked, lambda s: s["rank"] >= 0).alias("found")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    hits = hits.filter(F.size("found") > 0).join(each.select("blob", "size"), "blob")
+    rows = lookup(blobs, materialise(hits, "hits"), "blob", "size", blobs.count(), F.col("doc_id"))
+    return rows.select("doc_id", "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
 def _listed(found: Column, rules: Sequence[Rule]) -> Column:
@@ -156,33 +188,33 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = R
     """
     spark = docs.sparkSession
     found = scan(docs, ledger or ledger_path(spark), rules).filter(F.size("found") > 0)
-    found = found.select(
-        F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("blob").alias("__blob")
-    ).dropDuplicates(["__id", "__blob"])
+    found = found.select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("blob").alias("__blob")).dropDuplicates(["__id", "__blob"])
     found = materialise(found, "found")
     if found.count() <= BROADCAST_ROWS // 10:  # a few spans each
         found = F.broadcast(found)
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    text = F.col("text")
-    clean = F.aggregate(
-        "__found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["rank"])),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (
-        F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256) == F.col("__blob")
-    )
-    wide = docs.join(found, same, "left")
-    return wide.withColumn("text", F.when(F.col("__found").isNull(), text).otherwise(clean)).select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+
+    def clean(reached: Column) -> Column:
+        pieces = F.transform(
+            "__found",
+            lambda s, i: F.when(
+                s["start"] >= F.coalesce(F.get(reached, i - 1), F.lit(0)),
+                F.concat(_between(text, F.coalesce(F.get(reached, i - 1), F.lit(0)), s["start"]), F.get(kinds, s["rank"])),
+            ).otherwise(""),
+        )
+        return F.concat(F.array_join(pieces, ""), _between(text, F.element_at(reached, -1), F.length(text)))
+
+    cleaned = let(running(F.transform("__found", lambda s: s["end"]), lambda a, b: F.greatest(a, b)), clean)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_blob(text) == F.col("__blob"))
+    wide = documents(docs, carry=True).join(found, same, "left")
+    row = F.col("__row")
+    new = F.when(F.col("__found").isNull(), row.getField("text")).otherwise(cleaned)
+    return wide.select(*[new.alias(c) if c == "text" else row.getField(c).alias(c) for c in docs.columns])
+
+
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return text.substr(start + 1, end - start)
 
 
 def digests(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

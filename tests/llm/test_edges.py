@@ -208,7 +208,7 @@ def test_secrets(spark, docs, nothing):
     first = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secret_scan.scan(secret, ledger).collect()}
     assert first == {1: [(2, 0, 18), (19, 1, 39)], 2: [], 3: [(0, 0, 36), (6, 2, 36)]}
     n = spark.read.parquet(ledger).count()
-    assert secret_scan.scan(secret, ledger).count() == 3 and spark.read.parquet(ledger).count() == n  # all seen before
+    assert secret_scan.scan(secret, ledger).count() == 3 and spark.read.parquet(ledger).count() == n == 3  # all seen before
     assert secret_scan.scan(nothing, secret_scan.ledger_path(spark)).count() == 0
     text = {r["doc_id"]: r["text"] for r in secret_scan.redact(secret).collect()}
     assert text[1] == "é [assign] [access]" and text[2] is None and text[3] == "[assign]"
@@ -274,3 +274,37 @@ def test_texts_under_one_doc_id_are_one_document(spark):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, minhash.QUERY).collect()}
     assert got == {(1, 8, 1, True), (2, 8, 1, False), (3, 1, 3, True)}
     assert sorted(r["doc_id"] for r in minhash.keep_one(docs, minhash.QUERY).collect()) == [1, 3]
+
+
+def test_a_changed_rule_is_scanned_anew_and_alone(spark):
+    assign, access, hexes = secret_scan.BASE
+    docs = make(spark, [(1, "token=abcdefgh AKIA" + "B" * 16, "en", "a"), (2, "0" * 30, "en", "a")] + [(3, "secret: zzzzzzzz", "en", "a")] * 3)
+    ledger = secret_scan.ledger_path(spark)
+    listed = lambda rules: sorted((r["doc_id"], tuple(rules[s["rank"]].kind for s in r["found"])) for r in secret_scan.scan(docs, ledger, rules).collect())
+    entries = lambda: {(r["rules"], r["n"]) for r in spark.read.parquet(ledger).groupBy("rules").count().withColumnRenamed("count", "n").collect()}
+    assert listed([access]) == [(1, ("access",)), (2, ()), (3, ()), (3, ()), (3, ())]
+    assert entries() == {(access.version, 3)}  # one entry for three equal rows
+    assert listed([assign, access, hexes]) == [(1, ("assign", "access")), (2, ("hex",)), *[(3, ("assign",))] * 3]
+    assert entries() == {(access.version, 3), (f"{assign.version}-{hexes.version}", 3)}  # known pairs were not scanned again
+    longer = assign._replace(least=9)
+    assert longer.version != assign.version
+    assert listed([longer, access]) == [(1, ("access",)), (2, ()), (3, ()), (3, ()), (3, ())]
+    assert listed([hexes]) == [(1, ()), (2, ("hex",)), (3, ()), (3, ()), (3, ())] and len(entries()) == 3
+
+
+def test_secrets_where_texts_are_shuffled(spark, docs, monkeypatch):
+    many = make(spark, [(k, f"token=abc{k}def " * (600 if k == 3 else 1) + "é AKIA" + "C" * 16, "en", "a") for k in range(50)])
+    want = sorted(map(tuple, secret_scan.digests(secret_scan.scan(many, secret_scan.ledger_path(spark))).collect()))
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, secret_scan.digests(secret_scan.scan(many, secret_scan.ledger_path(spark))).collect())) == want
+    assert [r[1] for r in want] == [600 if k == 3 else 1 for k in range(50)]
+    text = {r["doc_id"]: r["text"] for r in secret_scan.redact(many).collect()}
+    assert text[3] == "[assign] " * 600 + "é [access]" and text[4] == "[assign] é [access]"
+
+
+def test_names_that_clash_with_the_operators_own(spark):
+    rows = [(1, "token=abcdefgh and words", 5, 6, 7, 8), (2, "token=abcdefgh and words", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __found int, __blob int, __row int")
+    assert sorted(map(tuple, secret_scan.redact(docs).collect())) == [(k, "[assign] and words", 5, 6, 7, 8) for k in (1, 2)]
+    assert [tuple(r) for r in minhash.keep_one(docs).collect()] == rows[:1]
+    assert quality.keep(docs).count() == 0 and quality.keep(docs).columns == docs.columns
