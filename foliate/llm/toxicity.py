@@ -8,8 +8,9 @@ labels and scores every text by one expression.
 Some lexicons are given below, others are stems that training labels set apart (invented or foreign words too).  All
 voters read the terms that one pattern finds in one pass over the whole text.  The stems are sought in about
 ``STEM_ROWS`` labelled training rows.  The label model is fitted on the
-counts of vote patterns over all training rows (bounded by the number of patterns, some hundreds in fact), with the
-labels of training rows as anchors; the classifier on about ``SAMPLE_ROWS`` labelled training rows.
+counts of vote patterns over all training rows, with the labels of training rows as anchors; the classifier on about
+``SAMPLE_ROWS`` labelled training rows, or on as many others where none is labelled, chosen by a hash of their id.  There are fewer
+than 2^21 patterns at any size (a vote of 0 or 1 from each lexicon, and 432 cases of the other voters), some hundreds in fact.
 
 Defined results: a null or empty text has no votes but the clean ones and a low score; repeated rows are scored alike;
 labels of a doc_id that occur more than once count once (the greatest); without any label the label model runs
@@ -295,7 +296,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, st
     labels_model = fit_label_model(votes, *counts)
     some = rows.filter("label is not null").withColumnRenamed("doc_id", "__id")
     columns = ["votes", "n_hits", "n_distinct", "density"]
-    got = _some(some, sample_rows, n).select(*columns).collect() or rows.select(*columns).limit(sample_rows).collect()
+    every = rows.withColumnRenamed("doc_id", "__id")
+    got = _some(some, sample_rows, n).select(*columns).collect() or _some(every, sample_rows, int(sum(c.sum() for c in counts))).select(*columns).collect()
     v = np.array([r["votes"] for r in got], int)
     x = features(v, *[np.array([r[c] for r in got], float) for c in columns[1:]])
     bias, weights = fit_linear(x, labels_model.posterior(v))
