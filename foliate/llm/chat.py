@@ -83,6 +83,14 @@ class Rewritten(Exception):
 PROBE = "\ue000probe\ue000"
 
 
+def probe_for(texts: Sequence[str]) -> str:
+    """A text that stands in none of ``texts``."""
+    k, probe = 0, PROBE
+    while any(probe in t for t in texts):
+        k, probe = k + 1, f"{PROBE}{k}\ue000"
+    return probe
+
+
 class Prefixes:
     """The successive prefixes of one conversation, each rendered from its first turn; the last output is kept."""
 
@@ -98,11 +106,12 @@ class Prefixes:
         if not now.startswith(shown):
             raise Rewritten(k)
         part = now[len(shown) :]
-        probe = self.template([*before, (role, PROBE)])
-        at = probe.find(PROBE, len(shown))
+        mark = probe_for((now, role))  # what is shown of the conversation, and of the turn's role
+        probe = self.template([*before, (role, mark)])
+        at = probe.find(mark, len(shown))
         if not probe.startswith(shown) or at < 0:
             raise Rewritten(k)
-        tail = len(probe) - at - len(PROBE)
+        tail = len(probe) - at - len(mark)
         head = at - len(shown)
         if probe[len(shown) : at] != part[:head] or (tail and probe[-tail:] != part[-tail:]):
             raise Rewritten(k)

@@ -308,3 +308,74 @@ def test_names_that_clash_with_the_operators_own(spark):
     assert sorted(map(tuple, secret_scan.redact(docs).collect())) == [(k, "[assign] and words", 5, 6, 7, 8) for k in (1, 2)]
     assert [tuple(r) for r in minhash.keep_one(docs).collect()] == rows[:1]
     assert quality.keep(docs).count() == 0 and quality.keep(docs).columns == docs.columns
+
+
+def test_long_conversations_and_a_role_that_holds_the_probe(spark):
+    turns = [("user" if k % 2 else f"assistant{chat.PROBE}", f"text {k}") for k in range(1000)]
+    rows = [(1, k, *t) for k, t in enumerate(turns)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (got,) = chat.digests(c).collect()
+    assert (got["n_turns"], got["rewritten"], got["formatted_chars"]) == (1000, False, len(chat.chatml(turns)))
+
+    def rewrites_the_first(ts):
+        return chat.chatml(ts if len(ts) <= 66 else [("user", "changed"), *ts[1:]])
+
+    for n in (65, 66, 67, 200):
+        assert chat.rewrites_history(rewrites_the_first, turns[:n]) == (n > 66)
+
+
+def plain_kd(rows: list[dict], shards: int, widths: dict) -> list[list[int]]:
+    """Documents of each shard by plain recursion over sorted lists."""
+    if shards == 1 or not rows:
+        return [[r["doc_id"] for r in rows]] + [[]] * (shards - 1)
+    width = lambda d: ((max(r[d] for r in rows) >> sharding.TIE_BITS) - (min(r[d] for r in rows) >> sharding.TIE_BITS)) / widths[d]
+    by = max(sharding.DIMENSIONS, key=width)
+    rows = sorted(rows, key=lambda r: r[by])
+    want, at, cut = sum(r["size"] for r in rows) * (shards // 2) / shards, 0, 0
+    while cut < len(rows) and at + rows[cut]["size"] < want:
+        at, cut = at + rows[cut]["size"], cut + 1
+    if cut < len(rows) and at + rows[cut]["size"] - want <= want - at:
+        cut += 1
+    return plain_kd(rows[:cut], shards // 2, widths) + plain_kd(rows[cut:], shards - shards // 2, widths)
+
+
+def test_shards_are_those_of_a_plain_tree(spark):
+    import random
+
+    pick = random.Random(3)
+    rows = [(k * 2**33, "x" * int(pick.expovariate(0.01)), pick.choice(["en", "de", None]), f"s{pick.randrange(9)}") for k in range(400)]
+    meta = sharding.metadata(make(spark, rows))
+    plain = [r.asDict() for r in meta.collect()]
+    widths = {d: max(1, (max(r[d] for r in plain) >> sharding.TIE_BITS) - (min(r[d] for r in plain) >> sharding.TIE_BITS)) for d in sharding.DIMENSIONS}
+    for shards in (2, 5, 16):
+        placed, _ = sharding.kd_shards(meta, shards)
+        got = {}
+        for r in placed.collect():
+            got.setdefault(r["shard"], []).append(r["doc_id"])
+        assert [sorted(got.get(k, [])) for k in range(shards)] == [sorted(x) for x in plain_kd(plain, shards, widths)]
+    order = [r["d_order"] for r in sorted(plain, key=lambda r: r["doc_id"])]
+    assert order == sorted(order)  # ids beyond 2^20 keep their order
+
+
+def test_label_model_gives_the_exact_posteriors():
+    """Three independent voters with labels for all rows: what is fitted is the table of counts, so Bayes' rule by hand."""
+    from itertools import product
+
+    votes = np.array(list(product((-1, 0, 1), repeat=3)))
+    p1, p0 = np.array([0.1, 0.2, 0.7]), np.array([0.6, 0.3, 0.1])
+    toxic = np.array([1e5 * 0.2 * np.prod(p1[v + 1]) for v in votes])
+    clean = np.array([1e5 * 0.8 * np.prod(p0[v + 1]) for v in votes])
+    model = toxicity.fit_label_model(votes, np.zeros(27), clean, toxic)
+    want = toxic / (toxic + clean)
+    assert np.abs(model.posterior(votes) - want).max() < 0.02
+    twice = np.column_stack([votes[:, :1]] * 3 + [votes[:, 1:]])  # a voter that is there three times counts once
+    assert np.abs(toxicity.fit_label_model(twice, np.zeros(27), clean, toxic).posterior(twice) - want).max() < 0.05
+
+
+def test_toxicity_without_labels_samples_by_a_hash(spark, monkeypatch):
+    docs = make(spark, [(k, "you stupid idiot and moron" if k % 10 == 0 else "a fine day", "en", "a") for k in range(300)])
+    nobody = spark.createDataFrame([], "doc_id long, toxic int")
+    models = [toxicity.train(docs.repartition(n), nobody, sample_rows=100) for n in (1, 7)]
+    assert np.allclose(models[0].weights, models[1].weights) and models[0].bias == pytest.approx(models[1].bias)
+    kept = toxicity.keep(docs, nobody)
+    assert kept.columns == docs.columns and kept.filter("doc_id % 10 <> 0").count() == 270
