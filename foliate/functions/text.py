@@ -5,6 +5,9 @@ White space is spelled out wherever engines differ on it; slices and lengths cou
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +28,48 @@ def decode_xml(c: str | Column) -> Column:
 
 
 def decode_xml_once(c: str | Column) -> Column:
-    """As :func:`decode_xml`, but every reference is replaced in one pass: the ampersand that a decoded reference
-    leaves never begins another one."""
-    mark = chr(0xE000)
-    out = F.replace(col(c), F.lit("&amp;"), F.lit(mark))
-    for name, char in XML_ENTITIES[:-1]:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit(mark), F.lit("&"))
+    """Every reference is replaced in one pass: the ampersand that a decoded reference leaves never begins another one."""
+    return decode_xml(c)  # the ampersand goes last
 
 
-def strip_tags(c: str | Column, rounds: int = 3) -> Column:
-    """Tags removed, and again, so that tags put together by a removal go too."""
-    out = col(c)
-    for _ in range(rounds):
-        out = F.regexp_replace(out, "<[^<>]*>", "")
-    return out
+def map_matches(c: str | Column, pattern: str, inside: Callable[[Column], Column], outside: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The text with ``inside`` applied to every match of ``pattern``, and ``outside`` (of a piece and its number) to what lies between."""
+    pieces, hits = F.split(col(c), pattern, -1), F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0))
+    between = F.transform(pieces, outside) if outside else pieces
+    return F.array_join(F.zip_with(between, hits, lambda p, h: F.concat(p, F.coalesce(inside(h), F.lit("")))), "")
+
+
+def decode_numeric(c: str | Column) -> Column:
+    """Decimal and hexadecimal character references to their characters; those beyond Unicode stay."""
+
+    def char(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);", 1)
+        code = F.when(ref.rlike("(?i)^&#x"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+        utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
+        return F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(utf32, "UTF-32")).otherwise(ref)
+
+    return map_matches(c, "&#(?:[0-9]{1,9}|[xX][0-9A-Fa-f]{1,8});", char)
+
+
+def strip_tags(c: str | Column) -> Column:
+    """Tags removed until none is left: a removal may put another tag together, so each ``>`` closes the nearest open ``<``.
+
+    What goes is every ``<`` that some ``>`` closes, with all between; that is a fold over the pieces between brackets, with the
+    open ones on a stack of texts.
+    """
+    start = F.array(F.lit("")).cast("array<string>")
+
+    def step(stack: Column, token: Column) -> Column:
+        top, depth = F.element_at(stack, -1), F.size(stack)
+        return (
+            F.when(token == "<", F.concat(stack, F.array(F.lit("<"))))
+            .when((token == ">") & (depth > 1), F.slice(stack, F.lit(1), depth - 1))
+            .otherwise(F.concat(F.slice(stack, F.lit(1), depth - 1), F.array(F.concat(top, token))))
+        )
+
+    tokens = F.regexp_extract_all(col(c), F.lit("[<>]|[^<>]+"), F.lit(0))
+    folded = F.aggregate(tokens, start, step, lambda stack: F.array_join(stack, ""))
+    return F.when(col(c).contains("<"), folded).otherwise(col(c))
 
 
 def word_hyphens(c: str | Column) -> Column:
@@ -58,13 +88,13 @@ def strip_furniture(c: str | Column, brand: str = r"[A-Z][A-Za-z]+") -> Column:
     """Page footers (``Page 3 of 12``, with a brand before or after): a line of its own leaves a line break, one
     within a line leaves a space."""
     footer = rf"(?:{brand} \| )?Page [0-9]+ of [0-9]+(?: \| {brand})?"
-    own = F.regexp_replace(col(c), rf"\n[ ]*{footer}[ ]*\n", "\n")
-    return F.regexp_replace(own, rf"[ ]*{footer}[ ]*", " ")
+    own = F.regexp_replace(col(c), rf"\n[ \t]*{footer}[ \t]*(?=\n)", "\n")
+    return F.regexp_replace(own, rf"[ \t]*{footer}[ \t]*", " ")
 
 
 def join_hyphens(c: str | Column) -> Column:
-    """U+2010 between two letters, with or without a line break after it, is taken out."""
-    return F.regexp_replace(col(c), "(\\p{L})\u2010\n?(\\p{L})", "$1$2")
+    """U+2010 between two letters, with or without blanks and a line break after it, is taken out."""
+    return F.regexp_replace(col(c), "(\\p{L})\u2010[ \t]*\r?\n?[ \t]*(\\p{L})", "$1$2")
 
 
 def hyphens_left(c: str | Column) -> Column:
@@ -72,8 +102,8 @@ def hyphens_left(c: str | Column) -> Column:
 
 
 def strip_escapes(c: str | Column) -> Column:
-    """Backslashes before ten characters that need none (the dot is not one of them)."""
-    return F.regexp_replace(col(c), r"\\+([-_*#+!()\[\]])", "$1")
+    """Backslashes before ten characters that need none (fixed values; the dot is not one of them)."""
+    return F.regexp_replace(col(c), r"\\+([~+=)(\[\]\-*_])", "$1")
 
 
 def plain_spaces(c: str | Column) -> Column:
@@ -104,16 +134,27 @@ def is_short_label(c: str | Column) -> Column:
 def slug(c: str | Column, most: int = 44, trim_last: bool = True) -> Column:
     """Lower case, accents off, ``&`` to ``and``, all else to hyphens; cut at ``most``.  ``trim_last`` trims hyphens
     after the cut, else before it (then a slug may end with one)."""
-    out = F.translate(F.lower(col(c)), ACCENTED, PLAIN)
+    out = F.regexp_replace(F.lower(F.translate(col(c), ACCENTED, PLAIN)), MARKS, "")
     out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-")
     if trim_last:
         return F.btrim(F.substring(F.btrim(out, F.lit("-")), 1, most), F.lit("-"))
     return F.substring(F.btrim(out, F.lit("-")), 1, most)
 
 
-#: Letters with a mark, and the letters they decompose to (Latin-1 and a few more, natural order).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _letters_with_marks() -> tuple[str, str]:
+    """All letters that the Unicode data decompose to one ASCII letter and marks, and these letters, in lower case."""
+    found = {}
+    for code in range(0xC0, 0x2100):
+        c = chr(code)
+        base = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0].isascii() and base[0].isalpha() and base[0] != c:
+            found[c] = base[0].lower()
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _letters_with_marks()
+#: Marks that stand by themselves after a decomposed letter.
+MARKS = "[\u0300-\u036f]+"
 
 
 def fingerprint(c: str | Column) -> Column:
@@ -133,7 +174,7 @@ def words_of_letters(c: str | Column) -> Column:
 
 
 def words_with_digits(c: str | Column) -> Column:
-    """Runs of letters and digits."""
+    """Runs of letters and digits (marks that follow a letter belong to none of them)."""
     return F.regexp_extract_all(col(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
@@ -169,12 +210,26 @@ def escape_markdown(c: str | Column) -> Column:
 
 
 def escape_latex(c: str | Column) -> Column:
-    """Every special character gets its backslash in one pass, so a backslash put in is never met again."""
-    return F.regexp_replace(col(c), r"([#$%&_{}])", r"\\$1")
+    """Every special character gets its backslash in one pass, so a backslash put in is never met again; a backslash, a
+    tilde and a circumflex have names instead."""
+    named = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+    def safe(x: Column) -> Column:
+        out = F.concat(F.lit("\\"), x)
+        for char, name in named.items():
+            out = F.when(x == char, name).otherwise(out)
+        return out
+
+    return map_matches(c, r"[#$%&_{}\\~^]", safe)
 
 
 def media_path(c: str | Column) -> Column:
-    """A path below ``word/``: dot segments resolved, a leading slash meaning the archive's root."""
-    out = F.when(col(c).startswith("/"), F.substring(col(c), F.lit(2), F.length(col(c)))).otherwise(F.concat(F.lit("word/"), col(c)))
-    out = F.regexp_replace(out, r"(^|/)\./", "$1")
-    return F.regexp_replace(out, r"(^|/)[^/.]+/\.\./", "$1")
+    """A path below ``word/``: dot segments resolved at any depth, a leading slash meaning the archive's root."""
+    full = F.when(col(c).startswith("/"), F.substring(col(c), F.lit(2), F.length(col(c)))).otherwise(F.concat(F.lit("word/"), col(c)))
+    start = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part.isin(".", ""), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(full, "/"), start, step), "/")

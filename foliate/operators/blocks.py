@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .folds import fold
 
 
 def islands(rows: DataFrame, by: str, order: str, same: str) -> DataFrame:
@@ -20,7 +18,8 @@ def islands(rows: DataFrame, by: str, order: str, same: str) -> DataFrame:
 
 
 def merge_neighbours(rows: DataFrame, by: str, order: str, same: str, text: str) -> DataFrame:
-    """Neighbours of one kind as one block, their texts joined in order by a blank line."""
+    """Neighbours of one kind as one block, their texts joined in order by a blank line.  A merged block is one row, so a run of
+    neighbours is held whole."""
     joined = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return (
         islands(rows, by, order, same)
@@ -56,47 +55,30 @@ def split_long(paragraphs: DataFrame, most: int = 460, fill: float = 0.5) -> Dat
     ``paragraphs`` is (doc_id, pos, n_words, is_lead); a document's paragraphs are folded in order.  Documents of
     ``most`` words or fewer stay whole.  Returns (doc_id, pos, part).
     """
-    item = F.struct("pos", "n_words", "is_lead")
-    docs = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("n_words").alias("total"))
-    out = F.array().cast("array<struct<pos:int,part:int>>")
+    whole = F.sum("n_words").over(Window.partitionBy("doc_id")) <= most
 
-    def step(acc: Column, x: Column) -> Column:
-        cut = x["is_lead"] & (acc["held"] >= fill * most)
-        part = acc["part"] + cut.cast("int")
-        return F.struct(
-            part.alias("part"),
-            (F.when(cut, 0).otherwise(acc["held"]) + x["n_words"]).cast("long").alias("held"),
-            F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), part.alias("part")))).alias("out"),
-        )
+    def step(state: dict, n_words: int, is_lead: bool, whole: bool) -> tuple:
+        if is_lead and not whole and state["held"] >= fill * most:
+            state["part"], state["held"] = state["part"] + 1, 0
+        state["held"] += n_words
+        return (state["part"],)
 
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("held"), out.alias("out"))
-    folded = F.aggregate("items", start, step, lambda acc: acc["out"])
-    whole = F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), F.lit(0).alias("part")))
-    return docs.select("doc_id", F.inline(F.when(F.col("total") > most, folded).otherwise(whole)))
+    return fold(paragraphs.withColumn("whole", whole), ["doc_id"], ["pos"], ["n_words", "is_lead", "whole"], lambda: {"part": 0, "held": 0}, step, "part int")
 
 
 def pack_batches(entries: DataFrame, by: str, order: str, size: str, most_bytes: int, most: int) -> DataFrame:
     """Greedy batches in order: a batch ends before the entry that would take it over its bytes or its count; an entry
-    larger than a batch is one by itself.  Each queue (``by``) is read as a sorted stream, so none is held whole; one
-    queue is still one task's, as each batch starts where the last one ends."""
-    rows = entries.select(by, F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
-    names = [by, order, "batch"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue, batch, n, held, begun = None, 0, 0, 0, False
-        for part in batches:
-            out = []
-            for q, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                if not begun or q != queue:
-                    queue, batch, n, held, begun = q, 0, 0, 0, True
-                if n and (held + s > most_bytes or n >= most):
-                    batch, n, held = batch + 1, 0, 0
-                n, held = n + 1, held + s
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names)
-
-    schema = StructType([*rows.select(by, order).schema.fields, StructField("batch", IntegerType())])
-    return rows.repartition(by).sortWithinPartitions(by, order, "__size").mapInArrow(run, schema)
+    larger than a batch is one by itself.  One queue is one task's, as each batch starts where the last one ends."""
+    rows = entries.select(by, F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+
+    def step(state: dict, size: int) -> tuple:
+        if state["n"] and (state["held"] + size > most_bytes or state["n"] >= most):
+            state.update(batch=state["batch"] + 1, n=0, held=0)
+        state["n"] += 1
+        state["held"] += size
+        return (state["batch"],)
+
+    return fold(rows, [by], [order], ["size"], lambda: {"batch": 0, "n": 0, "held": 0}, step, "batch int")
 
 
 #: First bytes of known kinds, from the formats' own specifications (hexadecimal, fixed values).
@@ -113,13 +95,15 @@ MAGIC = (
 
 
 def sniff(content: str | Column) -> Column:
-    """Kind of a file by its first bytes; ``text`` for valid UTF-8, nearly all of it printable; else ``unknown``."""
+    """Kind of a file by its first bytes; ``text`` for valid UTF-8 of which over 95 % of the first 4 KiB are letters, marks, numbers,
+    punctuation, symbols or white space; else ``unknown``.  A character that the cut at 4 KiB splits is left out."""
     c = F.col(content) if isinstance(content, str) else content
     head = F.hex(F.substring(c, 1, 8))
-    start = F.substring(c, 1, 4096)
-    text = F.try_to_binary(F.hex(start), F.lit("hex")).cast("string")
-    control = F.regexp_count(text, F.lit(r"[\x00-\x08\x0E-\x1F]"))
-    is_text = F.is_valid_utf8(text) & (F.length(text) > 0) & (control < 0.05 * F.length(text))
+    digits = F.regexp_replace(F.hex(F.substring(c, 1, 4096)), "^((?:..)*?)(?:[C-F].|(?:E.|F.)[89AB].|F.[89AB].[89AB].)$", "$1")
+    start = F.when(F.octet_length(c) > 4096, digits).otherwise(F.hex(c))
+    text = F.try_to_binary(start, F.lit("hex")).cast("string")
+    printable = F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}\t\r\n]"))
+    is_text = F.is_valid_utf8(text) & (F.length(text) > 0) & (printable > 0.95 * F.length(text))
     out = F.when(is_text, "text").otherwise("unknown")
     for kind, magic in reversed(MAGIC):
         out = F.when(head.startswith(magic), kind).otherwise(out)

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 
-def inherited_levels(styles: DataFrame, depth: int = 20) -> DataFrame:
-    """Each style's own level, else that of the nearest style it is based on; cycles and long chains end at ``depth``.
 
-    ``styles`` is (style, level, based_on).  Each round follows every open chain one step, so the number of rounds is
-    the longest chain; resolved styles leave.
+def inherited_levels(styles: DataFrame) -> DataFrame:
+    """Each style's own level, else that of the nearest style it is based on, at any length of the chain; null where the chain ends
+    or runs in a circle without one.
+
+    ``styles`` is (style, level, based_on).  Pointers are doubled: after k rounds a row knows the nearest level within 2^k steps and
+    who comes next, so the rounds are the logarithm of the longest chain.  Only rows without a level and with a next style stay open; when
+    a round resolves none and no pointer is left that was not seen, what is open is a circle.
     """
-    parents = styles.select(F.col("style").alias("__s"), F.col("level").alias("__l"), F.col("based_on").alias("__b"))
-    open_, done = styles.select("style", "level", F.col("based_on").alias("at")), None
-    for _ in range(depth):
-        here = open_.filter("level is not null or at is null").select("style", "level")
-        done = here if done is None else done.unionByName(here)
-        rest = open_.filter("level is null and at is not null")
-        open_ = rest.join(parents, F.col("at") == F.col("__s"), "left").select(
-            "style", F.col("__l").alias("level"), F.col("__b").alias("at")
-        )
-    return done.unionByName(open_.select("style", F.lit(None).cast("int").alias("level")))
+    rows = styles.select("style", F.col("level").cast("int").alias("level"), F.col("based_on").cast("string").alias("next"))
+    rounds = max(1, rows.count()).bit_length() + 1  # no chain is longer than there are styles
+    for _ in range(rounds):
+        above = rows.select(F.col("style").alias("__s"), F.col("level").alias("__l"), F.col("next").alias("__n"))
+        open_ = F.col("level").isNull() & F.col("next").isNotNull()
+        joined = rows.join(above, open_ & (F.col("next") == F.col("__s")), "left")
+        rows = joined.select("style", F.coalesce("level", "__l").alias("level"), F.when(F.coalesce("level", "__l").isNull(), F.col("__n")).alias("next"))
+        rows = cut(rows)  # its plan would double each round
+        if rows.filter("level IS NULL AND next IS NOT NULL").isEmpty():
+            break
+    return rows.select("style", "level")
 
 
 def list_formats(paragraphs: DataFrame, numbers: DataFrame, formats: DataFrame) -> DataFrame:
@@ -42,8 +47,9 @@ def drained_before(points: DataFrame, blocks: DataFrame) -> DataFrame:
     both = points.select("doc_id", "at", F.lit(0).alias("kind"), "point_id", F.lit(None).cast("long").alias("block_id")).unionByName(
         blocks.select("doc_id", F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("point_id"), "block_id")
     )
-    ahead = Window.partitionBy("doc_id").orderBy("at", F.desc("kind"), "block_id").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("into", F.first("block_id", True).over(ahead)).filter("kind = 0").select("doc_id", "point_id", "into")
+    # from the end: a frame that grows is linear
+    ahead = Window.partitionBy("doc_id").orderBy(F.desc("at"), "kind", F.desc("block_id")).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("into", F.last("block_id", True).over(ahead)).filter("kind = 0").select("doc_id", "point_id", "into")
 
 
 def with_fallback(left: DataFrame, right: DataFrame, key: str, fallback: str, value: str) -> DataFrame:
@@ -59,20 +65,34 @@ def with_fallback(left: DataFrame, right: DataFrame, key: str, fallback: str, va
     )
 
 
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` marked for a broadcast if it has few rows; else joins shuffle it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def first_prefix(rows: DataFrame, titles: DataFrame, text: str = "text") -> DataFrame:
     """Each row with the first title (by ``ord``) whose prefix it begins with.
 
     Rows meet titles on the length of a prefix and the text up to it, an equi join; the number of lengths is what
     multiplies the rows, not the number of titles.
     """
-    lengths = [r[0] for r in titles.select(F.length("prefix")).distinct().limit(1000).collect()]
-    cut = F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])) if lengths else F.explode(F.array().cast("array<int>"))
-    candidates = rows.select("row_id", F.col(text).alias("__t"), cut.alias("__n"))
-    candidates = candidates.filter(F.length("__t") >= F.col("__n")).select("row_id", F.expr("substring(__t, 1, __n)").alias("prefix"))
-    hit = candidates.join(F.broadcast(titles), "prefix").groupBy("row_id").agg(F.min_by("title", "ord").alias("title"))
+    lengths = titles.select(F.length("prefix").alias("__n")).distinct().agg(F.array_sort(F.collect_list("__n")).alias("__lengths"))
+    cut = rows.select("row_id", F.col(text).alias("__t")).join(F.broadcast(lengths))  # one row: an array of lengths
+    fit = F.filter("__lengths", lambda n: n <= F.length("__t"))
+    candidates = cut.select("row_id", F.explode(F.transform(fit, lambda n: F.col("__t").substr(F.lit(1), n))).alias("prefix"))
+    hit = candidates.join(small(titles), "prefix").groupBy("row_id").agg(F.min_by("title", "ord").alias("title"))
     return rows.join(hit, "row_id", "left")
 
 
+def unused_prefixes(rows: DataFrame, titles: DataFrame, text: str = "text") -> DataFrame:
+    """The titles that no row took."""
+    return titles.join(first_prefix(rows, titles, text).select("title").distinct(), "title", "left_anti")
+
+
 def reconcile(asked: DataFrame, answered: DataFrame) -> DataFrame:
     """What was asked for against what came back, by name: uploaded, failed (also when unnamed) or volunteered."""
     both = asked.select("name", F.lit(True).alias("__asked")).join(
@@ -86,32 +106,41 @@ def reconcile(asked: DataFrame, answered: DataFrame) -> DataFrame:
     return both.select("name", status.alias("status"))
 
 
-def bag_difference(source: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+def bag_difference(source: DataFrame, readings: DataFrame) -> DataFrame:
     """Words that occur more often in ``source`` than in the better of two readings, and by how much.
 
-    All three are (doc_id, word); counts are combined before the shuffle.
+    ``source`` is (doc_id, word), ``readings`` (doc_id, word, in_first, in_second); both readings are counted in one pass, and counts are
+    combined before the shuffle.
     """
-    count = lambda d, n: d.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias(n))
-    joined = count(source, "n").join(count(first, "a"), ["doc_id", "word"], "left").join(count(second, "b"), ["doc_id", "word"], "left")
-    best = F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))
+    n = source.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    read = readings.groupBy("doc_id", "word").agg(F.greatest(F.count_if("in_first"), F.count_if("in_second")).alias("best"))
+    best = F.coalesce("best", F.lit(0))
+    joined = n.join(read, ["doc_id", "word"], "left")
     return joined.filter(F.col("n") > best).select("doc_id", "word", (F.col("n") - best).alias("missing"))
 
 
 def longest_runs(source: DataFrame, published: DataFrame) -> DataFrame:
     """Per source line: its words and the longest run of them, from its first word on, that stands in ``published``.
 
-    ``source`` is (doc_id, line, i, word), ``published`` (doc_id, i, word), i counting from 0.  Every place of the
-    line's first word is a candidate; the line's words meet the published ones at their place, an equi join on
-    document and place, and the run of a candidate ends at its first gap.
+    ``source`` is (doc_id, line, i, word), ``published`` (doc_id, i, word), i counting from 0.  Places where the line's first three words
+    stand are candidates; the line's words meet the published ones at their place, an equi join on document and
+    place, and the run of a candidate ends at its first gap.  Shorter runs need no place: that the first word, or the
+    first two, stand anywhere is enough.
     """
-    starts = source.filter("i = 0").join(published.withColumnRenamed("i", "at"), ["doc_id", "word"]).select("doc_id", "line", "at")
-    line = starts.join(source, ["doc_id", "line"]).select("doc_id", "line", "at", "i", "word", (F.col("at") + F.col("i")).alias("place"))
+    along = Window.partitionBy("doc_id").orderBy("i")
+    p = published.select("doc_id", F.col("i").alias("at"), F.col("word").alias("w0"), *[F.lead("word", k).over(along).alias(f"w{k}") for k in (1, 2)])
+    lines = source.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("want"), *[F.max(F.when(F.col("i") == k, F.col("word"))).alias(f"w{k}") for k in range(3)])
+    one = p.select("doc_id", "w0").distinct().withColumn("one", F.lit(1))
+    two = p.filter("w1 IS NOT NULL").select("doc_id", "w0", "w1").distinct().withColumn("two", F.lit(2))
+    starts = lines.join(p, ["doc_id", "w0", "w1", "w2"]).select("doc_id", "line", "at")
+    line = starts.join(source.filter("i >= 3"), ["doc_id", "line"]).select("doc_id", "line", "at", "i", "word", (F.col("at") + F.col("i")).alias("place"))
     met = line.join(published.withColumnRenamed("i", "place"), ["doc_id", "place", "word"])
     order = Window.partitionBy("doc_id", "line", "at").orderBy("i")
-    run = met.withColumn("gap", F.col("i") - F.row_number().over(order) + 1).filter("gap = 0")
-    best = run.groupBy("doc_id", "line", "at").agg(F.count(F.lit(1)).alias("run")).groupBy("doc_id", "line").agg(F.max("run").alias("best"))
-    want = source.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("want"))
-    return want.join(best, ["doc_id", "line"], "left").withColumn("best", F.coalesce("best", F.lit(0)))
+    run = met.withColumn("gap", F.col("i") - F.row_number().over(order) - 2).filter("gap = 0")
+    more = run.groupBy("doc_id", "line", "at").agg((F.count(F.lit(1)) + 3).alias("run")).groupBy("doc_id", "line").agg(F.max("run").alias("more"))
+    three = starts.select("doc_id", "line").distinct().withColumn("three", F.lit(3))
+    found = lines.join(one, ["doc_id", "w0"], "left").join(two, ["doc_id", "w0", "w1"], "left").join(three, ["doc_id", "line"], "left").join(more, ["doc_id", "line"], "left")
+    return found.select("doc_id", "line", "want", F.coalesce("more", "three", "two", "one", F.lit(0)).cast("long").alias("best"))
 
 
 def verdict_of_runs(runs: DataFrame, least: int = 4, share: float = 0.5) -> DataFrame:

@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Line classes in the order in which they are tried (first match wins), as patterns that Java and RE2 read alike.
+from .folds import fold
+
+#: Line classes in the order in which they are tried (first match wins), as patterns that Java and RE2 read alike.  The
+#: forms of examples, steps, answers, rules, bold and where-lines are fixed values.
 CLASSES = (
     ("blank", r"^[ \t]*$"),
     ("heading", r"^#{1,6}[ \t]+[^ \t]"),
     ("table", r"^[ \t]*\|"),
     ("display", r"^[ \t]*\$\$"),
-    ("example", r"^\**(?:Example|EXAMPLE|example)\**(?: [0-9]+)?\**[ \t]*[:.]"),
-    ("step", r"^\**(?:Step|step) [0-9]+"),
-    ("answer", r"^\**(?:Final answer|Answer|answer)\**[ \t]*:"),
-    ("rule", r"^\*\*[^*]+\*\*[ \t]*[:=][ \t]*\$"),
+    ("step", r"^\*\*Step[ \t]*[0-9]+[ \t]*[:.)\-–]?[ \t]*[^*]*?\*\*[ \t]*"),
+    ("answer", r"(?i)^\*\*Final Answer[^*]*\*\*[ \t]*$"),
+    ("example", r"^[ \t]*(?:[-*][ \t]+)?\*\*(?:[^*]{1,24}?\bExamples?[ \t]*:|Examples?)[^*]*\*\*[ \t]*:?[ \t]*"),
+    ("rule", r"^[ \t]*[-*][ \t]+\*\*[^*]+?\*\*[ \t]*:?[ \t]*.*$"),
     ("bold", r"^\*\*[^*]+\*\*:?[ \t]*$"),
     ("list", r"^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+"),
-    ("where", r"^(?:where|Where)[ \t]"),
+    ("where", r"(?i)^[ \t]*where\b"),
 )
 
 
@@ -68,8 +71,9 @@ def so_far(*more: str) -> WindowSpec:
     return in_doc(*more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def after(*more: str) -> WindowSpec:
-    return in_doc(*more).rowsBetween(1, Window.unboundedFollowing)
+def from_end(*more: str) -> WindowSpec:
+    """The lines after a line, the farthest first: a frame that grows, where one that shrinks would be read anew for each line."""
+    return Window.partitionBy("doc_id", *more).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def before(*more: str) -> WindowSpec:
@@ -120,15 +124,21 @@ def labels_of_sections(lines: DataFrame) -> DataFrame:
     )
 
 
-def join_leads(lines: DataFrame) -> DataFrame:
-    """Bold-only lines wait for the next ordinary paragraph and stand before it; a heading ends the wait.
+def join_leads(lines: DataFrame, deep: int = 4) -> DataFrame:
+    """Bold-only lines and headings of level ``deep`` or more wait for the next ordinary paragraph and stand before it, over
+    lists and the like; any other heading ends the wait, and so does the paragraph.
 
     Returns the paragraphs with their lead (null if there was none).
     """
     filled = with_class(lines).filter(F.col("class") != "blank")
-    ahead = filled.withColumns({"prev_class": F.lag("class").over(in_doc()), "prev_text": F.lag("text").over(in_doc())})
-    lead = F.when(F.col("prev_class") == "bold", F.translate("prev_text", "*", ""))
-    return ahead.filter(F.col("class") == "text").select("doc_id", "pos", lead.alias("lead"), "text")
+    is_lead = (F.col("class") == "bold") | (F.coalesce("level", F.lit(0)) >= deep)
+    ends = (F.col("class") == "text") | ((F.col("class") == "heading") & ~is_lead)
+    # a wait is what lies between two lines that end one
+    wait = F.sum(F.when(ends, 1).otherwise(0)).over(before())
+    text = F.when(F.col("class") == "bold", F.translate("text", "*", "")).otherwise(heading_text())
+    waiting = filled.withColumn("wait", F.coalesce(wait, F.lit(0)))
+    led = waiting.withColumn("lead", F.last(F.when(is_lead, text), True).over(in_doc("wait").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return led.filter(F.col("class") == "text").select("doc_id", "pos", "lead", "text")
 
 
 def empty_sections(lines: DataFrame) -> DataFrame:
@@ -157,38 +167,35 @@ def contents_pages(lines: DataFrame, least: int = 5, share: float = 0.7) -> Data
 
 def list_depths(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     """Depth of each list item by a fold over the lines of a document: an item is deeper than the last one if it is
-    indented by at least that one's marker width; a line of text empties the stack, a blank one does not."""
+    indented by at least that one's marker width; a line of text empties the stack, a blank one does not.  ``parent`` is the
+    line of the item that it stands below (null at the top)."""
     marker = F.length(F.regexp_extract("text", r"^[ \t]*((?:[-*+]|[0-9]+[.)])[ \t]+)", 1))
     rows = with_class(lines).withColumn("marker", marker)
-    item = F.struct("pos", "class", "indent", "marker")
-    groups = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    stack = F.array().cast("array<struct<indent:int,marker:int>>")
-    out = F.array().cast("array<struct<pos:int,depth:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        above = F.filter(acc["stack"], lambda s: s["indent"] + s["marker"] <= x["indent"])
-        kept = F.when(x["class"] == "list", F.concat(above, F.array(F.struct(x["indent"], x["marker"])))).when(
-            x["class"] == "blank", acc["stack"]
-        )
-        grown = F.when(
-            x["class"] == "list",
-            F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), F.size(above).alias("depth")))),
-        )
-        return F.struct(F.coalesce(kept, stack).alias("stack"), F.coalesce(grown, acc["out"]).alias("out"))
 
-    folded = F.aggregate("items", F.struct(stack.alias("stack"), out.alias("out")), step, lambda acc: acc["out"])
-    return groups.select(by, F.inline(folded))
+    def step(stack: list, pos: int, kind: str, indent: int, marker: int) -> tuple | None:
+        if kind == "list":
+            while stack and stack[-1][0] > indent:
+                stack.pop()
+            out = (len(stack), stack[-1][1] if stack else None)
+            stack.append((indent + marker, pos))
+            return out
+        if kind != "blank":
+            stack.clear()
+        return None
+
+    return fold(rows, [by], ["pos"], ["pos", "class", "indent", "marker"], list, step, "depth int, parent int")
 
 
 def numbered_siblings(lines: DataFrame) -> DataFrame:
     """Numbered items with whether they keep their number: another numbered item of the same run stands beside them.
 
-    A run is what lies between lines that are neither list items nor blank; deeper items within it are stepped over.
+    A run is what lies between lines that are neither list items nor blank; items stand beside each other if they have one parent, so
+    deeper ones are stepped over.
     """
-    rows = with_class(lines)
     breaks = F.sum(F.when(~F.col("class").isin("list", "blank"), 1).otherwise(0)).over(so_far())
-    numbered = rows.withColumn("run", breaks).filter(F.col("text").rlike(r"^[ \t]*[0-9]+[.)][ \t]+"))
-    beside = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "run", "indent"))
+    runs = with_class(lines).withColumn("run", breaks).select("doc_id", "pos", "run", "text")
+    numbered = runs.filter(F.col("text").rlike(r"^[ \t]*[0-9]+[.)][ \t]+")).join(list_depths(lines), ["doc_id", "pos"])
+    beside = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "run", "parent"))
     return numbered.select("doc_id", "pos", (beside > 1).alias("keeps_number"))
 
 
@@ -199,5 +206,5 @@ def heading_before(lines: DataFrame) -> DataFrame:
         "doc_id",
         "pos",
         F.last(name, True).over(before()).alias("under"),
-        F.first(name, True).over(after()).alias("ahead"),
+        F.last(name, True).over(from_end()).alias("ahead"),
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+
 FACTS_SCHEMA = "file_id string, fact string, value string"
 RULES_SCHEMA = "rule_id string, fact string, condition string"
 #: Parts in which a rule's files are ordered.
@@ -43,19 +45,21 @@ def long_facts(wide: DataFrame, key: str) -> DataFrame:
 def match(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, rule_id): every rule all of whose clauses a file meets.
 
-    Clauses meet facts on the fact's name, so nothing is compared that a rule does not name; rules are data of fixed,
-    small size and are broadcast.
+    Clauses meet facts on the fact's name, so nothing is compared that a rule does not name; rules are broadcast if they are
+    few.  A clause is met if any row of its fact meets it, so repeated facts count once.
     """
-    clauses = rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("clauses"))
-    hit = facts.join(F.broadcast(rules), "fact").filter(meets(F.col("value"), F.col("condition")))
-    met = hit.groupBy("file_id", "rule_id").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(F.broadcast(clauses), "rule_id").filter("met = clauses").select("file_id", "rule_id")
+    rules = rules.distinct()
+    number = F.row_number().over(Window.partitionBy("rule_id").orderBy("fact", "condition"))  # a rule's clauses are few
+    numbered = small(rules.withColumns({"clause": number, "clauses": F.count(F.lit(1)).over(Window.partitionBy("rule_id"))}))
+    hit = facts.join(numbered, "fact").filter(meets(F.col("value"), F.col("condition")))
+    met = hit.groupBy("file_id", "rule_id", "clauses").agg(F.size(F.collect_set("clause")).alias("met"))
+    return met.filter("met = clauses").select("file_id", "rule_id")
 
 
 def report(matches: DataFrame, rules: DataFrame, samples: int = 8) -> DataFrame:
     """Per rule: how many files it matches and the first of them; rules without a match too."""
     counts = matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_files"))
-    short = matches.select("rule_id", F.substring("file_id", 1, 12).alias("id")).filter("id IS NOT NULL").distinct()
+    short = matches.select("rule_id", F.col("file_id").alias("id")).filter("id IS NOT NULL").distinct()
     first = short.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     for by in (["rule_id", "salt"], ["rule_id"]):  # so that no task orders all files of a rule
         first = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("place") <= samples)

@@ -55,13 +55,13 @@ CLASS = """CASE
     WHEN regexp_matches(text, '^#{1,6}[ \\t]+[^ \\t]') THEN 'heading'
     WHEN regexp_matches(text, '^[ \\t]*\\|') THEN 'table'
     WHEN regexp_matches(text, '^[ \\t]*\\$\\$') THEN 'display'
-    WHEN regexp_matches(text, '^\\**(?:Example|EXAMPLE|example)\\**(?: [0-9]+)?\\**[ \\t]*[:.]') THEN 'example'
-    WHEN regexp_matches(text, '^\\**(?:Step|step) [0-9]+') THEN 'step'
-    WHEN regexp_matches(text, '^\\**(?:Final answer|Answer|answer)\\**[ \\t]*:') THEN 'answer'
-    WHEN regexp_matches(text, '^\\*\\*[^*]+\\*\\*[ \\t]*[:=][ \\t]*\\$') THEN 'rule'
+    WHEN regexp_matches(text, '^\\*\\*Step[ \\t]*[0-9]+[ \\t]*[:.)\\-–]?[ \\t]*[^*]*\\*\\*') THEN 'step'
+    WHEN regexp_matches(text, '(?i)^\\*\\*Final Answer[^*]*\\*\\*[ \\t]*$') THEN 'answer'
+    WHEN regexp_matches(text, '^[ \\t]*(?:[-*][ \\t]+)?\\*\\*(?:[^*]{1,24}\\bExamples?[ \\t]*:|Examples?)[^*]*\\*\\*') THEN 'example'
+    WHEN regexp_matches(text, '^[ \\t]*[-*][ \\t]+\\*\\*[^*]+\\*\\*') THEN 'rule'
     WHEN regexp_matches(text, '^\\*\\*[^*]+\\*\\*:?[ \\t]*$') THEN 'bold'
     WHEN regexp_matches(text, '^[ \\t]*(?:[-*+]|[0-9]+[.)])[ \\t]+') THEN 'list'
-    WHEN regexp_matches(text, '^(?:where|Where)[ \\t]') THEN 'where'
+    WHEN regexp_matches(text, '(?i)^[ \\t]*where\\b') THEN 'where'
     ELSE 'text' END"""
 
 LEVEL = "nullif(length(regexp_extract(text, '^(#{1,6})[ \\t]+[^ \\t]', 1)), 0)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -11,20 +11,30 @@ from . import query
 from .fixtures import LINES, lines
 from .lines import longs
 
-STYLES = """(VALUES ('base', 1, NULL), ('child', NULL, 'base'), ('grandchild', NULL, 'child'), ('own', 3, 'base'),
-  ('round_a', NULL, 'round_b'), ('round_b', NULL, 'round_a'), ('alone', NULL, NULL), ('lost', NULL, 'missing')) AS s(style, level, based_on)"""
+#: Styles from parts: chains of fifty, the first of a chain with a level of its own in two of three chains; every chain of a fifth kind ends in a
+#: circle, and some styles are based on one that is not there.
+STYLES = """styles AS (SELECT 's' || p_partkey AS style, CASE WHEN p_partkey % 50 = 0 AND p_partkey // 50 % 3 < 2 THEN (p_size % 6 + 1)::INT END AS level,
+  CASE WHEN p_partkey % 50 > 0 THEN 's' || (p_partkey - 1) WHEN p_partkey // 50 % 3 = 2 THEN 's' || (p_partkey + 49) WHEN p_partkey % 100 = 0 THEN 'missing' END AS based_on FROM part)"""
 
 
 @query(
-    f"""WITH RECURSIVE s AS (SELECT * FROM {STYLES}), walk AS (
-  SELECT style, level, based_on, 0 AS depth FROM s
-  UNION ALL SELECT w.style, p.level, p.based_on, depth + 1 FROM walk w JOIN s p ON w.based_on = p.style
-  WHERE w.level IS NULL AND depth < 20
+    f"""WITH RECURSIVE {STYLES}, walk AS (
+  SELECT style, level, based_on, 0 AS depth FROM styles
+  UNION ALL SELECT w.style, p.level, p.based_on, depth + 1 FROM walk w JOIN styles p ON w.based_on = p.style
+  WHERE w.level IS NULL AND depth < 200
 ) SELECT style, arg_min(level, depth)::BIGINT AS level FROM walk GROUP BY style"""
 )
 def style_levels_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels inherited along a chain of styles, with a circle and a missing parent in it."""
-    styles = spark.sql(f"SELECT style, cast(level AS int) AS level, cast(based_on AS string) AS based_on FROM {STYLES}")
+    """Levels inherited along chains of fifty styles, with circles and missing parents among them.  No chain has 200 steps, so the SQL's end
+    only stops circles."""
+    k = F.col("p_partkey")
+    chain = F.expr("p_partkey div 50") % 3
+    name = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    styles = table(spark, sf_dir, "part").select(
+        name(k).alias("style"),
+        F.when((k % 50 == 0) & (chain < 2), (F.col("p_size") % 6 + 1).cast("int")).alias("level"),
+        F.when(k % 50 > 0, name(k - 1)).when(chain == 2, name(k + 49)).when(k % 100 == 0, F.lit("missing")).alias("based_on"),
+    )
     return longs(J.inherited_levels(styles), "level")
 
 
@@ -82,14 +92,15 @@ def anti_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH known AS (SELECT DISTINCT source FROM documents WHERE lang = 'en')
-SELECT source, count(*)::BIGINT AS n FROM documents WHERE source NOT IN (SELECT source FROM known WHERE source IS NOT NULL) GROUP BY source"""
+    """WITH used AS (SELECT source || '/' || lang AS series FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+known AS (SELECT DISTINCT source || '/' || lang AS series FROM documents WHERE n_chars > 3000)
+SELECT series, count(*)::BIGINT AS n FROM used WHERE series NOT IN (SELECT series FROM known WHERE series IS NOT NULL) GROUP BY series"""
 )
 def undeclared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources in use that are not among those declared (by English documents)."""
-    d = table(spark, sf_dir, "documents")
-    used = d.filter("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return used.join(d.filter("lang = 'en'").select("source").distinct(), "source", "left_anti")
+    """Series (source and language) in use that are not among those declared (by long documents)."""
+    series = F.concat_ws("/", "source", "lang")
+    d = table(spark, sf_dir, "documents").filter("source is not null and lang is not null").select(series.alias("series"), "n_chars")
+    return d.groupBy("series").agg(F.count(F.lit(1)).alias("n")).join(d.filter("n_chars > 3000").select("series").distinct(), "series", "left_anti")
 
 
 TITLES = """(VALUES ('The', 'article', 2), ('Th', 'short', 3), ('A', 'single', 1), ('Die', 'german', 4), ('La', 'romance', 5)) AS t(prefix, title, ord)"""
@@ -117,18 +128,18 @@ def reconcile_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT o_orderkey AS id, o_custkey % 40 AS k, o_orderpriority AS name FROM orders),
-r AS (SELECT c_custkey AS k, c_mktsegment AS seg, c_custkey AS v, CASE c_custkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE 'other' END AS name
-  FROM customer WHERE c_custkey < 30),
+    """WITH l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS k, o_orderpriority AS name FROM orders),
+r AS (SELECT c_custkey AS k, c_custkey AS v, CASE c_custkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE 'other' END AS name FROM customer),
 f AS (SELECT name, min(v) AS first FROM r GROUP BY name)
 SELECT id, coalesce(r.v, f.first) AS v, CASE WHEN r.v IS NOT NULL THEN 'key' WHEN f.first IS NOT NULL THEN 'name' ELSE 'none' END AS how
 FROM l LEFT JOIN r ON l.k = r.k LEFT JOIN f ON f.name = l.name"""
 )
 def fallback_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join on the key, and on the name for those whose key is gone."""
-    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("k"), F.col("o_orderpriority").alias("name"))
+    """A join on the key, and on the name for those whose key is gone: here every third order's."""
+    gone = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), gone.alias("k"), F.col("o_orderpriority").alias("name"))
     m = F.col("c_custkey") % 5
-    right = table(spark, sf_dir, "customer").filter("c_custkey < 30").select(
+    right = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("k"), F.col("c_custkey").alias("v"), F.when(m == 0, "1-URGENT").when(m == 1, "2-HIGH").otherwise("other").alias("name")
     )
     return J.with_fallback(left, right, "k", "name", "v").select("id", "v", "how")
@@ -153,16 +164,23 @@ def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 BAG = f"""WITH {EDITED}, s AS (SELECT doc_id, unnest(ws) AS word FROM source), e AS (SELECT doc_id, unnest(ws) AS word FROM edited),
+e2 AS (SELECT doc_id, unnest(CASE WHEN pos % 10 = 9 THEN ws[4:] ELSE ws END) AS word FROM w WHERE pos % 17 <> 16),
 sc AS (SELECT doc_id, word, count(*) AS n FROM s GROUP BY ALL), ec AS (SELECT doc_id, word, count(*) AS a FROM e GROUP BY ALL),
-d AS (SELECT sc.doc_id, word, (n - coalesce(a, 0))::BIGINT AS missing FROM sc LEFT JOIN ec USING (doc_id, word) WHERE n > coalesce(a, 0))"""
+ec2 AS (SELECT doc_id, word, count(*) AS b FROM e2 GROUP BY ALL),
+d AS (SELECT sc.doc_id, word, (n - greatest(coalesce(a, 0), coalesce(b, 0)))::BIGINT AS missing FROM sc LEFT JOIN ec USING (doc_id, word)
+  LEFT JOIN ec2 USING (doc_id, word) WHERE n > greatest(coalesce(a, 0), coalesce(b, 0)))"""
 
 
 @query(f"{BAG} SELECT doc_id, word, missing FROM d")
 def word_bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the edited copy holds less often than its source."""
-    source, edited = _edited(spark, sf_dir)
-    bag = lambda d: d.select("doc_id", F.explode("ws").alias("word"))
-    return J.bag_difference(bag(source), bag(edited), bag(edited.filter("pos % 2 = 0")))
+    """Words that both readings of an edited copy hold less often than its source: one lacks the last three words of every tenth line, the
+    other the first three."""
+    words = F.filter(F.split("text", r"[ \t\n]+"), lambda w: w != "")
+    w = lines(spark, sf_dir).select("doc_id", "pos", words.alias("ws"))
+    source = w.select("doc_id", F.explode("ws").alias("word"))
+    read = w.filter("pos % 17 <> 16").select("doc_id", (F.col("pos") % 10 == 9).alias("cut"), F.size("ws").alias("n"), F.posexplode("ws").alias("i", "word"))
+    read = read.select("doc_id", "word", (~F.col("cut") | (F.col("i") < F.col("n") - 3)).alias("in_first"), (~F.col("cut") | (F.col("i") >= 3)).alias("in_second"))
+    return J.bag_difference(source, read)
 
 
 @query(
@@ -205,22 +223,37 @@ def question_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.lift_questions(sheet)
 
 
+def _windows(text: Column, n: int) -> Column:
+    """All stretches of ``n`` characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(places, lambda i: text.substr(i, F.lit(n)))
+
+
 @query(
-    """WITH b AS (SELECT item_id, substring(text, 1, 40) AS head FROM benchmark WHERE length(text) >= 40),
-l AS (SELECT doc_id, unnest(range(len(x)))::BIGINT AS pos, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
-SELECT item_id, doc_id, min(pos) AS pos FROM b JOIN l ON contains(text, head) GROUP BY ALL"""
+    """WITH b AS (SELECT item_id, substring(text, 1, 40) AS head FROM benchmark WHERE text <> ''),
+l AS (SELECT doc_id, unnest(range(len(x)))::BIGINT AS pos, unnest(x) AS text, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+h AS (SELECT item_id, doc_id, min(pos) AS pos, max(n) AS n FROM b JOIN l ON contains(text, head) GROUP BY ALL)
+SELECT item_id, doc_id, pos, greatest(pos - 2, 0)::BIGINT AS context_from, least(pos + 11, n - 1)::BIGINT AS context_to FROM h"""
 )
 def substring_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each document that holds the opening of a benchmark item.
+    """The first line of each document that holds the opening (40 characters, or all) of a benchmark item, and the lines around it.
 
-    A literal opening is found where its 40 characters stand, so lines meet items on the hash of their windows: an equi
-    join, then the first place.
+    A literal opening is found where its beginning stands, so lines meet items on windows of twelve characters, or of as many as a
+    shorter item has: an equi join, then the first place.
     """
-    heads = table(spark, sf_dir, "benchmark").filter("length(text) >= 40").select("item_id", F.substring("text", 1, 40).alias("head"))
-    first = heads.select(F.substring("head", 1, 12).alias("start")).distinct()
-    long = lines(spark, sf_dir).filter(F.length("text") >= 40)
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 39), lambda i: F.col("text").substr(i, F.lit(12))))
-    windows = long.select("doc_id", "pos", at.alias("start")).distinct().join(first, "start", "left_semi")
-    hit = windows.join(heads.withColumn("start", F.substring("head", 1, 12)), "start").join(long, ["doc_id", "pos"])
-    hit = hit.filter(F.contains("text", F.col("head")))
-    return longs(hit.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos")), "pos")
+    heads = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.substring("text", 1, 40).alias("head"))
+    heads = heads.withColumn("start", F.substring("head", 1, 12))
+    first = heads.select("start").distinct()
+    sizes = [r[0] for r in first.select(F.length("start")).distinct().collect()]  # at most twelve
+    all_lines = lines(spark, sf_dir).select("doc_id", "pos", "text").filter("text <> ''")
+    windows = None
+    for n in sizes:
+        found = all_lines.select("doc_id", "pos", F.explode(F.array_distinct(_windows(F.col("text"), n))).alias("start")).join(J.small(first), "start", "left_semi")
+        windows = found if windows is None else windows.unionByName(found)
+    hit = windows.distinct().join(J.small(heads), "start").join(all_lines, ["doc_id", "pos"]).filter(F.contains("text", F.col("head")))
+    hit = hit.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos"))
+    last = lines(spark, sf_dir).groupBy("doc_id").agg(F.max("pos").alias("last"))
+    out = hit.join(last, "doc_id").select(
+        "item_id", "doc_id", "pos", F.greatest(F.col("pos") - 2, F.lit(0)).alias("context_from"), F.least(F.col("pos") + 11, "last").alias("context_to")
+    )
+    return longs(out, "pos", "context_from", "context_to")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import lines as L
 from ..session import table
 from . import query
-from .fixtures import CLASSED, marked
+from .fixtures import CLASS, CLASSED, LEVEL, LINES, marked
 from .fixtures import lines as plain
 
 
@@ -80,12 +80,16 @@ def heading_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {CLASSED}, f AS (
-  SELECT *, lag(class) OVER (PARTITION BY doc_id ORDER BY pos) AS pc, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS pt
-  FROM classed WHERE class <> 'blank'
-) SELECT doc_id, pos::BIGINT AS pos, CASE WHEN pc = 'bold' THEN replace(pt, '*', '') END AS lead, text
-FROM f WHERE class = 'text'"""
+  SELECT *, class = 'bold' OR coalesce(level, 0) >= 4 AS is_lead,
+    class = 'text' OR (class = 'heading' AND coalesce(level, 0) < 4) AS ends FROM classed WHERE class <> 'blank'
+), p AS (
+  SELECT p.doc_id, p.pos, p.text, (SELECT max(e.pos) FROM f e WHERE e.doc_id = p.doc_id AND e.pos < p.pos AND e.ends) AS ended,
+    (SELECT max(l.pos) FROM f l WHERE l.doc_id = p.doc_id AND l.pos < p.pos AND l.is_lead) AS led FROM f p WHERE class = 'text'
+) SELECT p.doc_id, p.pos::BIGINT AS pos, CASE WHEN led > coalesce(ended, -1) THEN CASE WHEN l.class = 'bold' THEN replace(l.text, '*', '') ELSE l.heading END END AS lead, p.text
+FROM p LEFT JOIN f l ON l.doc_id = p.doc_id AND l.pos = p.led"""
 )
 def lead_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads before their paragraphs.  A paragraph's lead is the last one since the last line that ends a wait."""
     return longs(L.join_leads(marked(spark, sf_dir)), "pos")
 
 
@@ -104,48 +108,69 @@ def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CLASSED}, u AS (
-  SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS unit FROM classed
-), n AS (
-  SELECT doc_id, unit, CASE WHEN pos % 3 < 2 THEN text || ' ' || pos ELSE text END AS text, class, level FROM u
+    f"""WITH {LINES}, t AS (
+  SELECT doc_id, pos, CASE WHEN pos % 9 = 0 THEN '# ' || text WHEN (doc_id % 4 = 0 OR pos % 4 < 2) AND text <> '' THEN text || ' ' || pos ELSE text END AS text FROM lines
+), c AS (SELECT *, {CLASS} AS class, {LEVEL} AS level FROM t), n AS (
+  SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS unit FROM c
 ) SELECT doc_id, unit::BIGINT AS unit, count(*)::BIGINT AS n_lines, count(*) FILTER (class = 'heading')::BIGINT AS n_headings,
   avg(CASE WHEN regexp_matches(text, '[^0-9][0-9]{{1,4}}[ \\t]*$') THEN 1 ELSE 0 END) AS share,
-  count(*) >= 2 AND count(*) FILTER (class = 'heading') = 0
-    AND avg(CASE WHEN regexp_matches(text, '[^0-9][0-9]{{1,4}}[ \\t]*$') THEN 1 ELSE 0 END) > 0.6 AS is_contents
+  count(*) >= 5 AND count(*) FILTER (class = 'heading') = 0
+    AND avg(CASE WHEN regexp_matches(text, '[^0-9][0-9]{{1,4}}[ \\t]*$') THEN 1 ELSE 0 END) > 0.7 AS is_contents
 FROM n WHERE class <> 'blank' AND coalesce(level, 0) <> 1 GROUP BY ALL"""
 )
 def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents pages, over lines two of three of which end in their number."""
-    numbered = F.when(
-        (F.pmod(F.col("pos"), F.lit(3)) < 2) & (F.col("text") != ""),
-        F.concat("text", F.lit(" "), F.col("pos").cast("string")),
-    ).otherwise(F.col("text"))
-    out = L.contents_pages(marked(spark, sf_dir).withColumn("text", numbered), least=2, share=0.6)
-    return longs(out, "unit", "n_lines", "n_headings")
+    """Contents pages: units of plain lines, in every fourth document all of which end in their number."""
+    return longs(L.contents_pages(_contents(spark, sf_dir)), "unit", "n_lines", "n_headings")
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading every ninth line, plain lines between; three of four, or all in every fourth document, end in their number."""
+    numbered = F.concat("text", F.lit(" "), F.col("pos").cast("string"))
+    every = (F.col("doc_id") % 4 == 0) | (F.pmod(F.col("pos"), F.lit(4)) < 2)
+    text = F.when(F.pmod(F.col("pos"), F.lit(9)) == 0, F.concat(F.lit("# "), "text")).when(every & (F.col("text") != ""), numbered).otherwise(F.col("text"))
+    return plain(spark, sf_dir).withColumn("text", text)
+
+
+NESTED = (
+    LINES
+    + f""", n AS (SELECT doc_id, pos, CASE WHEN pos % 11 = 10 THEN 'words' ELSE repeat('  ', pos % 3) || CASE WHEN pos % 2 = 0 THEN '1. ' ELSE '- ' END || trim(text, ' ') END AS text FROM lines),
+c AS (SELECT doc_id, pos, text, {CLASS} AS class, length(text) - length(ltrim(text, ' ')) AS indent,
+  length(regexp_extract(text, '^[ \\t]*((?:[-*+]|[0-9]+[.)])[ \\t]+)', 1)) AS marker FROM n),
+r AS (SELECT *, sum(CASE WHEN class NOT IN ('list', 'blank') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+p AS (SELECT i.doc_id, i.pos, i.run, i.text, (SELECT max(a.pos) FROM r a WHERE a.doc_id = i.doc_id AND a.run = i.run AND a.class = 'list' AND a.pos < i.pos
+    AND a.indent + a.marker <= i.indent AND NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = a.doc_id AND b.run = a.run AND b.class = 'list' AND b.pos > a.pos AND b.pos < i.pos
+      AND b.indent < a.indent + a.marker)) AS parent FROM r i WHERE i.class = 'list')"""
+)
 
 
 @query(
-    f"""WITH {CLASSED}, r AS (
-  SELECT *, sum(CASE WHEN class NOT IN ('list', 'blank') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
-  FROM classed
-) SELECT doc_id, pos::BIGINT AS pos, count(*) OVER (PARTITION BY doc_id, run, indent) > 1 AS keeps_number
-FROM r WHERE regexp_matches(text, '^[ \\t]*[0-9]+[.)][ \\t]+')"""
+    f"""WITH {NESTED} SELECT doc_id, pos::BIGINT AS pos, count(*) OVER (PARTITION BY doc_id, run, parent) > 1 AS keeps_number
+FROM p WHERE regexp_matches(text, '^[ \\t]*[0-9]+[.)][ \\t]+')"""
 )
 def list_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(L.numbered_siblings(marked(spark, sf_dir)), "pos")
+    """Which numbered items have another one beside them.  In SQL an item's parent is the last one before it that it is indented past and
+    that no item between has closed."""
+    return longs(L.numbered_siblings(_nested(spark, sf_dir, numbered=True)), "pos")
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain lines as list items, indented by their position mod 3; every eleventh is ordinary text."""
+def _nested(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """Plain lines as list items, indented by their position mod 3 (every other one with a number if ``numbered``); every eleventh is
+    ordinary text."""
     indent = F.repeat(F.lit("  "), F.pmod(F.col("pos"), F.lit(3)).cast("int"))
-    item = F.concat(indent, F.lit("- "), F.btrim("text"))
+    mark = F.when(F.lit(numbered) & (F.pmod(F.col("pos"), F.lit(2)) == 0), "1. ").otherwise("- ")
+    item = F.concat(indent, mark, F.btrim("text"))
     return plain(spark, sf_dir).withColumn("text", F.when(F.pmod(F.col("pos"), F.lit(11)) == 10, F.lit("words")).otherwise(item))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {NESTED.replace("CASE WHEN pos % 2 = 0 THEN '1. ' ELSE '- ' END", "'- '")}, up AS (
+  SELECT doc_id, pos, parent, 0 AS depth FROM p
+  UNION ALL SELECT up.doc_id, up.pos, p.parent, depth + 1 FROM up JOIN p ON p.doc_id = up.doc_id AND p.pos = up.parent
+) SELECT doc_id, pos::BIGINT AS pos, max(depth)::BIGINT AS depth FROM up GROUP BY doc_id, pos"""
+)
 def list_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of nested items; a stack, which SQL cannot fold (tests hold it against a plain loop)."""
-    return longs(L.list_depths(_nested(spark, sf_dir)), "pos", "depth")
+    """Depth of nested items: how many parents there are above one another."""
+    return longs(L.list_depths(_nested(spark, sf_dir)), "pos", "depth").select("doc_id", "pos", "depth")
 
 
 @query(

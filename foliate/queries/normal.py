@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import table
 from . import query
+from .fixtures import LINES, lines
 
 
 def _docs(spark: SparkSession, sf_dir: str, text: Column, **columns: Column) -> DataFrame:
@@ -20,12 +21,15 @@ def _chars(c: Column | str) -> Column:
 
 
 @query(
-    """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')) AS decoded,
-  md5(regexp_replace(regexp_replace(regexp_replace(html, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g')) AS stripped FROM pages"""
+    """WITH RECURSIVE h AS (SELECT page_id, replace(replace(html, '<b>', '<<i>b>'), '&amp;', '&amp;lt;') AS html FROM pages), s AS (
+  SELECT page_id, html AS t, 0 AS n FROM h
+  UNION ALL SELECT page_id, regexp_replace(t, '<[^<>]*>', '', 'g'), n + 1 FROM s WHERE regexp_matches(t, '<[^<>]*>')
+) SELECT h.page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&')) AS decoded,
+  md5(arg_max(t, n)) AS stripped FROM h JOIN s USING (page_id) GROUP BY h.page_id, html"""
 )
 def xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities decoded and tags stripped, of raw pages."""
-    p = table(spark, sf_dir, "pages")
+    """Entities decoded and tags stripped until none is left, of raw pages with a tag put into another one."""
+    p = table(spark, sf_dir, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<b>"), F.lit("<<i>b>")), F.lit("&amp;"), F.lit("&amp;lt;")))
     return p.select("page_id", F.md5(T.decode_xml_once("html").cast("binary")).alias("decoded"), F.md5(T.strip_tags("html").cast("binary")).alias("stripped"))
 
 
@@ -53,24 +57,22 @@ def fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
 
 
-SLUG = (
-    "regexp_replace(replace(translate(lower(t), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[^a-z0-9]+', '-', 'g')"
-)
+SLUG = "regexp_replace(replace(lower(strip_accents(t)), '&', ' and '), '[^a-z0-9]+', '-', 'g')"
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] || ' & Co' AS t FROM documents)
-SELECT doc_id, trim(substring(trim({SLUG}, '-'), 1, 44), '-') AS unit_slug, substring(trim({SLUG}, '-'), 1, 80) AS course_slug FROM f"""
+    f"""WITH {LINES}, f AS (SELECT doc_id, pos, text || ' & Čapek ő' AS t FROM lines)
+SELECT doc_id, pos::BIGINT AS pos, trim(substring(trim({SLUG}, '-'), 1, 44), '-') AS unit_slug, substring(trim({SLUG}, '-'), 1, 80) AS course_slug FROM f"""
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both slugs of a document's first line."""
-    first = F.concat(F.get(F.split("text", "\n"), 0), F.lit(" & Co"))
-    return _docs(spark, sf_dir, first, unit_slug=T.slug("t"), course_slug=T.slug("t", 80, trim_last=False))
+    """Both slugs of every line."""
+    t = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.concat("text", F.lit(" & Čapek ő")).alias("t"))
+    return t.select("doc_id", "pos", T.slug("t").alias("unit_slug"), T.slug("t", 80, trim_last=False).alias("course_slug"))
 
 
 @query(
     """WITH f AS (SELECT doc_id, replace(replace(text, chr(10), chr(10) || 'Page 3 of 12' || chr(10)), ', ', ' Page 4 of 12 | Acme ') AS t FROM documents),
-g AS (SELECT doc_id, regexp_replace(t, '\\n[ ]*(?:[A-Z][A-Za-z]+ \\| )?Page [0-9]+ of [0-9]+(?: \\| [A-Z][A-Za-z]+)?[ ]*\\n', chr(10), 'g') AS t FROM f)
+g AS (SELECT doc_id, regexp_replace(t, '\\n[ ]*(?:[A-Z][A-Za-z]+ \\| )?Page [0-9]+ of [0-9]+(?: \\| [A-Z][A-Za-z]+)?[ ]*\\n', chr(10) || chr(10), 'g') AS t FROM f)
 SELECT doc_id, md5(regexp_replace(t, '[ ]*(?:[A-Z][A-Za-z]+ \\| )?Page [0-9]+ of [0-9]+(?: \\| [A-Z][A-Za-z]+)?[ ]*', ' ', 'g')) AS clean FROM g"""
 )
 def furniture_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,22 +82,24 @@ def furniture_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, replace(replace(text, 'ti', 't' || chr(8208) || chr(10) || 'i'), 'er ', 'er' || chr(8208) || ' ') AS t FROM documents),
-g AS (SELECT doc_id, regexp_replace(t, '(\\p{L})' || chr(8208) || '\\n?(\\p{L})', '\\1\\2', 'g') AS t FROM f)
+    """WITH f AS (SELECT doc_id, replace(replace(text, 'ti', 't' || chr(8208) || ' ' || chr(10) || '  i'), 'er ', 'er' || chr(8208) || ' ') AS t FROM documents),
+g AS (SELECT doc_id, regexp_replace(t, '(\\p{L})' || chr(8208) || '[ \\t]*\\r?\\n?[ \\t]*(\\p{L})', '\\1\\2', 'g') AS t FROM f)
 SELECT doc_id, md5(t) AS joined, (length(t) - length(replace(t, chr(8208), '')))::BIGINT AS left_over FROM g"""
 )
 def soft_hyphen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.replace(F.replace("text", F.lit("ti"), F.lit("t‐\ni")), F.lit("er "), F.lit("er‐ "))
+    t = F.replace(F.replace("text", F.lit("ti"), F.lit("t‐ \n  i")), F.lit("er "), F.lit("er‐ "))
     joined = T.join_hyphens("t")
     return _docs(spark, sf_dir, t, joined=F.md5(joined.cast("binary")), left_over=T.hyphens_left(joined).cast("long"))
 
 
 @query(
-    """WITH f AS (SELECT doc_id, replace(replace(text, ' the ', ' \\\\*the\\_ '), '.', '\\.') AS t FROM documents)
-SELECT doc_id, md5(regexp_replace(t, '\\\\+([-_*#+!()\\[\\]])', '\\1', 'g')) AS clean FROM f"""
+    """WITH f AS (SELECT doc_id, replace(replace(replace(text, ' the ', ' \\\\*the\\_ \\# \\! '), '.', '\\.'), ', ', ' \\~\\=\\(\\) ') AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(t, '\\\\+([~+=)(\\[\\]*_-])', '\\1', 'g')) AS clean FROM f"""
 )
 def escape_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.replace(F.replace("text", F.lit(" the "), F.lit(" \\\\*the\\_ ")), F.lit("."), F.lit("\\."))
+    """Escapes of the ten characters go; those of a heading's mark, an exclamation mark and a dot stay."""
+    t = F.replace(F.replace("text", F.lit(" the "), F.lit(" \\\\*the\\_ \\# \\! ")), F.lit("."), F.lit("\\."))
+    t = F.replace(t, F.lit(", "), F.lit(" \\~\\=\\(\\) "))
     return _docs(spark, sf_dir, t, clean=F.md5(T.strip_escapes("t").cast("binary")))
 
 
@@ -109,27 +113,30 @@ def punctuation_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, '1.' || (doc_id % 9) || ' ' || substring(text, 1, 30) || ' :' AS t FROM documents)
-SELECT doc_id, regexp_replace(t, '^[0-9]+(?:\\.[0-9]+)*[.)]?[ ]+', '') AS title,
-  len(string_split_regex(trim(substring(t, 1, 25), ' '), ' +')) <= 6 AND NOT regexp_matches(trim(substring(t, 1, 25), ' '), '[.!?]$') AS short_label FROM f"""
+    f"""WITH {LINES}, f AS (SELECT doc_id, pos, '1.' || (doc_id % 9) || ' ' || text || ' :' AS t FROM lines)
+SELECT doc_id, pos::BIGINT AS pos, md5(regexp_replace(t, '^[0-9]+(?:\\.[0-9]+)*[.)]?[ ]+', '')) AS title,
+  len(string_split_regex(trim(t, ' '), ' +')) <= 6 AND NOT regexp_matches(trim(t, ' '), '[.!?]$') AS short_label FROM f"""
 )
 def heading_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("1."), (F.col("doc_id") % 9).cast("string"), F.lit(" "), F.substring("text", 1, 30), F.lit(" :"))
-    return _docs(spark, sf_dir, t, title=T.strip_heading_number("t"), short_label=T.is_short_label(F.substring("t", 1, 25)))
+    """Every line as a heading: without its number, and whether it is a short label."""
+    t = F.concat(F.lit("1."), (F.col("doc_id") % 9).cast("string"), F.lit(" "), "text", F.lit(" :"))
+    rows = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), t.alias("t"))
+    return rows.select("doc_id", "pos", F.md5(T.strip_heading_number("t").cast("binary")).alias("title"), T.is_short_label("t").alias("short_label"))
 
 
 @query(
-    """WITH f AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS t FROM documents),
+    f"""WITH {LINES}, f AS (SELECT doc_id, pos, trim(text, ' ') AS t FROM lines),
 g AS (SELECT *, substring(t, 1, 118) AS head FROM f), h AS (
   SELECT *, CASE WHEN instr(head, ' ') = 0 THEN 0 ELSE length(head) - instr(reverse(head), ' ') + 1 END AS space FROM g),
 i AS (SELECT *, CASE WHEN space > 40 THEN space - 1 ELSE 118 END AS cut FROM h)
-SELECT doc_id, CASE WHEN length(t) > 120 THEN substring(t, 1, cut) ELSE t END AS label,
-  CASE WHEN length(t) > 120 THEN trim(substring(t, cut + 1), ' ') ELSE '' END AS note FROM i"""
+SELECT doc_id, pos::BIGINT AS pos, md5(CASE WHEN length(t) > 120 THEN substring(t, 1, cut) ELSE t END) AS label,
+  md5(CASE WHEN length(t) > 120 THEN trim(substring(t, cut + 1), ' ') ELSE '' END) AS note FROM i"""
 )
 def step_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long step's label and the note that takes the rest."""
-    label, rest = T.label_and_rest("t")
-    return _docs(spark, sf_dir, F.get(F.split("text", "\n"), 0), label=label, note=rest)
+    """Every line as a step: its label and the note that takes the rest."""
+    label, rest = T.label_and_rest("text")
+    rows = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), label.alias("label"), rest.alias("note"))
+    return rows.withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("label", "note")})
 
 
 DASH = chr(0x2014)

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import sys
-from pathlib import Path
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = Path(__file__).resolve().parent.parent
-
 #: Settings that suit any size: runtime re-planning, skew handling, UTC.
 CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,22 +25,15 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Hand this package to Python workers that would not find it: those that neither start here nor have it on
-    their path."""
-    paths = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    here = str(ROOT)
-    if here in (os.path.realpath(p) for p in paths) or os.path.realpath(os.getcwd()) == here or "site-packages" in here:
-        return
-    if (Path.cwd() / "foliate").is_dir() or getattr(spark, "_foliate_shipped", False):
-        return
-    import tempfile
-
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="foliate-"), "foliate"), "zip", here, "foliate")
-    before = list(sys.path)
-    spark.sparkContext.addPyFile(archive)
-    sys.path[:] = before  # the driver has the package already
-    spark._foliate_shipped = True
+    """A given table.  One of fewer files than there are cores is dealt to all of them, as a file of one row group is
+    one task however many cores are free; larger tables are read as they lie."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if len(found.inputFiles()) < cores else found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: its lineage ends there.  A folder is set here only where the session names none."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='foliate-')}")
+    return df.checkpoint()
