@@ -51,7 +51,7 @@ class Params(NamedTuple):
     rate: float = 20.0
     top: int = 254
     margin: float = 5.0
-    block: int = 384
+    block: int = 192
 
     @property
     def registers(self) -> int:
@@ -286,31 +286,31 @@ def stars(docs: DataFrame, pairs: DataFrame, reps: DataFrame, p: Params) -> Data
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def _members(met: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+def _members(met: DataFrame, comp: DataFrame) -> DataFrame:
     """(hub, doc_id, n, c, new): every group's members with their component, the hub itself too.
 
     A hub that meets smaller ones belongs to the group of the smallest (its parent), and two members that both belong there
     too are compared there.  ``new`` are those that don't.
     """
-    own = met.select("hub").distinct()
-    parents = met.groupBy(F.col("doc_id").alias("hub")).agg(F.min("hub").alias("parent")).join(own, "hub", "left_semi")
-    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    rows = lookup(met.select("hub", "doc_id"), parents.join(sizes, "hub"), "hub", "size", met.count(), F.col("doc_id"))
-    rows = rows.unionByName(own.join(parents, "hub", "left").select("hub", F.col("hub").alias("doc_id"), "parent"))
+    own = met.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.max("hub_n").alias("n"))
+    parents = met.groupBy(F.col("doc_id").alias("hub")).agg(F.min("hub").alias("parent"))
+    own = materialise(own.join(parents, "hub", "left"), "own")
+    rows = lookup(met.select("hub", "doc_id", "n"), own.select("hub", "size", "parent"), "hub", "size", met.count(), F.col("doc_id"))
+    rows = rows.unionByName(own.select("hub", F.col("hub").alias("doc_id"), "n", "parent"))
     there = met.select(F.col("hub").alias("parent"), "doc_id", F.lit(True).alias("there"))
-    rows = rows.join(there, ["parent", "doc_id"], "left").join(comp, "doc_id", "left").join(reps.select("doc_id", "n"), "doc_id")
+    rows = rows.join(there, ["parent", "doc_id"], "left").join(comp, "doc_id", "left")
     c = F.coalesce("component_id", "doc_id")
     return rows.select("hub", "doc_id", "n", c.alias("c"), F.col("there").isNull().alias("new"))
 
 
 def _rest(met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFrame | None:
-    """(hub, x, y, side, doc_id, c): what the hubs leave open, dealt to pairs of blocks; None where nothing is.
+    """(hub, x, y, side, doc_id, c, n, regs): what the hubs leave open, dealt to pairs of blocks; None where nothing is.
 
     A group whose members are one component is done.  In all others a member outside the largest component is tested
     against all others, but for two that meet at the hub's parent (:func:`_members`): ``x`` and ``y`` number two blocks, ``side``
     is a document's own one and ``c`` its component.  A block holds about ``p.block`` documents, or fewer where they are long.
     """
-    members = materialise(_members(met, comp, reps), "members")
+    members = materialise(_members(met, comp), "members")
     each = members.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if("new").alias("k_new"))
     groups = each.groupBy("hub").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("size"), F.sum("k_new").alias("new"))
     groups = groups.filter((F.col("size") > 2) & (F.col("size") > F.col("main.k")) & (F.col("new") > 0)).select("hub", "size", F.col("main.c").alias("main"))
@@ -332,8 +332,9 @@ def _rest(met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFr
     meets = F.concat(span(0), F.when(F.col("kind") == 0, F.concat(span(1), span(2), span(3))).when(F.col("kind") == 1, span(2)).when(F.col("kind") == 2, span(1)).otherwise(F.array().cast("array<int>")))
     mine = F.pmod(F.xxhash64("doc_id"), F.get("blocks", F.col("kind"))).cast("int")
     side = F.get(F.array(*at), F.col("kind")) + mine
-    rows = rows.select("hub", "doc_id", "c", side.alias("side"), F.explode(meets).alias("other"))
-    return rows.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "c")
+    rows = rows.select("hub", "doc_id", "c", "n", side.alias("side"), meets.alias("meets")).filter(F.size("meets") > 0)
+    rows = rows.join(reps.select("doc_id", "regs"), "doc_id").select("hub", "doc_id", "c", "n", "regs", "side", F.explode("meets").alias("other"))
+    return rows.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "c", "n", "regs")
 
 
 class _Group(NamedTuple):
@@ -444,8 +445,7 @@ def remaining(docs: DataFrame, met: DataFrame, comp: DataFrame, reps: DataFrame,
     if open_ is None:
         return docs.sparkSession.createDataFrame([], "a long, b long")
     open_ = materialise(open_, "open")
-    tests = open_.join(reps.select("doc_id", "n", "regs"), "doc_id").select(*names)
-    typed = tests.withColumns({k: F.col(k).cast(t) for k, t in (x.split() for x in schema.split(", "))})
+    typed = open_.select(*names).withColumns({k: F.col(k).cast(t) for k, t in (x.split() for x in schema.split(", "))})
     # dealt by number, as the work for a row is large for its bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // 4096)
     some = materialise(typed.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(screen, schema), "screened")
