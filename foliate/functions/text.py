@@ -233,3 +233,41 @@ def media_path(c: str | Column) -> Column:
         return F.when(part.isin(".", ""), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
 
     return F.array_join(F.aggregate(F.split(full, "/"), start, step), "/")
+
+
+#: Names of a closing section, in two languages, and those that a bold lead may have (fixed values).
+_UNIT = r"(?:week|unit|lecture|chapter{more})\s*\d+\s*[:\u2013-]?\s*"
+RECAP = (
+    r"(?i)^(?:" + _UNIT.format(more="|hoorcollege|college|thema") + r")?(?:wrap[\s-]?up|in\s+short|in\s+summary|summary|recap|conclusion|"
+    r"key\s+(?:takeaways?|insights?|points?)|to\s+summari[sz]e|brief\s+overview|kort\s+overzicht|samenvatting|kernpunten)\s*$"
+)
+RECAP_LEAD = (
+    r"(?is)^\*\*(?:" + _UNIT.format(more="") + r")?(?:wrap[\s-]?up|in short|in summary|summary|recap|conclusion|"
+    r"key (?:takeaways?|insights?|points?)|to summari[sz]e)\*\*[:.]?\s*(.*)$"
+)
+
+
+def is_recap(c: str | Column) -> Column:
+    """Whether a heading names a closing section and nothing else."""
+    return col(c).rlike(RECAP)
+
+
+def recap_lead(c: str | Column) -> Column:
+    """What follows a bold lead that names a closing section; null without one."""
+    return F.when(col(c).rlike(RECAP_LEAD), F.btrim(F.regexp_extract(col(c), RECAP_LEAD, 1)))
+
+
+def findings(c: str | Column) -> dict[str, Column]:
+    """What is left for a person to read after the rules above, as counts."""
+    t, rows = col(c), F.split(col(c), "\n")
+    count = lambda x: F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))
+    lines = lambda test: F.size(F.filter(rows, test))
+    return {
+        "dashes": count("\u2014"),
+        "hyphens": count("\u2010"),
+        "bullets": lines(lambda x: x.rlike("^[ \t]*[•▪◦]")),
+        "long_headings": lines(lambda x: x.rlike(r"^#{1,6}\s") & (F.length(x) > 120)),
+        "deep_headings": lines(lambda x: x.rlike(r"^#{4,}\s")),
+        "backslashes": count("\\"),
+        "wide_rows": lines(lambda x: F.ltrim(x).startswith("|") & (F.length(x) > 500)),
+    }
