@@ -271,3 +271,19 @@ def findings(c: str | Column) -> dict[str, Column]:
         "backslashes": count("\\"),
         "wide_rows": lines(lambda x: F.ltrim(x).startswith("|") & (F.length(x) > 500)),
     }
+
+
+#: A text that names two variables, and one that states a function of x (fixed values).
+TWO_VARIABLES = r"(?i)\(\s*x\s*,\s*y\s*\)|\bz\s*="
+FUNCTION_OF_X = r"(?i)(?:[fghpqyv]\s*\(\s*x\s*\)|y)\s*=\s*[^\n,;.]{2,80}"
+
+
+def disposition(kind: str | Column, as_is: str | Column, context: str | Column) -> Column:
+    """What becomes of a drawing: boxes and shapes are folded into the text, pictures stay figures where that is asked for or a
+    surface is meant, become charts where the text states their function, and else are for a person to decide."""
+    return (
+        F.when(col(kind).isin("textbox", "shape"), "fold")
+        .when(col(as_is) | col(context).rlike(TWO_VARIABLES), "figure")
+        .when(col(context).rlike(FUNCTION_OF_X), "chart")
+        .otherwise("uncertain")
+    )

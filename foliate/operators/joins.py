@@ -153,6 +153,11 @@ def verdict_of_runs(runs: DataFrame, least: int = 4, share: float = 0.5) -> Data
     )
 
 
+#: Forms of a question's stem, option and answer (fixed values); an answer looks like a stem up to its letter and dash.
+STEM, OPTION = r"^\*\*([0-9]+)\.\*\*\s*(.+)$", r"^\*\*([A-Z])\.\*\*\s*(.+)$"
+ANSWER = r"^\*\*([0-9]+)\.\*\*\s*([A-Z])\s*[—–-]\s*(.+)$"
+
+
 def lift_questions(lines: DataFrame, least: int = 3) -> DataFrame:
     """Numbered stems with lettered options and numbered answers, joined on the number; all or nothing per document.
 
@@ -160,10 +165,9 @@ def lift_questions(lines: DataFrame, least: int = 3) -> DataFrame:
     letter is one of the options.
     """
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    answer_no = F.regexp_extract("text", r"^Answer ([0-9]+)[ ]*[:–—-][ ]*([A-Ea-e])\b", 1)
-    answer_letter = F.upper(F.regexp_extract("text", r"^Answer ([0-9]+)[ ]*[:–—-][ ]*([A-Ea-e])\b", 2))
-    stem_no = F.regexp_extract("text", r"^([0-9]+)[.)][ ]+", 1)
-    letter = F.upper(F.regexp_extract("text", r"^([A-Ea-e])[.)][ ]+", 1))
+    answer_no, answer_letter = (F.regexp_extract("text", ANSWER, k) for k in (1, 2))
+    stem_no = F.when(answer_no == "", F.regexp_extract("text", STEM, 1)).otherwise("")
+    letter = F.regexp_extract("text", OPTION, 1)
     rows = lines.select(
         "doc_id", "pos", "text", answer_no.alias("a_no"), answer_letter.alias("a_letter"), stem_no.alias("s_no"), letter.alias("letter")
     )

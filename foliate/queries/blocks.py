@@ -57,17 +57,31 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(out, "pos", "n_cells")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES}, w AS (SELECT doc_id, pos, len(list_filter(string_split_regex(text, '[ \\t]+'), lambda w: w <> '')) AS n FROM lines),
+t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM w), f AS (
+  SELECT doc_id, pos, 0 AS part, n AS held FROM t WHERE pos = 0
+  UNION ALL SELECT t.doc_id, t.pos, part + CASE WHEN total > 460 AND t.pos % 4 = 0 AND held >= 230 THEN 1 ELSE 0 END,
+    CASE WHEN total > 460 AND t.pos % 4 = 0 AND held >= 230 THEN 0 ELSE held END + n FROM f JOIN t ON t.doc_id = f.doc_id AND t.pos = f.pos + 1
+) SELECT doc_id, pos::BIGINT AS pos, part::BIGINT AS part FROM f"""
+)
 def prose_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long prose in parts; every fourth line stands for a lead (a fold with a reset; tests hold it against a loop)."""
+    """Long prose in parts; every fourth line stands for a lead.  In SQL each line adds to what the one before holds."""
     words = F.size(F.filter(F.split("text", r"[ \t]+"), lambda w: w != ""))
     p = lines(spark, sf_dir).select("doc_id", "pos", words.alias("n_words"), (F.col("pos") % 4 == 0).alias("is_lead"))
     return longs(B.split_long(p), "pos", "part")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type || '/' || hour(ts) AS queue, event_id, greatest(round(value), 0)::BIGINT AS size FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY event_id) AS k FROM e), f AS (
+  SELECT queue, event_id, k, 0 AS batch, 1 AS n, size AS held FROM n WHERE k = 1
+  UNION ALL SELECT n.queue, n.event_id, n.k, batch + CASE WHEN held + size > 500 OR f.n >= 50 THEN 1 ELSE 0 END, CASE WHEN held + size > 500 OR f.n >= 50 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN held + size > 500 OR f.n >= 50 THEN size ELSE held + size END FROM f JOIN n ON n.queue = f.queue AND n.k = f.k + 1
+) SELECT queue, event_id, batch::BIGINT AS batch FROM f"""
+)
 def bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of events by value and count, a queue per type and hour of the day (a fold; tests hold it against a loop)."""
+    """Batches of events by value and count, a queue per type and hour of the day.  In SQL each entry adds to what the one before holds."""
     queue = F.concat_ws("/", "event_type", F.hour("ts").cast("string"))
     e = table(spark, sf_dir, "events").select("event_id", queue.alias("queue"), F.greatest(F.round("value"), F.lit(0.0)).cast("long").alias("size"))
     return longs(B.pack_batches(e, "queue", "event_id", "size", 500, 50), "batch")
@@ -140,30 +154,38 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.may_publish(_findings(spark, sf_dir), "unit")
 
 
-FILES = """(VALUES (1, '255044462D312E37'), (2, '504B030414000000'), (3, 'FFD8FFE000FFD9'), (4, 'FFD8FFE000FFD9000000'), (5, 'FFD8FFE00011'),
-  (6, '89504E470D0A1A0A000049454E44AE426082'), (7, '89504E470D0A1A0A00'), (8, '68656C6C6F20776F726C64'), (9, 'FFFE0001'), (10, ''),
-  (11, 'C3A96C616E'), (12, '0001020304')) AS f(id, bytes)"""
+#: First bytes (hexadecimal) that are put before a text, by its id mod 9; and images that are whole, cut, or padded.
+HEADS = ("255044462D", "504B0304", "D0CF11E0A1B11AE1", "FFD8FF", "89504E470D0A1A0A", "7B5C727466", "FFFE", "", "0001020304")
+TAILS = ("", "FFD9", "FFD90000", "49454E44AE426082")
+BYTES = f"""[{", ".join(f"'{h}'" for h in HEADS)}][doc_id % 9 + 1] || hex(encode(substring(text, 1, 40))) || [{", ".join(f"'{t}'" for t in TAILS)}][doc_id // 9 % 4 + 1]"""
 
 
 @query(
-    f"""SELECT id::BIGINT AS id, CASE WHEN starts_with(bytes, '255044462D') THEN 'pdf' WHEN starts_with(bytes, '504B0304') THEN 'zip'
-  WHEN starts_with(bytes, 'FFD8FF') THEN 'jpeg' WHEN starts_with(bytes, '89504E470D0A1A0A') THEN 'png' WHEN id IN (8, 11) THEN 'text' ELSE 'unknown' END AS kind,
-  CASE WHEN starts_with(bytes, 'FFD8FF') THEN ends_with(regexp_replace(bytes, '(?:00)+$', ''), 'FFD9')
-    WHEN starts_with(bytes, '89504E470D0A1A0A') THEN ends_with(bytes, '49454E44AE426082') END AS whole FROM {FILES}"""
+    f"""WITH b AS (SELECT doc_id, text, {BYTES} AS h FROM documents)
+SELECT doc_id, CASE WHEN starts_with(h, '25504446') THEN 'pdf' WHEN starts_with(h, '504B0304') THEN 'zip' WHEN starts_with(h, 'D0CF11E0') THEN 'ole' WHEN starts_with(h, 'FFD8FF') THEN 'jpeg'
+  WHEN starts_with(h, '89504E47') THEN 'png' WHEN starts_with(h, '7B5C7274') THEN 'rtf' WHEN doc_id % 9 = 7 AND doc_id // 9 % 4 = 0 AND length(text) > 0 THEN 'text' ELSE 'unknown' END AS kind,
+  CASE WHEN starts_with(h, 'FFD8FF') THEN regexp_matches(h, 'FFD9(?:00)*$') WHEN starts_with(h, '89504E47') THEN ends_with(h, '49454E44AE426082') END AS whole FROM b"""
 )
 def sniff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds by first bytes, and whether images are whole."""
-    f = spark.sql(f"SELECT cast(id AS long) AS id, unhex(bytes) AS content FROM {FILES}")
-    return f.select("id", B.sniff("content").alias("kind"), B.image_whole("content").alias("whole"))
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    d = table(spark, sf_dir, "documents")
+    h = F.concat(pick(HEADS, F.col("doc_id") % 9 + 1), F.hex(F.encode(F.substring("text", 1, 40), "UTF-8")), pick(TAILS, F.expr("doc_id div 9 % 4 + 1")))
+    f = d.select("doc_id", F.unhex(h).alias("content"))
+    return f.select("doc_id", B.sniff("content").alias("kind"), B.image_whole("content").alias("whole"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('plain', NULL), ('walks', 'name'), ('rooted', 'name'), ('huge', 'size'), ('bomb', 'ratio')) AS z(archive, reason)"""
+    """WITH a AS (SELECT l_orderkey, o_totalprice::BIGINT AS size, list({'name': CASE l_partkey % 50 WHEN 0 THEN 'a/../../b' WHEN 1 THEN '/etc/x' WHEN 2 THEN 'C:x' ELSE 'word/' || l_linenumber || '..xml' END,
+  'bytes': l_quantity::BIGINT * l_quantity::BIGINT * l_quantity::BIGINT * 3000}) AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_totalprice)
+SELECT l_orderkey, CASE WHEN len(list_filter(e, lambda x: x.name IN ('a/../../b', '/etc/x', 'C:x'))) > 0 THEN 'name' WHEN list_sum(list_transform(e, lambda x: x.bytes)) > 536870912 THEN 'size'
+  WHEN list_sum(list_transform(e, lambda x: x.bytes)) > 200 * size AND list_sum(list_transform(e, lambda x: x.bytes)) > 67108864 THEN 'ratio' END AS reason FROM a"""
 )
 def zip_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why archives must not be unpacked."""
-    z = spark.sql("""SELECT * FROM VALUES ('plain', 1000L, array(named_struct('name', 'a/b.xml', 'uncompressed', 5000L))),
-      ('walks', 1000L, array(named_struct('name', 'a/../../b', 'uncompressed', 5L))), ('rooted', 1000L, array(named_struct('name', '/etc/x', 'uncompressed', 5L))),
-      ('huge', 600000000L, array(named_struct('name', 'a', 'uncompressed', 600000000L))),
-      ('bomb', 1000L, array(named_struct('name', 'a', 'uncompressed', 70000000L))) AS z(archive, size, entries)""")
-    return z.select("archive", B.zip_reason(F.col("entries"), F.col("size")).alias("reason"))
+    """Why archives must not be unpacked; an order's lines stand for an archive's entries."""
+    k = F.col("l_partkey") % 50
+    name = F.when(k == 0, "a/../../b").when(k == 1, "/etc/x").when(k == 2, "C:x").otherwise(F.concat(F.lit("word/"), F.col("l_linenumber").cast("string"), F.lit("..xml")))
+    q = F.col("l_quantity").cast("long")
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(name.alias("name"), (q * q * q * 3000).alias("uncompressed"))).alias("entries"))
+    size = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.expr("cast(round(o_totalprice) AS long)").alias("size"))
+    return e.join(size, "l_orderkey").select("l_orderkey", B.zip_reason(F.col("entries"), F.col("size")).alias("reason"))

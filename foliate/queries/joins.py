@@ -199,10 +199,17 @@ def worst_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.col("b.n").alias("n_missing"), (-F.col("b.p")).cast("long").alias("pos"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EDITED}, p AS (SELECT doc_id, unnest(a) AS word, unnest(range(len(a))) AS i FROM (SELECT doc_id, flatten(list(ws ORDER BY pos)) AS a FROM edited GROUP BY doc_id)),
+r AS (SELECT s.doc_id, s.pos, p.i AS start, 1 AS n FROM source s JOIN p ON p.doc_id = s.doc_id AND p.word = s.ws[1]
+  UNION ALL SELECT r.doc_id, r.pos, r.start, n + 1 FROM r JOIN source s ON s.doc_id = r.doc_id AND s.pos = r.pos JOIN p ON p.doc_id = r.doc_id AND p.i = r.start + n AND p.word = s.ws[n + 1]),
+b AS (SELECT doc_id, pos, max(n) AS best FROM r GROUP BY ALL)
+SELECT s.doc_id, s.pos::BIGINT AS line, len(ws)::BIGINT AS want, coalesce(best, 0)::BIGINT AS best,
+  CASE WHEN coalesce(best, 0) >= len(ws) THEN 'whole' WHEN best >= 4 AND best >= 0.5 * len(ws) THEN 'cut' ELSE 'gone' END AS verdict FROM source s LEFT JOIN b ON b.doc_id = s.doc_id AND b.pos = s.pos"""
+)
 def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each source line still stands whole in the edited copy, is cut, or is gone (tests hold it against a
-    plain loop)."""
+    """Whether each source line still stands whole in the edited copy, is cut, or is gone.  In SQL every place of a line's first word is
+    followed word by word."""
     source, edited = _edited(spark, sf_dir)
     s = source.select("doc_id", F.col("pos").alias("line"), F.posexplode("ws").alias("i", "word"))
     text = edited.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ws"))), lambda x: x["ws"])).alias("all"))
@@ -210,17 +217,27 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(J.verdict_of_runs(J.longest_runs(s, p)), "line", "want", "best")
 
 
-SHEET = """(VALUES (1, '1. First stem'), (1, 'a) one'), (1, 'b) two'), (1, '2. Second stem'), (1, 'a) x'), (1, 'b) y'),
-  (1, '3) Third stem'), (1, 'A. p'), (1, 'B. q'), (1, 'Answer 1: a'), (1, 'Answer 2 - B'), (1, 'Answer 3: b'),
-  (2, '1. Stem'), (2, 'a) one'), (2, 'Answer 1: a'), (2, '2. Stem'), (2, 'a) one'), (2, 'Answer 2: a'), (2, '3. Stem'), (2, 'a) one'),
-  (2, 'Answer 3: c')) AS q(doc_id, text)"""
+#: Questions from lines, eight lines each: a stem, two options, an answer, four lines of text.  In every fifth document the third
+#: answer names no option, in every seventh the second one is missing.
+QUIZ = """CASE pos % 8 WHEN 0 THEN '**' || (pos div 8 + 1) || '.** ' || text WHEN 1 THEN '**A.** one' WHEN 2 THEN '**B.** two'
+  WHEN 3 THEN CASE WHEN doc_id % 5 = 0 AND pos div 8 = 2 THEN '**3.** C — x' WHEN doc_id % 7 = 0 AND pos div 8 = 1 THEN 'none' ELSE '**' || (pos div 8 + 1) || '.** B – since' END ELSE 'text ' || text END"""
 
 
-@query()
+@query(
+    f"""WITH {LINES}, q AS (SELECT doc_id, pos, {QUIZ.replace("div", "//")} AS text FROM lines),
+a AS (SELECT doc_id, pos, text, nullif(regexp_extract(text, '^\\*\\*([0-9]+)\\.\\*\\*\\s*([A-Z])\\s*[—–-]\\s*(.+)$', 1), '') AS a_no, regexp_extract(text, '^\\*\\*([0-9]+)\\.\\*\\*\\s*([A-Z])\\s*[—–-]\\s*(.+)$', 2) AS a_letter,
+  nullif(regexp_extract(text, '^\\*\\*([0-9]+)\\.\\*\\*\\s*(.+)$', 1), '') AS s_no, nullif(regexp_extract(text, '^\\*\\*([A-Z])\\.\\*\\*\\s*(.+)$', 1), '') AS letter FROM q),
+n AS (SELECT *, last_value(CASE WHEN a_no IS NULL THEN s_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM a),
+s AS (SELECT doc_id, s_no AS number, arg_min(text, pos) AS stem FROM n WHERE s_no IS NOT NULL AND a_no IS NULL GROUP BY ALL),
+o AS (SELECT doc_id, number, list_sort(list(DISTINCT letter)) AS letters FROM n WHERE letter IS NOT NULL AND number IS NOT NULL GROUP BY ALL),
+w AS (SELECT doc_id, a_no AS number, arg_min(a_letter, pos) AS answer FROM n WHERE a_no IS NOT NULL GROUP BY ALL),
+j AS (SELECT s.doc_id, s.number, stem, letters, answer, coalesce(list_contains(letters, answer), false) AS ok FROM s LEFT JOIN o USING (doc_id, number) LEFT JOIN w USING (doc_id, number)),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, bool_and(ok) OVER (PARTITION BY doc_id) AS good FROM j)
+SELECT doc_id, number::BIGINT AS number, stem, array_to_string(letters, '') AS letters, answer FROM g WHERE n >= 3 AND good"""
+)
 def question_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems, options and answers joined on the number, all or nothing per document."""
-    sheet = spark.sql(f"SELECT cast(doc_id AS long) AS doc_id, text, monotonically_increasing_id() AS pos FROM {SHEET}")
-    return J.lift_questions(sheet)
+    return J.lift_questions(lines(spark, sf_dir).withColumn("text", F.expr(QUIZ)))
 
 
 def _windows(text: Column, n: int) -> Column:
