@@ -94,9 +94,14 @@ def test_list_nesting(spark, tiny, texts):
             stack.append(indent)
 
 
-def test_question_lift(spark, tiny):
-    got = {(r["doc_id"], r["number"]): (r["letters"], r["answer"]) for r in run(spark, tiny, "question_lift")}
-    assert got == {(1, 1): ("AB", "A"), (1, 2): ("AB", "B"), (1, 3): ("AB", "B")}  # document 2 has an answer without option
+def test_question_lift_needs_every_answer(spark):
+    from foliate.operators import joins as J
+
+    sheet = ["**1.** a", "**A.** x", "**B.** y", "**2.** b", "**A.** x", "**3.** c", "**B.** x", "**1.** A — for", "**2.** A - so", "**3.** B – as"]
+    rows = [(d, k, t) for d in (1, 2) for k, t in enumerate(sheet)] + [(3, k, t) for k, t in enumerate(sheet[:-1])]
+    rows = [(d, k, t.replace("**3.** B", "**3.** D") if d == 2 else t) for d, k, t in rows]
+    got = {(r["doc_id"], r["number"], r["letters"], r["answer"]) for r in J.lift_questions(spark.createDataFrame(rows, "doc_id long, pos int, text string")).collect()}
+    assert got == {(1, 1, "AB", "A"), (1, 2, "A", "A"), (1, 3, "B", "B")}  # 2 names no option, 3 lacks an answer
 
 
 def test_text_functions_by_cases(spark):
@@ -106,7 +111,21 @@ def test_text_functions_by_cases(spark):
         (T.strip_heading_number("t"), "1.2.3 Title", "Title"),
         (T.plain_heading("t"), "2) Big Idea :", "big idea"),
         (T.escape_latex("t"), "50% & $3_x", r"50\% \& \$3\_x"),
+        (T.escape_latex("t"), "a\\b~c^d", r"a\textbackslash{}b\textasciitilde{}c\textasciicircum{}d"),
+        (T.strip_tags("t"), "a<<<<<b>>>>>c <d", "ac <d"),
+        (T.decode_xml_once("t"), "\ue000 &amp;lt;", "\ue000 &lt;"),
+        (T.decode_numeric("t"), "&#233;&#x1F600;&#xD800;&#0;", "é😀&#xD800;&#0;"),
+        (T.slug("t"), "Šťastný Čapek & ő", "stastny-capek-and-o"),
+        (T.strip_escapes("t"), r"\# \! \~ \= \\_ \.", r"\# \! ~ = _ \."),
+        (T.join_hyphens("t"), "be\u2010 \n  fore \u2010 x", "before \u2010 x"),
+        (T.strip_furniture("t"), "a\nPage 3 of 12\nPage 4 of 12\nb", "a\n\n\nb"),
+        (T.media_path("t"), "a/b/../../c.png", "word/c.png"),
+        (T.flatten_space("t"), "\ta\t b \n c", "a  b\nc"),
+        (T.escape_markdown("t"), "a*b_c", r"a\*b\_c"),
+        (T.prose_like_maths("t").cast("string"), "one two three four five six seven", "true"),
+        (T.prose_like_maths("t").cast("string"), "one two three four five six = seven", "false"),
         (T.media_path("t"), "media/../img/./a.png", "word/img/a.png"),
+        (T.media_path("t"), "/x/a.png", "x/a.png"),
         (T.label_left_of_equals("t", most=10), "Revenue = 3 + 4 + 5 + 6", "Revenue"),
         (T.word_hyphens("t"), "a<w:noBreakHyphen/>b<w:softHyphen/>c", "a-bc"),
     ]
@@ -130,3 +149,109 @@ def test_no_rule_or_queue_is_one_array(spark):
         assert r["batch"] == batch
     plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (report, packed)]
     assert "collect_set" not in plans[0] and "collect_list" not in plans[1]
+
+
+@pytest.mark.parametrize("name", ["list_depths", "heading_before", "drained_before", "split_long", "pack_batches"])
+def test_one_long_key_takes_linear_time(spark, name):
+    """40,000 lines, points or entries of one document, folded or framed in a few seconds."""
+    import time
+
+    from foliate.operators import joins as J
+    from foliate.operators import lines as L
+
+    n = 40_000
+    lines = spark.range(n).selectExpr("1L AS doc_id", "cast(id AS int) AS pos", "CASE WHEN id % 50 = 0 THEN '# head' ELSE concat(repeat(' ', cast(id % 3 * 2 AS int)), '- item') END AS text")
+    run = {
+        "list_depths": lambda: L.list_depths(lines),
+        "heading_before": lambda: L.heading_before(lines),
+        "drained_before": lambda: J.drained_before(spark.range(n).selectExpr("1L AS doc_id", "id AS at", "id AS point_id"), spark.range(n).selectExpr("1L AS doc_id", "id * 2 AS end", "id AS block_id")),
+        "split_long": lambda: B.split_long(spark.range(n).selectExpr("1L AS doc_id", "cast(id AS int) AS pos", "5 AS n_words", "id % 3 = 0 AS is_lead")),
+        "pack_batches": lambda: B.pack_batches(spark.range(n).selectExpr("'q' AS queue", "id", "id % 9 AS size"), "queue", "id", "size", 20, 5),
+    }[name]
+    run().limit(1).collect()  # workers and code
+    began = time.perf_counter()
+    run().write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 8  # quadratic forms took from 50 s
+
+
+def test_levels_of_long_chains_and_circles(spark):
+    from foliate.operators import joins as J
+
+    rows = [(f"s{k}", 3 if k == 0 else None, f"s{k - 1}" if k else None) for k in range(100)] + [("a", None, "b"), ("b", None, "c"), ("c", None, "a"), ("lost", None, "gone")]
+    got = {r["style"]: r["level"] for r in J.inherited_levels(spark.createDataFrame(rows, "style string, level int, based_on string")).collect()}
+    assert got == {**{f"s{k}": 3 for k in range(100)}, "a": None, "b": None, "c": None, "lost": None}
+
+
+def test_prefixes_of_any_length_and_unused_ones(spark):
+    from foliate.operators import joins as J
+
+    titles = spark.range(1, 1500).selectExpr("repeat('x', cast(id AS int)) AS prefix", "cast(id AS string) AS title", "-id AS ord")
+    rows = spark.createDataFrame([(1, "x" * 1300), (2, "xy"), (3, "y"), (4, "")], "row_id long, text string")
+    assert {r["row_id"]: r["title"] for r in J.first_prefix(rows, titles).collect()} == {1: "1300", 2: "1", 3: None, 4: None}
+    assert J.unused_prefixes(rows, titles).count() == 1499 - 2
+
+
+def test_repeated_facts_and_ids_that_begin_alike(spark):
+    facts = spark.createDataFrame([("f", "n", "7"), ("f", "n", "7"), ("f", "lang", "en"), ("g", "n", "7")], R.FACTS_SCHEMA)
+    rules = spark.createDataFrame([("r", "n", "> 5"), ("r", "lang", "en")], R.RULES_SCHEMA)
+    assert [tuple(r) for r in R.match(facts, rules).collect()] == [("f", "r")]
+    two = spark.createDataFrame([("a" * 20 + "1", "r"), ("a" * 20 + "2", "r")], "file_id string, rule_id string")
+    (row,) = R.report(two, rules).collect()
+    assert row["samples"] == f"{'a' * 20}1,{'a' * 20}2"
+
+
+def test_leads_wait_over_lists_and_end_at_headings(spark):
+    from foliate.operators import lines as L
+
+    text = ["**lead**", "- item", "words one", "words two", "#### deep", "words three", "**gone**", "## next", "words four"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id long, pos int, text string")
+    assert {r["text"]: r["lead"] for r in L.join_leads(lines).collect()} == {"words one": "lead", "words two": None, "words three": "deep", "words four": None}
+
+
+def test_items_of_other_parents_are_no_siblings(spark):
+    from foliate.operators import lines as L
+
+    text = ["- a", "  1. x", "- b", "  1. y", "  2. z"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id long, pos int, text string")
+    assert {r["pos"]: r["keeps_number"] for r in L.numbered_siblings(lines).collect()} == {1: False, 3: True, 4: True}
+
+
+def test_maths_by_cases(spark):
+    from foliate.functions import maths as M
+
+    one = lambda expr, given: spark.createDataFrame([(given,)], "t string").select(expr.alias("x")).first()["x"]
+    assert one(M.inline_spans("t"), r"a $x$ b $ y $ $p = \$5$ `$c$` $q$2 $z$$w$") == ["x", r"p = \$5", "z"]
+    assert one(M.display_spans("t"), "a $$x\ny$$ b ```$$no$$```") == ["x\ny"]
+    assert one(M.repair_spaces("t"), r"a b c \alpha x 2 y \text{in it} z 3 \text{u} \text{v} \beta \text{w}") == r"a\ b\ c \alpha x 2 y\ \text{in it}\ z 3\ \text{u}\ \text{v} \beta \text{w}"
+    assert one(M.drawn_width("t"), r"\frac{\frac{abcdef}{gh}}{ij} + x \\ y") == 12  # an outer fraction is met before the one in it
+    assert one(M.in_prose("t", F.upper), "ab $cd$ ef `gh` $$ij$$ k") == "AB $cd$ EF `gh` $$ij$$ K"
+
+
+def test_examples_cross_text_only_before_working(spark):
+    from foliate.operators import ordered as O
+
+    text = ["**Example**: a", "intent", "$$x$$", "after", "# h", "**Example**: b", "one", "two", "three", "four", "five", "**Step 1: s**", "**Example**: c", "- li", "| t |", "- li"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id long, pos int, text string")
+    assert {r["pos"]: r["example"] for r in O.example_runs(lines).collect()} == {0: 0, 1: 0, 2: 0, 5: 5, 12: 12, 13: 12}
+
+
+def test_block_operations_see_what_came_before(spark):
+    from foliate.operators import ops as K
+
+    blocks = spark.createDataFrame([(1, 0, "a", "prose", "p"), (1, 1, "b", "prose", "x = 1\nstop\nrest"), (2, 0, "a", "prose", "q")], "unit long, place int, id string, type string, body string")
+    ops = spark.createDataFrame(
+        [(1, 1, "rename", "a", "z"), (1, 2, "rename", "b", "z"), (1, 3, "after", "z", "new"), (1, 4, "cut", "b", "stop"), (1, 5, "worked", "b", "Step"), (1, 6, "move", "b", "z"), (1, 7, "cut", "z", "p"), (1, 8, "remove", "nobody", None)],
+        "unit long, seq int, op string, id string, arg string",
+    )
+    rows = K.apply_ops(blocks, ops).orderBy("unit", "place").collect()
+    assert [(r["unit"], r["id"], r["type"], r["body"]) for r in rows] == [(1, "b", "worked-example", "[Step] x = 1"), (1, "z", "prose", "p"), (1, "z+", "prose", "new"), (2, "a", "prose", "q")]
+    assert rows[0]["log"] == "rename:done,rename:taken,after:done,cut:done,worked:done,move:done,cut:empties,remove:missing" and rows[-1]["log"] == ""
+    assert K.worked("Buy it\nx = 2\nso\ny = 3\nend", "Step") == "[Buy it] x = 2\n[so] y = 3\nend"
+
+
+def test_an_unknown_key_is_refused(spark):
+    from foliate.operators import relations as Q
+
+    a, b = spark.createDataFrame([(1,), (2,)], "key long"), spark.createDataFrame([(1, "x")], "key long, v string")
+    with pytest.raises(ValueError, match="no target for key 2"):
+        Q.strict(a, b, "key")
