@@ -51,7 +51,7 @@ class Params(NamedTuple):
     rate: float = 20.0
     top: int = 254
     margin: float = 5.0
-    block: int = 192
+    block: int = 96
 
     @property
     def registers(self) -> int:
@@ -249,12 +249,13 @@ def estimated(met: DataFrame, parts: DataFrame, reps: DataFrame, p: Params) -> D
 
 
 def _with_text(docs: DataFrame, tests: DataFrame, reps: DataFrame) -> DataFrame:
-    """``tests`` with the text and the fingerprint of their doc_id."""
+    """``tests`` with the text of their doc_id, and its fingerprint if they lack it."""
     wanted = tests.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled
         wanted = F.broadcast(wanted)
     texts = documents(docs).join(wanted, "doc_id", "left_semi")
-    return tests.join(reps.select("doc_id", "fp"), "doc_id").join(texts, "doc_id")
+    known = tests if "fp" in tests.columns else tests.join(reps.select("doc_id", "fp"), "doc_id")
+    return known.join(texts, "doc_id")
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -304,7 +305,7 @@ def _members(met: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _rest(met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFrame | None:
-    """(hub, x, y, side, doc_id, c, n, regs): what the hubs leave open, dealt to pairs of blocks; None where nothing is.
+    """(hub, x, y, side, doc_id, c, n, regs, fp): what the hubs leave open, dealt to pairs of blocks; None where nothing is.
 
     A group whose members are one component is done.  In all others a member outside the largest component is tested
     against all others, but for two that meet at the hub's parent (:func:`_members`): ``x`` and ``y`` number two blocks, ``side``
@@ -333,8 +334,8 @@ def _rest(met: DataFrame, comp: DataFrame, reps: DataFrame, p: Params) -> DataFr
     mine = F.pmod(F.xxhash64("doc_id"), F.get("blocks", F.col("kind"))).cast("int")
     side = F.get(F.array(*at), F.col("kind")) + mine
     rows = rows.select("hub", "doc_id", "c", "n", side.alias("side"), meets.alias("meets")).filter(F.size("meets") > 0)
-    rows = rows.join(reps.select("doc_id", "regs"), "doc_id").select("hub", "doc_id", "c", "n", "regs", "side", F.explode("meets").alias("other"))
-    return rows.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "c", "n", "regs")
+    rows = rows.join(reps.select("doc_id", "regs", "fp"), "doc_id").select("hub", "doc_id", "c", "n", "regs", "fp", "side", F.explode("meets").alias("other"))
+    return rows.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "c", "n", "regs", "fp")
 
 
 class _Group(NamedTuple):
@@ -414,7 +415,7 @@ def remaining(docs: DataFrame, met: DataFrame, comp: DataFrame, reps: DataFrame,
     Pairs of blocks are compared by their registers first; texts go only to documents that then have a candidate.
     """
     by = ["hub", "x", "y"]
-    schema = "hub long, x long, y long, side long, doc_id long, c long, n long, regs binary"
+    schema = "hub long, x long, y long, side long, doc_id long, c long, n long, regs binary, fp binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +450,7 @@ def remaining(docs: DataFrame, met: DataFrame, comp: DataFrame, reps: DataFrame,
     # dealt by number, as the work for a row is large for its bytes
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // 4096)
     some = materialise(typed.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(screen, schema), "screened")
-    rows = _with_text(docs, some, reps).select(*names, "fp", "text")
+    rows = _with_text(docs, some, reps).select(*names, "text")
     return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(confirm, "a long, b long")
 
 
