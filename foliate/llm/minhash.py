@@ -27,13 +27,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, documents, hot_from, lookup, materialise, table, without
+from .common import BROADCAST_ROWS, blocks, documents, hot_from, lookup, materialise, slices, table, without
 
 
 class Params(NamedTuple):
@@ -58,7 +57,7 @@ class Params(NamedTuple):
         return self.bands * self.rows
 
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,7 +181,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, n, ``fp`` (128 bits of the whole set) and the registers: one row per document, that of its largest set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for k, end in blocks(texts):
                 part = batch.slice(k, end - k)
@@ -234,18 +233,18 @@ def estimated(met: DataFrame, parts: DataFrame, reps: DataFrame, p: Params) -> D
     """(hub, part, doc_id): the meetings whose sizes and likelihood estimate allow the link."""
     floor = candidate_floor(p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                regs = [np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("ra", "rb")]
-                est = similarity(*regs, b["hub_n"].to_numpy(float), b["n"].to_numpy(float), p)
-                yield b.loc[est >= floor, ["hub", "part", "doc_id"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (5, 6)]
+            est = similarity(*regs, b.column(3).to_numpy().astype(float), b.column(4).to_numpy().astype(float), p)
+            yield b.select([0, 1, 2]).filter(pa.array(est >= floor))
 
     # a link needs 100 * min >= percent * max
     pairs = met.filter(100 * F.least("hub_n", "n") >= p.percent * F.greatest("hub_n", "n"))
     a = parts.join(reps.select(F.col("doc_id").alias("hub"), F.col("regs").alias("ra")), "hub")
     b = reps.select("doc_id", F.col("regs").alias("rb"))
-    return pairs.join(b, "doc_id").join(a, ["hub", "part"]).mapInPandas(run, "hub long, part int, doc_id long")
+    both = pairs.join(b, "doc_id").join(a, ["hub", "part"]).select("hub", "part", "doc_id", "hub_n", "n", "ra", "rb")
+    return both.mapInArrow(run, "hub long, part int, doc_id long")
 
 
 def _with_text(docs: DataFrame, tests: DataFrame, reps: DataFrame) -> DataFrame:
@@ -267,7 +266,7 @@ def stars(docs: DataFrame, pairs: DataFrame, reps: DataFrame, p: Params) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
-        for batch in batches:
+        for batch in slices(batches):
             found: list[tuple[int, int]] = []
             for hub_id, part, role, doc_id, fp, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if at != (hub_id, part):
@@ -393,7 +392,7 @@ class _Group(NamedTuple):
 def _grouped(batches: Iterator[pa.RecordBatch], prepare) -> Iterator[list[tuple] | None]:
     """The rows of each group of equal first three columns; None after each batch."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if held and held[-1][:3] != row[:3]:
                 yield held
