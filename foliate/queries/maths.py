@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dashes as D
 from ..functions import maths as M
 from ..functions import text as T
 from ..session import table
 from . import query
+from .fixtures import lines
 
 #: What stands for which words: spans, an escaped dollar, code, two prices, and a span that a digit follows.
 PUT = (
@@ -100,3 +102,20 @@ def numeric_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decimal and hexadecimal references to characters; one beyond Unicode stays."""
     h = F.concat(F.replace(F.replace("html", F.lit("e"), F.lit("&#101;")), F.lit("t"), F.lit("&#x74;")), F.lit("&#xE9;&#1114112;"))
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_numeric(h).cast("binary")).alias("decoded"))
+
+
+#: Lone dashes before words and connectives, pairs, cells, and dashes in maths; lines of the tables hold no dash of their own.
+DASHED = """CASE pos % 8 WHEN 0 THEN 'first — ' || w || ' second' WHEN 1 THEN 'first — because ' || w WHEN 2 THEN 'he — ' || w || ' — said' WHEN 3 THEN 'he — ' || w || ' — Said it'
+  WHEN 4 THEN '| — | ' || w || ' |' WHEN 5 THEN 'note: one — ' || w WHEN 6 THEN 'so $a — b$ is (x: ' || w || ' — y)' ELSE 'end ' || w || ' , — and' END"""
+SETTLED = """CASE pos % 8 WHEN 0 THEN 'first: ' || w || ' second' WHEN 1 THEN 'first, because ' || w WHEN 2 THEN 'he (' || w || ') said' WHEN 3 THEN 'he (' || w || '), Said it'
+  WHEN 4 THEN '| – | ' || w || ' |' WHEN 5 THEN 'note: one, ' || w WHEN 6 THEN 'so $a, b$ is (x: ' || w || ', y)' ELSE 'end ' || w || ', and' END"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text FROM documents), l AS (SELECT doc_id, unnest(range(len(x)))::BIGINT AS pos, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)),
+w AS (SELECT doc_id, pos, 'w' || length(text) AS w FROM l) SELECT doc_id, pos, {SETTLED} AS settled FROM w"""
+)
+def dash_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with dashes, settled; the SQL states what each form becomes."""
+    w = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("w"), F.length("text").cast("string")).alias("w"))
+    return w.select("doc_id", "pos", D.settle_dashes(F.expr(DASHED)).alias("settled"))

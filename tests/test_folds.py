@@ -255,3 +255,23 @@ def test_an_unknown_key_is_refused(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "key long"), spark.createDataFrame([(1, "x")], "key long, v string")
     with pytest.raises(ValueError, match="no target for key 2"):
         Q.strict(a, b, "key")
+
+
+def test_dashes_by_cases_and_in_linear_time():
+    import time
+
+    from foliate.functions.dashes import settle
+
+    cases = {
+        "a — b": "a: b", "a — but b": "a, but b", "a: b — c": "a: b, c", "he — it — said": "he (it) said", "he — it — *Said*": "he (it), *Said*", "a —, b": "a:, b",
+        "|—| — | x |": "|–| – | x |", " — ": " – ", "x (a: b — c); d — e": "x (a: b, c); d: e", "`a — b — c` d": "`a: b: c` d", "One. Two — 3 .5 .": "One. Two: 3 .5.", "no dash ,": "no dash ,",
+        "a ; — b": "a; b", "(( a — b)": "((a: b)",
+    }
+    assert {k: settle(k) for k in cases} == cases
+    took = []
+    for n in (2000, 4000):
+        line = ("word " * (160_000 // n) + "— ") * n
+        began = time.perf_counter()
+        assert "—" not in settle(line)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2.5 * took[0] + 0.2 and max(took) < 3
