@@ -379,3 +379,36 @@ def test_toxicity_without_labels_samples_by_a_hash(spark, monkeypatch):
     assert np.allclose(models[0].weights, models[1].weights) and models[0].bias == pytest.approx(models[1].bias)
     kept = toxicity.keep(docs, nobody)
     assert kept.columns == docs.columns and kept.filter("doc_id % 10 <> 0").count() == 270
+
+
+def plain_stream(payload: bytes) -> bytes:
+    """The transport stream of a payload, packet by packet."""
+
+    def table(pid: int, kind: int, ident: int, body: bytes) -> bytes:
+        head = bytes([kind, 0xB0, 5 + len(body) + 4]) + ident.to_bytes(2, "big") + bytes([0xC1, 0, 0]) + body
+        section = head + media.crc32_mpeg(head).to_bytes(4, "big")
+        return (bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + section).ljust(188, b"\xff")
+
+    out = table(0, 0, 1, bytes([0, 1, 0xE1, 0x00])) + table(0x100, 2, 1, bytes([0xE1, 0x01, 0xF0, 0, 6, 0xE1, 0x01, 0xF0, 0]))
+    counter = 0
+    for k in range(len(payload) // 576):
+        t = k * 576 * 90_000 // 24_000
+        stamp = bytes([0x20 | (t >> 30 & 7) << 1 | 1, t >> 22 & 255, (t >> 15 & 127) << 1 | 1, t >> 7 & 255, (t & 127) << 1 | 1])
+        left = bytes([0, 0, 1, 0xBD]) + (3 + 5 + 576).to_bytes(2, "big") + bytes([0x84, 0x80, 5]) + stamp + payload[576 * k : 576 * k + 576]
+        field = bytes([7, 0x10 | (0x40 if k % 32 == 0 else 0)]) + (t << 15 | 0x7E00).to_bytes(6, "big")
+        start = True
+        while left:
+            room = 184 - len(field)
+            if len(left) < room:  # stuffing
+                field = bytes([183 - len(left), 0]) + b"\xff" * (182 - len(left))
+                room = len(left)
+            out += bytes([0x47, (0x40 if start else 0) | 1, 1, (0x30 if field else 0x10) | counter & 15]) + field + left[:room]
+            left, field, start, counter = left[room:], b"", False, counter + 1
+    return out
+
+
+def test_streams_are_those_of_a_plain_writer():
+    payload = bytes(np.random.default_rng(1).integers(0, 256, 576 * 70, dtype=np.uint8))
+    assert media.store(payload) == plain_stream(payload)
+    s = media.read(plain_stream(payload))
+    assert s.data == payload and s.times.tolist() == [k * 2160 for k in range(70)] and s.access_times.tolist() == [0, 32 * 2160, 64 * 2160] and not s.errors
