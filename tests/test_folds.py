@@ -264,7 +264,7 @@ def test_dashes_by_cases_and_in_linear_time():
 
     cases = {
         "a — b": "a: b", "a — but b": "a, but b", "a: b — c": "a: b, c", "he — it — said": "he (it) said", "he — it — *Said*": "he (it), *Said*", "a —, b": "a:, b",
-        "|—| — | x |": "|–| – | x |", " — ": " – ", "x (a: b — c); d — e": "x (a: b, c); d: e", "`a — b — c` d": "`a: b: c` d", "One. Two — 3 .5 .": "One. Two: 3 .5.", "no dash ,": "no dash ,",
+        "|—| — | x |": "|–| – | x |", " — ": " – ", "x (a: b — c). D — e": "x (a: b, c). D: e", "`a — b — c` d": "`a: b: c` d", "One. Two — 3 .5 .": "One. Two: 3 .5.", "no dash ,": "no dash ,",
         "a ; — b": "a; b", "(( a — b)": "((a: b)",
     }
     assert {k: settle(k) for k in cases} == cases
