@@ -324,7 +324,7 @@ def test_near_dedup_of_hot_groups(spark, monkeypatch):
     for _ in range(70):
         docs[i], i = "one and the same text " + " ".join(base[:40]), i + 1
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    for p in (minhash.QUERY, minhash.Params(words=3, percent=85, block=16)):
-        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows, p).collect()}
-        assert got == components(docs, 3, 85)
+    p = minhash.Params(words=3, percent=85, block=16)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows, p).collect()}
+    assert got == components(docs, 3, 85)
     assert 3 < len(set(got.values())) < 150
