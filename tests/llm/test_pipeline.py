@@ -89,9 +89,13 @@ def test_near_dedup_stage(stages):
     assert after == {d: t for d, t in before.items() if want[d] == d}
 
 
-def test_secrets_stage(stages):
-    before, after = map(texts, stages["secret_scans"])
-    assert after == {d: redacted(t or "") for d, t in before.items()} and after != before
+def test_secrets_stage(spark, tiny, stages):
+    docs, found = stages["secret_scans"]
+    assert texts(found) == {d: redacted(t or "") for d, t in texts(docs).items()}
+    planted = docs.withColumn("text", F.concat("text", F.lit(f" é password: hunter22 AKIA{'B' * 16} "), "text"))  # few texts here hold one
+    after = texts(corpus_pipeline.secrets(spark, planted, tiny))
+    assert after == {d: redacted(t or "") for d, t in texts(planted).items()}
+    assert all("[assign] [access]" in t for t in after.values())
 
 
 def test_packing_stage_and_the_whole(spark, tiny, stages, library):  # noqa: F811
