@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, secret_scan
+from . import chat, fim, lexical, quality, secret_scan
 from .bpe import op10_bpe
 from .chat import op5_chat_formatting
+from .fim import op12_fill_in_middle
+from .lexical import op11_ranked_search
 from .media import op8_media_columns
 from .minhash import op1_minhash_near_dedup
 from .packing import op2_packing
 from .quality import op3_quality_rules
+from .rans import op13_token_output
 from .secret_scan import op6_secret_scans
 from .sharding import op7_sharding
 from .toxicity import op4_toxicity
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_media_columns,
         op9_url_filters,
         op10_bpe,
+        op11_ranked_search,
+        op12_fill_in_middle,
+        op13_token_output,
     )
     return {f.__name__: f for f in found}
 
@@ -40,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         op3_quality_rules.__name__: quality.SQL,
         op5_chat_formatting.__name__: chat.SQL,
         op6_secret_scans.__name__: secret_scan.SQL,
+        op11_ranked_search.__name__: lexical.SQL,
+        op12_fill_in_middle.__name__: fim.SQL,
     }
