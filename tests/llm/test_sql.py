@@ -13,7 +13,7 @@ SQL = Q.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     answer = con.execute(SQL[name])
     columns = [c[0] for c in answer.description]
