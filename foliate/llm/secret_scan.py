@@ -1,8 +1,8 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is addressed by the hash of its content.  A ledger keeps, for each pair of a blob and a
-rule, what was found, below a folder named after the rules that were scanned together; a rule's name there is a hash of all it says, so a changed
-rule is another one.  Only pairs that the ledger lacks are scanned, one text for each blob and only for the rules that
+rule, what was found.  A rule's name there is a hash of all it says, so a changed rule is another one; what was scanned for the same
+rules together lies in one folder, named after a hash of their names, and a table beside the ledger says which rules a folder is of.  Only pairs that the ledger lacks are scanned, one text for each blob and only for the rules that
 it lacks, and findings are joined back to all paths and versions that hold the blob.  Spans come from built-in
 expressions: the matches of a pattern and the text between them give every match its place.
 
@@ -39,7 +39,7 @@ class Rule(NamedTuple):
     @property
     def version(self) -> str:
         """A hash of all that decides what the rule finds."""
-        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:12]
+        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least, self.hint)).encode()).hexdigest()[:12]
 
 
 #: The base rules (fixed values), then what this scan adds: provider tokens, signed web tokens, private key blocks.
@@ -110,11 +110,20 @@ def ledger_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
-def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+def _ledger(spark: SparkSession, path: str, versions: Sequence[str]) -> DataFrame | None:
+    """The entries of folders that hold one of the rules; other folders are not read."""
     try:
-        return spark.read.parquet(path)
+        sets, entries = spark.read.parquet(f"{path}.sets"), spark.read.parquet(path)
     except AnalysisException:  # nothing was written there so far
         return None
+    wanted = sets.filter(F.arrays_overlap(F.split("rules", "-"), F.array(*[F.lit(v) for v in versions])))
+    folders = [r["folder"] for r in wanted.select("folder").distinct().collect()]  # one for each set of rules scanned together
+    return entries.filter(F.col("folder").isin(folders))
+
+
+def _folder(rules: Column) -> Column:
+    """A name of fixed length, with a letter first, as a name of digits would be read as a number."""
+    return F.concat(F.lit("r"), F.substring(F.sha2(rules, 256), 1, 24))
 
 
 def _blob(text: Column) -> Column:
@@ -138,20 +147,20 @@ def _texts(docs: DataFrame, todo: DataFrame) -> DataFrame:
 def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``found`` (spans) for every row of ``versions`` (doc_id, text), scanning only what ``ledger`` lacks.
 
-    The pairs scanned now are appended to the ledger, blobs without a finding too.
+    The pairs scanned now are appended to the ledger, blobs without a finding too.  A scan that is repeated after a failure
+    writes the same pairs once more at most, which changes no result.
     """
     spark, wanted = versions.sparkSession, F.array(*[F.lit(r.version) for r in rules]).cast("array<string>")
     docs = documents(versions).withColumn("text", F.coalesce("text", F.lit("")))
     blobs = materialise(docs.select("doc_id", _blob(F.col("text")).alias("blob")), "blobs")
-    known = _ledger(spark, ledger)
+    versions = [r.version for r in rules]
+    known = _ledger(spark, ledger, versions)
     each = blobs.groupBy("blob", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     each = each.groupBy("blob").agg(F.sum("n").alias("size"), F.min(F.struct("doc_id", "n")).alias("one"))
     each = each.select("blob", "size", F.col("one.doc_id").alias("doc_id"), (F.col("one.n") > 1).alias("again"))
     lacks = wanted
     if known is not None:
-        of = F.split("rules", "-")
-        seen = known.select("blob", of.alias("of")).filter(F.arrays_overlap("of", wanted))  # folders of other rules are not read
-        seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("seen"))
+        seen = known.select("blob", F.split("rules", "-").alias("of")).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("seen"))
         each = each.join(seen, "blob", "left")
         lacks = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
     each = materialise(each.select("blob", "size", "doc_id", "again", lacks.alias("lacks")), "each")
@@ -161,11 +170,15 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> Dat
         none = F.array().cast(SPANS)
         found = [F.when(F.array_contains("lacks", r.version), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
         versioned = F.transform(F.concat(*found), lambda s: F.struct(F.get(wanted, s["rank"]).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
-        texts = texts.select("blob", F.concat_ws("-", "lacks").alias("rules"), versioned.alias("found"))
-        texts.write.mode("append").partitionBy("rules").option("compression", "zstd").parquet(ledger)
-    if _ledger(spark, ledger) is None:  # no text so far
+        together = F.concat_ws("-", "lacks")
+        sets = todo.select(together.alias("rules")).distinct()
+        sets.select("rules", _folder(F.col("rules")).alias("folder")).write.mode("append").parquet(f"{ledger}.sets")
+        texts = texts.select("blob", together.alias("rules"), versioned.alias("found"), _folder(together).alias("folder"))
+        texts.write.mode("append").partitionBy("folder").option("compression", "zstd").parquet(ledger)
+    known = _ledger(spark, ledger, versions)
+    if known is None:  # no text so far
         return blobs.select("doc_id", "blob", F.array().cast(SPANS).alias("found"))
-    hits = spark.read.parquet(ledger).filter(F.arrays_overlap(F.split("rules", "-"), wanted) & (F.size("found") > 0))
+    hits = known.filter(F.size("found") > 0)
     ranked = F.transform("found", lambda s: F.struct(s["start"].alias("start"), (F.array_position(wanted, s["rule"]) - 1).cast("int").alias("rank"), s["end"].alias("end")))
     hits = hits.select("blob", F.filter(ranked, lambda s: s["rank"] >= 0).alias("found")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     hits = hits.filter(F.size("found") > 0).join(each.select("blob", "size"), "blob")

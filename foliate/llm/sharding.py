@@ -2,14 +2,15 @@
 
 A node of the tree is split at the weighted median of its widest metadata dimension, weights being bytes, until each
 leaf is one shard of about the target bytes; how wide a dimension is counts as a share of its width in the whole table.  A document's key in a dimension is the value and, for ties, a hash of
-its text and id, so a node can be split within equal values and a hot group of copies spreads like all else.  The
+its text and id and then one of the row's number, so a node can be split within equal values and within equal rows: a hot group
+of copies, and a row that is repeated, spread like all else.  The
 median is found on the cluster: per round every node's key range is cut into bins, bins are summed where the rows are,
 and the bin that holds the median is the next range, until it holds one key; the driver sees one row per node.
 
 Law: ``bytes`` (leaves differ by about the size of a document).
 
 Defined results: a null text has size 1; null metadata is a value of its own, below all others; repeated rows lie next
-to each other in every dimension and are placed one by one; an empty table gives an empty result; further columns are
+to each other in every dimension and are placed one by one, which of them where is left open; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -27,6 +28,8 @@ from .common import materialise, n_chunks, running_offset, table, with_missing
 BINS = 1024
 #: Bits of a key: its value, then the tie-break.
 VALUE_BITS, TIE_BITS = 20, 42
+#: Bits of the tie-break that tell equal rows apart.
+ROW_BITS = 20
 VALUES = 1 << VALUE_BITS
 
 DIMENSIONS = ("d_size", "d_lang", "d_source", "d_order")
@@ -59,7 +62,9 @@ def metadata(docs: DataFrame) -> DataFrame:
         _named("lang").alias("d_lang"),
         _named("source").alias("d_source"),
     )
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 64 - TIE_BITS)
+    same = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 64 - TIE_BITS + ROW_BITS)
+    row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - ROW_BITS)  # the caller writes these rows once
+    tie = F.shiftleft(same, ROW_BITS) + row
     steps = (VALUES - 2) / max((high or 0) - (low or 0), 1)
     value = {
         "d_size": F.least(F.floor(F.log2("size") * (VALUES // 64)), F.lit(VALUES - 1)).cast("long"),
@@ -177,7 +182,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     placed, _ = kd_shards(meta, shards, target_bytes)
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     return running_offset(
-        placed, ["shard"], order, F.struct("doc_id"), F.lit(1), "slot", n_chunks(meta.count())
+        placed, ["shard"], order, F.col("d_order"), F.lit(1), "slot", n_chunks(meta.count())
     ).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

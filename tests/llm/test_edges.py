@@ -412,3 +412,40 @@ def test_streams_are_those_of_a_plain_writer():
     assert media.store(payload) == plain_stream(payload)
     s = media.read(plain_stream(payload))
     assert s.data == payload and s.times.tolist() == [k * 2160 for k in range(70)] and s.access_times.tolist() == [0, 32 * 2160, 64 * 2160] and not s.errors
+
+
+def test_a_ledger_of_many_rules(spark, docs):
+    """Folder names of fixed length, whatever the number of rules; a changed hint is another rule."""
+    rules = [secret_scan.Rule(f"kind{k}", f"needle{k}x+", 0, 8, f"needle{k}x") for k in range(200)]
+    found = make(spark, [(k, f"a needle{k}xxx here", "en", "a") for k in range(0, 200, 20)])
+    ledger = secret_scan.ledger_path(spark)
+    listed = lambda r: sorted((x["doc_id"], [tuple(s) for s in x["found"]]) for x in secret_scan.scan(found, ledger, r).collect())
+    assert listed(rules) == [(k, [(2, k, 11 + len(str(k)))]) for k in range(0, 200, 20)]
+    base = secret_scan.BASE[1]
+    blind = base._replace(hint="nothing like it")
+    some = make(spark, [(1, "AKIA" + "B" * 16, "en", "a")])
+    of = lambda r: [len(x["found"]) for x in secret_scan.scan(some, ledger, [r]).collect()]
+    assert of(blind) == [0] and of(base) == [1] and of(blind) == [0]
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    rows = [(7, "the same text", "en", "a")] * 1600
+    sizes = sorted(r["count"] for r in sharding.shard(make(spark, rows), shards=16).groupBy("shard").count().collect())
+    assert len(sizes) == 16 and sizes[-1] - sizes[0] <= 1
+    mixed = rows + [(100 + k, f"text number {k:04d}", "en", "a") for k in range(1600)]
+    placed = sharding.shard(make(spark, mixed), shards=16).collect()
+    total, each = sum(r["size"] for r in placed), {}
+    for r in placed:
+        each.setdefault(r["shard"], []).append(r)
+    assert len(each) == 16 and all(abs(sum(r["size"] for r in x) - total / 16) <= 4 * 17 for x in each.values())
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in each.values())
+
+
+def test_a_large_table_is_read_as_it_lies(spark, tmp_path, monkeypatch):
+    from foliate.llm import common
+
+    spark.range(200_000).selectExpr("id", "sha2(cast(id as string), 256) AS h").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    exchange = lambda: "Exchange" in common.table(spark, str(tmp_path), "t")._jdf.queryExecution().toString()
+    assert exchange() and common.table(spark, str(tmp_path), "t").count() == 200_000
+    monkeypatch.setattr(common, "DEALT_BYTES", 1 << 20)
+    assert not exchange()
