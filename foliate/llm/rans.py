@@ -42,7 +42,7 @@ SCALE = 1 << SCALE_BITS
 #: A state lies between this and 2^63; what goes above leaves as a word of 32 bits.
 LEAST = 1 << 31
 #: Blocks that a task codes side by side.
-SIDE_BY_SIDE = 32
+SIDE_BY_SIDE = 64
 #: magic, ids, checkpoints, words, documents, checksum of the ids, checksum of the table
 _HEAD = struct.Struct("<4s4IIQ")
 #: doc_id, whether it is null, the file's ids before it, its ids
@@ -94,25 +94,25 @@ def encode(parts: list[np.ndarray], table: Table) -> list[Coded]:
     steps = -(-n // LANES)
     codes = np.full((count, steps * LANES), table.common, np.int32)
     codes[:, :n] = table.numbers(np.concatenate(parts)).reshape(count, n)
-    codes = codes.reshape(count, steps, LANES)
+    codes = codes.reshape(count, steps, LANES).transpose(1, 0, 2)
     state = np.full((count, LANES), LEAST, np.uint64)
     stream, place = np.empty((count, steps * LANES), np.uint32), np.full(count, steps * LANES, np.int64)
-    each, segments, row = SEGMENT // LANES, [], np.arange(count)[:, None]
-    wide, bits, room = np.uint64(32), np.uint64(SCALE_BITS), np.uint64(63 - SCALE_BITS)
-    for step in range(steps - 1, -1, -1):
-        code = codes[:, step]
-        freq, low = table.freq[code], table.low[code]
-        full = state >> room >= freq
-        if full.any():
-            rank = np.cumsum(full, 1)
+    each, segments = SEGMENT // LANES, []
+    wide, places, room = np.uint64(32), np.uint64(SCALE), np.uint64(63 - SCALE_BITS)
+    for start in range((steps - 1) // each * each, -1, -each):
+        some = codes[start : start + each]
+        freqs, lows = table.freq[some], table.low[some]
+        for step in range(len(some) - 1, -1, -1):
+            freq = freqs[step]
+            full = state >> room >= freq
+            rank = full.cumsum(1)
             place -= rank[:, -1]
-            r, lane = np.nonzero(full)
-            stream[r, place[r] + rank[r, lane] - 1] = state[r, lane] & np.uint64(0xFFFFFFFF)
-            state = np.where(full, state >> wide, state)
-        whole = state // freq
-        state = (whole << bits) + (state - whole * freq) + low
-        if step % each == 0:
-            segments.append((place.copy(), state))
+            r, lane = full.nonzero()
+            stream[r, place[r] + rank[r, lane] - 1] = state[r, lane]  # its low 32 bits
+            np.right_shift(state, wide, out=state, where=full)
+            whole = state // freq
+            state += whole * (places - freq) + lows[step]
+        segments.append((place.copy(), state.copy()))
     out = []
     for k in range(count):
         at = np.array([p[k] for p, _ in reversed(segments)], np.uint64) - np.uint64(place[k])
@@ -178,21 +178,35 @@ class Files(NamedTuple):
 
 
 def text_ids(docs: DataFrame, closing_id: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, tie and the little-endian 32-bit ids of each whole text with the closing id."""
+    """doc_id, tie, the ids of each whole text with the closing id as little-endian numbers, and the bytes of each of them
+    (2 where the vocabulary allows)."""
     pattern = split_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_ids(vocabulary or vocabulary_path(VOCABULARY), pattern)
+        end, width = np.array([closing_id], encoder.kind).tobytes(), int(encoder.kind[-1])
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
-                ids = [np.append(np.frombuffer(encoder.encode(t), encoder.kind), closing_id).astype("<u4").tobytes() for t in texts[a:b]]
+                ids = [encoder.encode(t) + end for t in texts[a:b]]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.full(b - a, width, np.int8)), pa.array(ids, pa.binary())], ["doc_id", "tie", "width", "ids"])
 
     # equal rows get different ties, so that no task must take them all
     tie = F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return documents(docs).select("doc_id", "text", tie.alias("tie")).mapInArrow(run, "doc_id long, tie struct<text: bigint, row: bigint>, ids binary")
+    return documents(docs).select("doc_id", "text", tie.alias("tie")).mapInArrow(run, "doc_id long, tie struct<text: bigint, row: bigint>, width byte, ids binary")
+
+
+def _numbers(width: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}")
+
+
+def _by_width(widths: pa.Array, ids: pa.Array) -> list[list[np.ndarray]]:
+    """The ids of some rows, those of one width together."""
+    found: dict[int, list[np.ndarray]] = {}
+    for w, raw in zip(widths.to_pylist(), ids.to_pylist(), strict=True):
+        found.setdefault(w, []).append(_numbers(w, raw))
+    return list(found.values())
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -201,16 +215,17 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for part in slices(batches):
-            counts = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4"))
-            if len(counts) > len(total):
-                counts[: len(total)] += total
-                total = counts
-            else:
-                total[: len(counts)] += counts
+            for ids in _by_width(part.column(0), part.column(1)):
+                counts = np.bincount(np.concatenate(ids))
+                if len(counts) > len(total):
+                    counts[: len(total)] += total
+                    total = counts
+                else:
+                    total[: len(counts)] += counts
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "file int, block int, first long, n long, payload binary"
@@ -233,7 +248,7 @@ class _Writer:
         """The blocks that are full, and at the end also the last one."""
         if not last and self.end - self.first < SIDE_BY_SIDE * BLOCK or self.end == self.first:
             return
-        ids, docs = np.concatenate(self.ids), np.array(self.docs, _DOC)
+        ids, docs = np.concatenate(self.ids).astype(np.uint32, copy=False), np.array(self.docs, _DOC)
         cuts = list(range(0, len(ids) - len(ids) % BLOCK, BLOCK))
         done = len(cuts) * BLOCK
         for k in range(0, len(cuts), SIDE_BY_SIDE):
@@ -270,15 +285,15 @@ def write(tokens: DataFrame, files: int | None = None) -> Files:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(TaskContext.get().partitionId(), Table(*sent.value))
         for part in slices(batches):
-            for doc_id, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, np.frombuffer(ids, "<u4"))
+            for doc_id, width, ids in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                writer.add(doc_id, _numbers(width, ids))
             yield from writer.rows()
         yield from writer.rows(last=True)
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie.text").asc_nulls_first(), F.col("tie.row").asc()]
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens.rdd.getNumPartitions())
     dealt = tokens.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(at.blocks)
+    dealt.select("doc_id", "width", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(at.blocks)
     return at
 
 
