@@ -18,7 +18,9 @@ packed each by itself; an empty table gives an empty result; further columns are
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from itertools import pairwise
@@ -151,11 +153,25 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: A word or a gap of so many characters, or a character whose class Unicode versions may see differently.
-_SLOW = re.compile(rf"\S{{1000}}|\s{{1000}}|[\u{LOW:04x}-\U0010ffff]")
+#: A character whose class Unicode versions may see differently, and a word or a gap of so many characters.
+_HIGH = re.compile(rf"[\u{LOW:04x}-\U0010ffff]")
 _LONG = re.compile(r"\S{1000}|\s{1000}")
 
 
+def _high(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # no such character, and quickly seen
+    except UnicodeEncodeError:
+        return bool(_HIGH.search(text))
+    return False
+
+
+def _long(text: str) -> bool:
+    """Whether :data:`_LONG` is found.  A run of 1,000 fills one of the pieces of 500 whole; most texts have none such."""
+    suspect = any(len(text[k : k + 500].split(None, 1)) < 2 for k in range(0, len(text) - 499, 500))
+    return suspect and bool(_LONG.search(text))
+
+
 class TextIds:
     """Ids as the tokenizers library gives them.
 
@@ -184,11 +200,11 @@ class TextIds:
         """Ids as little-endian 16- or 32-bit numbers (:attr:`kind`)."""
         if any(s in text for s in self.special):  # the library splits at these first
             return self._whole(text)
-        odd = _SLOW.search(text) if self.fast else True
-        if not odd:
-            return np.array(self.fast(text), self.kind).tobytes()
-        if _LONG.search(text):
+        if _long(text):
             return self._whole(text)
+        if self.fast and not _high(text):
+            found = array("H" if self.kind == "<u2" else "I", self.fast(text))
+            return found.tobytes() if sys.byteorder == "little" else np.array(found, self.kind).tobytes()
         return self._by_word(text)
 
     def _whole(self, text: str) -> bytes:

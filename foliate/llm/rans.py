@@ -43,6 +43,9 @@ SCALE = 1 << SCALE_BITS
 LEAST = 1 << 31
 #: Blocks that a task codes side by side.
 SIDE_BY_SIDE = 64
+LANE_BITS = LANES.bit_length() - 1
+#: Numbers of what leaves or enters in one step.
+ORDER = np.arange(SIDE_BY_SIDE * (BLOCK // SEGMENT) * LANES)
 #: magic, ids, checkpoints, words, documents, checksum of the ids, checksum of the table
 _HEAD = struct.Struct("<4s4IIQ")
 #: doc_id, whether it is null, the file's ids before it, its ids
@@ -95,24 +98,28 @@ def encode(parts: list[np.ndarray], table: Table) -> list[Coded]:
     codes = np.full((count, steps * LANES), table.common, np.int32)
     codes[:, :n] = table.numbers(np.concatenate(parts)).reshape(count, n)
     codes = codes.reshape(count, steps, LANES).transpose(1, 0, 2)
-    state = np.full((count, LANES), LEAST, np.uint64)
-    stream, place = np.empty((count, steps * LANES), np.uint32), np.full(count, steps * LANES, np.int64)
+    state = np.full(count * LANES, LEAST, np.uint64)
+    stream, place = np.empty(count * steps * LANES, np.uint32), (np.arange(count) + 1) * (steps * LANES)
     each, segments = SEGMENT // LANES, []
     wide, places, room = np.uint64(32), np.uint64(SCALE), np.uint64(63 - SCALE_BITS)
     for start in range((steps - 1) // each * each, -1, -each):
-        some = codes[start : start + each]
+        some = codes[start : start + each].reshape(-1, count * LANES)
         freqs, lows = table.freq[some], table.low[some]
         for step in range(len(some) - 1, -1, -1):
             freq = freqs[step]
-            full = state >> room >= freq
-            rank = full.cumsum(1)
-            place -= rank[:, -1]
-            r, lane = full.nonzero()
-            stream[r, place[r] + rank[r, lane] - 1] = state[r, lane]  # its low 32 bits
-            np.right_shift(state, wide, out=state, where=full)
-            whole = state // freq
-            state += whole * (places - freq) + lows[step]
-        segments.append((place.copy(), state.copy()))
+            high = state >> room
+            full = (high >= freq).nonzero()[0]  # block after block, by lane
+            block = full >> LANE_BITS
+            number = np.bincount(block, minlength=count)
+            place -= number
+            leaving = state[full]
+            stream[(place - number.cumsum() + number)[block] + ORDER[: len(full)]] = leaving
+            state[full] = leaving >> wide
+            state += state // freq * (places - freq) + lows[step]
+        segments.append((place.copy(), state.reshape(count, LANES).copy()))
+    place -= np.arange(count) * (steps * LANES)
+    stream = stream.reshape(count, -1)
+    segments = [(p - np.arange(count) * (steps * LANES), s) for p, s in segments]
     out = []
     for k in range(count):
         at = np.array([p[k] for p, _ in reversed(segments)], np.uint64) - np.uint64(place[k])
@@ -126,21 +133,23 @@ def decode(coded: list[Coded], table: Table) -> list[np.ndarray]:
     base = np.cumsum([0, *[len(c.words) for c in coded]])
     stream = np.concatenate([*[c.words for c in coded], np.zeros(1, np.uint32)]).astype(np.uint64)
     start = np.concatenate([c.checkpoints[:, 0].astype(np.int64) + base[k] for k, c in enumerate(coded)])
-    state = np.concatenate([c.checkpoints[:, 1:] for c in coded])
+    state, last = np.concatenate([c.checkpoints[:, 1:] for c in coded]), len(stream) - 1
     longest = min(SEGMENT, max(c.n for c in coded))
-    steps = -(-longest // LANES)
-    found = np.empty((len(start), steps, LANES), np.int32)
-    mask, bits, wide = np.uint64(SCALE - 1), np.uint64(SCALE_BITS), np.uint64(32)
+    steps, count = -(-longest // LANES), len(start)
+    found, state = np.empty((steps, count * LANES), np.int32), state.ravel()
+    mask, bits, wide, least = np.uint64(SCALE - 1), np.uint64(SCALE_BITS), np.uint64(32), np.uint64(LEAST)
     for step in range(steps):
         slot = state & mask
-        code = table.slot[slot]
-        found[:, step] = code
+        code = table.slot[slot.view(np.int64)]
+        found[step] = code
         state = table.freq[code] * (state >> bits) + slot - table.low[code]
-        empty = state < np.uint64(LEAST)
-        rank = np.cumsum(empty, 1)
-        at = np.minimum(start[:, None] + rank - 1, len(stream) - 1)  # a shorter segment runs on behind its end
-        state = np.where(empty, state << wide | stream[np.maximum(at, 0)], state)
-        start = start + rank[:, -1]
+        empty = (state < least).nonzero()[0]
+        block = empty >> LANE_BITS
+        number = np.bincount(block, minlength=count)
+        at = (start - number.cumsum() + number)[block] + ORDER[: len(empty)]
+        state[empty] = state[empty] << wide | stream[np.minimum(at, last)]  # a shorter segment runs on behind its end
+        start = start + number
+    found = found.reshape(steps, count, LANES).transpose(1, 0, 2)
     ids, out, k = table.ids, [], 0
     for c in coded:
         m = len(c.checkpoints)
