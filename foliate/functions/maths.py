@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import col, map_matches
@@ -65,27 +65,83 @@ def in_prose(c: str | Column, rule: Callable[[Column], Column]) -> Column:
     return map_matches(c, spans, lambda h: h, lambda piece, _: rule(piece))
 
 
-def _drawn(c: Column) -> Column:
-    """What a formula reads as once its commands are gone."""
-    out = F.regexp_replace(c, r"\\text\{([^}]*)\}", "$1")
-    out = F.regexp_replace(out, r"\\(?:begin|end)\{[a-z*]+\}", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+", " "), "[{}&]", "")
-    return F.btrim(F.regexp_replace(out, r"\s+", " "))
+#: What stands for a span while a text is rewritten, and for a dollar in code (characters that no text may hold, fixed values).
+INLINE_MARK, DISPLAY_MARK, CODE_DOLLAR = "\ufdd0", "\ufdd1", "\ufdd2"
+#: Inline maths where display maths is a mark, which counts as white space.
+_INLINE_HELD = INLINE.replace(r"(?![\s$])", rf"(?![\s${DISPLAY_MARK}])").replace(r"[^$\s\\]", rf"[^$\s\\{DISPLAY_MARK}]").replace("((", "(?:(", 1)
 
 
+def _code_apart(c: str | Column) -> Column:
+    return map_matches(c, CODE, lambda h: F.translate(h, "$", CODE_DOLLAR))
+
+
+def hold(c: str | Column) -> Column:
+    """A text with a mark in place of each span of maths, and the spans: struct (text, inline, display).  Rules see the text whole and no
+    formula, and :func:`put_back` undoes it."""
+    display = DISPLAY.replace("(", "(?:", 1)
+    apart = _code_apart(c)
+    rest = F.regexp_replace(apart, display, DISPLAY_MARK)
+    return F.struct(
+        F.regexp_replace(rest, _INLINE_HELD, INLINE_MARK).alias("text"),
+        F.regexp_extract_all(rest, F.lit(_INLINE_HELD), F.lit(0)).alias("inline"),
+        F.regexp_extract_all(apart, F.lit(display), F.lit(0)).alias("display"),
+    )
+
+
+def put_back(c: str | Column, inline: Column, display: Column) -> Column:
+    """The spans in place of their marks."""
+    out = col(c)
+    for mark, held in ((INLINE_MARK, inline), (DISPLAY_MARK, display)):
+        out = F.array_join(F.zip_with(F.split(out, mark, -1), held, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+    return F.translate(out, CODE_DOLLAR, "$")
+
+
+def spans(texts: DataFrame, key: list[str]) -> DataFrame:
+    """Every span of ``texts`` (``key`` and ``text``) in order: ``key``, n (from 1), display, start, end (code points, end exclusive) and tex.
+
+    Display spans become runs of their own length, so one pattern finds both kinds and what lies between hits gives their places.
+    """
+    run, end = DISPLAY_MARK, "\ufdd3"
+    filled = map_matches(_code_apart("text"), DISPLAY.replace("(", "(?:", 1), lambda h: F.concat(F.repeat(F.lit(run), F.length(h) - 1), F.lit(end)))
+    either = f"{run}+{end}|{_INLINE_HELD.replace(DISPLAY_MARK, DISPLAY_MARK + end)}"
+    t = texts.select(*key, "text", filled.alias("__f"))
+    hits = F.zip_with(F.regexp_extract_all("__f", F.lit(either), F.lit(0)), F.split("__f", either, -1), lambda h, gap: F.struct(h.alias("hit"), F.length(gap).alias("gap")))
+    t = t.select(*key, "text", F.posexplode(F.filter(hits, lambda x: x["hit"].isNotNull())).alias("__n", "__h"))
+    size = F.length("__h.hit")
+    upto = Window.partitionBy(*key).orderBy("__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = F.sum(F.col("__h.gap") + size).over(upto)
+    t = t.select(*key, (F.col("__n") + 1).alias("n"), F.endswith("__h.hit", F.lit(end)).alias("display"), (stop - size).cast("int").alias("start"), stop.cast("int").alias("end"), "text")
+    edge = F.when(F.col("display"), 2).otherwise(1)
+    tex = F.col("text").substr(F.col("start") + edge + 1, F.col("end") - F.col("start") - 2 * edge)
+    return t.withColumn("tex", tex).drop("text")
+
+
+#: What is not drawn as it is written (fixed values): a textual group is its content, a frame nothing, another command one space.
+_WRITTEN = r"\\text\{[^}]*\}|\\(?:begin|end)\{[a-z*]+\}|\\[a-zA-Z]+|[{}&]"
+#: A fraction whose halves hold groups one level deep.
 FRACTION = r"\\frac\{((?:[^{}]|\{[^{}]*\})*)\}\{((?:[^{}]|\{[^{}]*\})*)\}"
-#: Fractions that are put together in one formula at most (fixed value).
-REWRITES = 40
+#: Levels at which fractions may stand in each other.
+LEVELS = 8
+
+
+def _width(c: Column) -> Column:
+    """Characters that a piece of a formula draws, white space as one."""
+
+    def drawn(x: Column) -> Column:
+        group = F.regexp_replace(F.regexp_extract(x, r"\{([\s\S]*)\}", 1), r"\\[a-zA-Z]+|[{}&]", " ")
+        return F.when(x.startswith("\\text{"), group).when(x.rlike(r"^\\(?:begin|end)\{|^[{}&]"), "").otherwise(" ")
+
+    return F.length(F.btrim(F.regexp_replace(map_matches(c, _WRITTEN, drawn), r"\s+", " ")))
 
 
 def drawn_width(c: str | Column) -> Column:
-    """Characters of the widest line that a formula draws, each fraction as wide as its wider half."""
+    """Characters of the widest line that a formula draws.  A fraction is as wide as its wider half: all fractions of a level become bars of
+    that width at once, then those around them."""
 
-    def collapse(out: Column, _: Column) -> Column:
-        wide = F.greatest(F.length(_drawn(F.regexp_extract(out, FRACTION, 1))), F.length(_drawn(F.regexp_extract(out, FRACTION, 2))))
-        halves = F.split(out, FRACTION, 2)
-        return F.when(out.rlike(FRACTION), F.concat(F.get(halves, F.lit(0)), F.repeat(F.lit("#"), wide), F.get(halves, F.lit(1)))).otherwise(out)
+    def bar(fraction: Column) -> Column:
+        halves = [_width(F.regexp_extract(fraction, FRACTION, k)) for k in (1, 2)]
+        return F.repeat(F.lit("#"), F.greatest(*halves))
 
-    flat = F.aggregate(F.sequence(F.lit(1), F.lit(REWRITES)), col(c), collapse)
-    flat = F.when(col(c).contains("\\frac{"), flat).otherwise(col(c))
-    return F.array_max(F.transform(F.split(flat, r"\\\\"), lambda line: F.length(_drawn(line))))
+    whole = FRACTION.replace("((", "(?:(")
+    flat = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), col(c), lambda out, _: F.when(out.contains("\\frac{"), map_matches(out, whole, bar)).otherwise(out))
+    return F.array_max(F.transform(F.split(F.when(col(c).contains("\\frac{"), flat).otherwise(col(c)), r"\\\\"), _width))

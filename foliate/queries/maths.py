@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dashes as D
 from ..functions import maths as M
 from ..functions import text as T
+from ..operators import dashes as D
 from ..session import table
 from . import query
 from .fixtures import lines
@@ -104,18 +104,45 @@ def numeric_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_numeric(h).cast("binary")).alias("decoded"))
 
 
-#: Lone dashes before words and connectives, pairs, cells, and dashes in maths; lines of the tables hold no dash of their own.
-DASHED = """CASE pos % 8 WHEN 0 THEN 'first — ' || w || ' second' WHEN 1 THEN 'first — because ' || w WHEN 2 THEN 'he — ' || w || ' — said' WHEN 3 THEN 'he — ' || w || ' — Said it'
-  WHEN 4 THEN '| — | ' || w || ' |' WHEN 5 THEN 'note: one — ' || w WHEN 6 THEN 'so $a — b$ is (x: ' || w || ' — y)' ELSE 'end ' || w || ' , — and' END"""
-SETTLED = """CASE pos % 8 WHEN 0 THEN 'first: ' || w || ' second' WHEN 1 THEN 'first, because ' || w WHEN 2 THEN 'he (' || w || ') said' WHEN 3 THEN 'he (' || w || '), Said it'
-  WHEN 4 THEN '| – | ' || w || ' |' WHEN 5 THEN 'note: one, ' || w WHEN 6 THEN 'so $a, b$ is (x: ' || w || ', y)' ELSE 'end ' || w || ', and' END"""
+#: Lone dashes before words and connectives, pairs, cells, several sentences, brackets and dashes in maths, around the words of each line.
+DASHED = """CASE pos % 11 WHEN 0 THEN 'first — ' || w || ' second' WHEN 1 THEN 'first — because ' || w WHEN 2 THEN 'he — ' || w || ' — said' WHEN 3 THEN 'he — ' || w || ' — Said it'
+  WHEN 4 THEN '| — | ' || w || ' |' WHEN 5 THEN 'note: one — ' || w WHEN 6 THEN 'so $a — b$ is (x: ' || w || ' — y)' WHEN 7 THEN 'end ' || w || ' , — and'
+  WHEN 8 THEN 'one: ' || w || '. Two — ' || w || '! Three' WHEN 9 THEN 'see: (' || w || ' — y) and **' || w || ' — b** — z' ELSE 'p — q — ' || w || ' — r ((' END"""
+FIRST_WORD = D.BEFORE_CONNECTIVE.replace("(?![A-Za-z0-9_])", "([^A-Za-z0-9_]|$)")
+#: What each form becomes by the rule: a pair has 160 characters at most, and words that begin with a connective take a comma.
+SETTLED = f"""CASE pos % 11 WHEN 0 THEN 'first' || sep || w || ' second' WHEN 1 THEN 'first, because ' || w
+  WHEN 2 THEN CASE WHEN length(w) <= 160 THEN 'he (' || w || ') said' ELSE 'he' || sep || w || ': said' END
+  WHEN 3 THEN CASE WHEN length(w) <= 160 THEN 'he (' || w || '), Said it' ELSE 'he' || sep || w || ': Said it' END
+  WHEN 4 THEN '| – | ' || w || ' |' WHEN 5 THEN 'note: one, ' || w WHEN 6 THEN 'so $a — b$ is (x: ' || w || ', y)' WHEN 7 THEN 'end ' || w || ', and'
+  WHEN 8 THEN 'one: ' || w || '. Two' || sep || w || '! Three' WHEN 9 THEN 'see: (' || w || ': y) and **' || w || ', b**, z'
+  ELSE 'p (q)' || CASE WHEN regexp_matches(w, '^[A-Z]') THEN ', ' ELSE ' ' END || w || ': r ((' END"""
+WORDS = "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g'), ' '), ''), 'none')"
 
 
 @query(
     f"""WITH d AS (SELECT doc_id, text FROM documents), l AS (SELECT doc_id, unnest(range(len(x)))::BIGINT AS pos, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)),
-w AS (SELECT doc_id, pos, 'w' || length(text) AS w FROM l) SELECT doc_id, pos, {SETTLED} AS settled FROM w"""
+w AS (SELECT doc_id, pos, {WORDS} AS w FROM l), s AS (SELECT *, CASE WHEN regexp_matches(w, '{FIRST_WORD}') THEN ', ' ELSE ': ' END AS sep FROM w)
+SELECT doc_id, pos, {SETTLED} AS settled FROM s"""
 )
 def dash_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with dashes, settled; the SQL states what each form becomes."""
-    w = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("w"), F.length("text").cast("string")).alias("w"))
-    return w.select("doc_id", "pos", D.settle_dashes(F.expr(DASHED)).alias("settled"))
+    """Whole lines with dashes, settled; the SQL states what the rule makes of each form."""
+    words = F.btrim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]+", ""), " +", " "))
+    w = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(words == "", "none").otherwise(words).alias("w"))
+    w = w.select("doc_id", "pos", M.hold(F.expr(DASHED)).alias("h"))
+    settled = D.settle_lines(w.select("doc_id", "pos", F.col("h.text").alias("text")), ["doc_id", "pos"])
+    both = settled.join(w.select("doc_id", "pos", "h.inline", "h.display"), ["doc_id", "pos"])
+    return both.select("doc_id", "pos", M.put_back("text", F.col("inline"), F.col("display")).alias("settled"))
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT doc_id, {_sql_put("text")} AS t FROM documents), m AS (
+  SELECT doc_id, t, 0 AS n, 0 AS a, 0 AS size, NULL::VARCHAR AS hit FROM t
+  UNION ALL SELECT doc_id, t, n + 1, p + a + size, length(h), h FROM (
+    SELECT doc_id, t, n, a, size, regexp_extract(substring(t, a + size + 1), '\\$x_1 \\+ y\\$|\\$\\$a = b\\$\\$|\\$cost \\\\\\$4\\$', 0) AS h,
+      instr(substring(t, a + size + 1), h) - 1 AS p FROM m) WHERE h <> '')
+SELECT doc_id, n::INT AS n, starts_with(hit, '$$') AS display, a::INT AS start, (a + size)::INT AS "end", trim(hit, '$') AS tex FROM m WHERE n > 0"""
+)
+def span_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of every text with its place; in SQL the forms that are maths are sought one after another."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _put(F.col("text")).alias("text"))
+    return M.spans(d, ["doc_id"])
