@@ -24,16 +24,33 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes on disk up to which a table is dealt to all cores when it is read: about one row group, which is one task however many
+#: cores are free.  A larger table is read as it lies.
+DEALT_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.  One of fewer files than there are cores is dealt to all of them, as a file of one row group is
-    one task however many cores are free; larger tables are read as they lie."""
-    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if len(found.inputFiles()) < cores else found
+    """A given table; one of at most ``DEALT_BYTES`` is dealt to the cores, 256 KB or more to each."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(spark.sparkContext.defaultParallelism, 1 + (size >> 18))
+    return found.repartition(parts) if 1 < parts and size <= DEALT_BYTES and found.rdd.getNumPartitions() < parts else found
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set here only for a local session that names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="foliate-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: its lineage ends there.  A folder is set here only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='foliate-')}")
+    """``df`` written to the shared checkpoint folder: its lineage ends there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
