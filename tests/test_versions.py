@@ -101,7 +101,7 @@ def test_stream_goes_on_after_a_restart(spark, folder):
 def test_emphasis_by_cases(spark):
     cases = {
         "Our **behaviour **— how": "Our **behaviour** — how", "the** clarity **and the** severity **of": "the **clarity** and the **severity** of", "as** engaged**: x": "as **engaged**: x",
-        "confirmed.** Limitations: **": "confirmed. **Limitations:** ", "***Arousal*** is": "***Arousal*** is", "no **here** at": "no **here** at", "a **** b": "a  b", "": "", "x": "x", "**": "**",
+        "confirmed.** Limitations: **": "confirmed. **Limitations:** ", "***Arousal*** is": "***Arousal*** is", "no **here** at": "no **here** at", "a **** b": "a *** *b", "": "", "x": "x", "**": "**",
         "** **": " ", "*a **b ***": "*a **b ***", "****x ****": "x ",
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "n long, text string")
