@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from . import blocks, elements, emphasis, joins, layout, lines, maths, normal, ordered, relations, rules, sources, versions  # noqa: F401
+    from . import blocks, elements, emphasis, joins, layout, lines, maths, normal, ordered, relations, rules, sources, verbatim, versions  # noqa: F401
 
     return REGISTRY
