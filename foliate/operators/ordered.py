@@ -149,30 +149,36 @@ def dash_parity(docs: DataFrame, dash: str = "—") -> DataFrame:
     return rows.select("doc_id", F.row_number().over(in_doc()).alias("dash"), "outside")
 
 
-def example_runs(lines: DataFrame, ahead: int = 4) -> DataFrame:
-    """``example`` of every line that belongs to one: an example runs to the next one, a heading or a table.
+#: An item of a list (fixed value).
+LIST_ITEM = r"^\s*(?:[-*]\s|[0-9]+[.)]\s)"
+#: Paragraphs within which an example that has no working yet must come to some.
+AHEAD = 4
 
-    Before any working (a step, a display line or a list) is seen, plain text belongs to it only if working follows within ``ahead``
-    lines with text; after it, plain text ends the run.
+
+def example_runs(lines: DataFrame) -> DataFrame:
+    """``example`` of every paragraph (a line that is not blank) that belongs to one, by the place where it begins.
+
+    An example ends before the next one and before a heading.  It goes on over all else if a step lies ahead; otherwise over working (steps, answers,
+    items, formulas, tables), over one sentence that working follows, and, until it has any working, over sentences from which
+    working is at most four paragraphs away.  A table ends it and is taken in.
     """
     rows = with_class(lines).filter("class <> 'blank'")
-    working = F.col("class").isin("step", "display", "list", "answer")
-    far = F.min(F.when(working, F.col("pos"))).over(in_doc().rowsBetween(1, ahead))
-    rows = rows.withColumns({"working": working, "soon": far.isNotNull()})
-
-    def step(state: dict, pos: int, kind: str, working: bool, soon: bool) -> tuple | None:
-        if kind == "example":
-            state.update(at=pos, seen=False)
-        elif kind in ("heading", "table"):
-            state["at"] = None
-        elif state["at"] is not None and not working and (state["seen"] or not soon):
-            state["at"] = None
-        if state["at"] is None:
-            return None
-        state["seen"] |= working
-        return (state["at"],)
-
-    return fold(rows, ["doc_id"], ["pos"], ["pos", "class", "working", "soon"], lambda: {"at": None, "seen": False}, step, "example int")
+    along = in_doc()
+    begins = F.col("class") == "example"
+    working = F.col("class").isin("step", "answer", "display", "table") | F.col("text").rlike(LIST_ITEM) | F.col("text").startswith("$")
+    rows = rows.withColumns({"working": working, "n": F.row_number().over(along), "at": F.last(F.when(begins, F.col("pos")), True).over(along)})
+    near = along.rowsBetween(0, AHEAD - 1)
+    found = F.min(F.when(F.col("working"), F.col("n"))).over(near)
+    barred = F.min(F.when(begins | (F.col("class") == "heading"), F.col("n"))).over(near)
+    reaches = F.coalesce(found < F.coalesce(barred, found + 1), F.lit(False))
+    of = Window.partitionBy("doc_id", "at")
+    before = of.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    stepped = F.max(F.col("class") == "step").over(of)
+    goes_on = stepped | F.col("working") | F.coalesce(F.lead("working").over(along), F.lit(False)) | (~F.coalesce(F.max("working").over(before), F.lit(False)) & reaches)
+    rows = rows.withColumn("stops", ~begins & ((F.col("class") == "heading") | ~goes_on))
+    rows = rows.withColumn("ends", F.col("stops") | F.coalesce(F.lag((F.col("class") == "table") & (F.col("at") < F.col("pos"))).over(of.orderBy("pos")), F.lit(False)))
+    over = F.max("ends").over(of.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("over", over).filter(F.col("at").isNotNull() & ~F.col("over")).select("doc_id", "pos", F.col("at").alias("example"))
 
 
 def next_heading(lines: DataFrame) -> DataFrame:

@@ -173,9 +173,18 @@ def dash_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(O.dash_parity(table(spark, sf_dir, "documents").select("doc_id", F.expr(DASHED).alias("text"))), "dash")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SHAPED}, p AS (SELECT *, row_number() OVER w AS k, class IN ('step', 'answer', 'display', 'table') OR regexp_matches(text, '^\\s*(?:[-*]\\s|[0-9]+[.)]\\s)') OR starts_with(text, '$') AS working,
+  class IN ('example', 'heading') AS bar, max(CASE WHEN class = 'example' THEN pos END) OVER w AS part FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+q AS (SELECT *, coalesce(lead(working) OVER w, false) AS then_working, bool_or(class = 'step') OVER (PARTITION BY doc_id, part) AS stepped, NOT bar AND (working OR coalesce(NOT lead(bar) OVER w AND (lead(working) OVER w OR
+  coalesce(NOT lead(bar, 2) OVER w AND (lead(working, 2) OVER w OR coalesce(NOT lead(bar, 3) OVER w AND lead(working, 3) OVER w, false)), false)), false)) AS reaches FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, k, pos, CASE WHEN class = 'example' THEN pos END AS example, class = 'example' AND working AS seen, class = 'example' AS open FROM q WHERE k = 1
+  UNION ALL SELECT doc_id, k, pos, CASE WHEN inside THEN CASE WHEN class = 'example' THEN pos ELSE example END END, CASE WHEN class = 'example' THEN working ELSE seen OR working END, inside AND class <> 'table' FROM (
+    SELECT q.*, r.example, r.seen, q.class = 'example' OR (r.open AND q.class <> 'heading' AND (stepped OR working OR then_working OR (NOT r.seen AND reaches))) AS inside FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k + 1))
+SELECT doc_id, pos::BIGINT AS pos, example::BIGINT AS example FROM r WHERE example IS NOT NULL"""
+)
 def example_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that belong to a worked example (a fold with look-ahead; tests hold it against a loop)."""
+    """Paragraphs that belong to a worked example.  In SQL each paragraph sees what the one before has left."""
     return longs(O.example_runs(shaped(spark, sf_dir)), "pos", "example")
 
 

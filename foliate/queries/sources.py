@@ -213,22 +213,51 @@ def registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(S.ranked(r, ["draft", "active", "retired"]), "group", "place")
 
 
+#: Blocks of a unit (a document's lines, each with a word of its own) and what becomes of them by the rule.
+BLOCKS = {
+    "b0": "'## Costs of ' || w || '\n\nBuy **it** at ' || w || '.\n\nx = ' || w || '\n\nSo the total is:\n\n**y** = 2\n\nThat is ' || w",
+    "b1": "'keep ' || w || '\n  stop  \nrest ' || w",
+    "b2": "'before ' || w || '\n$a$\nand\n$b$\nbehind ' || w",
+    "b3": "'fourth ' || w",
+    "b4": "'z = ' || w",
+}
+LEFT = """SELECT doc_id AS unit, unnest([{'place': 0, 'id': 'b3', 'type': 'callout', 'title': 'New', 'problem': NULL, 'body': 'put', 'steps': NULL},
+  {'place': 1, 'id': 'first', 'type': 'worked-example', 'title': 'Costs of ' || w, 'problem': 'Buy **it** at ' || w || '.', 'body': NULL, 'steps': CASE WHEN length(w) <= 116 THEN 'x = ' || w || '|' ELSE 'x|x = ' || w END || ';So the total is|y = 2 That is ' || w},
+  {'place': 2, 'id': 'n1', 'type': 'prose', 'title': NULL, 'problem': NULL, 'body': 'one', 'steps': NULL}, {'place': 3, 'id': 'n2', 'type': 'table', 'title': 'T', 'problem': NULL, 'body': 'two', 'steps': NULL},
+  {'place': 4, 'id': 'b1', 'type': 'prose', 'title': NULL, 'problem': NULL, 'body': 'keep ' || w, 'steps': NULL}, {'place': 5, 'id': 'b2', 'type': 'prose', 'title': NULL, 'problem': NULL, 'body': 'before ' || w, 'steps': NULL},
+  {'place': 6, 'id': 'f', 'type': 'formula', 'title': NULL, 'problem': NULL, 'body': 'a = b', 'steps': NULL}, {'place': 7, 'id': 'b2-after', 'type': 'prose', 'title': NULL, 'problem': NULL, 'body': 'behind ' || w, 'steps': NULL}]) AS b FROM w"""
+LOG = "rename:done,rename:taken,after:done,worked:done,cut:done,cut:empties,formula:done,splitAt:not prose,worked:no title,replace:done,move:done,move:no place,remove:done,remove:missing,turn:missing"
+WORD = "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' +', ' ', 'g'), ' '), ''), 'none')"
+
+
 def block_ops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents' lines in blocks of three, and five operations a document that depend on one another."""
-    b = lines(spark, sf_dir).withColumn("place", F.floor(F.col("pos") / 3).cast("int"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    b = b.groupBy(F.col("doc_id").alias("unit"), "place").agg(body.alias("body"))
-    blocks = b.select("unit", "place", F.concat(F.lit("b"), F.col("place").cast("string")).alias("id"), F.lit("prose").alias("type"), "body")
+    """A unit of five blocks for each document, around its words, and fifteen operations that depend on one another."""
+    words = F.btrim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]+", " "), " +", " "))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.when(words == "", "none").otherwise(F.coalesce(words, F.lit("none"))).alias("w"))
+    each = [F.struct(F.lit(k).alias("place"), F.lit(name).alias("id"), F.expr(body).alias("body")) for k, (name, body) in enumerate(BLOCKS.items())]
+    none = F.lit(None)
+    b = d.select("unit", F.inline(F.array(*each)))
+    blocks = b.select("unit", "place", "id", F.lit("prose").alias("type"), none.cast("string").alias("title"), none.cast("string").alias("problem"), "body", none.cast("array<struct<label: string, note: string>>").alias("steps"))
+    put = lambda *rows: [(i, t, h, x) for i, t, h, x in rows]
     steps = [
-        (1, "replace", "b0", "new x = 1\nbecause\ny = 2"), (2, "rename", "b0", "start"), (3, "rename", "b1", "start"), (4, "after", "start", "put in"),
-        (5, "move", "start+", "b2"), (6, "worked", "start", "Step"), (7, "split", "start", "because"), (8, "cut", "b1", "nowhere"), (9, "remove", "b3", None),
+        ("rename", "b0", "first", None, None, None), ("rename", "b1", "first", None, None, None), ("after", "first", None, None, None, put(("n1", "prose", None, "one"), ("n2", "table", "T", "two"))),
+        ("worked", "first", None, None, None, None), ("cut", "b1", "stop", None, None, None), ("cut", "b3", None, None, None, None), ("formula", "b2", None, None, ["$a$", "$b$"], put(("f", "formula", None, "a = b"))),
+        ("splitAt", "f", None, None, ["a = b"], put(("g", "formula", None, "x"))), ("worked", "b4", None, None, None, None), ("replace", "b3", None, None, None, put((None, "callout", "New", "put"))),
+        ("move", "b3", "first", None, None, None), ("move", "b4", "nowhere", None, None, None), ("remove", "b4", None, None, None, None), ("remove", "b4", None, None, None, None), ("turn", "b4", None, None, None, None),
     ]
-    ops = spark.createDataFrame(steps, "seq int, op string, id string, arg string")
-    units = blocks.select((F.col("unit") + 0).alias("unit")).distinct()
-    return blocks, units.join(F.broadcast(ops))  # nine rows
+    listed = spark.createDataFrame([(k, *x) for k, x in enumerate(steps)], K.OPS.removeprefix("unit long, "))
+    listed = listed.withColumn("arg", F.when((F.col("op") == "cut") & (F.col("id") == "b3"), "@").otherwise(F.col("arg")))
+    units = blocks.filter("place = 3").select((F.col("unit") + 0).alias("unit"), F.concat("body", F.lit("")).alias("__first"))
+    ops = units.join(F.broadcast(listed))  # fifteen rows
+    return blocks, ops.withColumn("arg", F.when(F.col("arg") == "@", F.col("__first")).otherwise(F.col("arg"))).drop("__first")
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, {WORD} AS w FROM documents), l AS ({LEFT})
+SELECT unit, b.place::BIGINT AS place, b.id AS id, b.type AS type, b.title AS title, md5(b.problem) AS problem, md5(b.body) AS body, md5(b.steps) AS steps, '{LOG}' AS log FROM l"""
+)
 def block_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks after their operations (each sees what the one before has left; tests hold it against cases)."""
-    return longs(K.apply_ops(*block_ops(spark, sf_dir)), "place").withColumn("body", F.md5(F.col("body").cast("binary")))
+    """Blocks after their operations; the SQL states what the rule leaves of each."""
+    found = longs(K.apply_ops(*block_ops(spark, sf_dir)), "place")
+    steps = F.array_join(F.transform("steps", lambda s: F.concat(s["label"], F.lit("|"), F.coalesce(s["note"], F.lit("")))), ";")
+    return found.withColumn("steps", steps).withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("problem", "body", "steps")})

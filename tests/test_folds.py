@@ -232,21 +232,45 @@ def test_examples_cross_text_only_before_working(spark):
 
     text = ["**Example**: a", "intent", "$$x$$", "after", "# h", "**Example**: b", "one", "two", "three", "four", "five", "**Step 1: s**", "**Example**: c", "- li", "| t |", "- li"]
     lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id long, pos int, text string")
-    assert {r["pos"]: r["example"] for r in O.example_runs(lines).collect()} == {0: 0, 1: 0, 2: 0, 5: 5, 12: 12, 13: 12}
+    assert {r["pos"]: r["example"] for r in O.example_runs(lines).collect()} == {0: 0, 1: 0, 2: 0, **{k: 5 for k in range(5, 12)}, 12: 12, 13: 12, 14: 12}
+    reach = ["**Example**: a", "one", "two", "three", "four", "$$x$$", "**Example**: b", "one", "two", "three", "1. x", "said", "more", "- y", "**Example**: c", "one", "# h", "- z", "- **Example**: d", "one", "two", "- z"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(reach)], "doc_id long, pos int, text string")
+    # four paragraphs are in reach before any working, one after it; an example that is an item has working
+    assert sorted(r["pos"] for r in O.example_runs(lines).collect()) == [0, 6, 7, 8, 9, 10, 14, 18]
 
 
 def test_block_operations_see_what_came_before(spark):
     from foliate.operators import ops as K
 
-    blocks = spark.createDataFrame([(1, 0, "a", "prose", "p"), (1, 1, "b", "prose", "x = 1\nstop\nrest"), (2, 0, "a", "prose", "q")], "unit long, place int, id string, type string, body string")
+    block = f"unit long, place int, {K.BLOCK}"
+    row = lambda unit, place, name, body, kind="prose": (unit, place, name, kind, None, None, body, None)
+    blocks = spark.createDataFrame([row(1, 0, "a", "p"), row(1, 1, "b", "## Title\n\nx = 1\n\nstop\n\nrest"), row(2, 0, "a", "q <!-- style: x -->"), row(3, 0, "a", None)], block)
+    op = lambda seq, what, name, arg=None, unit=1, find=None, put=None: (unit, seq, what, name, arg, None, find, put)
     ops = spark.createDataFrame(
-        [(1, 1, "rename", "a", "z"), (1, 2, "rename", "b", "z"), (1, 3, "after", "z", "new"), (1, 4, "cut", "b", "stop"), (1, 5, "worked", "b", "Step"), (1, 6, "move", "b", "z"), (1, 7, "cut", "z", "p"), (1, 8, "remove", "nobody", None)],
-        "unit long, seq int, op string, id string, arg string",
-    )
+        [op(1, "rename", "a", "z"), op(2, "rename", "b", "z"), op(3, "after", "z", put=[("n", "prose", None, "new"), ("b", "prose", None, "twin")]), op(4, "worked", "b"), op(5, "move", "b", "z"), op(6, "cut", "z", "p"), op(7, "remove", "nobody"),
+         op(1, "cut", "a", "x", unit=3), op(2, "worked", "a", unit=3), op(3, "formula", "a", unit=3, find=["", "x"], put=[("f", "formula", None, "y")])],
+        K.OPS,
+    )
     rows = K.apply_ops(blocks, ops).orderBy("unit", "place").collect()
-    assert [(r["unit"], r["id"], r["type"], r["body"]) for r in rows] == [(1, "b", "worked-example", "[Step] x = 1"), (1, "z", "prose", "p"), (1, "z+", "prose", "new"), (2, "a", "prose", "q")]
-    assert rows[0]["log"] == "rename:done,rename:taken,after:done,cut:done,worked:done,move:done,cut:empties,remove:missing" and rows[-1]["log"] == ""
-    assert K.worked("Buy it\nx = 2\nso\ny = 3\nend", "Step") == "[Buy it] x = 2\n[so] y = 3\nend"
+    # the twin stands before the old b by then, so it is the one that is met: no heading, no calculation
+    assert [(r["unit"], r["id"], r["type"], r["body"]) for r in rows][:4] == [(1, "b", "prose", "twin"), (1, "z", "prose", "p"), (1, "n", "prose", "new"), (1, "b", "prose", "## Title\n\nx = 1\n\nstop\n\nrest")]
+    assert rows[0]["log"] == "rename:done,rename:taken,after:done,worked:no title,move:done,cut:empties,remove:missing,twice"
+    assert [(r["unit"], r["log"]) for r in rows][4:] == [(2, "marker"), (3, "cut:no line,worked:no title,formula:does not follow")]
+
+
+def test_worked_examples_by_the_rule():
+    from foliate.operators import ops as K
+
+    def of(body, title=None):
+        made = K.worked([K._new(id="b", type="prose", body=body)], 0, {"id": "b", "title": title})[0]
+        return made["title"], made["problem"], [(s["label"], s["note"]) for s in made["steps"]]
+
+    long = "w" * 130
+    assert of("### Costs\n\nHow  much?\n\nWhy?\n\n**a** = 1\n\nSo:\n\nthen it is:\n\nb = 2\n\nDone.\n\nReally.") == ("Costs", "How  much?\n\nWhy?", [("a = 1", None), ("So: then it is", "b = 2 Done. Really.")])
+    assert of(f"net, = {long}\n\n{long}\n\nc: = 3\n\n= {long}", "T") == ("T", None, [("net", f"net, = {long}"), ("c", f"{long} c: = 3"), ("Continue", f"= {long}")])
+    for body in ("# one\n\nno title = 1", "## T\n\nno sum"):
+        with pytest.raises(K.Refused):
+            of(body)
 
 
 def test_an_unknown_key_is_refused(spark):
