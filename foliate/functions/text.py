@@ -51,27 +51,6 @@ def decode_numeric(c: str | Column) -> Column:
     return map_matches(c, "&#(?:[0-9]{1,9}|[xX][0-9A-Fa-f]{1,8});", char)
 
 
-def strip_tags(c: str | Column) -> Column:
-    """Tags removed until none is left: a removal may put another tag together, so each ``>`` closes the nearest open ``<``.
-
-    What goes is every ``<`` that some ``>`` closes, with all between; that is a fold over the pieces between brackets, with the
-    open ones on a stack of texts.
-    """
-    start = F.array(F.lit("")).cast("array<string>")
-
-    def step(stack: Column, token: Column) -> Column:
-        top, depth = F.element_at(stack, -1), F.size(stack)
-        return (
-            F.when(token == "<", F.concat(stack, F.array(F.lit("<"))))
-            .when((token == ">") & (depth > 1), F.slice(stack, F.lit(1), depth - 1))
-            .otherwise(F.concat(F.slice(stack, F.lit(1), depth - 1), F.array(F.concat(top, token))))
-        )
-
-    tokens = F.regexp_extract_all(col(c), F.lit("[<>]|[^<>]+"), F.lit(0))
-    folded = F.aggregate(tokens, start, step, lambda stack: F.array_join(stack, ""))
-    return F.when(col(c).contains("<"), folded).otherwise(col(c))
-
-
 def word_hyphens(c: str | Column) -> Column:
     """The hyphen elements of a word processor: the non-breaking one is a hyphen, the optional one nothing."""
     out = F.regexp_replace(col(c), r"<w:noBreakHyphen[ ]*/>", "-")
@@ -236,14 +215,14 @@ def media_path(c: str | Column) -> Column:
 
 
 #: Names of a closing section, in two languages, and those that a bold lead may have (fixed values).
-_UNIT = r"(?:week|unit|lecture|chapter{more})\s*\d+\s*[:\u2013-]?\s*"
 RECAP = (
-    r"(?i)^(?:" + _UNIT.format(more="|hoorcollege|college|thema") + r")?(?:wrap[\s-]?up|in\s+short|in\s+summary|summary|recap|conclusion|"
-    r"key\s+(?:takeaways?|insights?|points?)|to\s+summari[sz]e|brief\s+overview|kort\s+overzicht|samenvatting|kernpunten)\s*$"
+    r"(?i)^(?:(?:week|unit|lecture|chapter|hoorcollege|college|thema)\s*\d+\s*[:–-]?\s*)?"
+    r"(?:wrap[\s-]?up|in\s+short|in\s+summary|summary|recap|conclusion|key\s+(?:takeaways?|insights?|points?)|"
+    r"to\s+summari[sz]e|brief\s+overview|kort\s+overzicht|samenvatting|kernpunten)\s*$"
 )
 RECAP_LEAD = (
-    r"(?is)^\*\*(?:" + _UNIT.format(more="") + r")?(?:wrap[\s-]?up|in short|in summary|summary|recap|conclusion|"
-    r"key (?:takeaways?|insights?|points?)|to summari[sz]e)\*\*[:.]?\s*(.*)$"
+    r"(?is)^\*\*(?:(?:week|unit|lecture|chapter)\s*\d+\s*[:–-]?\s*)?"
+    r"(?:wrap[\s-]?up|in short|in summary|summary|recap|conclusion|key (?:takeaways?|insights?|points?)|to summari[sz]e)\*\*[:.]?\s*(.*)$"
 )
 
 

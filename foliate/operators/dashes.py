@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import DISPLAY_MARK, INLINE_MARK
+from .brackets import innermost
 
 DASH, SHORT = "—", "–"
 #: White space of any kind, as a class.
@@ -82,31 +83,6 @@ def _bracketed(sentences: DataFrame, key: list[str]) -> DataFrame:
     return _joined(t, key, F.when(F.col("opens"), F.concat(left, F.lit(" ("), right)).when(F.col("closes"), closed).otherwise(F.col("tok")))
 
 
-def innermost(tokens: DataFrame, key: list[str], value: Column) -> DataFrame:
-    """``inside``: how much ``value`` (a running sum) grows over the innermost bracket that a token stands in and that closes; null outside.
-
-    Depth counts from the last bracket that closes nothing.  At one depth opening and closing ones take turns, so an opening one closes
-    if another follows there; of these alone the depth is counted anew, and the last one opened at a token's depth is its own.
-    """
-    upto = Window.partitionBy(*key).orderBy("k")
-    step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
-    t = tokens.withColumns({"__sum": F.sum(step).over(upto), "__value": value})
-    t = t.withColumn("__floor", F.least(F.lit(0), F.min("__sum").over(upto)))
-    level = F.col("__sum") - F.col("__floor")
-    unmatched = (F.col("tok") == ")") & (F.col("__sum") == F.col("__floor")) & (F.lag("__floor", 1, 0).over(upto) > F.col("__floor"))
-    t = t.withColumn("__level", F.when(F.col("tok") == "(", level).when((F.col("tok") == ")") & ~unmatched, level + 1))
-    there = Window.partitionBy(*key, "__floor", "__level").orderBy("k")
-    bracket = F.col("__level").isNotNull()
-    t = t.withColumns({"__next": F.when(bracket, F.lead("tok").over(there)), "__end": F.when(bracket, F.lead("__value").over(there)), "__prev": F.when(bracket, F.lag("tok").over(there))})
-    opens, closes = (F.col("tok") == "(") & (F.col("__next") == ")"), (F.col("tok") == ")") & (F.col("__prev") == "(")
-    t = t.withColumns({"__opens": F.coalesce(opens, F.lit(False)), "__closes": F.coalesce(closes, F.lit(False))})
-    t = t.withColumn("__depth", F.sum(F.col("__opens").cast("int") - F.col("__closes").cast("int")).over(upto))
-    same = Window.partitionBy(*key, "__depth").orderBy("k")
-    own = F.last(F.when(F.col("__opens"), F.struct(F.col("__value").alias("a"), F.col("__end").alias("z"))), True).over(same)
-    t = t.withColumn("__own", own).withColumn("inside", F.when(F.col("__depth") > 0, F.col("__own.z") - F.col("__own.a")))
-    return t.drop(*[c for c in t.columns if c.startswith("__")])
-
-
 def _single(sentences: DataFrame, key: list[str]) -> DataFrame:
     """What is left of dashes as commas and colons."""
     t = _following(_tokens(sentences, key), key)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.brackets import without_tags
+from ..operators.normalise import normalised
 from ..session import table
 from . import query
 from .fixtures import LINES, lines
@@ -30,7 +32,8 @@ def _chars(c: Column | str) -> Column:
 def xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities decoded and tags stripped until none is left, of raw pages with a tag put into another one."""
     p = table(spark, sf_dir, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<b>"), F.lit("<<i>b>")), F.lit("&amp;"), F.lit("&amp;lt;")))
-    return p.select("page_id", F.md5(T.decode_xml_once("html").cast("binary")).alias("decoded"), F.md5(T.strip_tags("html").cast("binary")).alias("stripped"))
+    stripped = without_tags(p.select("page_id", F.col("html").alias("text")), ["page_id"]).select("page_id", F.md5(F.col("text").cast("binary")).alias("stripped"))
+    return p.select("page_id", F.md5(T.decode_xml_once("html").cast("binary")).alias("decoded")).join(stripped, "page_id")
 
 
 @query(
@@ -157,3 +160,20 @@ def preflight_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide_rows=F.size(F.filter(rows, lambda x: x.rlike(r"^\|") & (F.length(x) > 500))).cast("long"),
         typed_bullets=F.size(F.filter(rows, lambda x: x.rlike("^[-*+] "))).cast("long"),
     )
+
+
+#: A line around its words: a dash, a formula with all that the rules would change, a broken word, an escape, a footer, a space that does not break.
+RAW = "w || ' ends — so $a — b \\[ c‐d$ holds ' || w || ' e\\[f re‐fit' || CASE WHEN pos % 3 = 0 THEN chr(10) || 'Page 3 of 12' || chr(10) || '$$x — y' || chr(10) || '\\[ z$$ t' WHEN pos % 3 = 1 THEN ' Page 4 of 12 | Acme x' ELSE '' END".replace("\\u00a0", chr(160))
+CLEAN = "w || ' ends, so $a — b \\[ c‐d$ holds ' || w || ' e[f refit' || CASE WHEN pos % 3 = 0 THEN chr(10) || chr(10) || '$$x — y' || chr(10) || '\\[ z$$ t' WHEN pos % 3 = 1 THEN ' x' ELSE '' END"
+LINE_WORDS = "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g'), ' '), ''), 'none')"
+
+
+@query(f"""WITH {LINES}, w AS (SELECT doc_id, pos, {LINE_WORDS} AS w FROM lines) SELECT doc_id, md5(string_agg({CLEAN}, chr(10) ORDER BY pos)) AS text FROM w GROUP BY doc_id""")
+def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through all rules for prose; formulas hold what each rule would change and keep it."""
+    words = F.btrim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]+", ""), " +", " "))
+    raw = F.expr(RAW.replace("\\[", "\\\\["))
+    rows = lines(spark, sf_dir).select("doc_id", "pos", F.when(words == "", "none").otherwise(words).alias("w")).select("doc_id", "pos", raw.alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n")
+    found = normalised(rows.groupBy("doc_id").agg(text.alias("text")))
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))

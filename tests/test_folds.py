@@ -112,7 +112,6 @@ def test_text_functions_by_cases(spark):
         (T.plain_heading("t"), "2) Big Idea :", "big idea"),
         (T.escape_latex("t"), "50% & $3_x", r"50\% \& \$3\_x"),
         (T.escape_latex("t"), "a\\b~c^d", r"a\textbackslash{}b\textasciitilde{}c\textasciicircum{}d"),
-        (T.strip_tags("t"), "a<<<<<b>>>>>c <d", "ac <d"),
         (T.decode_xml_once("t"), "\ue000 &amp;lt;", "\ue000 &lt;"),
         (T.decode_numeric("t"), "&#233;&#x1F600;&#xD800;&#0;", "é😀&#xD800;&#0;"),
         (T.slug("t"), "Šťastný Čapek & ő", "stastny-capek-and-o"),
@@ -312,3 +311,36 @@ def test_dashes_by_cases_and_in_linear_time(spark):
         assert "—" not in settle([line])[0]
         took.append(time.perf_counter() - began)
     assert took[1] < 2.5 * took[0] + 1
+
+
+def test_tags_go_however_deep_and_in_linear_time(spark):
+    import re
+    import time
+
+    from foliate.operators.brackets import without_tags
+
+    def plain(text):
+        while (new := re.sub("<[^<>]*>", "", text)) != text:
+            text = new
+        return text
+
+    texts = ["a<<<<<b>>>>>c <d", "", None, "no tag >", "<a>x</a> < y > z <", "> < <b>> <c", "<<i>b>text</<i>b>", ">>><<<", "<>" * 50 + "x", "a<b<c>d>e>f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    got = dict(without_tags(rows, ["n"]).collect())
+    assert [got[k] for k in range(len(texts))] == [t and plain(t) for t in texts]
+    long = spark.createDataFrame([(1, "<b>x</b> < y " * 80_000), (2, "<" * 100_000 + "x" + ">" * 100_000)], "n long, text string")
+    began = time.perf_counter()
+    assert {r["n"]: len(r["text"]) for r in without_tags(long, ["n"]).collect()} == {1: 6 * 80_000, 2: 0}
+    assert time.perf_counter() - began < 20  # a rewriting form took minutes
+
+
+def test_normalised_by_cases(spark):
+    from foliate.operators.normalise import normalised
+
+    cases = {
+        "a — b\n$a — b$ — $$c\n— d$$": "a: b\n$a — b$: $$c\n— d$$", "`x — $y` z": "`x: $y` z", "no dash $x\u00a0y$\u00a0z": "no dash $x\u00a0y$ z", "": "", "|—|\n—\n  — x": "|–|\n–\n: x",
+        "re‐fit $re‐fit$ \\[ $\\[$": "refit $re‐fit$ [ $\\[$", "x\nPage 1 of 2\ny — z": "x\ny: z",
+    }
+    rows = spark.createDataFrame([*enumerate(cases), (99, None)], "doc_id long, text string")
+    got = dict(normalised(rows).collect())
+    assert {c: got[k] for k, c in enumerate(cases)} == cases and got[99] is None
