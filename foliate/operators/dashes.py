@@ -32,7 +32,8 @@ CONNECTIVES = (
     "zoals wat welke wie die dat als wanneer zodra indien mits tenzij voordat nadat totdat ook en of"
 )
 BEFORE_CONNECTIVE = rf"(?i)^(?:{CONNECTIVES.replace(' ', '|')})(?![A-Za-z0-9_])"
-TOKEN = rf"{WS}*{DASH}{WS}*|\*\*|[*$`():]|(?:(?!{WS}*{DASH})[^*$`():])+"
+#: One character class a run, so that a long one costs the engine no stack.
+TOKEN = rf"{DASH}{WS}*|\*\*|[*$`():]|[^*$`():{DASH}]+"
 
 
 def _only_markers(text: Column) -> Column:
@@ -42,8 +43,15 @@ def _only_markers(text: Column) -> Column:
 
 
 def _tokens(sentences: DataFrame, key: list[str]) -> DataFrame:
+    """A sentence's tokens; the white space before a dash is part of it."""
     found = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    return sentences.select(*key, F.posexplode(found).alias("k", "tok")).withColumn("dash", F.col("tok").contains(DASH))
+    t = sentences.select(*key, F.posexplode(found).alias("k", "tok")).withColumn("dash", F.col("tok").startswith(DASH))
+    order = Window.partitionBy(*key).orderBy("k")
+    space = F.when(~F.col("dash") & F.lead("dash").over(order), F.regexp_extract("tok", rf"({WS}*)\z", 1)).otherwise("")
+    t = t.withColumn("__space", space)
+    own = F.col("tok").substr(F.lit(1), F.length("tok") - F.length("__space"))
+    tok = F.when(F.col("dash"), F.concat(F.coalesce(F.lag("__space").over(order), F.lit("")), "tok")).otherwise(own)
+    return t.withColumn("tok", tok).drop("__space").filter("tok <> ''")
 
 
 def _joined(tokens: DataFrame, key: list[str], out: Column) -> DataFrame:
@@ -102,9 +110,7 @@ def settle_lines(lines: DataFrame, key: list[str]) -> DataFrame:
     pieces = F.posexplode(F.split("text", rf"(?<=[.!?]){WS}+", -1))
     parts = lines.filter(F.col("text").contains(DASH)).select(*key, pieces.alias("s", "text"))
     of = [*key, "s"]
-    paired = _bracketed(parts.filter(F.col("text").contains(DASH)), of)
-    done = _single(paired.filter(F.col("text").contains(DASH)), of).unionByName(paired.filter(~F.col("text").contains(DASH)))
-    done = done.unionByName(parts.filter(~F.col("text").contains(DASH)))
+    done = _single(_bracketed(parts, of), of)
     ordered = F.array_sort(F.collect_list(F.struct("s", "text")))
     whole = done.groupBy(*key).agg(ordered.alias("p")).select(*key, F.array_join(F.transform("p", lambda p: p["text"]), " ").alias("text"))
     tidy = F.regexp_replace("text", rf"{WS}+([,;:)]|\.(?![0-9]))", "$1")

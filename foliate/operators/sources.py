@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, escape_markdown
+from ..functions.text import col
 
 #: The code points of Windows-1252 from 128 to 159; bytes without one are the control of that number (fixed values).
 WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
@@ -22,11 +22,13 @@ def decoded(content: str | Column) -> tuple[Column, Column]:
 
 
 def relationships(xml: str | Column) -> Column:
-    """Map of id to target of all relationship elements, in whatever order their attributes are."""
+    """Map of id to target of all relationship elements, in whatever order their attributes are; of an id that comes twice the last one counts."""
     elements = F.regexp_extract_all(col(xml), F.lit(r"<Relationship\s[^>]*>"), F.lit(0))
     attribute = lambda e, n: F.regexp_extract(e, rf'\s{n}="([^"]*)"', 1)
     pairs = F.transform(elements, lambda e: F.struct(attribute(e, "Id").alias("id"), attribute(e, "Target").alias("target")))
-    return F.map_from_entries(F.filter(pairs, lambda p: (p["id"] != "")))
+    named = F.filter(pairs, lambda p: p["id"] != "")
+    later = lambda p, k: F.exists(F.slice(named, k + 2, F.size(named)), lambda q: q["id"] == p["id"])
+    return F.map_from_entries(F.filter(named, lambda p, k: ~later(p, k)))
 
 
 def pdf_facts(content: str | Column) -> tuple[Column, Column]:
@@ -83,11 +85,6 @@ def markdown_table(rows: str | Column) -> Column:
     return F.array_join(F.concat(F.slice(lines, F.lit(1), F.lit(1)), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
 
 
-def plain_cell(c: str | Column) -> Column:
-    """A cell's text, safe in Markdown."""
-    return escape_markdown(c)
-
-
 def inventory(drawings: DataFrame, by: str) -> DataFrame:
     """Per document one JSON text: counts by kind and the media that no drawing refers to."""
     counts = drawings.groupBy(by).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: A word as it is written (fixed values: the dash family).
-WRITTEN = r"(?:(?<=\p{L})[-‐][ \t]*\r?\n[ \t]*(?=\p{L})|[^\s—–―‒−])+"
+WRITTEN = r"[^\s—–―‒−]+(?:(?<=\p{L}[-‐])[ \t]*\r?\n[ \t]*(?=\p{L})[^\s—–―‒−]+)*"
 #: Words of a seed: a unit has as many at least.
 SEED = 4
 

@@ -80,7 +80,7 @@ RULES = {
 
 
 @query(
-    f"""WITH {BLOCKS}, f AS (SELECT *, list_concat([body, caption, title], list_concat(head, list_concat(flatten(rows), flatten(list_transform(steps, lambda s: [s.label, s.note]))))) AS f FROM blocks)
+    f"""WITH {BLOCKS}, f AS (SELECT *, list_concat([body, caption, title], list_concat(CASE WHEN type = 'table' THEN list_concat(head, flatten(rows)) ELSE [] END, flatten(list_transform(steps, lambda s: [s.label, s.note])))) AS f FROM blocks)
 {" UNION ALL ".join(f"SELECT doc_id, pos::BIGINT AS pos, '{name}' AS rule FROM f WHERE {test}" for name, test in RULES.items())}"""
 )
 def element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,26 @@ def element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.findings(blocks(spark, sf_dir), "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
+#: Questions of orders: faults in a stem, an explanation, an option and a rationale, each beside a near miss.
+STEM = "CASE o_orderkey % 5 WHEN 0 THEN 'what is p* of ' || o_custkey || '?' WHEN 1 THEN 'what is *p* of ' || o_custkey || '?' WHEN 2 THEN 'see page 7' ELSE 'plain' END"
+WHY = "CASE o_orderkey % 7 WHEN 0 THEN 'Answer:' WHEN 1 THEN 'the answer: ' || o_custkey WHEN 2 THEN 'the table has a footnote' END"
+FIRST = "CASE o_orderkey % 11 WHEN 0 THEN 'an overleaf note' ELSE 'one' END"
+SECOND = "CASE o_orderkey % 13 WHEN 0 THEN 'z* \\* **b**' WHEN 1 THEN '\\* **b** *c*' WHEN 2 THEN 'x <!-- style: y -->' ELSE 'two' END"
+
+
+@query(
+    f"""WITH q AS (SELECT o_orderkey, {STEM} AS stem, {WHY} AS why, {FIRST} AS a, {SECOND} AS b FROM orders)
+SELECT o_orderkey AS question, 'open_mark' AS rule FROM q WHERE stem LIKE 'what is p*%' OR b LIKE 'z*%' UNION ALL SELECT o_orderkey, 'points_at_page' FROM q WHERE stem = 'see page 7' OR (a LIKE '%overleaf%' AND coalesce(why, '') NOT LIKE '%footnote')
+UNION ALL SELECT o_orderkey, 'answer_as_line' FROM q WHERE why = 'Answer:' UNION ALL SELECT o_orderkey, 'style_mark' FROM q WHERE b LIKE '%<!-- style:%'"""
+)
+def question_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question and rule that it breaks, read as a block."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question"), F.expr(STEM).alias("stem"), F.expr(WHY).alias("explanation"), F.expr(FIRST).alias("a"), F.expr(SECOND.replace("\\", "\\\\")).alias("b"))
+    option = lambda text, why: F.struct(text.alias("text"), why.alias("rationale"))
+    options = F.array(option(F.col("a"), F.lit(None).cast("string")), option(F.lit("fine"), F.col("b")))
+    return E.findings(E.question_blocks(o.withColumn("options", options), "question"), "question")
+
+
 @query(
     f"""WITH {BLOCKS} SELECT doc_id, pos::BIGINT AS pos, CASE WHEN len(list_filter(rows, lambda r: r[1] = 'Total')) > 0 THEN 'trial balance' ELSE 'journal entry' END AS becomes
 FROM blocks WHERE type = 'table'"""

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import lines as L
 from ..operators import ops as K
 from ..operators import sources as S
+from ..operators import state as X
 from ..session import table
 from . import query
 from .fixtures import CLASSED, LINES, lines, marked
@@ -181,25 +182,40 @@ def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.disposition("kind", "as_is", "t").alias("disposition"), F.contains("t", F.lit("![")).alias("has_marker"))
 
 
-STATE = "c_custkey % 2 = 0 AS has_source, c_custkey % 3 > 0 AS converted, c_custkey % 5 > 0 AS gate_structure, c_custkey % 7 > 0 AS gate_content, c_custkey % 4 = 0 AS published, c_acctbal > 5000 AS has_exam"
+#: What a course's folder and its gates say, by its number.
+STATE = """CASE WHEN k % 10 = 0 THEN 'exam' END AS recorded_mode, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS n_docx, CASE WHEN k % 4 > 0 THEN 2 ELSE 0 END AS n_sources, CASE WHEN k % 5 = 0 THEN 0 ELSE 3 END AS n_files,
+  k % 6 > 0 AS has_inventory, k % 7 > 0 AS has_findings, CASE WHEN k % 8 > 0 THEN k % 2 END AS undisposed, k % 9 > 0 AS has_manifest, CASE WHEN k % 11 < 5 THEN 0 ELSE k % 11 END AS open_findings"""
+GATES = {"structureAnswered": "k % 13 > 1", "analyzeDone": "k % 17 > 9", "composeSkipped": "k % 19 > 12", "courseShellVerified": "k % 5 > 2", "verifyMatched": "k % 23 > 5", "unitOneAccepted": "k % 29 > 20", "auditDone": "k % 31 > 27", "reviewDone": "k % 37 > 33", "published": "k % 41 > 39"}
 
 
 @query(
-    f"""WITH s AS (SELECT c_custkey, {STATE} FROM customer) SELECT c_custkey,
-  CASE WHEN NOT has_source THEN 'intake' WHEN NOT converted THEN 'convert' WHEN NOT gate_structure THEN 'structure' WHEN NOT gate_content THEN 'compose' WHEN NOT published THEN 'publish' ELSE 'done' END AS phase,
-  CASE WHEN NOT has_source THEN 'no source' WHEN NOT converted THEN 'not converted' WHEN NOT gate_structure THEN 'structure not approved' WHEN NOT gate_content THEN 'content not approved' END AS blocked_on,
-  CASE WHEN published THEN 'repair' WHEN has_exam THEN 'exam' ELSE 'build' END AS mode FROM s"""
+    f"""WITH c AS (SELECT c_custkey AS k FROM customer), s AS (SELECT k, {STATE}, {", ".join(f"{test} AS {name}" for name, test in GATES.items())} FROM c),
+p AS (SELECT *, CASE WHEN published THEN 7 WHEN reviewDone THEN 6 WHEN auditDone THEN 5 WHEN has_manifest AND verifyMatched AND unitOneAccepted THEN 4 WHEN composeSkipped THEN 3 WHEN analyzeDone THEN 2
+  WHEN n_sources > 0 AND has_inventory AND has_findings AND undisposed = 0 AND structureAnswered THEN 1 ELSE 0 END AS phase FROM s)
+SELECT k AS course, coalesce(recorded_mode, CASE WHEN n_docx > 0 OR n_sources > 0 THEN 'summary' WHEN n_files > 0 THEN 'scratch' END) AS mode, phase::BIGINT AS phase,
+  ['Intake', 'Analyze', 'Compose', 'Layout', 'Audit', 'Student View', 'Publish', 'Observe'][phase + 1] AS name,
+  CASE phase WHEN 3 THEN CASE WHEN NOT courseShellVerified THEN 'author: the course itself' WHEN NOT unitOneAccepted THEN 'author: the first unit' END WHEN 5 THEN 'reviewer: the course as a student'
+    WHEN 6 THEN CASE WHEN open_findings > 0 THEN 'person: open findings ' || open_findings ELSE 'author: the word publish' END END AS waits_for FROM p"""
 )
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each course is, what it waits for and in which mode it is worked on."""
-    s = table(spark, sf_dir, "customer").selectExpr("c_custkey", *STATE.split(", "))
-    ladder = [("has_source", "intake", "no source"), ("converted", "convert", "not converted"), ("gate_structure", "structure", "structure not approved"), ("gate_content", "compose", "content not approved"), ("published", "publish", None)]
-    phase, blocked = F.lit("done"), F.lit(None).cast("string")
-    for column, name, why in reversed(ladder):
-        phase = F.when(~F.col(column), name).otherwise(phase)
-        blocked = F.when(~F.col(column), F.lit(why)).otherwise(blocked)
-    mode = F.when(F.col("published"), "repair").when(F.col("has_exam"), "exam").otherwise("build")
-    return s.select("c_custkey", phase.alias("phase"), blocked.alias("blocked_on"), mode.alias("mode"))
+    """How far each course is, in which mode, and whom it waits for."""
+    gates = f"map({', '.join(f'{name!r}, {test}' for name, test in GATES.items())}) AS gates"
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    s = spark.sql(f"SELECT k AS course, {STATE}, {gates} FROM {{c}}", c=c)
+    return longs(X.states(s, "course"), "phase")
+
+
+#: Lists of findings: as they should be, under a wrong key, beside another list, none, and what is no JSON.
+LISTS = """CASE k % 6 WHEN 0 THEN '{"lines": [{"state": "open", "id": ' || k || '}, {"state": "done"}]}' WHEN 1 THEN '{"lines": [], "findings": [{"state": "open"}]}' WHEN 2 THEN '{"items": [' || k || ']}'
+  WHEN 3 THEN '{"lines": [{"state": "done"}], "notes": [1]}' WHEN 4 THEN '{"lines": [' ELSE '{"course": "c' || k || '", "lines": []}' END"""
+
+
+@query(f"""SELECT c_custkey AS course, CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END::BIGINT AS n_open, CASE c_custkey % 6 WHEN 1 THEN 'findings' WHEN 2 THEN 'items' END AS misplaced FROM customer""")
+def findings_misplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open findings of each course, and the key under which a list can't be seen."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.expr(LISTS).alias("t"))
+    n, under = X.findings_seen("t")
+    return c.select(F.col("k").alias("course"), n.cast("long").alias("n_open"), under.alias("misplaced"))
 
 
 @query(

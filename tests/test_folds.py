@@ -339,8 +339,41 @@ def test_normalised_by_cases(spark):
 
     cases = {
         "a — b\n$a — b$ — $$c\n— d$$": "a: b\n$a — b$: $$c\n— d$$", "`x — $y` z": "`x: $y` z", "no dash $x\u00a0y$\u00a0z": "no dash $x\u00a0y$ z", "": "", "|—|\n—\n  — x": "|–|\n–\n: x",
-        "re‐fit $re‐fit$ \\[ $\\[$": "refit $re‐fit$ [ $\\[$", "x\nPage 1 of 2\ny — z": "x\ny: z",
+        "re‐fit $re‐fit$ \\[ $\\[$": "refit $re‐fit$ [ $\\[$", "x\nPage 1 of 2\ny — z": "x\n\ny: z",
     }
     rows = spark.createDataFrame([*enumerate(cases), (99, None)], "doc_id long, text string")
     got = dict(normalised(rows).collect())
     assert {c: got[k] for k, c in enumerate(cases)} == cases and got[99] is None
+
+
+def test_states_and_findings_by_the_rule(spark):
+    from foliate.operators import state as X
+
+    base = {"recorded_mode": None, "n_docx": 0, "n_sources": 0, "n_files": 0, "has_inventory": False, "has_findings": False, "undisposed": None, "has_manifest": False, "open_findings": 0, "gates": {}}
+    closed = {"n_sources": 2, "has_inventory": True, "has_findings": True, "undisposed": 0, "gates": {"structureAnswered": True}}
+    cases = [
+        ({}, (None, 0, None)), ({"n_files": 3}, ("scratch", 0, None)), ({"n_docx": 1, "n_files": 1}, ("summary", 0, None)), ({"recorded_mode": "exam"}, ("exam", 0, None)),
+        (closed, ("summary", 1, None)), (closed | {"undisposed": 1}, ("summary", 0, None)), (closed | {"undisposed": None}, ("summary", 0, None)), (closed | {"gates": {}}, ("summary", 0, None)),
+        ({"gates": {"composeSkipped": True}}, (None, 3, "author: the course itself")), ({"gates": {"composeDone": True, "courseShellVerified": True}}, (None, 3, "author: the first unit")),
+        ({"has_manifest": True, "gates": {"verifyMatched": True, "unitOneAccepted": True}}, (None, 4, None)), ({"has_manifest": True, "gates": {"verifyMatched": True}}, (None, 0, None)),
+        ({"gates": {"auditDone": True}}, (None, 5, "reviewer: the course as a student")), ({"gates": {"reviewDone": True}, "open_findings": 2}, (None, 6, "person: open findings 2")),
+        ({"gates": {"reviewDone": True}}, (None, 6, "author: the word publish")), ({"gates": {"published": True, "reviewDone": False}}, (None, 7, None)),
+    ]
+    schema = "n int, recorded_mode string, n_docx int, n_sources int, n_files int, has_inventory boolean, has_findings boolean, undisposed int, has_manifest boolean, open_findings int, gates map<string, boolean>"
+    rows = spark.createDataFrame([(k, *(base | c).values()) for k, (c, _) in enumerate(cases)], schema)
+    got = {r["n"]: (r["mode"], r["phase"], r["waits_for"]) for r in X.states(rows, "n").collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    texts = {
+        '{"lines": [{"state": "open"}, {"state": "done"}, {}]}': (1, None), '{"lines": [], "findings": [{"state": "open"}]}': (0, "findings"), '{"lines": [{"state": "done"}], "other": [1]}': (0, None),
+        '{"course": "x", "items": [1], "more": [2]}': (0, "items"), '{"lines": "x", "list": [ ]}': (0, None), "not json": (0, None), None: (0, None), '{"lines": []}': (0, None),
+    }
+    found = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    n, under = X.findings_seen("t")
+    assert [(r["o"], r["m"]) for r in found.select("n", n.alias("o"), under.alias("m")).orderBy("n").collect()] == list(texts.values())
+
+
+def test_relationships_of_a_repeated_id(spark):
+    from foliate.operators import sources as S
+
+    xml = '<Relationship Id="a" Target="1"/><Relationship Target="2" Id="b"/><Relationship Id="a" Target="3"/><Relationship Target="4"/>'
+    assert spark.createDataFrame([(xml,)], "x string").select(S.relationships("x").alias("m")).first()["m"] == {"a": "3", "b": "2"}
