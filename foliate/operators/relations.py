@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_heading
 from .joins import small
 
 
@@ -85,3 +86,18 @@ def covers(source: DataFrame, published: DataFrame, by: str, text: str) -> DataF
     have = source.select(by, text).distinct().withColumn("__there", F.lit(True))
     out = published.join(have, [by, text], "left").groupBy(by)
     return out.agg(F.count(F.lit(1)).alias("n_published"), F.count_if(F.col("__there").isNull()).alias("n_missing"))
+
+
+def chosen_units(units: DataFrame, named: DataFrame, front: DataFrame) -> DataFrame:
+    """Units (``course``, ``title``) that a course names; of a course that names none, all but front matter (``title``)."""
+    picked = units.join(named.select("course", "title").distinct(), ["course", "title"], "left_semi")
+    rest = units.join(named.select("course").distinct(), "course", "left_anti").join(front.select("title").distinct(), "title", "left_anti")
+    return picked.unionByName(rest.select(*units.columns))
+
+
+def by_heading(sections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is ``wanted`` of a unit's sections by the text of a heading (``unit``, ``heading``), in its plain form: the first section of that heading; ``pos`` is null where
+    there is none, and ``times`` says how many there are."""
+    have = sections.select("unit", plain_heading("heading").alias("__h"), "pos").groupBy("unit", "__h").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("times"))
+    asked = wanted.select("*", plain_heading("heading").alias("__h"))
+    return asked.join(have, ["unit", "__h"], "left").drop("__h").withColumn("times", F.coalesce("times", F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chains as C
 from ..operators import layout as L
 from ..session import cut, table
 from . import query
@@ -88,3 +89,16 @@ SELECT doc_id, page, top, (len(open) - 1)::INT AS depth FROM stack"""
 def column_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths of list markers by their columns."""
     return L.depths(cut(L.lines(runs(spark, sf_dir))))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, greatest(round(value), 0)::BIGINT AS size, row_number() OVER (ORDER BY event_id) AS k FROM events),
+p AS (SELECT event_id, k, size, sum(size) OVER (ORDER BY k) AS upto FROM e),
+s AS (SELECT 1::BIGINT AS k, 0 AS batch UNION ALL SELECT max(n.k) + 1, s.batch + 1 FROM s JOIN p f ON f.k = s.k JOIN p n ON n.k >= s.k AND n.k < s.k + 50 AND (n.k = s.k OR n.upto - f.upto + f.size <= 500)
+  WHERE s.k <= (SELECT max(k) FROM p) GROUP BY s.k, s.batch)
+SELECT event_id, batch::BIGINT AS batch FROM p ASOF JOIN s ON p.k >= s.k"""
+)
+def one_queue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one queue in greedy batches by value and count; in SQL each batch begins where the one before ends."""
+    e = table(spark, sf_dir, "events").select(F.lit(0).alias("queue"), "event_id", F.greatest(F.round("value"), F.lit(0.0)).cast("long").alias("size"))
+    return C.greedy_batches(e, "queue", "event_id", "size", 500, 50).select("event_id", F.col("batch").cast("long").alias("batch"))

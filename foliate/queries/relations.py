@@ -195,3 +195,28 @@ def paragraphs_stand(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "documents").select("doc_id", form(F.col("text")).alias("__source"))
     rest = marked.filter("__whole IS NULL").join(f, "doc_id").select("doc_id", "pos", F.contains("__source", F.col("t")).alias("stands"))
     return marked.filter("__whole").select("doc_id", "pos", F.lit(True).alias("stands")).unionByName(rest)
+
+
+@query(
+    """WITH u AS (SELECT c_nationkey AS course, c_mktsegment || c_custkey AS title FROM customer), n AS (SELECT c_nationkey AS course, c_mktsegment || c_custkey AS title FROM customer WHERE c_nationkey % 2 = 0 AND c_acctbal > 5000),
+f AS (SELECT c_mktsegment || c_custkey AS title FROM customer WHERE c_acctbal < 0)
+SELECT course, title FROM u WHERE CASE WHEN course IN (SELECT course FROM n) THEN (course, title) IN (SELECT course, title FROM n) ELSE title NOT IN (SELECT title FROM f) END"""
+)
+def units_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units that a course names, or all but its front matter."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("course"), F.concat("c_mktsegment", F.col("c_custkey").cast("string")).alias("title"), "c_acctbal")
+    u = c.select("course", "title")
+    return R.chosen_units(u, c.filter("course % 2 = 0 AND c_acctbal > 5000").select("course", "title"), c.filter("c_acctbal < 0").select("title"))
+
+
+@query(
+    f"""WITH {LINES}, s AS (SELECT doc_id AS unit, pos, CASE pos % 3 WHEN 0 THEN '1.' || pos || ' ' WHEN 1 THEN '★ ' ELSE '' END || 'Part ' || pos // 4 || CASE WHEN pos % 5 = 0 THEN ' :' ELSE '' END AS heading FROM lines),
+h AS (SELECT unit, 'part ' || pos // 4 AS plain, min(pos) AS pos, count(*) AS times FROM s GROUP BY ALL), w AS (SELECT doc_id AS unit, unnest(['PART 0:', '2. Part 1', 'Part 9']) AS heading, unnest(['part 0', 'part 1', 'part 9']) AS plain FROM documents)
+SELECT w.unit, heading, h.pos::BIGINT AS pos, coalesce(times, 0)::BIGINT AS times FROM w LEFT JOIN h ON h.unit = w.unit AND h.plain = w.plain"""
+)
+def sections_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted sections of every document by their headings, which are written in several ways; misses are kept."""
+    form = "concat(CASE pos % 3 WHEN 0 THEN concat('1.', pos, ' ') WHEN 1 THEN '★ ' ELSE '' END, 'Part ', pos div 4, CASE WHEN pos % 5 = 0 THEN ' :' ELSE '' END)"
+    s = lines(spark, sf_dir).select(F.col("doc_id").alias("unit"), F.expr(form).alias("heading"), F.col("pos").cast("long").alias("pos"))
+    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.explode(F.array(*[F.lit(x) for x in ("PART 0:", "2. Part 1", "Part 9")])).alias("heading"))
+    return R.by_heading(s, w)
