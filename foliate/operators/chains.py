@@ -8,6 +8,8 @@ longest chain has binary digits, each of them a join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +72,56 @@ def running(rows: DataFrame, by: list[str], order: list[str], **values: Column)
     return joined.select(*rows.columns, *[(F.col(f"__b{v}") + F.sum(v).over(here)).alias(name) for v, name in zip(sums, values, strict=True)])
 
 
+def _pointers(ends: np.ndarray, sizes: np.ndarray, most_bytes: int, most: int) -> np.ndarray:
+    """Which entry begins the next batch if one begins here, for each of some entries in a row."""
+    here = np.arange(len(ends))
+    return np.clip(np.searchsorted(ends, ends - sizes + most_bytes, "right"), here + 1, here + most)
+
+
 def greedy_batches(entries: DataFrame, by: str, order: str, size: str, most_bytes: int, most: int, block: int = 8192) -> DataFrame:
     """Greedy batches in order: a batch ends before the entry that would take it over its bytes or its count; an entry larger than a
-    batch is one by itself.  ``entries`` has distinct ``order`` within a group; a null size is 0.  Returns ``by``, ``order``, ``batch``.
+    batch is one by itself.  ``entries`` has distinct ``order`` within a group; a null size is 0, none is negative.  Returns ``by``, ``order``, ``batch``.
 
-    An entry's pointer needs at most ``most`` entries behind it, so windows over blocks of a queue that overlap by as many find it.
+    An entry's pointer leads at most ``most`` entries on, so the chain enters each block of a queue at one of its first ``most`` entries.  Where it
+    leaves the block from each of these is found within the block; of these alone the chain is followed, and then each block is numbered from its entry.
     """
+    block = max(block, most)
     rows = entries.select(by, F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
-    rows = cut(running(rows, [by], [order], __n=F.lit(1), __end=F.col("__size")))
+    rows = running(rows, [by], [order], __n=F.lit(1), __end=F.col("__size"))
     own = F.floor((F.col("__n") - 1) / block)
     halo = (F.pmod(F.col("__n") - 1, F.lit(block)) < most) & (own > 0)
-    blocks = rows.select("*", own.alias("__own"), F.explode(F.when(halo, F.array(own, own - 1)).otherwise(F.array(own))).alias("__block"))
-    ahead = Window.partitionBy(by, "__block").orderBy("__n")
-    ends = F.collect_list("__end").over(ahead.rowsBetween(1, most - 1)) if most > 1 else F.array().cast("array<long>")
-    fits = F.size(F.filter(ends, lambda e: e <= F.col("__end") - F.col("__size") + most_bytes))
-    steps = blocks.withColumn("__fits", fits).filter("__own = __block").select(by, "__n", (F.col("__n") + 1 + F.col("__fits")).alias("__to"))
-    last = rows.groupBy(by).agg(F.max("__n").alias("__last")).select(F.col(by).alias(f"__{by}"), "__last")
-    inner = F.col(by).eqNullSafe(F.col(f"__{by}"))
-    steps = steps.join(last, inner).select(by, "__n", F.when(F.col("__to") <= F.col("__last"), F.col("__to")).alias("__to"))
-    starts = reached(steps, [by], "__n", "__to").select(F.col(by).alias(f"__{by}"), F.col("__n").alias("__start"))
-    marked = rows.join(starts, _same([by], "__n", "__start"), "left").select(by, order, F.col("__start").isNotNull().cast("long").alias("__starts"))
-    counted = running(marked, [by], [order], __batch=F.col("__starts"))
-    return counted.select(by, order, (F.col("__batch") - 1).cast("int").alias("batch"))
+    blocks = cut(rows.select("*", own.alias("__own"), F.explode(F.when(halo, F.array(own, own - 1)).otherwise(F.array(own))).alias("__block")))
+    kind = blocks.schema[by].dataType.simpleString()
+
+    def opened(t: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+        """A block's rows in order, their pointers, and how many are its own; the rest is of the next one."""
+        t = t.sort_by("__n")
+        return t, _pointers(t["__end"].to_numpy(), t["__size"].to_numpy(), most_bytes, most), min(block, t.num_rows)
+
+    def exits(t: pa.Table) -> pa.Table:
+        t, to, n = opened(t)
+        out, steps = [0] * n, to.tolist()
+        for k in range(n - 1, -1, -1):
+            out[k] = steps[k] if steps[k] >= n else out[steps[k]]
+        first, count = t["__n"][0].as_py(), min(most, n)
+        beyond = [first + x if x < t.num_rows else None for x in out[:count]]
+        return pa.table({by: t[by][:count], "__n": t["__n"][:count], "__to": pa.array(beyond, pa.int64())})
+
+    def numbered(t: pa.Table) -> pa.Table:
+        t, to, n = opened(t)
+        entry, first, steps = t["__entry"][0].as_py(), t["__n"][0].as_py(), to.tolist()
+        starts, k = np.zeros(n, np.int64), n if entry is None else entry - first
+        while k < n:
+            starts[k], k = 1, steps[k]
+        return pa.table({by: t[by][:n], order: t[order][:n], "__block": t["__block"][:n], "__local": pa.array(np.cumsum(starts))})
+
+    steps = blocks.groupBy(by, "__block").applyInArrow(exits, f"`{by}` {kind}, __n long, __to long")
+    entered = reached(steps, [by], "__n", "__to").select(F.col(by).alias(f"__{by}"), F.floor((F.col("__n") - 1) / block).alias("__at"), F.col("__n").alias("__entry"))
+    # a short last block may be passed over; of any other the chain's first entry counts
+    entered = entered.groupBy(f"__{by}", "__at").agg(F.min("__entry").alias("__entry"))
+    met = blocks.join(entered, _same([by], "__block", "__at"), "left").select(by, order, "__n", "__end", "__size", "__block", "__entry")
+    local = cut(met.groupBy(by, "__block").applyInArrow(numbered, f"`{by}` {kind}, `{order}` long, __block long, __local long"))
+    before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    per = local.groupBy(by, "__block").agg(F.max("__local").alias("__starts"))
+    base = per.select(F.col(by).alias(f"__{by}"), F.col("__block").alias("__at"), F.coalesce(F.sum("__starts").over(before), F.lit(0)).alias("__base"))
+    return local.join(base, _same([by], "__block", "__at")).select(by, order, (F.col("__base") + F.col("__local") - 1).cast("int").alias("batch"))
