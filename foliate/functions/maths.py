@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, map_matches
@@ -106,14 +106,20 @@ def spans(texts: DataFrame, key: list[str]) -> DataFrame:
     either = f"{run}+{end}|{_INLINE_HELD.replace(DISPLAY_MARK, DISPLAY_MARK + end)}"
     t = texts.select(*key, "text", filled.alias("__f"))
     hits = F.zip_with(F.regexp_extract_all("__f", F.lit(either), F.lit(0)), F.split("__f", either, -1), lambda h, gap: F.struct(h.alias("hit"), F.length(gap).alias("gap")))
-    t = t.select(*key, "text", F.posexplode(F.filter(hits, lambda x: x["hit"].isNotNull())).alias("__n", "__h"))
-    size = F.length("__h.hit")
-    upto = Window.partitionBy(*key).orderBy("__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.sum(F.col("__h.gap") + size).over(upto)
-    t = t.select(*key, (F.col("__n") + 1).alias("n"), F.endswith("__h.hit", F.lit(end)).alias("display"), (stop - size).cast("int").alias("start"), stop.cast("int").alias("end"), "text")
-    edge = F.when(F.col("display"), 2).otherwise(1)
-    tex = F.col("text").substr(F.col("start") + edge + 1, F.col("end") - F.col("start") - 2 * edge)
-    return t.withColumn("tex", tex).drop("text")
+    t = t.select(*key, "text", F.filter(hits, lambda x: x["hit"].isNotNull()).alias("__h"))
+    # places are summed up where the text lies, so no span takes it through a shuffle
+    none = F.struct(F.lit(0).alias("stop"), F.array().cast("array<int>").alias("at"))
+    stop = lambda a, h: a["stop"] + h["gap"] + F.length(h["hit"])
+    add = lambda a, h: F.struct(stop(a, h).alias("stop"), F.concat(a["at"], F.array(a["stop"] + h["gap"])).alias("at"))
+    t = t.withColumn("__at", F.aggregate("__h", none, add, lambda a: a["at"]))
+    placed = F.zip_with("__h", "__at", lambda h, at: F.struct(F.endswith(h["hit"], F.lit(end)).alias("display"), at.alias("start"), (at + F.length(h["hit"])).alias("end")))
+
+    def found(x: Column, k: Column) -> Column:
+        edge = F.when(x["display"], 2).otherwise(1)
+        tex = F.col("text").substr(x["start"] + edge + 1, x["end"] - x["start"] - 2 * edge)
+        return F.struct((k + 1).alias("n"), x["display"].alias("display"), x["start"].alias("start"), x["end"].alias("end"), tex.alias("tex"))
+
+    return t.select(*key, F.inline(F.transform(placed, found)))
 
 
 #: What is not drawn as it is written (fixed values): a textual group is its content, a frame nothing, another command one space.

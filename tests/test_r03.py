@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 import __spark_entry__ as entry
+from foliate.functions import maths as M
 from foliate.operators import chains as C
 
 
@@ -47,3 +48,17 @@ def test_the_chain_is_followed_over_few_entries(spark, monkeypatch):
         n, total = n + 1, total + k % 7
         want.append(batch)
     assert got == want
+
+
+def exchanges(df) -> int:
+    """Shuffles of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange " in line and "Broadcast" not in line for line in plan.split("\n"))
+
+
+def test_spans_take_no_text_through_a_shuffle(spark):
+    """Spans are placed where their text lies."""
+    t = spark.createDataFrame([(1, "a $x$ $$b$$ `$` $c$ d"), (2, "none"), (3, None)], "k int, text string")
+    found = M.spans(t, ["k"])
+    assert exchanges(found) == 0
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, False, 2, 5, "x"), (1, 2, True, 6, 11, "b"), (1, 3, False, 16, 19, "c")]
