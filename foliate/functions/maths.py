@@ -46,17 +46,20 @@ def repair_spaces(c: str | Column) -> Column:
     Left alone are spaces within a textual group and those that end a command; beside such a group a digit counts as part of a
     word too.  Pieces between the groups are rewritten, so no place shifts under another repair.
     """
-    after_command = r"(?<!\\[A-Za-z]{1,60})"
-    pieces = F.size(F.split(col(c), TEXTUAL, -1))
+    # the space comes first, so that what stands before it is looked at only there
+    command = r"(?<!\\[A-Za-z]{1,60} )"
 
-    def outside(piece: Column, k: Column) -> Column:
-        out = F.regexp_replace(piece, after_command + "(?<=[A-Za-z]) (?=[A-Za-z])", r"\\ ")
+    def outside(piece: Column, k: Column, pieces: Column) -> Column:
+        out = F.regexp_replace(piece, "(?<=[A-Za-z]) (?=[A-Za-z])" + command, r"\\ ")
         out = F.when((k > 0) & (k < pieces - 1) & (piece == " "), F.lit("\\ ")).otherwise(out)
-        before_group = F.regexp_replace(out, after_command + "(?<=[A-Za-z0-9]) $", r"\\ ")
+        before_group = F.regexp_replace(out, "(?<=[A-Za-z0-9]) $" + command, r"\\ ")
         out = F.when(k < pieces - 1, before_group).otherwise(out)
         return F.when(k > 0, F.regexp_replace(out, "^ (?=[A-Za-z0-9])", r"\\ ")).otherwise(out)
 
-    return map_matches(c, TEXTUAL, lambda h: h, outside)
+    # the pieces are an element of an array, so that they are cut once and not again for each of them
+    repaired = F.transform(F.array(F.split(col(c), TEXTUAL, -1)), lambda ps: F.transform(ps, lambda p, k: outside(p, k, F.size(ps))))[0]
+    hits = F.regexp_extract_all(col(c), F.lit(TEXTUAL), F.lit(0))
+    return F.array_join(F.zip_with(repaired, hits, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
 
 
 def in_prose(c: str | Column, rule: Callable[[Column], Column]) -> Column:

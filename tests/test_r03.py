@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from foliate.functions import maths as M
 from foliate.operators import chains as C
+from foliate.operators import joins as J
+from foliate.operators import layout as L
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -62,3 +67,32 @@ def test_spans_take_no_text_through_a_shuffle(spark):
     found = M.spans(t, ["k"])
     assert exchanges(found) == 0
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, False, 2, 5, "x"), (1, 2, True, 6, 11, "b"), (1, 3, False, 16, 19, "c")]
+
+
+def test_spaces_are_repaired_in_linear_time(spark):
+    """Pieces between textual groups are cut once: before, each of them cut the whole text again."""
+    n = 8000
+    t = spark.range(1).select(F.repeat(F.lit("a b \\text{u v} c \\d e "), n).alias("t")).select(M.repair_spaces("t").alias("t"))
+    begun = time.monotonic()
+    got = t.first()[0]
+    assert time.monotonic() - begun < 15
+    assert got.startswith("a\\ b\\ \\text{u v}\\ c \\d e\\ a\\ b") and got.count("\\ ") == 3 * n + n - 1
+
+
+def test_lines_of_pages_take_one_shuffle(spark):
+    """A page's runs come together once; its lines are found there."""
+    rows = [(d, p, t, "x") for d in (1, None) for p in (1, 2) for t in (110, 104, 100, 107, 120, 112)]
+    runs = spark.createDataFrame(rows, "doc_id long, page int, top int, text string")
+    found = L.on_lines(runs)
+    assert exchanges(found) == 1
+    lines = {100: 100, 104: 100, 107: 107, 110: 107, 112: 107, 120: 120}
+    assert sorted((r["top"], r["line"]) for r in found.filter("doc_id = 1 AND page = 2").collect()) == sorted(lines.items())
+
+
+def test_bags_are_counted_in_one_shuffle(spark):
+    """Source and readings go through the same one; a null word meets nothing."""
+    source = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "c"), (1, None)], "doc_id long, word string")
+    read = spark.createDataFrame([(1, "a", True, False), (1, "b", True, True), (1, "c", False, False), (1, None, True, True), (2, "d", True, True)], "doc_id long, word string, in_first boolean, in_second boolean")
+    found = J.bag_difference(source, read)
+    assert exchanges(found) == 1
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == [(1, "a", 1), (1, "c", 1), (1, None, 1)]
