@@ -11,8 +11,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chains import next_beyond, reached
-
 
 class Page(NamedTuple):
     """Text above ``header`` or below ``footer`` is furniture, that of ``cover`` points or more a title page.  Runs within ``same_line`` of a
@@ -38,11 +36,16 @@ def on_lines(runs: DataFrame, page: Page = Page()) -> DataFrame:
     """``line``: the top of the line that a run is on.  A line takes what lies within ``same_line`` of its first run; the run beyond
     begins the next one, so how far runs drift from each other does not matter."""
     by = ["doc_id", "page"]
-    follows = next_beyond(runs, by, "top", F.col("top") + page.same_line, "__next")
-    starts = reached(follows, by, "top", "__next").withColumn("line", F.col("top"))
-    upto = Window.partitionBy(*by).orderBy("top").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tops = follows.select(*by, "top").join(starts, [*by, "top"], "left").withColumn("line", F.last("line", True).over(upto))
-    return runs.join(tops, [*by, "top"])
+    rest = [c for c in runs.columns if c not in by]
+    pages = runs.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("__runs"))
+    tops = F.array_sort(F.array_distinct(F.transform("__runs", lambda r: r["top"])))
+    none = F.array().cast(f"array<{runs.schema['top'].dataType.simpleString()}>")
+    begins = lambda a, top: (F.size(a) == 0) | (top > F.element_at(a, F.size(a)) + page.same_line)
+    starts = F.aggregate(tops, none, lambda a, top: F.when(begins(a, top), F.concat(a, F.array(top))).otherwise(a))
+    own = lambda r, lines: F.struct(*[r[c].alias(c) for c in rest], F.array_max(F.filter(lines, lambda x: x <= r["top"])).alias("line"))
+    # the lines are an element of an array, so that they are found once a page and not for each run
+    placed = F.transform(F.array(starts), lambda lines: F.transform("__runs", lambda r: own(r, lines)))[0]
+    return pages.select(*by, F.inline(placed))
 
 
 def marker_kind(text: Column, family: Column) -> Column:
