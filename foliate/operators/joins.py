@@ -109,14 +109,16 @@ def reconcile(asked: DataFrame, answered: DataFrame) -> DataFrame:
 def bag_difference(source: DataFrame, readings: DataFrame) -> DataFrame:
     """Words that occur more often in ``source`` than in the better of two readings, and by how much.
 
-    ``source`` is (doc_id, word), ``readings`` (doc_id, word, in_first, in_second); both readings are counted in one pass, and counts are
-    combined before the shuffle.
+    ``source`` is (doc_id, word), ``readings`` (doc_id, word, in_first, in_second); all three are counted in one pass, so a word of a document
+    goes through one shuffle once, combined before it.
     """
-    n = source.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    read = readings.groupBy("doc_id", "word").agg(F.greatest(F.count_if("in_first"), F.count_if("in_second")).alias("best"))
-    best = F.coalesce("best", F.lit(0))
-    joined = n.join(read, ["doc_id", "word"], "left")
-    return joined.filter(F.col("n") > best).select("doc_id", "word", (F.col("n") - best).alias("missing"))
+    none, yes = F.lit(False), F.lit(True)
+    each = source.select("doc_id", "word", yes.alias("own"), none.alias("a"), none.alias("b")).unionByName(
+        readings.select("doc_id", "word", none.alias("own"), F.col("in_first").alias("a"), F.col("in_second").alias("b"))
+    )
+    n = each.groupBy("doc_id", "word").agg(*[F.count_if(c).cast("int").alias(c) for c in ("own", "a", "b")])
+    best = F.when(F.col("doc_id").isNull() | F.col("word").isNull(), 0).otherwise(F.greatest("a", "b"))  # a null meets nothing
+    return n.filter(F.col("own") > best).select("doc_id", "word", (F.col("own") - best).cast("long").alias("missing"))
 
 
 def longest_runs(source: DataFrame, published: DataFrame) -> DataFrame:
