@@ -48,6 +48,40 @@ def manifests(courses: DataFrame, topics: DataFrame, blocks: DataFrame, question
     return c.select("course", F.to_json(body).alias("manifest"))
 
 
+def manifest_parts(courses: DataFrame, topics: DataFrame, blocks: DataFrame, questions: DataFrame, options: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(course, part, number, slug, piece): the documents of :func:`manifests` in pieces, for courses that are more than one task should hold.
+
+    Part 0 opens a document, a part 1 in order of number and slug is one topic, part 2 closes it with its glossary; a course's pieces one behind the other,
+    topics parted by commas, are its document, character by character.
+    """
+    o = options.groupBy("key").agg(_ordered(["pos"], text="text", correct="correct").alias("options"))
+    q = questions.join(o, "key", "left").groupBy("topic").agg(_ordered(["pos", "key"], key="key", stem="stem", options="options").alias("questions"))
+    b = blocks.groupBy("topic").agg(_ordered(["pos", "id"], id="id", type="type", body="body").alias("blocks"))
+    t = topics.join(b, "topic", "left").join(q, "topic", "left").join(courses.select("course"), "course", "left_semi")
+    t = t.withColumns({n: F.coalesce(n, F.array()) for n in ("blocks", "questions")})
+    each = t.select("course", F.lit(1).alias("part"), "number", "slug", F.to_json(F.struct("number", "slug", "title", "blocks", "questions")).alias("piece"))
+    none = (F.lit(None).cast(topics.schema["number"].dataType).alias("number"), F.lit(None).cast("string").alias("slug"))
+    about = F.to_json(F.struct(F.lit(VERSION).alias("version"), F.struct("slug", "programCode", "title", "topicTerm").alias("course")))
+    head = courses.withColumn("__about", about).select(
+        "course", F.lit(0).alias("part"), *none, F.concat(F.col("__about").substr(F.lit(1), F.length("__about") - 1), F.lit(',"topics":[')).alias("piece")
+    )
+    g = glossary.groupBy("course").agg(_ordered(["term"], term="term", definition="definition").alias("glossary"))
+    terms = F.when(F.size("glossary") > 0, F.concat(F.lit(',"glossary":'), F.to_json("glossary")))
+    tail = courses.select("course").join(g, "course", "left").select("course", F.lit(2).alias("part"), *none, F.concat(F.lit("]"), F.coalesce(terms, F.lit("")), F.lit("}")).alias("piece"))
+    return head.unionByName(each).unionByName(tail)
+
+
+def read_parts(parts: DataFrame) -> DataFrame:
+    """(course, part, number, slug, m): the pieces of :func:`manifest_parts` read back, each as a document that holds only what the piece says; one that
+    does not fit the schema ends the job."""
+    whole = (
+        F.when(F.col("part") == 0, F.concat("piece", F.lit("]}")))
+        .when(F.col("part") == 1, F.concat(F.lit('{"topics":['), "piece", F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"topics":['), "piece"))
+    )
+    return parts.select("course", "part", "number", "slug", F.from_json(whole, SCHEMA, {"mode": "FAILFAST"}).alias("m"))
+
+
 def read_manifests(manifests: DataFrame) -> DataFrame:
     """(course, m): the documents read back; one that does not fit the schema ends the job."""
     return manifests.select("course", F.from_json("manifest", SCHEMA, {"mode": "FAILFAST"}).alias("m"))

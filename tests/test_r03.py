@@ -12,6 +12,8 @@ from foliate.functions import maths as M
 from foliate.operators import chains as C
 from foliate.operators import joins as J
 from foliate.operators import layout as L
+from foliate.operators import manifest as K
+from foliate.queries import versions as Q
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -96,3 +98,15 @@ def test_bags_are_counted_in_one_shuffle(spark):
     found = J.bag_difference(source, read)
     assert exchanges(found) == 1
     assert sorted((tuple(r) for r in found.collect()), key=repr) == [(1, "a", 1), (1, "c", 1), (1, None, 1)]
+
+
+def test_pieces_of_a_manifest_are_its_document(spark, tiny):
+    """One behind the other they are what the whole document says, and no row holds a course."""
+    course = Q._course(spark, tiny)
+    whole = dict(tuple(r) for r in K.manifests(**course).collect())
+    parts = K.manifest_parts(**course).orderBy("course", "part", "number", "slug").collect()
+    for c, document in whole.items():
+        own = [r for r in parts if r["course"] == c]
+        assert own[0]["piece"] + ",".join(r["piece"] for r in own if r["part"] == 1) + own[-1]["piece"] == document
+    read = Q.manifest_round_trip(spark, tiny)
+    assert "collect_list(struct(struct(number" not in read._jdf.queryExecution().optimizedPlan().toString()
