@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -124,25 +124,27 @@ def bag_difference(source: DataFrame, readings: DataFrame) -> DataFrame:
 def longest_runs(source: DataFrame, published: DataFrame) -> DataFrame:
     """Per source line: its words and the longest run of them, from its first word on, that stands in ``published``.
 
-    ``source`` is (doc_id, line, i, word), ``published`` (doc_id, i, word), i counting from 0.  Places where the line's first three words
-    stand are candidates; the line's words meet the published ones at their place, an equi join on document and
-    place, and the run of a candidate ends at its first gap.  Shorter runs need no place: that the first word, or the
-    first two, stand anywhere is enough.
+    ``source`` is (doc_id, line, i, word), ``published`` (doc_id, i, word), i counting from 0; no word holds a space.  A document's published words
+    are one string, parted by spaces, and a run stands there if its own string does.  As a longer run holds the shorter ones, a line that does not
+    stand whole is halved: as many searches as its count of words has binary digits.  Every word goes through one shuffle, by its document.
     """
-    along = Window.partitionBy("doc_id").orderBy("i")
-    p = published.select("doc_id", F.col("i").alias("at"), F.col("word").alias("w0"), *[F.lead("word", k).over(along).alias(f"w{k}") for k in (1, 2)])
-    lines = source.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("want"), *[F.max(F.when(F.col("i") == k, F.col("word"))).alias(f"w{k}") for k in range(3)])
-    one = p.select("doc_id", "w0").distinct().withColumn("one", F.lit(1))
-    two = p.filter("w1 IS NOT NULL").select("doc_id", "w0", "w1").distinct().withColumn("two", F.lit(2))
-    starts = lines.join(p, ["doc_id", "w0", "w1", "w2"]).select("doc_id", "line", "at")
-    line = starts.join(source.filter("i >= 3"), ["doc_id", "line"]).select("doc_id", "line", "at", "i", "word", (F.col("at") + F.col("i")).alias("place"))
-    met = line.join(published.withColumnRenamed("i", "place"), ["doc_id", "place", "word"])
-    order = Window.partitionBy("doc_id", "line", "at").orderBy("i")
-    run = met.withColumn("gap", F.col("i") - F.row_number().over(order) - 2).filter("gap = 0")
-    more = run.groupBy("doc_id", "line", "at").agg((F.count(F.lit(1)) + 3).alias("run")).groupBy("doc_id", "line").agg(F.max("run").alias("more"))
-    three = starts.select("doc_id", "line").distinct().withColumn("three", F.lit(3))
-    found = lines.join(one, ["doc_id", "w0"], "left").join(two, ["doc_id", "w0", "w1"], "left").join(three, ["doc_id", "line"], "left").join(more, ["doc_id", "line"], "left")
-    return found.select("doc_id", "line", "want", F.coalesce("more", "three", "two", "one", F.lit(0)).cast("long").alias("best"))
+    said = lambda *order: F.array_sort(F.collect_list(F.struct(*order, "word")))
+    joined = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    words = lambda c: F.transform(c, lambda x: x["word"])
+    lines = source.repartition("doc_id").groupBy("doc_id", "line").agg(said("i").alias("p")).select("doc_id", "line", words("p").alias("ws"))
+    texts = published.repartition("doc_id").groupBy("doc_id").agg(said("i").alias("p")).select("doc_id", joined(words("p")).alias("all"))
+    stands = lambda k: F.contains("all", joined(F.slice("ws", F.lit(1), k)))
+    want = F.size("ws")
+
+    def halved(a: Column) -> Column:
+        mid = ((a["lo"] + a["hi"] + 1) / 2).cast("int")
+        found = F.when(stands(mid), F.struct(mid.alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), (mid - 1).alias("hi")))
+        return F.when(a["lo"] < a["hi"], found).otherwise(a)
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(want.cast("long"))))
+    part = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), (want - 1).alias("hi")), lambda a, _: halved(a), lambda a: a["lo"])
+    best = F.when(F.col("all").isNull(), 0).when(F.contains("all", joined(F.col("ws"))), want).otherwise(part)
+    return lines.join(texts, "doc_id", "left").select("doc_id", "line", want.cast("long").alias("want"), best.cast("long").alias("best"))
 
 
 def verdict_of_runs(runs: DataFrame, least: int = 4, share: float = 0.5) -> DataFrame:

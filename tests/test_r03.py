@@ -110,3 +110,12 @@ def test_pieces_of_a_manifest_are_its_document(spark, tiny):
         assert own[0]["piece"] + ",".join(r["piece"] for r in own if r["part"] == 1) + own[-1]["piece"] == document
     read = Q.manifest_round_trip(spark, tiny)
     assert "collect_list(struct(struct(number" not in read._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_found_in_one_shuffle_a_side(spark):
+    """No candidate place is a row: a word said a thousand times by both sides makes a million of them otherwise."""
+    source = spark.range(1000).selectExpr("1L AS doc_id", "int(id div 100) AS line", "int(id % 100) AS i", "if(id = 950, 'z', 'a') AS word")
+    published = spark.range(1200).selectExpr("1L AS doc_id", "int(id) AS i", "if(id = 1199, 'b', 'a') AS word")
+    found = J.longest_runs(source, published)
+    assert exchanges(found) == 2
+    assert sorted(tuple(r) for r in found.collect()) == [(1, k, 100, 100 if k < 9 else 50) for k in range(10)]
