@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A block, as operations read, put in and leave it.
 BLOCK = "id string, type string, title string, problem string, body string, steps array<struct<label: string, note: string>>"
@@ -146,19 +148,18 @@ def apply_ops(blocks: DataFrame, ops: DataFrame) -> DataFrame:
     """``blocks`` (unit, place and the columns of :data:`BLOCK`) after all of ``ops`` (:data:`OPS`).  ``log`` says, in each row alike, what became of each
     operation, and at last whether an id stands twice (``twice``) or a body still has a style marker (``marker``): neither may be published."""
 
-    def lists(value):
-        return None if value is None else [x if isinstance(x, str) else dict(x) for x in value]
+    names = ["id", "type", "title", "problem", "body", "steps"]
+    schema = to_arrow_schema(StructType.fromDDL(RESULT))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [b | {"steps": lists(b["steps"])} for b in left.sort_values(["place", "id"]).drop(columns=["unit", "place"]).to_dict("records")]
-        listed = [o | {"find": lists(o["find"]), "blocks": lists(o["blocks"])} for o in right.sort_values("seq").to_dict("records")]
-        log = [f"{o['op']}:{_apply(rows, o)}" for o in listed]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(left.to_pylist(), key=lambda b: (b["place"] is None, b["place"], b["id"] is None, b["id"]))
+        unit, rows = rows[0]["unit"] if rows else None, [{n: b[n] for n in names} for b in rows]
+        log = [f"{o['op']}:{_apply(rows, o)}" for o in sorted(right.to_pylist(), key=lambda o: o["seq"])]
         if len({b["id"] for b in rows}) < len(rows):
             log.append("twice")
         if any("<!-- style:" in (b["body"] or "") for b in rows):
             log.append("marker")
-        unit = left["unit"].iloc[0] if len(left) else key[0]
-        names = ["id", "type", "title", "problem", "body", "steps"]
-        return pd.DataFrame([(unit, k, *[b[n] for n in names], ",".join(log)) for k, b in enumerate(rows)], columns=["unit", "place", *names, "log"])
+        said = ",".join(log)
+        return pa.Table.from_pylist([{"unit": unit, "place": k, **b, "log": said} for k, b in enumerate(rows)], schema)
 
-    return blocks.select("unit", "place", "id", "type", "title", "problem", "body", "steps").groupBy("unit").cogroup(ops.groupBy("unit")).applyInPandas(run, RESULT)
+    return blocks.select("unit", "place", "id", "type", "title", "problem", "body", "steps").groupBy("unit").cogroup(ops.groupBy("unit")).applyInArrow(run, RESULT)

@@ -119,3 +119,9 @@ def test_runs_are_found_in_one_shuffle_a_side(spark):
     found = J.longest_runs(source, published)
     assert exchanges(found) == 2
     assert sorted(tuple(r) for r in found.collect()) == [(1, k, 100, 100 if k < 9 else 50) for k in range(10)]
+
+
+def test_units_are_read_as_arrow(spark, tiny):
+    """A unit's few blocks are no data frame of their own."""
+    plan = entry.queries()["block_operations"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "InPandas" not in plan
