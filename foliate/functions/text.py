@@ -32,6 +32,11 @@ def decode_xml_once(c: str | Column) -> Column:
     return decode_xml(c)  # the ampersand goes last
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c``, which is worked out once however often it stands there."""
+    return F.transform(F.array(c), use)[0]
+
+
 def map_matches(c: str | Column, pattern: str, inside: Callable[[Column], Column], outside: Callable[[Column, Column], Column] | None = None) -> Column:
     """The text with ``inside`` applied to every match of ``pattern``, and ``outside`` (of a piece and its number) to what lies between."""
     pieces, hits = F.split(col(c), pattern, -1), F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0))

@@ -1,49 +1,84 @@
-"""Brackets that close, by windows over tokens.
+"""Brackets that close: a stack over one text, kept in Python where the text lies.
 
-Depth counts from the last bracket that closes nothing.  At one depth opening and closing ones take turns, so an opening one closes if another
-follows there; of these alone the depth is counted anew.
+No built-in keeps a stack.  Each helper reads a text's tokens once, so it is linear in the text however deep brackets stand in each other, and no
+text leaves its row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def matched(tokens: DataFrame, key: list[str], opening: str, closing: str, value: Column | None = None) -> DataFrame:
-    """``tokens`` (``key``, k, tok) with ``opens`` and ``closes`` for brackets that have a partner and ``depth``, how many such pairs are open
-    behind a token; with ``value`` also ``ending``, what it is at an opening one's partner."""
-    upto = Window.partitionBy(*key).orderBy("k")
-    opened, closed = F.col("tok") == opening, F.col("tok") == closing
-    t = tokens.withColumns({"__sum": F.sum(F.when(opened, 1).when(closed, -1).otherwise(0)).over(upto), "__value": F.lit(None) if value is None else value})
-    t = t.withColumn("__floor", F.least(F.lit(0), F.min("__sum").over(upto)))
-    level = F.col("__sum") - F.col("__floor")
-    alone = closed & (level == 0) & (F.lag("__floor", 1, 0).over(upto) > F.col("__floor"))
-    t = t.withColumn("__level", F.when(opened, level).when(closed & ~alone, level + 1))
-    there = Window.partitionBy(*key, "__floor", "__level").orderBy("k")
-    bracket = F.col("__level").isNotNull()
-    t = t.withColumns({"__next": F.when(bracket, F.lead("tok").over(there)), "ending": F.when(bracket, F.lead("__value").over(there)), "__prev": F.when(bracket, F.lag("tok").over(there))})
-    t = t.withColumns({"opens": F.coalesce(opened & (F.col("__next") == closing), F.lit(False)), "closes": F.coalesce(closed & (F.col("__prev") == opening), F.lit(False))})
-    t = t.withColumn("depth", F.sum(F.col("opens").cast("int") - F.col("closes").cast("int")).over(upto))
-    return t.drop("__sum", "__floor", "__level", "__next", "__prev", "__value", *["ending"] * (value is None))
-
-
-def innermost(tokens: DataFrame, key: list[str], value: Column) -> DataFrame:
-    """``inside``: how much ``value`` (a running sum) grows over the innermost bracket that a token stands in and that closes; null outside."""
-    t = matched(tokens.withColumn("__v", value), key, "(", ")", F.col("__v"))
-    same = Window.partitionBy(*key, "depth").orderBy("k")
-    own = F.last(F.when(F.col("opens"), F.struct(F.col("__v").alias("a"), F.col("ending").alias("z"))), True).over(same)
-    t = t.withColumn("__own", own).withColumn("inside", F.when(F.col("depth") > 0, F.col("__own.z") - F.col("__own.a")))
-    return t.drop("__own", "__v", "opens", "closes", "depth", "ending")
+def dashes_by_colon(lines: Column, dash: str, listed: str, begin: str) -> Column:
+    """An array of lines with every ``dash`` whose scope has a colon as ``listed``: its scope is the innermost bracket around it that closes, else the
+    sentence.  Only lines that start with ``begin`` are read, which stands before each sentence."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        import re
+
+        token = re.compile(f"[():{begin}{dash}]")
+
+        def marked(line: str | None) -> str | None:
+            if line is None or not line.startswith(begin) or ":" not in line or dash not in line:
+                return line
+            out = list(line)
+
+            def close(scope: list) -> None:
+                for at in scope[1] if scope[0] else ():
+                    out[at] = listed
+
+            def end(open_: list) -> None:  # a bracket that nothing closes is none
+                close([sum(s[0] for s in open_), [at for s in open_ for at in s[1]]])
+
+            scopes = [[0, []]]  # of each: colons, and dashes that stand in no inner one
+            for found in token.finditer(line):
+                at, tok = found.start(), found.group()
+                if tok == "(":
+                    scopes.append([0, []])
+                elif tok == ":":
+                    scopes[-1][0] += 1
+                elif tok == dash:
+                    scopes[-1][1].append(at)
+                elif tok == begin:
+                    end(scopes)
+                    scopes = [[0, []]]
+                elif len(scopes) > 1:
+                    inner = scopes.pop()
+                    close(inner)
+                    scopes[-1][0] += inner[0]
+            end(scopes)
+            return "".join(out)
+
+        return pa.array([ls and [marked(x) for x in ls] for ls in batch.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(lines)
 
 
 def without_tags(texts: DataFrame, key: list[str]) -> DataFrame:
     """``texts`` (``key`` and ``text``, one row a key) with tags removed until none is left: a removal may put another tag together, so every ``<`` that
     some ``>`` closes goes with all between, however deep.  Texts without a ``<`` stay as they are."""
-    some = F.coalesce(F.col("text").contains("<"), F.lit(False))
-    tokens = texts.filter(some).select(*key, F.posexplode(F.regexp_extract_all("text", F.lit("[<>]|[^<>]+"), F.lit(0))).alias("k", "tok"))
-    # a token that stays has no pair open behind it, and is no partner itself
-    t = matched(tokens, key, "<", ">").withColumn("out", F.when((F.col("depth") == 0) & ~F.col("closes"), F.col("tok")))
-    parts = F.array_sort(F.collect_list(F.when(F.col("out").isNotNull(), F.struct("k", "out"))))
-    done = t.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["out"]), "").alias("text"))
-    return texts.filter(~some).select(*key, "text").unionByName(done)
+
+    def run(batch: pa.Array) -> pa.Array:
+        import re
+
+        token = re.compile("[<>]|[^<>]+")
+
+        def stripped(text: str | None) -> str | None:
+            if text is None:
+                return None
+            out, opened = [], []
+            for tok in token.findall(text):
+                if tok == ">" and opened:
+                    del out[opened.pop() :]
+                else:
+                    if tok == "<":
+                        opened.append(len(out))
+                    out.append(tok)
+            return "".join(out)
+
+        return pa.array([stripped(x) for x in batch.to_pylist()], pa.string())
+
+    some = F.when(F.col("text").contains("<"), F.col("text"))
+    return texts.select(*key, F.coalesce(F.arrow_udf(run, "string")(some), "text").alias("text"))

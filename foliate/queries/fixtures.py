@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lines import explode_lines
@@ -19,6 +19,12 @@ LINES = """lines AS (
   FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)
 )"""
 
+def line_words(c: str | Column) -> Column:
+    """The words of a line in ASCII letters, one space between them; ``none`` without any.  Letters are one class, which is the cheapest to test."""
+    words = F.btrim(F.regexp_replace(F.regexp_replace(c, r"[^\p{Alpha} ]+", ""), " +", " "))
+    return F.regexp_replace(words, "^$", "none")
+
+
 #: Prefix of a line by its position mod 7; every fifth line is blank instead.
 PREFIX = {0: "# ", 1: "## ", 2: "- ", 3: "1. ", 4: "**Example**: ", 5: "| "}
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import dashes as D
 from ..session import table
 from . import query
-from .fixtures import lines
+from .fixtures import line_words, lines
 
 #: What stands for which words: spans, an escaped dollar, code, two prices, and a span that a digit follows.
 PUT = (
@@ -126,12 +126,11 @@ SELECT doc_id, pos, {SETTLED} AS settled FROM s"""
 )
 def dash_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole lines with dashes, settled; the SQL states what the rule makes of each form."""
-    words = F.btrim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]+", ""), " +", " "))
-    w = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(words == "", "none").otherwise(words).alias("w"))
-    w = w.select("doc_id", "pos", M.hold(F.expr(DASHED)).alias("h"))
-    settled = D.settle_lines(w.select("doc_id", "pos", F.col("h.text").alias("text")), ["doc_id", "pos"])
-    both = settled.join(w.select("doc_id", "pos", "h.inline", "h.display"), ["doc_id", "pos"])
-    return both.select("doc_id", "pos", M.put_back("text", F.col("inline"), F.col("display")).alias("settled"))
+    dashed = F.expr(f"transform(ws, w -> {DASHED})")[0]
+    w = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.array(line_words("text")).alias("ws"))
+    w = w.select("doc_id", "pos", T.once(dashed, M.hold).alias("h"))
+    settled = w.select("doc_id", "pos", D.settled(F.array("h.text"))[0].alias("text"), "h.inline", "h.display")
+    return settled.select("doc_id", "pos", M.put_back("text", F.col("inline"), F.col("display")).alias("settled"))
 
 
 @query(
