@@ -32,8 +32,8 @@ def _chars(c: Column | str) -> Column:
 def xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities decoded and tags stripped until none is left, of raw pages with a tag put into another one."""
     p = table(spark, sf_dir, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<b>"), F.lit("<<i>b>")), F.lit("&amp;"), F.lit("&amp;lt;")))
-    stripped = without_tags(p.select("page_id", F.col("html").alias("text")), ["page_id"]).select("page_id", F.md5(F.col("text").cast("binary")).alias("stripped"))
-    return p.select("page_id", F.md5(T.decode_xml_once("html").cast("binary")).alias("decoded")).join(stripped, "page_id")
+    p = without_tags(p.select("page_id", F.md5(T.decode_xml_once("html").cast("binary")).alias("decoded"), F.col("html").alias("text")), ["page_id", "decoded"])
+    return p.select("page_id", "decoded", F.md5(F.col("text").cast("binary")).alias("stripped"))
 
 
 @query(

@@ -27,3 +27,9 @@ def test_units_and_their_source_meet_once(spark):
     found = V.find_units(sources, units)
     assert exchanges(found) <= 2
     assert sorted((r["unit"], r["state"], r["start"], r["end"]) for r in found.collect()) == [(1, "stands", 4, 13), (2, "stands", 0, 7), (3, "missing", None, None), (4, "short", None, None), (5, "missing", None, None)]
+
+
+def test_tags_are_stripped_in_their_rows(spark, tiny):
+    """A page's tokens are no rows, so a task holds one batch of pages whatever the input."""
+    plan = entry.queries()["xml_text"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "hashpartitioning" not in plan
