@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as M
 from ..functions import text as T
-from .dashes import DASH, settle_lines
+from .dashes import settled
 
 
 def normalised(docs: DataFrame) -> DataFrame:
     """(doc_id, text): dashes settled line by line, page furniture taken out, broken words joined, needless backslashes and non-breaking spaces
     replaced; formulas come back as they were.  ``docs`` has one row a doc_id; a null text stays null.
 
-    Only lines with a dash are taken apart: they go by themselves and return to their place.
+    A text stays one row: its lines are an array, of which only those with a dash are taken apart.
     """
     held = docs.select("doc_id", M.hold("text").alias("h")).select("doc_id", "h.text", "h.inline", "h.display")
-    rows = held.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).filter(F.col("text").contains(DASH))
-    settled = settle_lines(rows, ["doc_id", "pos"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "text"))).alias("__settled"))
-    both = held.join(settled, "doc_id", "left")
-    lines = F.transform(F.split("text", "\n", -1), lambda line, k: F.coalesce(F.try_element_at("__settled", k), line))
-    text = F.when(F.col("__settled").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    both = held.select("doc_id", "inline", "display", settled(F.split("text", "\n", -1)).alias("__lines"))
+    text = F.array_join("__lines", "\n")
     for rule in (T.strip_furniture, T.join_hyphens, T.strip_escapes, T.plain_spaces):
         text = rule(text)
     return both.withColumn("__t", text).select("doc_id", M.put_back("__t", F.col("inline"), F.col("display")).alias("text"))

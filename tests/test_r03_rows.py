@@ -33,3 +33,12 @@ def test_tags_are_stripped_in_their_rows(spark, tiny):
     """A page's tokens are no rows, so a task holds one batch of pages whatever the input."""
     plan = entry.queries()["xml_text"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_texts_are_normalised_in_their_rows(spark):
+    """A text's lines with a dash neither leave it nor come back by a join."""
+    from foliate.operators.normalise import normalised
+
+    found = normalised(spark.createDataFrame([(1, "a — b\nc\n$x — y$ — re‐fit"), (2, None), (3, "")], "doc_id long, text string"))
+    assert exchanges(found) == 0 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, found.collect())) == {1: "a: b\nc\n$x — y$: refit", 2: None, 3: ""}
