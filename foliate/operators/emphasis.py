@@ -2,52 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col
-from .folds import fold
+from ..functions.text import col, once
 
 
-def mark_roles(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """``role`` of each token (``key``, k, tok): ``o`` for a mark that opens, ``c`` for one that closes, ``t`` for text.
+def opening(marks: Column) -> Column:
+    """Of each mark of a text (an array of their lengths) whether it opens.
 
-    A mark closes if the last one still open is the same, else it opens; that is a stack of marks, kept over a stream of tokens.
+    A mark closes if the last one still open is the same, else it opens; that is a stack of marks, kept in Python as no built-in has one.
     """
 
-    def step(stack: list, tok: str) -> tuple:
-        if tok[0] != "*":
-            return (tok, "t")
-        if stack and stack[-1] == tok:
-            stack.pop()
-            return (tok, "c")
-        stack.append(tok)
-        return (tok, "o")
+    def run(batch: pa.Array) -> pa.Array:
+        def roles(sizes: list | None) -> list | None:
+            if sizes is None:
+                return None
+            stack, out = [], []
+            for size in sizes:
+                opens = not stack or stack[-1] != size
+                stack.append(size) if opens else stack.pop()
+                out.append(opens)
+            return out
 
-    return fold(tokens, key, ["k"], ["tok"], list, step, "tok string, role string")
+        return pa.array([roles(x) for x in batch.to_pylist()], pa.list_(pa.bool_()))
+
+    return F.arrow_udf(run, "array<boolean>")(marks)
 
 
 def repaired(lines: DataFrame, key: list[str]) -> DataFrame:
     """``lines`` (``key`` and ``text``, one row a key) with the white space just inside a span put outside of it, and spans without anything
-    in them dropped.  Marks are runs of up to three asterisks.  Lines without a mark stay as they are."""
-    marked = lines.filter(F.col("text").contains("*"))
-    tokens = marked.select(*key, F.posexplode(F.regexp_extract_all("text", F.lit(r"\*{1,3}|[^*]+"), F.lit(0))).alias("k", "tok"))
-    t = mark_roles(tokens, key)
-    order = Window.partitionBy(*key).orderBy("k")
-    filled = (F.col("role") == "t") & F.col("tok").rlike(r"\S")
-    head = F.when(filled & (F.lag("role").over(order) == "o"), F.regexp_extract("tok", r"^(\s*)", 1)).otherwise("")
-    tail = F.when(filled & (F.lead("role").over(order) == "c"), F.regexp_extract("tok", r"(\s*)\z", 1)).otherwise("")
-    t = t.withColumns({"head": head, "tail": tail})
-    core = F.col("tok").substr(F.length("head") + 1, F.length("tok") - F.length("head") - F.length("tail"))
-    out = (
-        F.when(F.col("role") == "o", F.concat(F.coalesce(F.lead("head").over(order), F.lit("")), "tok"))
-        .when(F.col("role") == "c", F.concat("tok", F.coalesce(F.lag("tail").over(order), F.lit(""))))
-        .otherwise(core)
-    )
-    parts = F.array_sort(F.collect_list(F.struct("k", "out")))
-    joined = F.array_join(F.transform(parts, lambda p: p["out"]), "")
-    done = t.withColumn("out", out).groupBy(*key).agg(F.regexp_replace(joined, r"\*{2,3}(\s*)\*{2,3}", "$1").alias("text"))
-    return lines.filter(~F.coalesce(F.col("text").contains("*"), F.lit(False))).select(*key, "text").unionByName(done)
+    in them dropped.  Marks are runs of up to three asterisks.  Lines without a mark stay as they are, and each line is repaired in its row."""
+    mark = r"\*{1,3}"
+    some = F.when(F.col("text").contains("*"), F.col("text"))
+    t = lines.select(*key, "text", F.regexp_extract_all(some, F.lit(mark), F.lit(0)).alias("__marks"))
+    t = t.withColumn("__opens", opening(F.transform("__marks", F.length)))
+    role = lambda k: F.get("__opens", k)
+
+    def cut(piece: Column, k: Column) -> Column:
+        filled = piece.rlike(r"\S")
+        head = F.when(filled & role(k - 1), F.regexp_extract(piece, r"^\s*+", 0)).otherwise("")
+        tail = F.when(filled & ~role(k), F.regexp_extract(piece, r"\s(?<!\s\s)\s*+\z", 0)).otherwise("")
+        ends = F.struct(head.alias("head"), tail.alias("tail"))
+        core = lambda e: piece.substr(F.length(e["head"]) + 1, F.length(piece) - F.length(e["head"]) - F.length(e["tail"]))
+        return once(ends, lambda e: F.struct(e["head"].alias("head"), core(e).alias("core"), e["tail"].alias("tail")))
+
+    t = t.withColumn("__p", F.when(F.col("__marks").isNotNull(), F.transform(F.split("text", mark, -1), cut)))
+    piece = lambda k: F.get("__p", k)
+    marked = lambda m, k: F.when(role(k), F.concat(piece(k + 1)["head"], m)).otherwise(F.concat(m, piece(k)["tail"]))
+    rest = F.transform("__marks", lambda m, k: F.concat(marked(m, k), piece(k + 1)["core"]))
+    whole = F.concat(piece(F.lit(0))["core"], F.array_join(rest, ""))
+    return t.select(*key, F.coalesce(F.regexp_replace(whole, r"\*{2,3}(\s*)\*{2,3}", "$1"), "text").alias("text"))
 
 
 #: Signs that flag a line (fixed values).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import emphasis as E
 from . import query
-from .fixtures import LINES, lines
+from .fixtures import LINES, line_words, lines
 
 WORDS = "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g'), ' '), ''), 'none')"
 
@@ -21,8 +21,7 @@ BARE = """CASE pos % 6 WHEN 0 THEN w WHEN 1 THEN '**Try** ' || w WHEN 2 THEN w W
 
 
 def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.btrim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]+", ""), " +", " "))
-    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(words == "", "none").otherwise(words).alias("w"))
+    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), line_words("text").alias("w"))
 
 
 def _sql(form: str) -> str:

@@ -42,3 +42,12 @@ def test_texts_are_normalised_in_their_rows(spark):
     found = normalised(spark.createDataFrame([(1, "a — b\nc\n$x — y$ — re‐fit"), (2, None), (3, "")], "doc_id long, text string"))
     assert exchanges(found) == 0 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert dict(map(tuple, found.collect())) == {1: "a: b\nc\n$x — y$: refit", 2: None, 3: ""}
+
+
+def test_emphasis_is_repaired_in_its_row(spark):
+    """Marks and what lies between them are no rows."""
+    from foliate.operators import emphasis as E
+
+    found = E.repaired(spark.createDataFrame([(1, "a **b **c"), (2, "x"), (3, None), (4, "* a *** b ***")], "n long, text string"), ["n"])
+    assert exchanges(found) == 0
+    assert dict(map(tuple, found.collect())) == {1: "a **b** c", 2: "x", 3: None, 4: " *a  ***b*** "}
