@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..operators import joins as J
 from ..session import table
 from . import query
@@ -242,8 +243,8 @@ def question_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows(text: Column, n: int) -> Column:
     """All stretches of ``n`` characters."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.transform(places, lambda i: text.substr(i, F.lit(n)))
+    windows = lambda chars: F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+    return once(F.split(text, ""), windows)  # cut once: a place in a string is counted from its begin
 
 
 @query(
@@ -255,22 +256,23 @@ SELECT item_id, doc_id, pos, greatest(pos - 2, 0)::BIGINT AS context_from, least
 def substring_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each document that holds the opening (40 characters, or all) of a benchmark item, and the lines around it.
 
-    A literal opening is found where its beginning stands, so lines meet items on windows of twelve characters, or of as many as a
-    shorter item has: an equi join, then the first place.
+    A word that stands between two spaces of an opening stands so in every line that holds it.  So lines meet items on the longest such word, where
+    they lie, and no other word becomes a row that is kept.  An opening without one meets lines on windows of twelve characters, or of as many as it has.
     """
     heads = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.substring("text", 1, 40).alias("head"))
-    heads = heads.withColumn("start", F.substring("head", 1, 12))
-    first = heads.select("start").distinct()
-    sizes = [r[0] for r in first.select(F.length("start")).distinct().collect()]  # at most twelve
-    all_lines = lines(spark, sf_dir).select("doc_id", "pos", "text").filter("text <> ''")
-    windows = None
-    for n in sizes:
-        found = all_lines.select("doc_id", "pos", F.explode(F.array_distinct(_windows(F.col("text"), n))).alias("start")).join(J.small(first), "start", "left_semi")
-        windows = found if windows is None else windows.unionByName(found)
-    hit = windows.distinct().join(J.small(heads), "start").join(all_lines, ["doc_id", "pos"]).filter(F.contains("text", F.col("head")))
-    hit = hit.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos"))
-    last = lines(spark, sf_dir).groupBy("doc_id").agg(F.max("pos").alias("last"))
-    out = hit.join(last, "doc_id").select(
-        "item_id", "doc_id", "pos", F.greatest(F.col("pos") - 2, F.lit(0)).alias("context_from"), F.least(F.col("pos") + 11, "last").alias("context_to")
-    )
+    inner = F.filter(F.split("head", " ", -1), lambda w, k: (k > 0) & (k < F.size(F.split("head", " ", -1)) - 1) & (w != ""))
+    heads = heads.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    split = F.posexplode(F.split("text", "\n")).alias("pos", "text")
+    found = table(spark, sf_dir, "documents").select("doc_id", (F.size(F.split("text", "\n")) - 1).alias("last"), split).filter("text <> ''")
+    met = [found.select("doc_id", "last", "pos", "text", F.explode(F.split("text", " ", -1)).alias("key")).join(J.small(heads.filter("key IS NOT NULL")), "key")]
+    rest = heads.filter("key IS NULL").withColumn("key", F.substring("head", 1, 12))
+    for n in [r[0] for r in rest.select(F.length("key")).distinct().collect()]:  # at most twelve
+        of = J.small(rest.filter(F.length("key") == n))
+        met.append(found.select("doc_id", "last", "pos", "text", F.explode(F.array_distinct(_windows(F.col("text"), n))).alias("key")).join(of, "key"))
+    out = None
+    for rows in met:
+        hit = rows.filter(F.contains("text", F.col("head"))).select("item_id", "doc_id", "pos", "last")
+        out = hit if out is None else out.unionByName(hit)
+    out = out.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos"), F.max("last").alias("last"))
+    out = out.select("item_id", "doc_id", "pos", F.greatest(F.col("pos") - 2, F.lit(0)).alias("context_from"), F.least(F.col("pos") + 11, "last").alias("context_to"))
     return longs(out, "pos", "context_from", "context_to")

@@ -51,3 +51,14 @@ def test_emphasis_is_repaired_in_its_row(spark):
     found = E.repaired(spark.createDataFrame([(1, "a **b **c"), (2, "x"), (3, None), (4, "* a *** b ***")], "n long, text string"), ["n"])
     assert exchanges(found) == 0
     assert dict(map(tuple, found.collect())) == {1: "a **b** c", 2: "x", 3: None, 4: " *a  ***b*** "}
+
+
+def test_openings_meet_lines_on_a_word(spark, tmp_path):
+    """Windows are made only for openings without a word between two spaces; results are those of the SQL."""
+    items = spark.createDataFrame([(1, "the opening of an item that is longer than forty characters"), (2, "短い文です。空白のない文章がここにある"), (3, "one two"), (4, ""), (5, "ab")], "item_id long, text string")
+    docs = documents(spark, "x\nso the opening of an item that is longer than\n短い文です。空白のない文章がここにある!", "xone two", "one  two\nab\nthe opening of an item", None, "")
+    found = same_as_sql(spark, tmp_path, "substring_context", documents=docs, benchmark=items)
+    assert {(r[0], r[1]) for r in found} >= {(1, 0), (2, 0), (3, 1), (5, 2)}
+    items.filter("item_id = 1").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    plan = entry.queries()["substring_context"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan
