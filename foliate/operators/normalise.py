@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import maths as M
-from ..functions import text as T
-from .dashes import settled
+from ..functions import prose as P
+from .dashes import DASH, settle
+
+
+def normalise(text: str) -> str:
+    """Dashes settled line by line, page furniture taken out, broken words joined, needless backslashes and non-breaking spaces replaced; formulas come
+    back as they were."""
+    text, inline, display = P.hold(text)
+    if DASH in text:
+        text = "\n".join(settle(line) if DASH in line else line for line in text.split("\n"))
+    for rule in (P.strip_furniture, P.join_hyphens, P.strip_escapes, P.plain_spaces):
+        text = rule(text)
+    return P.put_back(text, inline, display)
 
 
 def normalised(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): dashes settled line by line, page furniture taken out, broken words joined, needless backslashes and non-breaking spaces
-    replaced; formulas come back as they were.  ``docs`` has one row a doc_id; a null text stays null.
+    """(doc_id, text): each text :func:`normalise`\\ d.  ``docs`` has one row a doc_id; a null text stays null.
 
-    A text stays one row: its lines are an array, of which only those with a dash are taken apart.
+    The dash rule needs a stack, which no built-in has, so texts are handed to Python; there all rules are run at once, as patterns over whole
+    texts in the engine cost many times as much.
     """
-    held = docs.select("doc_id", M.hold("text").alias("h")).select("doc_id", "h.text", "h.inline", "h.display")
-    both = held.select("doc_id", "inline", "display", settled(F.split("text", "\n", -1)).alias("__lines"))
-    text = F.array_join("__lines", "\n")
-    for rule in (T.strip_furniture, T.join_hyphens, T.strip_escapes, T.plain_spaces):
-        text = rule(text)
-    return both.withColumn("__t", text).select("doc_id", M.put_back("__t", F.col("inline"), F.col("display")).alias("text"))
+
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array((x.as_py() and normalise(x.as_py()) for x in batch), pa.string())
+
+    return docs.select("doc_id", F.arrow_udf(run, "string")("text").alias("text"))

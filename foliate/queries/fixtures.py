@@ -25,6 +25,12 @@ def line_words(c: str | Column) -> Column:
     return F.regexp_replace(words, "^$", "none")
 
 
+def words_of_lines(c: str | Column) -> Column:
+    """:func:`line_words` of each line of a text; patterns meet the whole text, which costs about half as much."""
+    words = F.regexp_replace(F.regexp_replace(c, r"[^\p{Alpha} \n]+", ""), " {2,}", " ")
+    return F.transform(F.transform(F.split(words, "\n"), lambda w: F.btrim(w)), lambda w: F.when(w == "", "none").otherwise(w))
+
+
 #: Prefix of a line by its position mod 7; every fifth line is blank instead.
 PREFIX = {0: "# ", 1: "## ", 2: "- ", 3: "1. ", 4: "**Example**: ", 5: "| "}
 

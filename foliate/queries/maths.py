@@ -129,7 +129,7 @@ def dash_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     dashed = F.expr(f"transform(ws, w -> {DASHED})")[0]
     w = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.array(line_words("text")).alias("ws"))
     w = w.select("doc_id", "pos", T.once(dashed, M.hold).alias("h"))
-    settled = w.select("doc_id", "pos", D.settled(F.array("h.text"))[0].alias("text"), "h.inline", "h.display")
+    settled = w.select("doc_id", "pos", D.settled("h.text").alias("text"), "h.inline", "h.display")
     return settled.select("doc_id", "pos", M.put_back("text", F.col("inline"), F.col("display")).alias("settled"))
 
 

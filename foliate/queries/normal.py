@@ -10,7 +10,7 @@ from ..operators.brackets import without_tags
 from ..operators.normalise import normalised
 from ..session import table
 from . import query
-from .fixtures import LINES, line_words, lines
+from .fixtures import LINES, lines, words_of_lines
 
 
 def _docs(spark: SparkSession, sf_dir: str, text: Column, **columns: Column) -> DataFrame:
@@ -171,8 +171,7 @@ LINE_WORDS = "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^A-Za-z
 @query(f"""WITH {LINES}, w AS (SELECT doc_id, pos, {LINE_WORDS} AS w FROM lines) SELECT doc_id, md5(string_agg({CLEAN}, chr(10) ORDER BY pos)) AS text FROM w GROUP BY doc_id""")
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through all rules for prose; formulas hold what each rule would change and keep it."""
-    words = F.transform(F.split("text", "\n"), line_words)
     raw = F.expr("transform(ws, (w, pos) -> " + RAW.replace("\\[", "\\\\[") + ")")
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", words.alias("ws"))
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", words_of_lines("text").alias("ws"))
     found = normalised(rows.select("doc_id", F.array_join(raw, "\n").alias("text")))
     return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
