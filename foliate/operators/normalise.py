@@ -29,6 +29,6 @@ def normalised(docs: DataFrame) -> DataFrame:
     """
 
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array((x.as_py() and normalise(x.as_py()) for x in batch), pa.string())
+        return pa.array((x and normalise(x) for x in (cell.as_py() for cell in batch)), pa.string())
 
     return docs.select("doc_id", F.arrow_udf(run, "string")("text").alias("text"))
